@@ -1,22 +1,119 @@
-"""One query per operator, over whole tables."""
+"""One query per operator, over whole tables, with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .minhash import near_duplicates
+from . import embeddings, langid, linededup, minhash, packing, quality
+
+#: Where the public tokenizers lie; their module gives the path of each file.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(column: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id is an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op2_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of ``embeddings`` at a cosine of 0.98."""
+    return embeddings.near_duplicate_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on two-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` packed into windows of 2048 tokens."""
+    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def train_quality(docs: DataFrame, labels: DataFrame):
+    """Word vectors from all documents and a network from the labels of the training folds."""
+    return quality.train(docs, labels.where(fold("doc_id", 5) != 0))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of ``documents``, learnt from ``labels`` of four folds out of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors, net = train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, vectors, net)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the lines that three documents or more share."""
+    out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def train_languages(docs: DataFrame):
+    """Profiles from the documents of two folds out of three."""
+    return langid.train_profiles(docs.where(fold("doc_id", 3) != 1))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents``, learnt from two folds out of three."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), train_languages(docs))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {
+    "op2_hyperplane_dedup": op2_hyperplane_dedup,
     "op5_minhash_join": op5_minhash_join,
+    "op6_bin_slack_packing": op6_bin_slack_packing,
+    "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
+}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        with doc as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+        line as (select r, doc_id, unnest(parts) as line, unnest(range(1, len(parts) + 1)) as pos from doc),
+        keyed as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from line),
+        often as (select key, max(doc_id) as keeper from keyed where length(key) >= 20 group by key having count(distinct r) >= 3),
+        marked as (select k.*, o.key is not null and k.doc_id is distinct from o.keeper as gone from keyed k left join often o using (key))
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+        from marked group by r, doc_id""",
+    "op2_hyperplane_dedup": r"""
+        with recursive good as (
+            select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+                 where list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
+        comp as (select a as vec_id, min(b) as component_id from reach group by a),
+        n as (select a as vec_id, count(*) as n from link group by a)
+        select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+        from embeddings e join comp c using (vec_id) left join n using (vec_id)""",
+    "op5_minhash_join": r"""
+        with recursive word as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        sets as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+                   else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as s from word),
+        size as (select doc_id, count(*) as n from sets group by doc_id),
+        share as (select a.doc_id as a, b.doc_id as b, count(*) as both from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        half as (select a, b from share join size x on x.doc_id = a join size y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)),
+        link as (select a, b from half union all select b, a from half),
+        reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on r.b = l.a),
+        comp as (select a as doc_id, min(b) as component_id from reach group by a)
+        select d.doc_id, coalesce(z.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+        from documents d join comp c using (doc_id) left join size z using (doc_id)""",
 }
-ORACLES: dict[str, str] = {}
