@@ -6,9 +6,10 @@ one among the ``coordinates - matches + 1`` rarest lists of either (prefix filte
 joined. The longer lists are never merged; what they would add is counted by probing the two
 signatures (skip). Pairs above the threshold are confirmed on the full shingle sets.
 
-Large groups of near copies cost links in proportion to their size: first each list ties its
-members to its smallest one, and only then are pairs made, of members that still belong to
-different components.
+Large groups of near copies cost links in proportion to their size: a long list compares its
+members with its most central one only. What is then still in different components of a long list
+meets in an exact prefix join on the shingles themselves, where the places of a pair's first common
+shingle bound its overlap, so that a group's members pair up only where a link is possible.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .textops import LOWER, Spans, mix64, slices, string_parts, words
 COORDINATES = 64
 #: At a similarity of 0.8 fewer matches than this have a chance of about 3e-6.
 MATCHES = 36
+#: Posting lists of up to this length compare all their pairs.
+SHORT_LIST = 8
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
 
@@ -97,15 +100,16 @@ def _postings(reps: DataFrame, coordinates: int) -> DataFrame:
 
 
 def prefix_lists(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(token, rep) for the rarest ``coordinates - matches + 1`` tokens of each document.
+    """(token, rep, weight) for the rarest ``coordinates - matches + 1`` tokens of each document.
 
     Tokens of one document only come first in that order and join with nothing, so they are
-    counted but not kept."""
+    counted but not kept. The weight is high for documents whose tokens are common: the originals
+    of a group of near copies."""
     posted = _postings(reps, coordinates)
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    kept = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    kept = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.sum((16 * F.log2("df")).cast("long")).alias("weight"))
     room = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("tokens"))
-    return kept.where(room > 0).select("rep", F.explode(F.slice("tokens", F.lit(1), room)).alias("t")).select(F.col("t.token").alias("token"), "rep")
+    return kept.where(room > 0).select("rep", "weight", F.explode(F.slice("tokens", F.lit(1), room)).alias("t")).select(F.col("t.token").alias("token"), "rep", "weight")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
@@ -152,6 +156,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _possible(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of ``sets`` (rep, shingles) in different components that may reach ``percent``.
+
+    A pair that reaches it shares one of the rarest ``n - ceil(percent * n / 100) + 1`` shingles of
+    either, and at its first common shingle both have enough shingles left for the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.int64)
+                for at in range(0, len(s), 10_000):
+                    part = s[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), rep)), pa.array(np.full(len(part), len(s)))], ["shingle", "rep", "n"])
+
+    each = sets.select("rep", "shingles").mapInArrow(run, "shingle long, rep long, n long")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rows = each.join(shared, "shingle").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    rows = rows.where(room > 0).withColumn("alone", alone).select("rep", "n", "alone", F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "t"))
+    rows = rows.join(labels, rows.rep == labels.node, "left").select(F.col("t.shingle").alias("shingle"), "rep", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left"), F.coalesce("component", "rep").alias("c"))
+    rows = materialize(rows, "shingle-lists")
+    mixed = rows.groupBy("shingle").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("shingle")
+    rows = rows.join(mixed, "shingle")
+    x, y = (rows.toDF("shingle", *(f"{k}{side}" for k in ("rep", "n", "left", "c"))) for side in "xy")
+    enough = F.least("leftx", "lefty") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
+    sized = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    pairs = x.join(y, "shingle").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & enough & sized)
+    return pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text; more columns are ignored).
 
@@ -167,23 +202,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     reps = materialize(sigs.where("n_shingles > 0").join(classes.select("rep"), sigs.doc_id == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("sig").alias("sig")), "reps")
     lists = materialize(prefix_lists(reps, coordinates, matches), "lists")
 
-    heads = lists.groupBy("token").agg(F.min("rep").alias("a"))
-    stars = lists.join(heads, "token").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    stars = materialize(_agreeing(stars, reps, matches), "stars")
-    sets = materialize(shingle_table(whole, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), width), "sets")
-    links = materialize(_confirmed(stars, sets, percent), "links")
+    sizes = lists.groupBy("token").agg(F.count("*").alias("n"), F.max_by("rep", F.struct("weight", "rep")).alias("center")).where("n > 1")
+    lists = materialize(lists.join(sizes, "token").select("token", "rep", "n", "center"), "shared-lists")
+    short, long = lists.where(F.col("n") <= SHORT_LIST), lists.where(F.col("n") > SHORT_LIST)
+    pairs = short.select("token", F.col("rep").alias("a")).join(short.select("token", F.col("rep").alias("b")), "token").where("a < b").select("a", "b")
+    stars = long.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
+    near = materialize(_agreeing(pairs.union(stars).distinct(), reps, matches), "near")
+    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(long.select("rep")).distinct()
+    sets = materialize(shingle_table(whole, wanted, width), "sets")
+    links = materialize(_confirmed(near, sets, percent), "links")
     labels = connected_components(links)
 
-    split = lists.join(labels, lists.rep == labels.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = split.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
-    mixed = materialize(split.join(mixed, "token"), "mixed")
-    cross = mixed.select("token", F.col("rep").alias("a"), F.col("c").alias("ca")).join(mixed.select("token", F.col("rep").alias("b"), F.col("c").alias("cb")), "token")
-    cross = cross.where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    cross = materialize(_agreeing(cross, reps, matches), "cross")
-    more = cross.select(F.col("a").alias("rep")).union(cross.select("b")).distinct()
-    lacking = shingle_table(whole, more.join(sets, "rep", "left_anti"), width)
-    found = _confirmed(cross, sets.union(lacking), percent)
-    labels = connected_components(links.union(found))
+    held = long.join(labels, long.rep == labels.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = held.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
+    pool = held.join(mixed, "token", "left_semi").select("rep").distinct()
+    more = materialize(_confirmed(_possible(sets.join(pool, "rep", "left_semi"), labels, percent), sets, percent), "links")
+    labels = connected_components(links.union(more))
 
     named = classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = sigs.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
