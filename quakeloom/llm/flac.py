@@ -389,8 +389,9 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, bps: int, largest: int)
     return out[:, back].T, sizes, ends
 
 
-def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
-    """(samples, blocks of (first sample, samples, byte offset of the frame)) of each stream."""
+def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int, int, int]]]]:
+    """(samples, blocks) of each stream; a block is (first sample, samples, byte offset of its frame,
+    largest magnitude, sum of squares)."""
     infos = [Stream(x) for x in streams]
     data = np.frombuffer(b"".join(streams), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(x) for x in streams])])
@@ -427,7 +428,8 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int,
         if info.md5 != bytes(16) and hashlib.md5(raw.tobytes()).digest() != info.md5:
             raise ValueError("the samples do not match the stream's MD5")
         first = np.cumsum(n) - n
-        out.append((pcm, list(zip(first.tolist(), n.tolist(), starts.tolist(), strict=True))))
+        peak, energy = (f.reduceat(x, first) if len(n) else n for f, x in ((np.maximum, np.abs(pcm)), (np.add, pcm * pcm)))
+        out.append((pcm, list(zip(first.tolist(), n.tolist(), starts.tolist(), peak.tolist(), energy.tolist(), strict=True))))
     return out
 
 
@@ -469,12 +471,13 @@ def encode_column(rows: DataFrame, payload: str = "payload", media: str = "media
 
 def decode_column(rows: DataFrame, media: str = "media") -> DataFrame:
     """``rows`` with ``pcm`` (unsigned 8-bit samples of the stream in ``media``) and ``blocks``, which
-    seek into it: (first_sample, n_samples, frame_offset) of each frame. A null stream has null
-    samples. Columns of the input called pcm or blocks are replaced."""
+    seek into it: (first_sample, n_samples, frame_offset, peak, energy) of each frame. A null stream
+    has null samples. Columns of the input called pcm or blocks are replaced."""
     rows = rows.drop("pcm", "blocks")
     names = [f.name for f in rows.schema.fields]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("frame_offset", pa.int64())]))
+    fields = ("first_sample", "n_samples", "frame_offset", "peak", "energy")
+    kind = pa.list_(pa.struct([(k, pa.int64()) for k in fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -485,7 +488,7 @@ def decode_column(rows: DataFrame, media: str = "media") -> DataFrame:
                 blocks: list[list | None] = [None] * b.num_rows
                 for i, (samples, parts) in zip(full, decode([column[i] for i in full]), strict=True):
                     pcm[i] = (samples + 128).astype(np.uint8).tobytes()
-                    blocks[i] = [{"first_sample": x, "n_samples": y, "frame_offset": z} for x, y, z in parts]
+                    blocks[i] = [dict(zip(fields, x, strict=True)) for x in parts]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm, pa.binary()), pa.array(blocks, kind)], [*names, "pcm", "blocks"])
 
-    return rows.mapInArrow(run, f"{ddl}, pcm binary, blocks array<struct<first_sample:bigint,n_samples:bigint,frame_offset:bigint>>")
+    return rows.mapInArrow(run, f"{ddl}, pcm binary, blocks array<struct<{', '.join(f'{k}: bigint' for k in fields)}>>")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, linededup, minhash, packing, quality
+from ..plans.checkpointing import materialize
+from . import embeddings, flac, htmltext, langid, linededup, minhash, packing, quality, sampling, warczip
 
 #: Where the public tokenizers lie; their module gives the path of each file.
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,11 +27,39 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each whole text of ``documents``, sampled without replacement; each is
+    decoded again and compared with its text."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sampling.decode(sampling.sample_segmentations(docs, model, samples=2), model)
+    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
+
+
 def op2_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of ``embeddings`` at a cosine of 0.98."""
     return embeddings.near_duplicate_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as packaged WARC records and read back by ranges."""
+    packages = materialize(warczip.write_packages(table(spark, sf_dir, "pages")), "packages")
+    return warczip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of ``documents`` as FLAC streams, decoded again by blocks."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
+    padded = F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("int")
+    docs = docs.withColumn("payload", F.concat("payload", F.substring(F.unhex(F.lit("00" * 64)), 1, padded - F.col("n_bytes").cast("int"))))
+    rows = flac.decode_column(flac.encode_column(docs).select("doc_id", "n_bytes", "media"))
+    power = F.aggregate("blocks", F.lit(0).cast("long"), lambda total, x: total + x.energy)
+    peak = F.array_max(F.transform("blocks", lambda x: x.peak))
+    feature = F.format_string("blocks=%d;peak=%d;rms=%.4f", F.size("blocks"), peak, F.sqrt(power / F.octet_length("pcm")))
+    return rows.select("doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pcm, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on two-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -42,6 +71,11 @@ def op6_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of ``pages``."""
+    return htmltext.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def train_quality(docs: DataFrame, labels: DataFrame):
     """Word vectors from all documents and a network from the labels of the training folds."""
     return quality.train(docs, labels.where(fold("doc_id", 5) != 0))
@@ -74,6 +108,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_gumbel_segmentations": op1_gumbel_segmentations,
+    "op3_warc_zip": op3_warc_zip,
+    "op4_flac": op4_flac,
+    "op7_html_text": op7_html_text,
     "op2_hyperplane_dedup": op2_hyperplane_dedup,
     "op5_minhash_join": op5_minhash_join,
     "op6_bin_slack_packing": op6_bin_slack_packing,
@@ -82,6 +120,13 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_zip": r"""
+        with page as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        first as (select payload_digest, max(page_id) as keeper from page where payload_bytes >= 1000 group by payload_digest)
+        select page_id, payload_bytes, payload_digest,
+               case when keeper is not null and keeper <> page_id and payload_bytes >= 1000 then 'revisit' else 'response' end as record_type,
+               case when keeper is not null and keeper <> page_id and payload_bytes >= 1000 then keeper end as refers_to
+        from page left join first using (payload_digest)""",
     "op9_line_dedup": r"""
         with doc as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
         line as (select r, doc_id, unnest(parts) as line, unnest(range(1, len(parts) + 1)) as pos from doc),
