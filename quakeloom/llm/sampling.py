@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textops import BYTE_KEYS, mix64, slices, string_parts
 
-STEP_BYTES = 3 << 20
+STEP_BYTES = 3 << 19
 #: A byte of a character without a piece costs so much more than the rarest piece.
 BYTE_PENALTY = 3.0
 #: Pieces of merge rank r weigh (r + RANK_SHIFT) ** -1, as in a list of words by frequency.
@@ -104,83 +104,86 @@ class Hashes:
 
 @dataclass
 class Lattice:
-    """Edges of each position of the distinct words, in slots; a word of n bytes has n + 1 positions."""
+    """Edges of each position of the distinct words, in slots; a word of n bytes has n + 1 positions.
 
-    base: np.ndarray  # first position of each word
-    step: np.ndarray  # (positions, slots) bytes of an edge
+    Positions are numbered by the bytes that are left to their word's end, so that those whose sums
+    depend on earlier ones only lie side by side."""
+
+    number: np.ndarray  # of each byte position, words one after the other
+    base: np.ndarray  # first byte position of each word
+    target: np.ndarray  # (positions, slots) where an edge leads
     piece: np.ndarray  # (positions, slots) its piece
     share: np.ndarray  # (positions, slots) its probability given the position
-    total: np.ndarray  # (positions, slots) cumulative shares
-    others: np.ndarray  # (positions, slots) shares of all other edges, exact for small ones too
+    last: int  # positions before this number are word ends
 
     @classmethod
     def build(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> Lattice:
         sizes = ends - starts
         base = np.cumsum(sizes + 1) - (sizes + 1)
         count = int((sizes + 1).sum())
-        left = np.repeat(sizes, sizes + 1) - (np.arange(count) - np.repeat(base, sizes + 1))
-        source = np.repeat(starts, sizes + 1) + np.repeat(sizes, sizes + 1) - left
+        left = np.repeat((sizes + base).astype(np.int32), sizes + 1) - np.arange(count, dtype=np.int32)
+        order = np.argsort(left.astype(np.uint16) if count and left.max() < 1 << 16 else left, kind="stable").astype(np.int32)
+        number = np.empty(count, np.int32)
+        number[order] = np.arange(count, dtype=np.int32)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(left))]) if count else np.zeros(2, np.int64)
+        source = np.repeat((starts - base).astype(np.int32), sizes + 1) + np.arange(count, dtype=np.int32)
         hashes = Hashes(data)
-        where, what = [], []
         lead = data[np.minimum(source, max(len(data) - 1, 0))] if len(data) else np.zeros(count, np.uint8)
-        char = np.select([lead < 0x80, lead < 0xC0, lead < 0xE0, lead < 0xF0], [1, 0, 2, 3], 4)
+        char = _CHAR_SIZE[lead]
         char[left == 0] = 0
         orphan = char > 0  # characters without a piece of their own
-        alive = np.flatnonzero(left > 0)
+        alive = np.flatnonzero(left > 0).astype(np.int32)
+        edges, degree = [], np.zeros(count, np.int8)
         for length in vocabulary.lengths:
             alive = alive[left[alive] >= length]
-            found = vocabulary.find(hashes.span(source[alive], source[alive] + length))
+            if not len(alive):
+                break
+            at = source[alive]
+            found = vocabulary.find(hashes.span(at, at + length))
             hit = found >= 0
-            where.append(alive[hit])
-            what.append(found[hit])
-            one = where[-1][char[where[-1]] == length]
-            orphan[one] = False
+            where, found = alive[hit], found[hit]
+            edges.append((where, degree[where], length, found, vocabulary.weight[found].astype(np.float32)))
+            degree[where] += 1
+            orphan[where[char[where] == length]] = False
         spelled = np.flatnonzero(orphan)
-        reach = np.minimum(char[spelled], left[spelled])
+        reach = np.minimum(char[spelled], left[spelled]).astype(np.int64)
         spelled = np.repeat(spelled, reach) + np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
-        where.append(spelled)
-        what.append(vocabulary.byte_ids[data[source[spelled]]] if len(spelled) else np.zeros(0, np.int32))
-        at, piece = np.concatenate(where), np.concatenate(what).astype(np.int32)
-        spelling = np.zeros(len(at), bool)
-        spelling[len(at) - len(spelled) :] = True
-        order = np.argsort(at, kind="stable")
-        at, piece, spelling = at[order], piece[order], spelling[order]
-        degree = np.bincount(at, minlength=count)
-        slot = np.arange(len(at)) - np.repeat(np.cumsum(degree) - degree, degree)
+        edges.append((spelled, degree[spelled], 1, vocabulary.byte_ids[data[source[spelled]]] if len(spelled) else np.zeros(0, np.int32), np.full(len(spelled), vocabulary.byte_weight, np.float32)))
+        degree[spelled] += 1
         width = max(1, int(degree.max()) if count else 1)
-        step, pieces = np.zeros((count, width), np.int8), np.zeros((count, width), np.int32)
-        share = np.full((count, width), -np.inf, np.float32)
-        step[at, slot] = vocabulary.sizes[piece]
-        pieces[at, slot] = piece
-        share[at, slot] = np.where(spelling, vocabulary.byte_weight, vocabulary.weight[piece])
-        # backward sums, by how many bytes are left; every position shares its sum among its edges
-        sums = np.full(count, -np.inf, np.float32)
-        sums[left == 0] = 0.0
-        by_left = np.argsort(left.astype(np.uint16) if count and left.max() < 1 << 16 else left, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(left))]) if count else np.zeros(1, np.int64)
-        for n in range(1, len(bounds) - 1):
-            p = by_left[bounds[n] : bounds[n + 1]]
-            x = step[p].astype(np.int32)
-            x += p.astype(np.int32)[:, None]
-            x = sums[x]
-            x += share[p]
+        target, piece, share = np.zeros((count, width), np.int32), np.zeros((count, width), np.int32), np.full((count, width), -np.inf, np.float32)
+        for where, slot, length, what, weight in edges:
+            flat = number[where].astype(np.int64) * width + slot
+            target.reshape(-1)[flat] = number[where + length]
+            piece.reshape(-1)[flat] = what
+            share.reshape(-1)[flat] = weight
+        # backward sums; every position shares its sum among its edges
+        sums = np.zeros(count, np.float32)
+        for lo, hi in zip(bounds[1:-1], bounds[2:], strict=True):
+            x = share[lo:hi]
+            x += sums[target[lo:hi]]
             top = x.max(axis=1)
             dead = np.isneginf(top)
             top[dead] = 0.0
             x -= top[:, None]
             np.exp(x, out=x)
-            all_ = x.sum(axis=1)
-            all_[dead] = 1.0
-            x /= all_[:, None]
-            share[p] = x
-            sums[p] = np.where(dead, -np.inf, top + np.log(all_))
-        share[left == 0] = 0.0
-        total = np.cumsum(share, axis=1, dtype=np.float32)
-        others = np.cumsum(share[:, ::-1], axis=1, dtype=np.float32)[:, ::-1]
-        others[:, :-1] = others[:, 1:]
-        others[:, -1] = 0.0
-        others[:, 1:] += total[:, :-1]
-        return cls(base, step, pieces, share, total, others)
+            total = x.sum(axis=1)
+            total[dead] = 1.0
+            x /= total[:, None]
+            sums[lo:hi] = np.where(dead, -np.inf, top + np.log(total))
+        share[: bounds[1]] = 0.0
+        return cls(number, base, target, piece, share, int(bounds[1]))
+
+    def pick(self, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A slot of each row of shares, by a number from 0 to 1 each."""
+        slot, running, u = np.zeros(len(rows), np.int8), rows[:, 0].copy(), u * rows.sum(axis=1)
+        for j in range(1, rows.shape[1]):
+            slot += u >= running
+            running += rows[:, j]
+        return np.minimum(slot, np.maximum((rows > 0).cumsum(axis=1).argmax(axis=1), 0)) if (u >= running).any() else slot
+
+
+_CHAR_SIZE = np.select([np.arange(256) < 0x80, np.arange(256) < 0xC0, np.arange(256) < 0xE0, np.arange(256) < 0xF0], [1, 0, 2, 3], 4).astype(np.int8)
 
 
 def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -225,21 +228,20 @@ class Sampler:
     def fresh(self, words: np.ndarray, skip: np.ndarray, stream: int) -> tuple[np.ndarray, ...]:
         """Nodes, slots, places and words of a random path through each word from byte ``skip`` on."""
         x = self.lattice
-        node, end = x.base[self.kind[words]] + skip, x.base[self.kind[words]] + self.size[words]
-        place, live = self.at[words] + skip, np.arange(len(words))
+        node = x.number[x.base[self.kind[words]] + skip]
+        place, live = (self.at[words] + skip).astype(np.int64), np.arange(len(words), dtype=np.int32)
         out = []
-        open_ = node < end
-        node, end, place, live = node[open_], end[open_], place[open_], live[open_]
+        open_ = node >= x.last
+        node, place, live = node[open_], place[open_], live[open_]
         seed = self.seeds[self.doc[words[live]]]
         while len(live):
-            u = _uniform(seed, place + (stream << 48)).astype(np.float32)
-            total = x.total[node]
-            slot = (u[:, None] * total[:, -1:] >= total).sum(axis=1)
+            slot = x.pick(x.share[node], _uniform(seed, place + (stream << 48)).astype(np.float32))
             out.append((live, node, slot, place))
-            step = x.step[node, slot].astype(np.int64)
-            node, place = node + step, place + step
-            open_ = node < end
-            node, end, place, live, seed = node[open_], end[open_], place[open_], live[open_], seed[open_]
+            flat = node.astype(np.int64) * x.share.shape[1] + slot
+            place = place + self.vocabulary.sizes[x.piece.reshape(-1)[flat]]
+            node = x.target.reshape(-1)[flat]
+            open_ = node >= x.last
+            node, place, live, seed = node[open_], place[open_], live[open_], seed[open_]
         if not out:
             return tuple(np.zeros(0, np.int64) for _ in range(4))
         live, node, slot, place = (np.concatenate([o[k] for o in out]) for k in range(4))
@@ -272,8 +274,12 @@ class Sampler:
             owner = np.repeat(np.arange(len(docs)), np.diff(paths.first))
             index = np.arange(len(owner)) - paths.first[owner]
             ban = np.zeros(len(owner), np.int64) if not r else np.where(index == since[owner], banned[owner], 0)
-            ban |= np.int64(1) << paths.slot
-            rest = x.others[paths.node, paths.slot].astype(np.float64)
+            ban |= np.int64(1) << paths.slot.astype(np.int64)
+            rest = 1.0 - share  # of all other edges; small ones are added up
+            small = np.flatnonzero(rest < 1e-3)
+            rows = x.share[paths.node[small]]
+            rows[np.arange(len(rows)), paths.slot[small]] = 0.0
+            rest[small] = rows.sum(axis=1)
             if r:
                 again = np.flatnonzero(index == since[owner])
                 mask = (ban[again, None] >> np.arange(x.share.shape[1])) & 1
@@ -323,15 +329,13 @@ class Sampler:
                 break
             row_of, new_node, new_place, new_word = (np.concatenate(v) for v in (row_of, new_node, new_place, new_word))
             allowed = x.share[new_node] * (((banned[row_of, None] >> np.arange(x.share.shape[1])) & 1) == 0)
-            running = np.cumsum(allowed, axis=1)
             u = _uniform(self.seeds[docs[row_of]], new_place + ((r + 2) << 48) + (1 << 62)).astype(np.float32)
-            new_slot = (u[:, None] * running[:, -1:] >= running).sum(axis=1)
-            new_slot = np.minimum(new_slot, x.share.shape[1] - 1)
+            new_slot = x.pick(allowed, u)
             parts.append((row_of, new_node, new_slot, new_place, new_word))
             # the rest of the word, and the words after it
             skip = np.zeros(len(self.doc), np.int64)
             begin = new_word
-            skip[begin] = new_place - self.at[begin] + x.step[new_node, new_slot]
+            skip[begin] = new_place - self.at[begin] + self.vocabulary.sizes[x.piece[new_node, new_slot]]
             size = self.words[docs[row_of] + 1] - begin
             todo = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             node, slot, place, word = self.fresh(todo, skip[todo], r + 2)
