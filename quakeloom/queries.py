@@ -1,6 +1,495 @@
-"""Queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
+"""Queries over the driver's tables, with DuckDB SQL for each that SQL can express.
+
+The tables hold no earthquakes, so ``events`` is read as a catalog (see ``sources.adapter``).
+Floats are rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.stats import magnitude_bin
+from .operators import catalog as cat
+from .operators import fitting, forecasting, grid, linkage, magnitudes, scoring, seismicity
+from .plans.graph import connected_components
+from .sources.adapter import ORACLE as EV
+from .sources.adapter import catalog, second_source
+
+AS_OF = "2024-01-15 00:00:00"
+ORIGIN = "2024-01-01 00:00:00"
+GRID = (-60.0, -15.0, -82.0, -62.0, 1.0)
+ETAS = forecasting.Etas()
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its DuckDB form; {ev} is the catalog view."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.replace("{ev}", EV).replace("{as_of}", AS_OF).replace("{origin}", ORIGIN)
+        return f
+
+    return add
+
+
+def at(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r6(f"`{k}`").alias(k) if t == "double" else F.col(f"`{k}`") for k, t in df.dtypes))
+
+
+def sample(spark: SparkSession, sf_dir: str, least: float = 4.5) -> DataFrame:
+    """Located events at or above a magnitude, with days since the origin."""
+    ev = catalog(spark, sf_dir).where(F.col("magnitude") >= least)
+    return ev.withColumn("t_days", seismicity.days_since(F.col("event_time"), at(ORIGIN)))
+
+
+# --- bitemporal reads ---------------------------------------------------------------------------
+
+LATEST = "latest as (select * from (select *, row_number() over (partition by source_event_key order by available_at desc, event_id desc) as rk from ev where available_at <= timestamp '{as_of}') where rk = 1)"
+PRIORITY = "case source_id when 'purchase' then 0 when 'signup' then 1 when 'view' then 2 else 100 end"
+PRIORITIES = {"purchase": 0, "signup": 1, "view": 2}
+PREFERRED = "preferred as (select * from (select *, row_number() over (partition by source_event_key // 4 order by " + PRIORITY + ", available_at desc, event_id desc) as rk2 from latest) where rk2 = 1)"
+
+
+def preferred_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = cat.as_of(catalog(spark, sf_dir), at(AS_OF)).withColumn("canonical", F.expr("source_event_key div 4"))
+    return cat.preferred(latest, "canonical", cat.source_priority(F.col("source_id"), PRIORITIES))
+
+
+@query(f"with ev as ({{ev}}), {LATEST}, {PREFERRED}, m as (select round(round_even(magnitude / 0.1, 0) * 0.1, 10) as m from preferred where magnitude is not null), s as (select * from m where m >= 3.5 - 1e-9), g as (select count(*) as n, avg(m) as mean, var_samp(m) as v from s) select n, round(log10(2.718281828459045) / (mean - 3.45), 6) as b, round(2.30 * power(log10(2.718281828459045) / (mean - 3.45), 2) * sqrt(v / n), 6) as b_error, round(log10(n) + log10(2.718281828459045) / (mean - 3.45) * 3.5, 6) as a from g")
+def as_of_b_value(spark, sf_dir):
+    """As of a time: latest revisions, preferred source, binned magnitudes, b and its error."""
+    return rounded(magnitudes.b_value(preferred_events(spark, sf_dir), [], 3.5).select("n", "b", "b_error", "a"))
+
+
+@query(f"with ev as ({{ev}}), {LATEST} select source_event_key, event_id, available_at, round(magnitude, 6) as magnitude from latest")
+def as_of_latest(spark, sf_dir):
+    return cat.as_of(catalog(spark, sf_dir), at(AS_OF)).select("source_event_key", "event_id", "available_at", r6("magnitude").alias("magnitude"))
+
+
+@query(f"with ev as ({{ev}}), {LATEST}, {PREFERRED} select source_event_key // 4 as canonical, event_id, source_id from preferred")
+def as_of_preferred(spark, sf_dir):
+    return preferred_events(spark, sf_dir).select("canonical", "event_id", "source_id")
+
+
+@query(f"with ev as ({{ev}}), {LATEST} select event_id, event_time, round(magnitude, 6) as magnitude from latest where event_time >= timestamp '2024-01-03 00:00:00' and event_time < timestamp '2024-01-12 00:00:00' and magnitude >= 3.5 and latitude between -50 and -20 and longitude between -80 and -65 order by event_time desc, event_id desc limit 100 offset 20")
+def event_page(spark, sf_dir):
+    """One page of the newest events: filters sit above the window, so an older revision never shows."""
+    latest = cat.as_of(catalog(spark, sf_dir), at(AS_OF))
+    chosen = cat.select_events(latest, at("2024-01-03 00:00:00"), at("2024-01-12 00:00:00"), 3.5, None, (-50, -20, -80, -65))
+    return cat.page(chosen, 100, 20).select("event_id", "event_time", r6("magnitude").alias("magnitude"))
+
+
+@query("with ev as ({ev}) select source_event_key, event_id from (select event_id as source_event_key, event_id, event_time as valid_from, case when event_id % 5 <> 0 then event_time + to_days((event_id % 9)::int) end as valid_until from ev) where valid_from <= timestamp '{as_of}' and (valid_until is null or timestamp '{as_of}' < valid_until)")
+def membership_valid_at(spark, sf_dir):
+    m = catalog(spark, sf_dir).select(F.col("event_id").alias("source_event_key"), "event_id", F.col("event_time").alias("valid_from"), F.expr("case when event_id % 5 <> 0 then event_time + make_dt_interval(cast(event_id % 9 as int)) end").alias("valid_until"))
+    return cat.valid_at(m, at(AS_OF)).select("source_event_key", "event_id")
+
+
+# --- summaries, quality, ledgers ----------------------------------------------------------------
+
+
+@query("with ev as ({ev}) select count(*) as events, count(magnitude) as with_magnitude, round(min(magnitude), 6) as least, round(max(magnitude), 6) as most, min(event_time) as first, max(event_time) as last from ev")
+def catalog_summary(spark, sf_dir):
+    return rounded(cat.summary(catalog(spark, sf_dir)))
+
+
+@query("with ev as ({ev}) select case when magnitude is null then null else magnitude_type end as magnitude_type, count(*) as n from ev group by 1")
+def magnitude_type_counts(spark, sf_dir):
+    kind = F.when(F.col("magnitude").isNotNull(), F.col("magnitude_type"))
+    return catalog(spark, sf_dir).groupBy(kind.alias("magnitude_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+
+
+@query("with ev as ({ev}) select event_id, round(magnitude, 6) as magnitude from ev where magnitude is not null order by ev.magnitude desc, event_id limit 10")
+def top_magnitudes(spark, sf_dir):
+    return catalog(spark, sf_dir).where("magnitude is not null").orderBy(F.desc("magnitude"), "event_id").limit(10).select("event_id", r6("magnitude").alias("magnitude"))
+
+
+@query("with ev as ({ev}), q as (select case when depth_km is null then 'missing_depth' end as flag from ev union all select case when depth_km < -10 or depth_km > 800 then 'implausible_depth' end from ev union all select case when magnitude is null then 'missing_magnitude' end from ev union all select case when magnitude_type not in ('m','mb','md','ml','mlv','ms','mw','mwb','mwc','mwr','mww') then 'unknown_magnitude_type' end from ev union all select 'location_uncertainty_unknown' from ev union all select 'magnitude_uncertainty_unknown' from ev) select flag, count(*) as n from q where flag is not null group by flag")
+def quality_flags(spark, sf_dir):
+    return cat.quality_issues(catalog(spark, sf_dir)).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("with ev as ({ev}), run as (select source_id, event_id, event_time from ev where source_id <> 'click'), last as (select source_id, max(event_time) as started, max_by(event_id, (event_time, event_id)) as run_id from run group by source_id) select s.source_id, coalesce(last.run_id, -1) as run_id, last.started from (select distinct source_id from ev) s left join last using (source_id)")
+def source_status(spark, sf_dir):
+    ev = catalog(spark, sf_dir)
+    last = ev.where("source_id <> 'click'").groupBy("source_id").agg(F.max_by("event_id", F.struct("event_time", "event_id")).alias("run_id"), F.max("event_time").alias("started"))
+    return ev.select("source_id").distinct().join(last, "source_id", "left").withColumn("run_id", F.coalesce("run_id", F.lit(-1)))
+
+
+@query("with ev as ({ev}) select source_id, count(*) as n from ev where event_id not in (select event_id from ev where event_id % 3 = 0) group by source_id")
+def unclassified_events(spark, sf_dir):
+    ev = catalog(spark, sf_dir)
+    return ev.join(ev.where("event_id % 3 = 0").select("event_id"), "event_id", "left_anti").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query("with ev as ({ev}) select count(*) as n, sum(event_id)::bigint as id_sum from ev a where exists (select 1 from ev b where b.source_event_key = a.source_event_key and b.source_id = 'signup')")
+def already_represented(spark, sf_dir):
+    ev = catalog(spark, sf_dir)
+    signup = ev.where("source_id = 'signup'").select("source_event_key")
+    return ev.join(signup, "source_event_key", "left_semi").agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+@query("with held as (select s_suppkey as k, s_nationkey as v from supplier), new as (select c_custkey as k, c_nationkey as v from customer where c_custkey % 4 = 0) select coalesce(n.k, h.k) as k, case when n.k is not null then n.v else h.v end as v from held h full join new n on h.k = n.k")
+def registry_upsert(spark, sf_dir):
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    held = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("v"))
+    return cat.upsert(held, t("customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v")), ["k"])
+
+
+@query("select min(event_id) as event_id, user_id, event_type from events where event_id % 2 = 1 and (user_id, event_type) not in (select (user_id, event_type) from events where event_id % 2 = 0) group by user_id, event_type")
+def appended_if_absent(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    new = e.where("event_id % 2 = 1").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return cat.append_if_absent(new, e.where("event_id % 2 = 0"), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
+
+
+@query(f"with ev as ({{ev}}), {LATEST} select source_id, count(*) as revisions, sha256('{{as_of}}|' || string_agg(event_id::varchar, ',' order by event_id)) as digest from latest group by source_id")
+def dataset_manifest(spark, sf_dir):
+    return cat.manifest(cat.as_of(catalog(spark, sf_dir), at(AS_OF)), AS_OF)
+
+
+@query("with f as (select event_id, ts as issued, ts + interval 1 hour as start, ts + (event_id % 5) * interval 1 day as stop from events), s as (select case when issued is null then 'missing' when issued > timestamp '{as_of}' then 'future_issuance' when not (start <= timestamp '{as_of}' and timestamp '{as_of}' < stop) then 'expired' when epoch(timestamp '{as_of}' - issued) > 2 * 86400 then 'stale' else 'fresh' end as state from f) select state, count(*) as n from s group by state")
+def forecast_freshness(spark, sf_dir):
+    f = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "ts as issued", "ts + make_dt_interval(0, 1) as start", "ts + make_dt_interval(cast(event_id % 5 as int)) as stop")
+    state = cat.freshness(F.col("issued"), F.col("start"), F.col("stop"), at(AS_OF), 86400.0)
+    return f.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+# --- linkage ------------------------------------------------------------------------------------
+
+
+@query("with ev as ({ev}), o as (select event_id as other_id, event_time + to_seconds(event_id % 90) as event_time, latitude + 0.01::double * (event_id % 30) as latitude, longitude, depth_km, magnitude + 0.1::double * (event_id % 5) as magnitude from ev where event_id % 2 = 0), p as (select a.event_id, b.other_id, abs(epoch_us(a.event_time) - epoch_us(b.event_time)) / 1e6 as dt, 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * power(sin((radians(b.longitude) - radians(a.longitude)) / 2), 2)))) as km, abs(a.magnitude - b.magnitude) as dm, abs(a.depth_km - b.depth_km) as dz from ev a join o b on b.event_time between a.event_time - interval 5 minute and a.event_time + interval 5 minute), s as (select event_id, other_id, exp(-0.5 * (power(dt / 30, 2) + 2 * power(km / 30, 2) + coalesce(power(dm / 0.5, 2), 0) + coalesce(power(dz / 40, 2), 0))) as p from p) select event_id, other_id, round(p, 6) as probability, case when p >= 0.95 then 'auto_match' when p >= 0.5 then 'candidate' else 'distinct' end as decision from s")
+def linkage_candidates(spark, sf_dir):
+    return rounded(linkage.link_candidates(catalog(spark, sf_dir), second_source(spark, sf_dir)))
+
+
+@query()
+def canonical_links(spark, sf_dir):
+    """Greedy linkage of both sources' observations; see the tests for its sequential check."""
+    own = catalog(spark, sf_dir).select("event_id", F.lit("first").alias("source_id"), "event_time", "available_at", "latitude", "longitude", "magnitude", "depth_km")
+    other = second_source(spark, sf_dir).select((-F.col("other_id") - 1).alias("event_id"), F.lit("second").alias("source_id"), "event_time", F.expr("event_time + make_dt_interval(0, 0, 10, 0)").alias("available_at"), "latitude", "longitude", "magnitude", "depth_km")
+    return linkage.canonical_events(own.union(other))
+
+
+# --- frequency and magnitude --------------------------------------------------------------------
+
+BINNED = "m as (select magnitude_type, round_even(magnitude / 0.1, 0)::int as k from ev where magnitude is not null), h as (select magnitude_type, k, count(*) as n from m group by 1, 2), axis as (select magnitude_type, unnest(range(min(k), max(k) + 1))::int as k from h group by 1), f as (select magnitude_type, k, coalesce(n, 0)::bigint as n, round(k * 0.1::double, 10) as bin, sum(coalesce(n, 0)) over (partition by magnitude_type order by k desc rows unbounded preceding)::bigint as n_above from axis left join h using (magnitude_type, k))"
+
+
+@query(f"with ev as ({{ev}}), {BINNED} select magnitude_type, bin, n, n_above from f")
+def magnitude_histogram(spark, sf_dir):
+    return magnitudes.histogram(catalog(spark, sf_dir), ["magnitude_type"]).select("magnitude_type", "bin", "n", "n_above")
+
+
+@query(f"with ev as ({{ev}}), {BINNED}, g as (select magnitude_type, sum(n)::bigint as events, max_by(bin, (n, -k)) as mode from f where n > 0 group by 1) select magnitude_type, events, case when events >= 200 then 'supported' when events >= 100 then 'high_uncertainty' when events >= 50 then 'research_only' else 'not_estimable' end as support, case when events >= 50 then round(mode + 0.2, 6) end as mc from g")
+def mc_maximum_curvature(spark, sf_dir):
+    return rounded(magnitudes.mc_maximum_curvature(catalog(spark, sf_dir), ["magnitude_type"]))
+
+
+@query(f"with ev as ({{ev}}), {BINNED}, c as (select *, sum(n * bin) over (partition by magnitude_type order by k desc rows unbounded preceding) / n_above as mean, max(k) over (partition by magnitude_type) as top, sum(n) over (partition by magnitude_type)::bigint as events from f), d as (select *, log10(2.718281828459045) / (mean - (bin - 0.05)) as b from c where n_above >= 10 and top - k + 1 >= 10 and mean > bin - 0.05), x as (select d.magnitude_type, d.k as k0, d.bin as bin0, d.events, 100 * (1 - sum(abs(f.n_above - d.n_above * power(10.0::double, -d.b * (f.bin - d.bin)))) / sum(f.n_above)) as fit from d join f on d.magnitude_type = f.magnitude_type and f.k >= d.k group by all), y as (select magnitude_type, max(events) as events, min(case when fit >= 95 then bin0 end) as m95, min(case when fit >= 90 then bin0 end) as m90 from x group by 1) select magnitude_type, events, round(case when events >= 50 then coalesce(m95, m90) end, 6) as mc, case when m95 is not null then 95 when m90 is not null then 90 end as confidence from y")
+def mc_goodness_of_fit(spark, sf_dir):
+    return rounded(magnitudes.mc_goodness_of_fit(catalog(spark, sf_dir), ["magnitude_type"]))
+
+
+B_SQL = "g as (select {keys}, mc, count(*) as n, avg(m) as mean, var_samp(m) as v, max(m) - max(mc) as span from s where m >= mc - 1e-9 group by all), b as (select *, case when n >= 50 and mean > mc - 0.05 then log10(2.718281828459045) / (mean - (mc - 0.05)) end as b from g) select {keys}, round(mc, 6) as mc, n, round(b, 6) as b, round(2.30 * b * b * sqrt(v / n), 6) as b_error, round(log10(n) + b * mc, 6) as a, span < 1.5 as limited_range, case when b is not null then not (b between 0.5 and 1.5) end as unusual from b"
+
+
+@query("with ev as ({ev}), s as (select magnitude_type, round(round_even(magnitude / 0.1, 0) * 0.1, 10) as m, 3.5::double as mc from ev where magnitude is not null), " + B_SQL.replace("{keys}", "magnitude_type"))
+def b_value_by_type(spark, sf_dir):
+    return rounded(magnitudes.b_value(catalog(spark, sf_dir), ["magnitude_type"], 3.5))
+
+
+@query("with ev as ({ev}), s as (select threshold, round(round_even(magnitude / 0.1, 0) * 0.1, 10) as m, round(round_even(threshold / 0.1, 0) * 0.1, 10) as mc from ev, (select unnest([3.0, 3.2, 3.4, 3.6, 3.8, 4.0, 4.2, 4.4, 4.6, 4.8])::double as threshold) where magnitude is not null), " + B_SQL.replace("{keys}", "threshold"))
+def b_value_sweep(spark, sf_dir):
+    return rounded(magnitudes.b_value_sweep(catalog(spark, sf_dir), [], [3.0, 3.2, 3.4, 3.6, 3.8, 4.0, 4.2, 4.4, 4.6, 4.8]))
+
+
+@query()
+def mc_entire_range(spark, sf_dir):
+    """Roll-off and exponential law with a bootstrap interval (recovery is tested)."""
+    return rounded(fitting.entire_range(magnitudes.histogram(catalog(spark, sf_dir), []).select("bin", "n"), resamples=40))
+
+
+# --- grid, places, tectonics --------------------------------------------------------------------
+
+HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1.0, power(sin((radians({b1}) - radians({a1})) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * power(sin((radians({b2}) - radians({a2})) / 2), 2))))"
+CELLS = "cell as (select 'grid:r' || lpad((i // 20)::varchar, 4, '0') || ':c' || lpad((i % 20)::varchar, 4, '0') as cell_id, -60::double + (i // 20) + 0.5 as latitude, -82::double + (i % 20) + 0.5 as longitude, power(6371.0088::double, 2) * radians(1::double) * abs(sin(radians(-59::double + i // 20)) - sin(radians(-60::double + i // 20))) as area_km2 from range(900) t(i))"
+
+
+@query(f"with {CELLS}, ev as ({{ev}}), n as (select 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from ev where floor(latitude + 60 + 1e-9) between 0 and 44 and floor(longitude + 82 + 1e-9) between 0 and 19 group by 1) select cell_id, round(latitude, 6) as latitude, round(longitude, 6) as longitude, round(area_km2, 4) as area_km2, coalesce(n, 0)::bigint as n from cell left join n using (cell_id)")
+def cell_counts(spark, sf_dir):
+    """All cells of the grid with their events, empty ones too."""
+    where = grid.point_to_cell(F.col("latitude"), F.col("longitude"), *GRID)
+    n = catalog(spark, sf_dir).groupBy(where.alias("cell_id")).agg(F.count("*").alias("n")).where("cell_id is not null")
+    out = grid.cells(spark, *GRID).join(n, "cell_id", "left")
+    return out.select("cell_id", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"), F.round("area_km2", 4).alias("area_km2"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("with ev as ({ev}), bin(bin, lower, upper) as (values (0, 3.0, 4.0), (1, 4.0, 5.0), (2, 5.0, 6.0), (3, 6.0, 7.0), (4, 7.0, null)) select bin, count(*) as n from ev join bin on magnitude >= lower and (upper is null or magnitude < upper) group by bin")
+def magnitude_bin_counts(spark, sf_dir):
+    return grid.assign_bins(catalog(spark, sf_dir)).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("with ev as ({ev}), place(place_id, plat, plon) as (values " + ", ".join(f"('{i}', {a}::double, {b}::double)" for i, _, a, b in grid.PLACES) + "), c as (select latitude, longitude, 0.001::double * (event_id % 100) as expected from ev), h as (select place_id, count(*) as cells, sum(expected) as expected from c join place on 2 * 6371.0 * asin(sqrt(least(1.0, power(sin((radians(latitude) - radians(plat)) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * power(sin((radians(longitude) - radians(plon)) / 2), 2)))) <= 40 group by 1) select place_id, coalesce(cells, 0)::bigint as cells, round(expected, 6) as expected, round(case when expected <= 0 then 0 when expected > 50 then 1 else 1 - exp(-expected) end, 6) as probability from place left join h using (place_id)")
+def place_readout(spark, sf_dir):
+    rates = catalog(spark, sf_dir).select("latitude", "longitude", F.expr("0.001D * (event_id % 100)").alias("expected"))
+    return rounded(grid.place_readout(rates))
+
+
+NODES = "node as (select round_even(latitude, 0)::int as lat_index, round_even(longitude, 0)::int as lon_index, avg(depth_km) as depth_km, case when count(depth_km) % 7 <> 0 then avg(event_id % 90) end as dip, ((sum(event_id) * 13) % 360)::double as strike from ev where depth_km is not null group by 1, 2)"
+
+
+def slab_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of mean depths on whole degrees, with dips missing here and there."""
+    lat, lon = grid.lattice_key(F.col("latitude"), F.col("longitude"), 1.0)
+    ev = catalog(spark, sf_dir).where("depth_km is not null")
+    return ev.groupBy(lat.alias("lat_index"), lon.alias("lon_index")).agg(F.avg("depth_km").alias("depth_km"), F.expr("case when count(depth_km) % 7 <> 0 then avg(event_id % 90) end").alias("dip"), F.expr("cast((sum(event_id) * 13) % 360 as double)").alias("strike"))
+
+
+SAMPLES = "pt as (select event_id as point_id, latitude, longitude from ev), corner as (select point_id, unnest(case when abs(latitude - round_even(latitude, 0)) < 1e-9 then [struct_pack(k := round_even(latitude, 0)::int, w := 1::double)] else [struct_pack(k := floor(latitude)::int, w := 1 - (latitude - floor(latitude))), struct_pack(k := floor(latitude)::int + 1, w := latitude - floor(latitude))] end) as a, case when abs(longitude - round_even(longitude, 0)) < 1e-9 then [struct_pack(k := round_even(longitude, 0)::int, w := 1::double)] else [struct_pack(k := floor(longitude)::int, w := 1 - (longitude - floor(longitude))), struct_pack(k := floor(longitude)::int + 1, w := longitude - floor(longitude))] end as bs from pt), flat as (select point_id, a, unnest(bs) as b from corner), spread as (select point_id, a.k as lat_index, b.k as lon_index, a.w * b.w as w from flat), need as (select point_id, count(*) as need from spread group by 1), got as (select point_id, count(*) as corners, sum(w * depth_km) as depth_km, case when count(dip) = count(*) then sum(w * dip) end as dip, sum(w * cos(radians(strike))) as x, sum(w * sin(radians(strike))) as y from spread join node using (lat_index, lon_index) group by 1), slab as (select got.*, case when sqrt(x * x + y * y) > 1e-12 then (degrees(atan2(y, x)) + 360) % 360 end as strike from got join need using (point_id) where corners = need)"
+
+
+@query(f"with ev as ({{ev}}), {NODES}, {SAMPLES} select point_id, corners, round(depth_km, 5) as depth_km, round(dip, 5) as dip, round(strike, 4) as strike from slab")
+def slab_samples(spark, sf_dir):
+    points = catalog(spark, sf_dir).select(F.col("event_id").alias("point_id"), "latitude", "longitude")
+    s = grid.bilinear_sample(points, slab_nodes(spark, sf_dir), 1.0)
+    return s.select("point_id", "corners", F.round("depth_km", 5).alias("depth_km"), F.round("dip", 5).alias("dip"), F.round("strike", 4).alias("strike"))
+
+
+@query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e join seg on floor(latitude / 5) between floor(least(lat1, lat2) / 5) - 1 and floor(greatest(lat1, lat2) / 5) + 1 and floor(longitude / 5) between floor(least(lon1, lon2) / 5) - 1 and floor(greatest(lon1, lon2) / 5) + 1), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
+def nearest_traces(spark, sf_dir):
+    ev = catalog(spark, sf_dir)
+    segments = ev.where("event_id % 500 = 7").selectExpr("event_id as trace_id", "latitude as lat1", "longitude as lon1", "latitude + 1 + (event_id % 3) * 0.5D as lat2", "longitude + (event_id % 5) * 0.3D - 0.6D as lon2")
+    return grid.nearest_trace(ev.select(F.col("event_id").alias("point_id"), "latitude", "longitude"), segments).select("point_id", F.round("km", 5).alias("km"))
+
+
+ERF = "sign({x}) * 1.1283791670955126 * exp(-power(least(abs({x}), 5), 2)) * list_reduce(list_prepend(struct_pack(t := least(abs({x}), 5), s := least(abs({x}), 5)), list_transform(range(1, 91), lambda n: struct_pack(t := n::double, s := 0::double))), lambda a, n: struct_pack(t := a.t * 2 * power(least(abs({x}), 5), 2) / (2 * n.t + 1), s := a.s + a.t * 2 * power(least(abs({x}), 5), 2) / (2 * n.t + 1))).s"
+
+
+@query(f"with ev as ({{ev}}), {NODES}, {SAMPLES}, e as (select event_id, ev.depth_km, slab.depth_km as slab_depth, sqrt(325::double) as s from ev left join slab on point_id = event_id), z as (select event_id, unnest([(-10 - (depth_km - slab_depth)) / (s * sqrt(2)), (10 - (depth_km - slab_depth)) / (s * sqrt(2)), (60 - (depth_km - slab_depth)) / (s * sqrt(2)), (50 - depth_km) / (15 * sqrt(2))]) as x, unnest(['a', 'h', 't', 'g']) as part, depth_km, slab_depth from e), c as (select event_id, max(case when part = 'a' then v end) as a, max(case when part = 'h' then v end) as h, max(case when part = 't' then v end) as t, max(case when part = 'g' then v end) as g, max(depth_km) as depth_km, max(slab_depth) as slab_depth from (select *, 0.5 * (1 + {ERF.replace('{x}', 'x')}) as v from z) group by 1), p as (select event_id, depth_km is null or slab_depth is null as none, greatest(0, h - a) as i, greatest(0, t - h) as s, a * g as c, a * (1 - g) + 1 - t as u from c), m as (select event_id, case when none then 0 else i / (i + s + c + u) end as i, case when none then 0 else s / (i + s + c + u) end as s, case when none then 0 else c / (i + s + c + u) end as c, case when none then 1 else u / (i + s + c + u) end as u from p) select event_id, round(i, 6) as interface, round(s, 6) as intraslab, round(c, 6) as crustal, round(u, 6) as unknown, case when greatest(i, s, c, u) < 0.6 then 'unknown' when i >= 0.6 then 'interface' when s >= 0.6 then 'intraslab' when c >= 0.6 then 'crustal' else 'unknown' end as label from m")
+def tectonic_classes(spark, sf_dir):
+    ev = catalog(spark, sf_dir)
+    points = ev.select(F.col("event_id").alias("point_id"), "latitude", "longitude")
+    slab = grid.bilinear_sample(points, slab_nodes(spark, sf_dir), 1.0).select(F.col("point_id").alias("event_id"), F.col("depth_km").alias("slab_depth"))
+    out = grid.classify(ev.select("event_id", "depth_km").join(slab, "event_id", "left"))
+    return rounded(out.select("event_id", "interface", "intraslab", "crustal", "unknown", "label"))
+
+
+# --- declustering, rates, triggering ------------------------------------------------------------
+
+SMALL = "s as (select *, (epoch_us(event_time) - epoch_us(timestamp '{origin}')) / 8.64e10 as t_days from ev where magnitude >= 4.5)"
+PARENTS = "eta as (select c.event_id, p.event_id as parent_id, p.event_time as pt, greatest((epoch_us(c.event_time) - epoch_us(p.event_time)) / 1e6 / 86400, 1.0 / 86400) * power(greatest(" + HAVERSINE.format(a1="c.latitude", a2="c.longitude", b1="p.latitude", b2="p.longitude") + ", 1e-3), 1.6) * power(10.0::double, -p.magnitude) as eta from s c join s p on (p.event_time, p.event_id) < (c.event_time, c.event_id)), parent as (select event_id, min_by(parent_id, (eta, pt, parent_id)) as parent_id, log10(min(eta)) as log_eta from eta group by 1)"
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {PARENTS} select event_id, parent_id, round(log_eta, 6) as log_eta from parent")
+def nearest_parents(spark, sf_dir):
+    return rounded(seismicity.nearest_parents(sample(spark, sf_dir)))
+
+
+@query()
+def declustered(spark, sf_dir):
+    """Background and triggered events by a two-component mixture fitted on the cluster."""
+    return rounded(seismicity.decluster(sample(spark, sf_dir)))
+
+
+@query(f"with recursive ev as ({{ev}}), {SMALL}, {PARENTS}, link as (select s.event_id, parent_id, coalesce(log_eta >= 0.5, true) as free from s left join parent using (event_id)), up as (select event_id, event_id as root, free, parent_id from link union all select up.event_id, l.event_id, l.free, l.parent_id from up join link l on l.event_id = up.parent_id where not up.free) select event_id, root as root_id from up where free")
+def family_roots(spark, sf_dir):
+    s = sample(spark, sf_dir)
+    links = s.select("event_id").join(seismicity.nearest_parents(s), "event_id", "left").withColumn("is_background", F.coalesce(F.col("log_eta") >= 0.5, F.lit(True)))
+    return seismicity.family_roots(links).select("event_id", "root_id")
+
+
+WIDTHS = "near as (select a.event_id, " + HAVERSINE.format(a1="a.latitude", a2="a.longitude", b1="b.latitude", b2="b.longitude") + " as km from s a join s b on a.event_id <> b.event_id), width as (select event_id, greatest(1.0, list_sort(list(km))[least(5, count(*))]) as h from near group by 1)"
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {WIDTHS} select event_id, round(h, 6) as bandwidth_km from width")
+def kernel_bandwidths(spark, sf_dir):
+    return rounded(seismicity.bandwidths(sample(spark, sf_dir)).select("event_id", "bandwidth_km"))
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {WIDTHS}, {CELLS} select cell_id, round(sum(exp(-0.5 * power(km / h, 2)) / (2 * pi() * h * h)) * any_value(area_km2) / (30 / 365.25), 6) as rate_per_year from (select cell_id, area_km2, h, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="s.latitude", b2="s.longitude") + " as km from cell, s join width using (event_id)) group by cell_id")
+def background_rates(spark, sf_dir):
+    kernels = seismicity.bandwidths(sample(spark, sf_dir))
+    return rounded(seismicity.background_rates(grid.cells(spark, *GRID), kernels, 30.0).select("cell_id", "rate_per_year"))
+
+
+@query(f"with ev as ({{ev}}), {SMALL} select a.event_id, round(0.5 + coalesce(sum(0.05 * exp(b.magnitude - 4.5) * power(a.t_days - b.t_days + 0.1, -1.2)), 0), 6) as intensity from s a left join s b on b.t_days < a.t_days group by a.event_id")
+def etas_intensities(spark, sf_dir):
+    return rounded(seismicity.intensities(sample(spark, sf_dir), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, 4.5))
+
+
+OMORI = "((power({x} + 0.1, -0.2::double) - power(0.1::double, -0.2::double)) / -0.2)"
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, w as (select w, 28::double - w as start, 29::double - w as stop from range(0, 28) t(w)), e as (select w.w, coalesce(sum(0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')})), 0) as fed from w left join s on t_days < start group by 1) select w, round(0.5 + fed, 6) as expected from e")
+def expected_counts(spark, sf_dir):
+    windows = spark.range(28).select(F.col("id").alias("w"), (F.lit(28.0) - F.col("id")).alias("start"), (F.lit(29.0) - F.col("id")).alias("stop"))
+    out = seismicity.expected_counts(windows, sample(spark, sf_dir), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, 4.5)
+    return rounded(out.select("w", "expected"))
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, f as (select min(t_days) as first from s), w as (select w, 28::double - w * 0.5::double as start, 28.5::double - w * 0.5::double as stop from f, range(0, 200) t(w) where w = 0 or 28 - w * 0.5 >= first), x as (select w.w, 0.25 + coalesce(sum(case when t_days < start then 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='greatest(stop - t_days, 0)')} - {OMORI.format(x='greatest(start - t_days, 0)')}) end), 0) as expected, count(case when t_days >= start and t_days < stop then 1 end) as observed from w left join s on t_days < stop group by 1), d as (select *, case when observed <= expected then 0 else 2 * (observed * ln(observed / expected) - (observed - expected)) end as dev from x) select max(case when w = 0 then observed end) as observed, round(max(case when w = 0 then expected end), 6) as expected, round(max(case when w = 0 then dev end), 6) as deviance, count(case when w > 0 then 1 end) as windows, round(case when count(case when w > 0 then 1 end) >= 30 then 100.0 * sum(case when w > 0 and dev <= (select dev from d where w = 0) then 1 else 0 end) / count(case when w > 0 then 1 end) end, 6) as score from d")
+def anomaly_index(spark, sf_dir):
+    return rounded(seismicity.anomaly_index(sample(spark, sf_dir), 28.5, ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, 4.5, window_days=0.5))
+
+
+@query()
+def omori_families(spark, sf_dir):
+    """Aftershock decay of every user's events since that user's first one."""
+    s = sample(spark, sf_dir, 3.0)
+    from pyspark.sql import Window
+
+    users = catalog(spark, sf_dir).select("event_id", F.pmod("event_id", F.lit(37)).alias("family"))
+    t = s.join(users, "event_id").withColumn("t_days", F.col("t_days") - F.min("t_days").over(Window.partitionBy("family")))
+    return rounded(fitting.omori(t, ["family"], 30.0))
+
+
+@query()
+def temporal_etas_fit(spark, sf_dir):
+    return rounded(fitting.temporal_etas(sample(spark, sf_dir, 4.8), 31.0, 4.8, restarts=2))
+
+
+@query()
+def spatiotemporal_etas_fit(spark, sf_dir):
+    return rounded(fitting.spatiotemporal_etas(sample(spark, sf_dir, 4.7), 31.0, 1.0e7, 4.7, restarts=1))
+
+
+# --- forecasts and scores -----------------------------------------------------------------------
+
+
+def forecast_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = grid.cells(spark, *GRID).agg(F.sum("area_km2")).first()[0]
+    return forecasting.forecast_cells(grid.cells(spark, *GRID), sample(spark, sf_dir), ETAS, 20.0, 27.0, 4.5, region)
+
+
+RATES = "fed as (select latitude, longitude, 0.05 * exp(magnitude - 4.5) * (" + OMORI.format(x="(27 - t_days)") + " - " + OMORI.format(x="(20 - t_days)") + ") as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from s where t_days < 20), rate as (select cell_id, any_value(area_km2) as area_km2, 0.5 * 7 * any_value(area_km2) / (select sum(area_km2) from cell) + coalesce(sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) * any_value(area_km2), 0) as expected from (select cell_id, area_km2, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell left join fed on true) group by 1)"
+CUBE = "bin(bin, lower, upper) as (values (0, 3.0::double, 4.0::double), (1, 4.0, 5.0), (2, 5.0, 6.0), (3, 6.0, 7.0), (4, 7.0, null)), cube as (select cell_id, bin, lower, expected * case when lower >= 4.5 then power(10::double, -(lower - 4.5)) - coalesce(power(10::double, -(upper - 4.5)), 0) end as expected from rate, bin)"
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select cell_id, bin, round(expected, 6) as expected, round(1 - exp(-expected), 6) as probability, case when expected is null then 'not_estimable' else 'estimable' end as support from cube")
+def forecast_cube(spark, sf_dir):
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5)
+    return rounded(cube.select("cell_id", "bin", "expected", "probability", "support"))
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select grouping(cell_id) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from cube where expected is not null group by grouping sets ((cell_id), (bin))")
+def forecast_marginals(spark, sf_dir):
+    """Sums over bins and over cells in one pass."""
+    forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5).where("expected is not null").createOrReplaceTempView("quakeloom_cube")
+    return spark.sql("select cast(grouping(cell_id) as bigint) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from quakeloom_cube group by grouping sets ((cell_id), (bin))")
+
+
+@query("select user_id, state, round(lifetime, 6) as lifetime_offspring from (select user_id, case when alpha >= b * ln(10) then 'non_finite_magnitude_productivity' when p <= 1 then 'finite_horizon_only_p_not_above_one' when k0 * (b * ln(10) / (b * ln(10) - alpha)) * power(0.1::double, 1 - p) / (p - 1) >= 1 then 'supercritical_lifetime_branching' else 'subcritical_lifetime_branching' end as state, case when alpha < b * ln(10) and p > 1 then k0 * (b * ln(10) / (b * ln(10) - alpha)) * power(0.1::double, 1 - p) / (p - 1) end as lifetime from (select user_id, 0.01::double * (1 + user_id % 30) as k0, 0.1::double * (user_id % 30) as alpha, 0.9::double + 0.05::double * (user_id % 13) as p, 1::double as b from (select distinct user_id from events)))")
+def branching_stability(spark, sf_dir):
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    params = users.selectExpr("user_id", "0.5D as mu", "0.01D * (1 + user_id % 30) as k0", "0.1D * (user_id % 30) as alpha", "0.1D as c", "0.9D + 0.05D * (user_id % 13) as p", "1D as b", "7D as horizon")
+    return rounded(forecasting.stability(params).select("user_id", "state", "lifetime_offspring"))
+
+
+SCORED = "row as (select event_id as id, case when event_id % 7 = 0 then event_id % 3 else 0 end as observed, least(1, (event_id * 31 % 1000) / 1000::double) as probability, 0.05::double + (event_id * 17 % 100) / 100::double as rate, 0.3::double as reference_rate, event_type from events)"
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.selectExpr("event_id as id", "case when event_id % 7 = 0 then event_id % 3 else 0 end as observed", "least(1D, (event_id * 31 % 1000) / 1000D) as probability", "0.05D + (event_id * 17 % 100) / 100D as rate", "0.3D as reference_rate", "event_type")
+
+
+@query(f"with {SCORED}, x as (select *, case when observed > 0 then 1 else 0 end as y, least(greatest(probability, 1e-12), 1 - 1e-12) as p, case observed when 0 then exp(-rate) when 1 then exp(-rate) * (1 + rate) else exp(-rate) * (1 + rate + rate * rate / 2) end as cdf, case observed when 0 then 0 when 1 then exp(-rate) else exp(-rate) * (1 + rate) end as below from row) select event_type, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) as log_loss, round(avg(power(probability - y, 2)), 6) as brier, round(sum(observed * ln(rate) - rate - lgamma(observed + 1)), 5) as log_likelihood, round(avg(case when (observed = 0 or below < 0.975) and cdf >= 0.025 then 1 else 0 end), 6) as coverage, sum(observed)::bigint as events, round((sum(observed * ln(rate) - rate - lgamma(observed + 1)) - sum(observed * ln(0.3::double) - 0.3 - lgamma(observed + 1))) / sum(observed), 5) as gain_per_event from x group by event_type")
+def forecast_scores(spark, sf_dir):
+    s = scoring.basic_scores(scored_rows(spark, sf_dir), ["event_type"])
+    return s.select("event_type", r6("log_loss").alias("log_loss"), r6("brier").alias("brier"), F.round("log_likelihood", 5).alias("log_likelihood"), r6("coverage").alias("coverage"), "events", F.round("gain_per_event", 5).alias("gain_per_event"))
+
+
+@query(f"with {SCORED}, t as (select threshold, count(*) filter (observed > 0 and probability >= threshold) as tp, count(*) filter (observed = 0 and probability >= threshold) as fp, count(*) filter (observed > 0 and probability < threshold) as fn, count(*) filter (observed = 0 and probability < threshold) as tn from row, (select unnest([0.1, 0.5, 0.9, 2.0])::double as threshold) group by 1) select threshold, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(fp / nullif(fp + tn, 0), 6) as false_alarm, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from t")
+def threshold_scores(spark, sf_dir):
+    return rounded(scoring.threshold_scores(scored_rows(spark, sf_dir), [0.1, 0.5, 0.9, 2.0]))
+
+
+@query(f"with {SCORED}, r as (select observed, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2 as rk from row) select round((sum(case when observed > 0 then rk end) - count(*) filter (observed > 0) * (count(*) filter (observed > 0) + 1) / 2) / (count(*) filter (observed > 0) * count(*) filter (observed = 0)), 6) as auc from r")
+def roc_auc(spark, sf_dir):
+    return rounded(scoring.roc_auc(scored_rows(spark, sf_dir)))
+
+
+@query(f"with {SCORED}, r as (select observed, row_number() over (order by probability desc, id) as place, sum(case when observed > 0 then 1 else 0 end) over (order by probability desc, id) as hits from row) select round(sum(case when observed > 0 then hits / place end) / count(*) filter (observed > 0), 6) as average_precision from r")
+def average_precision(spark, sf_dir):
+    return rounded(scoring.average_precision(scored_rows(spark, sf_dir), "id"))
+
+
+@query(f"with {SCORED}, r as (select *, row_number() over (order by probability, id) as rk, count(*) over () as n from row), b as (select *, (select min(i) from range(0, 10) t(i) where rk <= (i + 1) * n // 10) as bucket from r) select bucket::int as bucket, count(*) as n, round(avg(probability), 6) as mean_probability, round(avg(case when observed > 0 then 1 else 0 end), 6) as observed_share from b group by 1")
+def reliability_curve(spark, sf_dir):
+    return rounded(scoring.reliability(scored_rows(spark, sf_dir), "id"))
+
+
+@query(f"with {SCORED}, t as (select event_type, sum(observed) as observed, count(*) * 0.14::double as expected from (select * from row where id < 400) group by 1) select event_type, observed::bigint as observed, round(expected, 6) as expected, round((select sum(exp(-expected + i * ln(expected) - lgamma(i + 1))) from range(0, (observed + 1)::bigint) z(i)), 6) as p_at_most from t")
+def number_test(spark, sf_dir):
+    rows = scored_rows(spark, sf_dir).where("id < 400")
+    t = rows.groupBy("event_type").agg(F.sum("observed").alias("observed"), (F.count("*") * 0.14).alias("expected"))
+    return rounded(scoring.number_test(t).select("event_type", "observed", "expected", "p_at_most"))
+
+
+@query()
+def likelihood_test(spark, sf_dir):
+    return rounded(scoring.likelihood_test(scored_rows(spark, sf_dir), simulations=200))
+
+
+@query()
+def space_test(spark, sf_dir):
+    """Cells alone, given the observed total."""
+    cells = scored_rows(spark, sf_dir).groupBy(F.pmod("id", F.lit(400)).alias("id")).agg(F.sum("observed").alias("observed"), F.sum("rate").alias("rate"))
+    return rounded(scoring.likelihood_test(cells, simulations=200, conditional=True))
+
+
+@query()
+def simulated_catalogs(spark, sf_dir):
+    """Quantiles of simulated counts over a week, fed by the largest events before it."""
+    history = sample(spark, sf_dir, 6.0).where("t_days < 20").select("t_days", "magnitude").orderBy(F.desc("magnitude"), "t_days").limit(200).toPandas()
+    runs = forecasting.simulate(spark, ETAS, 1.0, 4.5, history, 20.0, 27.0, 500)
+    return rounded(runs.agg(F.count("*").alias("runs"), F.avg("events").alias("mean"), *(F.percentile("events", q).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95)), F.max("largest").alias("largest")))
+
+
+@query("with f as (select i as fold, 5::double + i as start, 8::double + i as stop from range(0, 20) t(i)), e as (select (epoch_us(ts) - epoch_us(timestamp '{origin}')) / 8.64e10 as t from events) select fold, count(e.t) as observed, count(e.t) * 1.0::double / (select count(*) from e where t < f.start) as ratio from f left join e on t >= start and t < stop group by fold, f.start".replace("count(e.t) * 1.0::double / (select count(*) from e where t < f.start) as ratio", "round(max(start), 6) as start"))
+def walk_forward_folds(spark, sf_dir):
+    """Observed counts of every overlapping fold in one pass over the events."""
+    f = forecasting.folds(spark, 5.0, 27.0, 1.0, 3.0)
+    e = catalog(spark, sf_dir).select(seismicity.days_since(F.col("event_time"), at(ORIGIN)).alias("t"))
+    seen = e.join(F.broadcast(f), (F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop"))).groupBy("fold").agg(F.count("*").alias("observed"))
+    return rounded(f.join(seen, "fold", "left").select("fold", F.coalesce("observed", F.lit(0)).alias("observed"), "start"))
+
+
+def paired_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihoods of two rate models per day of the catalog."""
+    day = F.floor(F.col("id") / 500).cast("int")
+    rows = scored_rows(spark, sf_dir).withColumn("fold", day)
+    s = scoring.basic_scores(rows, ["fold"])
+    return s.select("fold", F.col("log_likelihood").alias("candidate_ll"), F.col("reference_log_likelihood").alias("champion_ll"), "events")
+
+
+@query()
+def model_promotion(spark, sf_dir):
+    return rounded(scoring.promotion(paired_folds(spark, sf_dir), resamples=200))
+
+
+@query("with recursive ev as ({ev}), p as (select a.event_id as a, b.event_id as b from ev a join ev b on a.source_event_key = b.source_event_key and a.event_id < b.event_id and a.source_id = b.source_id), l as (select a, b from p union all select b, a from p), r(a, b) as (select a, a from l union select r.a, l.b from r join l on r.b = l.a) select a as node, min(b) as component from r group by a")
+def revision_components(spark, sf_dir):
+    """Groups of revisions of one event by one source, as connected components."""
+    ev = catalog(spark, sf_dir).select("event_id", "source_event_key", "source_id")
+    pairs = ev.alias("x").join(ev.alias("y"), ["source_event_key", "source_id"]).where("x.event_id < y.event_id").selectExpr("x.event_id as a", "y.event_id as b")
+    return connected_components(pairs)
+
+
+@query("with ev as ({ev}) select event_id, round(round(round_even(magnitude / 0.1, 0) * 0.1, 10), 6) as bin from ev where magnitude is not null")
+def binned_magnitudes(spark, sf_dir):
+    return catalog(spark, sf_dir).where("magnitude is not null").select("event_id", r6(magnitude_bin(F.col("magnitude"))).alias("bin"))
