@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over DOM blocks.
 
 A page becomes a tree of block elements, with a leaf for each run of text between block boundaries.
-Every node is content or boilerplate. Its tag, class and id words, length and share of link text
-give evidence; potentials between parent and child make labels run in families. Messages passed
+Every node is content, boilerplate or a frame that may hold both. Its tag, class and id words, length
+and share of link text give evidence; potentials between parent and child make labels run in
+families: what lies in boilerplate stays boilerplate, a frame opens into either. Messages passed
 from the leaves up and from the root down (sum-product, exact on a tree) give each leaf's marginal,
 and leaves that are more likely content are the text. Evidence and potentials are counted on
 labelled pages.
@@ -37,7 +38,7 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LABEL = "data-label"
-LIMIT = 4.0
+LIMIT = 9.0
 
 
 @dataclass(slots=True)
@@ -47,7 +48,7 @@ class Node:
     names: tuple[str, ...] = ()
     text: str | None = None
     linked: int = 0
-    label: int = 0
+    label: int = 2
 
 
 def parse(page: str) -> list[Node]:
@@ -134,7 +135,7 @@ def parse(page: str) -> list[Node]:
         names = tuple(w.lower() for x in _NAMES.findall(attrs) for w in _WORD.findall(x[1] or x[2] or x[3])) if attrs else ()
         label = nodes[stack[-1][1]].label
         if attrs and _LABEL in attrs:
-            label = int(f'{_LABEL}="1"' in attrs)
+            label = int(f'{_LABEL}="1"' in attrs)  # a frame unless it is marked
         nodes.append(Node(tag, stack[-1][1], names, None, 0, label))
         stack.append((tag, len(nodes) - 1))
     close(1)
@@ -155,46 +156,51 @@ def evidence(node: Node) -> Iterator[str]:
         yield f"end {node.text[-1] in '.!?:;…。»”'}"
 
 
+BOILERPLATE, CONTENT, FRAME = range(3)
+
+
 @dataclass
 class TreeModel:
-    """Log ratios (content to boilerplate) of features, of children under each kind of parent, and of the root."""
-
-    ratios: dict[str, float] = field(default_factory=dict)
-    under: tuple[float, float] = (0.1, 0.9)  # chance that a child is content below boilerplate, content
+    """Log likelihoods of features under each label, and the chances of a child's label by its parent's."""
+
+    features: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    under: tuple[tuple[float, float, float], ...] = ((0.98, 0.01, 0.01), (0.02, 0.97, 0.01), (0.5, 0.2, 0.3))
+
+    def own(self, node: Node) -> tuple[float, float, float]:
+        a = b = c = 0.0
+        for f in evidence(node):
+            x = self.features.get(f)
+            if x is not None:
+                a += x[0]
+                b += x[1]
+                c += x[2]
+        top = max(a, b, c)
+        return math.exp(max(a - top, -60.0)), math.exp(max(b - top, -60.0)), math.exp(max(c - top, -60.0))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        """Chance of being content for each node."""
-        get, size = self.ratios.get, len(nodes)
-        own0, own1 = [1.0] * size, [1.0] * size
-        for k, node in enumerate(nodes):
-            own1[k] = math.exp(max(-30.0, min(30.0, sum(get(f, 0.0) for f in evidence(node)))))
-        (b0, b1), (a0, a1) = ((1 - p, p) for p in self.under)
-        up0, up1 = [1.0] * size, [1.0] * size
+        """Chance of being content for each node; the root is a frame."""
+        (t00, t01, t02), (t10, t11, t12), (t20, t21, t22) = self.under
+        size = len(nodes)
+        below = [self.own(n) for n in nodes]
+        up = [(1.0, 1.0, 1.0)] * size
         for k in range(size - 1, 0, -1):  # leaves to root: children come after their parents
-            x, y = own0[k], own1[k]
-            m0, m1 = b0 * x + b1 * y, a0 * x + a1 * y
-            total = m0 + m1
-            m0, m1 = m0 / total, m1 / total
-            up0[k], up1[k] = m0, m1
+            x, y, z = below[k]
+            m0, m1, m2 = t00 * x + t01 * y + t02 * z, t10 * x + t11 * y + t12 * z, t20 * x + t21 * y + t22 * z
+            up[k] = m0, m1, m2
             p = nodes[k].parent
-            own0[p] *= m0
-            own1[p] *= m1
-            if own0[p] + own1[p] < 1e-100 or own1[p] > 1e100:
-                total = own0[p] + own1[p]
-                own0[p] /= total
-                own1[p] /= total
-        out = [0.0] * size
-        belief0, belief1 = [0.0] * size, [0.0] * size
-        belief0[0], belief1[0] = own0[0], 0.0  # the root is no content
+            a, b, c = below[p]
+            a, b, c = a * m0, b * m1, c * m2
+            total = a + b + c
+            below[p] = (a / total, b / total, c / total) if total else (1.0, 1.0, 1.0)
+        belief = [(0.0, 0.0, 1.0)] * size
         for k in range(1, size):  # root to leaves
-            p = nodes[k].parent
-            r0, r1 = belief0[p] / up0[k], belief1[p] / up1[k]
-            d0, d1 = r0 * b0 + r1 * a0, r0 * b1 + r1 * a1
-            x, y = own0[k] * d0, own1[k] * d1
-            total = x + y or 1.0
-            belief0[k], belief1[k] = x / total, y / total
-            out[k] = belief1[k]
-        return out
+            (p0, p1, p2), (u0, u1, u2) = belief[nodes[k].parent], up[k]
+            r0, r1, r2 = p0 / u0, p1 / u1, p2 / u2
+            x, y, z = below[k]
+            x, y, z = x * (r0 * t00 + r1 * t10 + r2 * t20), y * (r0 * t01 + r1 * t11 + r2 * t21), z * (r0 * t02 + r1 * t12 + r2 * t22)
+            total = x + y + z
+            belief[k] = (x / total, y / total, z / total) if total else (1 / 3, 1 / 3, 1 / 3)
+        return [b[CONTENT] for b in belief]
 
     def extract(self, page: str | None) -> str:
         if not page:
@@ -203,32 +209,35 @@ class TreeModel:
         return " ".join(n.text for n, p in zip(nodes, self.marginals(nodes), strict=True) if n.text is not None and p > 0.5)
 
 
-def train(pages: Iterable[str]) -> TreeModel:
+def train(pages: Iterable[str], smooth: float = 0.1) -> TreeModel:
     """Counts on labelled pages: ``data-label="1"`` marks an element as content, ``"0"`` as boilerplate,
-    and what lies inside takes the label over."""
-    totals, seen, pairs = [0, 0], {}, [[1.0, 1.0], [1.0, 1.0]]
+    what lies inside takes the label over, and what is outside is a frame."""
+    seen: dict[str, list[int]] = {}
+    totals, pairs = [0, 0, 0], [[0.5] * 3 for _ in range(3)]
     for page in pages:
         nodes = parse(page)
         for node in nodes[1:]:
             totals[node.label] += 1
             pairs[nodes[node.parent].label][node.label] += 1
             for f in evidence(node):
-                seen.setdefault(f, [0, 0])[node.label] += 1
+                seen.setdefault(f, [0, 0, 0])[node.label] += 1
     per: dict[str, list[int]] = {}
     for f, n in seen.items():
-        kind = per.setdefault(f.split(" ")[0], [0, 0])
-        kind[0] += n[0]
-        kind[1] += n[1]
-    ratios = {}
-    for f, (n0, n1) in seen.items():
+        kind = per.setdefault(f.split(" ")[0], [0, 0, 0])
+        for j in range(3):
+            kind[j] += n[j]
+    features = {}
+    for f, n in seen.items():
         kind = f.split(" ")[0]
         base = totals if kind == "name" else per[kind]
-        ratio = math.log((n1 + 0.5) / (base[1] + 1)) - math.log((n0 + 0.5) / (base[0] + 1))
-        ratios[f] = max(-LIMIT, min(LIMIT, ratio))
-    return TreeModel(ratios, (pairs[0][1] / sum(pairs[0]), pairs[1][1] / sum(pairs[1])))
+        little = smooth / 10 if kind == "name" else smooth  # a name that one label never has tells much
+        logs = [math.log((n[j] + little) / (base[j] + 1.0)) for j in range(3)]
+        top = max(logs)
+        features[f] = tuple(max(x - top, -LIMIT) for x in logs)
+    return TreeModel(features, tuple(tuple(x / sum(row) for x in row) for row in pairs))
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> Iterator[str]:
+def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[str]:
     """Labelled pages composed from common layouts, with words that mean nothing."""
     r = random.Random(seed)
     words = lambda n: " ".join("".join(r.choices("abcdefghilmnoprstu", k=r.randint(1, 9))) for _ in range(max(1, n)))
@@ -290,7 +299,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> Iterator[str]:
 _models: dict[tuple[int, int], TreeModel] = {}
 
 
-def default_model(count: int = 400, seed: int = 7) -> TreeModel:
+def default_model(count: int = 1200, seed: int = 7) -> TreeModel:
     if (count, seed) not in _models:
         _models[count, seed] = train(labelled_pages(count, seed))
     return _models[count, seed]

@@ -1,0 +1,494 @@
+"""Operators against brute force, exact round trips and held-out accuracy, with their edge cases."""
+
+import collections
+import hashlib
+import os
+import re
+import struct
+import zipfile
+import io
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quakeloom.llm import embeddings, flac, htmltext, langid, linededup, minhash, packing, quality, sampling, warczip
+
+tokenizers = pytest.importorskip("tokenizers")
+public = pytest.importorskip("public_tokenizers")
+
+TEXTS = [
+    None,
+    "",
+    "   \n\t ",
+    "one",
+    "One",
+    "one two",
+    "the cat sat on the mat and looked at the moon for a long time tonight",
+    "the cat sat on the mat and looked at the moon for a long time tonight!",
+    "THE CAT sat  on the mat and looked at the moon for a long time tonight",
+    "el niño come una manzana\nroja y verde",
+    "日本語のテキスト 𝄞 und etwas Deutsch",
+    "word " * 9000,
+    "x" * 30000,
+    "a line that repeats across many documents\nunique one",
+    "  A LINE that repeats across many documents \nunique two\n\n",
+    "unique three\na line that repeats across many documents",
+]
+SCHEMA = "doc_id long, text string, lang string, score string, sample int, n_lines int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Clashing extra columns, a null id and a repeated row."""
+    rows = [(k, t, "en" if k % 2 else None, "own", 1, 2) for k, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, (None, "the null id", None, None, None, None), rows[6]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def components(links, nodes):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def brute_near(texts, width, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    links = []
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= percent * len(sets[a] | sets[b]):
+                links.append((a, b))
+    return components(links, sets), {i: len(s) for i, s in sets.items()}
+
+
+# --- op 1 -----------------------------------------------------------------------------------------
+
+
+def test_samples_are_without_replacement_and_decode(spark, docs, empty):
+    model = public.path("piece_bpe_32k.model")
+    out = sampling.decode(sampling.sample_segmentations(docs, model, samples=3), model).toPandas()
+    for (doc, text), g in out.groupby([out.doc_id.fillna(-1), out.text.fillna("")]):
+        assert (g.decoded == text).all()
+        ids = g.drop_duplicates(["sample"]).ids.map(bytes)
+        assert len(set(ids)) == len(ids)
+        assert g.drop_duplicates(["sample"]).sort_values("sample").perturbed.is_monotonic_decreasing
+        assert ((g.inclusion >= 0) & (g.inclusion <= 1)).all()
+    assert sampling.sample_segmentations(empty, model).count() == 0
+
+
+def test_samples_match_brute_force():
+    v = sampling.vocabulary(public.path("piece_bpe_32k.model"))
+    by = {x: i for i, x in enumerate(v.bytes) if np.isfinite(v.weight[i])}
+    text = b" the cat"
+
+    def paths(at):
+        if at == len(text):
+            yield (), 0.0
+        for n in v.lengths:
+            i = by.get(text[at : at + n]) if at + n <= len(text) else None
+            if i is not None:
+                for rest, w in paths(at + n):
+                    yield (i, *rest), w + v.weight[i]
+
+    weights = dict(paths(0))
+    total = sum(np.exp(w) for w in weights.values())
+    n = 8000
+    s = sampling.Sampler(np.frombuffer(text[1:] * n, np.uint8), np.arange(n + 1) * (len(text) - 1), sampling.mix64(np.arange(n, dtype=np.uint64)), v)
+    first, weighted = collections.Counter(), collections.Counter()
+    for k, (rows, p, logp, _, score) in enumerate(s.run(3)):
+        ids = s.ids(p)
+        for j in range(len(rows)):
+            path = tuple(ids[p.first[j] : p.first[j + 1]].tolist())
+            assert abs(np.log(np.exp(weights[path]) / total) - logp[j]) < 1e-3
+            first[path] += k == 0
+            weighted[path] += 1 / score[j]
+    for path, w in sorted(weights.items(), key=lambda x: -x[1])[:4]:
+        share = np.exp(w) / total
+        assert abs(first[path] / n - share) < 4 * np.sqrt(share / n) + 1e-3
+        assert abs(weighted[path] / n - 1) < 0.1  # inclusion scores make the sample unbiased
+
+
+def test_all_segmentations_of_a_short_text():
+    v = sampling.vocabulary(public.path("piece_bpe_32k.model"))
+    s = sampling.Sampler(np.frombuffer(b"a", np.uint8), np.array([0, 1]), sampling.mix64(np.zeros(1, np.uint64)), v)
+    got = s.run(9)
+    assert sum(len(r[0]) for r in got) == 2 and all((r[4] == 1).all() for r in got if len(r[0]))
+
+
+# --- op 2 -----------------------------------------------------------------------------------------
+
+
+def test_embeddings_match_brute_force(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(40, 16))
+    v = np.concatenate([base, base[:20] + r.normal(scale=0.08, size=(20, 16)), np.repeat(base[:1], 700, axis=0), base[1] + r.normal(scale=0.06, size=(600, 16))]).astype(np.float32)
+    label = np.concatenate([np.arange(40) % 3, np.arange(20) % 3, np.zeros(700), np.ones(600)]).astype(int)
+    rows = [(k, v[k].tolist(), int(label[k])) for k in range(len(v))]
+    odd = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] * 16, 1), (9004, [None, *[1.0] * 15], 1), (9005, v[0].tolist(), None), (9006, [], 0), (9007, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
+    got = {x.vec_id: x for x in embeddings.near_duplicate_embeddings(df).collect()}
+    x = v.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    want = components(zip(*np.nonzero(np.triu(near)), strict=True), range(len(v)))
+    assert all(got[k].n_links == near[k].sum() and got[k].component_id == want[k] and got[k].kept == (want[k] == k) for k in range(len(v)))
+    assert all(got[k].n_links == 0 and got[k].component_id == k for k, *_ in odd)
+    assert embeddings.near_duplicate_embeddings(df.where("false")).count() == 0
+
+
+# --- op 3 -----------------------------------------------------------------------------------------
+
+
+def test_warc_packages(spark):
+    long = "<p>" + "é" * 600
+    pages = spark.createDataFrame([(1, "http://a/\r\nx", long, 0), (2, None, long, 0), (3, "u", long, 0), (4, "u", "short", 0), (5, "u", "short", 0), (6, "u", None, 0)], "page_id long, url string, html string, digest int")
+    packages = warczip.write_packages(pages)
+    got = {r.page_id: r for r in warczip.read_packages(packages).collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    assert all(r.payload_bytes == len((long if k < 4 else "short" if k < 6 else "").encode()) for k, r in got.items())
+    assert bytes(got[3].payload).decode() == long and got[1].payload_digest == hashlib.sha1(long.encode()).hexdigest()
+    assert warczip.read_packages(warczip.write_packages(pages.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_zip_directories(wide):
+    raw = warczip.zip_stored([("a.txt", b"hello"), ("dir/é.bin", bytes(1000))], zip64=wide)
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        assert z.testzip() is None and z.read("a.txt") == b"hello"
+    reads = []
+
+    def read_at(at, n):
+        reads.append(n)
+        return raw[at : at + n]
+
+    m = warczip.central_directory(read_at, len(raw))
+    at = warczip.data_offset(read_at, m["dir/é.bin"])
+    assert raw[at : at + m["dir/é.bin"].size] == bytes(1000) and m["a.txt"].size == 5
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        with z.open("big", "w", force_zip64=True) as f:
+            f.write(b"x" * 70)
+        z.comment = b"PK\x05\x06 in a comment"
+    raw = out.getvalue()
+    m = warczip.central_directory(lambda a, n: raw[a : a + n], len(raw))
+    assert raw[warczip.data_offset(lambda a, n: raw[a : a + n], m["big"]) :][:70] == b"x" * 70
+    with pytest.raises(ValueError):
+        warczip.central_directory(lambda a, n: b"", 0)
+
+
+# --- op 4 -----------------------------------------------------------------------------------------
+
+
+def test_flac_round_trip(spark, docs):
+    r = np.random.default_rng(4)
+    wave = (128 + 100 * np.sin(np.arange(3000) / 20)).astype(np.uint8)
+    payloads = [bytes(64), bytes(range(256)) * 9, r.integers(0, 256, 5000, dtype=np.uint8).tobytes(), b"\xff\x00" * 500, wave.tobytes(), b"a", *((t or "").encode() or b"\0" for t in TEXTS)]
+    data, offs = np.frombuffer(b"".join(payloads), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in payloads])])
+    streams = flac.encode(data, offs)
+    for raw, stream, (pcm, blocks) in zip(payloads, streams, flac.decode(streams), strict=True):
+        assert (pcm + 128).astype(np.uint8).tobytes() == raw
+        assert [b[0] for b in blocks] == list(range(0, len(raw), flac.BLOCK)) and sum(b[1] for b in blocks) == len(raw)
+        lo = len(raw) // 3
+        assert (flac.read_samples(stream, lo, 900) == pcm[lo : lo + 900]).all()
+    assert len(streams[4]) < len(wave) * 0.6 and [flac.encode(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0] for p in payloads] == streams
+    broken = bytearray(streams[1])
+    broken[-9] ^= 4
+    with pytest.raises(ValueError):
+        flac.decode([bytes(broken)])
+    rows = flac.decode_column(flac.encode_column(docs.select("doc_id", F.col("text").cast("binary").alias("payload"), F.lit(1).alias("pcm")))).toPandas()
+    assert all((a is None or len(a) == 0) if b is None else bytes(a) == bytes(b) for a, b in zip(rows.payload, rows.pcm, strict=True))
+
+
+class Bits:
+    def __init__(self):
+        self.s = ""
+
+    def put(self, value, n):
+        self.s += format(value & ((1 << n) - 1), f"0{n}b") if n else ""
+
+    def rice(self, x, k):
+        u = x * 2 if x >= 0 else -2 * x - 1
+        self.s += "0" * (u >> k) + "1"
+        self.put(u, k)
+
+
+@pytest.mark.parametrize("order", range(5))
+def test_flac_fixed_orders_partitions_and_escapes(order):
+    """A stream made bit by bit: fixed predictor, four partitions, one of them raw, no seek table."""
+    r = np.random.default_rng(order)
+    x = np.clip(np.cumsum(r.integers(-3, 4, 256)), -128, 127).astype(int)
+    res = x.copy()
+    for _ in range(order):
+        res = np.diff(res, prepend=0)
+    head = bytes([0xFF, 0xF8, 0x60, 0x02, 0x00, 255])
+    head += bytes([int(flac._crc(np.frombuffer(head, np.uint8), np.array([0]), np.array([len(head)]), 8)[0])])
+    b = Bits()
+    b.put((8 + order) << 1, 8)
+    for t in range(order):
+        b.put(int(x[t]), 8)
+    b.put(0, 2)
+    b.put(2, 4)
+    for part in range(4):
+        values = [int(v) for v in res[max(order, 64 * part) : 64 * part + 64]]
+        if part == 1:
+            b.put(15, 4)
+            b.put(13, 5)
+            for v in values:
+                b.put(v, 13)
+        else:
+            b.put(part + 1, 4)
+            for v in values:
+                b.rice(v, part + 1)
+    b.s += "0" * (-len(b.s) % 8)
+    frame = head + int(b.s, 2).to_bytes(len(b.s) // 8, "big")
+    crc = int(flac._crc(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]), 16)[0])
+    info = struct.pack(">HH", 256, 256) + bytes(6) + (8000 << 44 | 7 << 36 | 256).to_bytes(8, "big") + hashlib.md5(x.astype(np.int8).tobytes()).digest()
+    stream = b"fLaC" + bytes([0x80, 0, 0, 34]) + info + frame + crc.to_bytes(2, "big")
+    assert (flac.decode([stream])[0][0] == x).all()
+
+
+# --- op 5 -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash_matches_brute_force(spark, docs, width):
+    r = np.random.default_rng(width)
+    words = np.array([f"w{k}" for k in range(300)])
+    texts = dict(enumerate(TEXTS))
+    base = r.choice(words, 120)
+    for k in range(160):  # a large group around one text, some too far from it
+        t = base.copy()
+        swap = r.random(120) < r.uniform(0, 0.2)
+        t[swap] = r.choice(words, swap.sum())
+        texts[100 + k] = " ".join(t)
+    for k in range(40):  # a passage shared by otherwise different texts
+        texts[400 + k] = " ".join(np.concatenate([base[:40], r.choice(words, 40)]))
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, component_id string")
+    df = df.union(df.where("doc_id = 6"))
+    want, size = brute_near(texts, width, 80)
+    got = minhash.near_duplicates(df, width=width).collect()
+    assert len(got) == len(texts) + 1
+    for x in got:
+        assert (x.component_id, x.n_shingles, x.kept) == (want[x.doc_id], size[x.doc_id], want[x.doc_id] == x.doc_id), x
+    assert minhash.near_duplicates(df.where("false"), width=width).count() == 0
+
+
+def test_minhash_null_ids(spark, docs):
+    got = minhash.near_duplicates(docs, width=2).where("doc_id is null").collect()
+    assert len(got) == 1 and not got[0].kept
+
+
+# --- op 6 -----------------------------------------------------------------------------------------
+
+
+def test_packing(spark, docs, empty):
+    path = public.path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    odd = ["it's  a\n\n b", " lead", "trail ", "a\tb \t c", "<|endoftext|> x", "don't!! 'll", " x  y", "\r\n \r\n"]
+    df = docs.union(spark.createDataFrame([(1000 + k, x, None, None, None, None) for k, x in enumerate(odd)], SCHEMA))
+    p = packing.pack(df.withColumn("offset", F.lit(1)), path).toPandas()
+    texts = dict(enumerate(TEXTS)) | {1000 + k: x for k, x in enumerate(odd)}
+    for doc, text in texts.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        g = p[p.doc_id == doc].drop_duplicates("start").sort_values("start")
+        assert np.concatenate([np.frombuffer(x, "<u4") for x in g.ids]).tolist() == ids
+        assert (g.doc_tokens == len(ids)).all() and g.start.tolist() == [0, *np.cumsum(g.length)[:-1]]
+    for _, g in p.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_minimum_bin_slack_against_brute_force():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        counts = {int(k): int(n) for k, n in zip(r.integers(1, 25, 6), r.integers(1, 4, 6), strict=True)}
+        room = int(r.integers(1, 40))
+        picked = packing.fill_one(counts, room)
+        assert all(n <= counts[k] for k, n in picked.items())
+        best = {0}
+        for k, n in counts.items():
+            best = {s + j * k for s in best for j in range(n + 1) if s + j * k <= room}
+        assert sum(k * n for k, n in picked.items()) == max(best)
+    counts = {int(k): int(n) for k, n in zip(r.permutation(np.arange(1, 2048))[:500], r.integers(1, 50, 500), strict=True)}
+    plan = packing.minimum_bin_slack(counts)
+    seq, off = plan.place(np.repeat(list(counts), list(counts.values())), np.concatenate([np.arange(n) for n in counts.values()]))
+    total = np.bincount(seq, np.repeat(list(counts), list(counts.values())))
+    assert total.max() <= 2048 and (2048 * len(total) - total.sum()) / total.sum() < 0.02
+
+
+# --- op 7 -----------------------------------------------------------------------------------------
+
+
+def test_html(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><!-- ad --><div class="ad">Buy this now.</div>
+    <article><h1>A   head &amp; more</h1><p><b>Bold start.<br>next<p>Second &eacute; para<i>graph</i> one.<div class="advert">Sponsored text here.</div><form><input>Search me</form><p>Be.</article>
+    <section class="comments"><h3>Comments</h3><p>I think that this is a long reader comment. It has two sentences.</p></section><aside><p>Side story.</p></aside><footer>&copy; site</footer></body></html>"""
+    df = spark.createDataFrame([(1, page, "x"), (2, None, "x"), (3, "", "x"), (4, "<p>plain text that is long enough to count as content, with no layout at all.", "x"), (5, "<div><<<>&&amp;</div", "x")], "page_id long, html string, text string")
+    got = {r.page_id: r for r in htmltext.extract_text(df).collect()}
+    assert got[1].text == "A head & more Bold start. next Second é paragraph one. Be."
+    assert got[2].text == got[3].text == "" and got[2].n_chars == 0
+    assert got[4].text.startswith("plain text") and got[1].n_chars == len(got[1].text)
+
+
+def test_html_marginals_match_brute_force():
+    import itertools
+
+    model = htmltext.default_model()
+    nodes = htmltext.parse("<div><p>Some words here.</p><ul><li><a href=x>link</a></li></ul></div><p>More.</p>")
+    own = [model.own(n) for n in nodes]
+    total, on = 0.0, np.zeros(len(nodes))
+    for rest in itertools.product(range(3), repeat=len(nodes) - 1):
+        label = [htmltext.FRAME, *rest]
+        w = np.prod([model.under[label[n.parent]][label[i]] * own[i][label[i]] for i, n in enumerate(nodes) if i])
+        total += w
+        on += w * (np.array(label) == htmltext.CONTENT)
+    assert np.allclose(model.marginals(nodes), on / total, atol=1e-9)
+
+
+def test_html_held_out_layouts():
+    model = htmltext.train(htmltext.labelled_pages(300, seed=1))
+    right = wrong = 0
+    for page in htmltext.labelled_pages(120, seed=99):
+        nodes = htmltext.parse(page)
+        for n, p in zip(nodes, model.marginals(nodes), strict=True):
+            if n.text is not None:
+                right += (p > 0.5) == (n.label == 1)
+                wrong += (p > 0.5) != (n.label == 1)
+    assert right / (right + wrong) > 0.95
+
+
+# --- ops 8 and 10 on the driver's small tables ----------------------------------------------------
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_quality_held_out(spark):
+    from quakeloom.llm.queries import op8_quality
+
+    got = op8_quality(spark, SF).toPandas()
+    labels = pd.read_parquet(f"{SF}/labels.parquet")
+    m = got[got.held_out].merge(labels, on="doc_id")
+    good, bad = m[m.quality == 1].score.to_numpy(), m[m.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad).mean() > 0.9 and (m[m.quality == 1].predicted == 1).mean() > 0.9
+    assert len(got) == 1000 and ((got.score >= 0) & (got.score <= 1)).all()
+
+
+def test_quality_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(16)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    vectors, net = quality.train(docs, labels)
+    got = quality.score(docs, vectors, net).collect()
+    assert len(got) == len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.text in (None, "")}) == 1
+    vectors, net = quality.train(empty, labels.where("false"))
+    assert all(abs(r.score - 0.5) < 1e-9 for r in quality.score(docs, vectors, net).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_language_held_out(spark):
+    from quakeloom.llm.queries import op10_language_id
+
+    got = op10_language_id(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/documents.parquet"), on="doc_id")
+    h = got[got.held_out]
+    assert (h.lang_pred == h.lang).mean() > 0.97
+
+
+def test_language_ranks_and_edges(spark, docs, empty):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["The cat", "123 --", None, "Ünï"])], ["text"])
+    got = list(langid.ngrams(batch))
+    pack = lambda s: sum((0 if c == "_" else ord(c)) << 21 * (len(s) - 1 - k) for k, c in enumerate(s)) + ((1 << 63) if len(s) == 2 else 0)
+    want = collections.Counter(x for w in ("the", "cat") for n in (1, 2, 3) for x in ((("_" + w + "_")[k : k + n]) for k in range(len(w) + 3 - n)) if x.strip("_"))
+    assert dict(zip(got[0][0].tolist(), got[0][1].tolist(), strict=True)) == {pack(k): n for k, n in want.items()}
+    assert not len(got[1][0]) and not len(got[2][0]) and len(got[3][0])
+    profiles = langid.train_profiles(docs)
+    out = {r.doc_id: r for r in langid.identify(docs, profiles).collect()}
+    assert set(profiles) == {"en"} and out[0].lang_pred == out[1].lang_pred == out[2].lang_pred == "und" and out[6].lang_pred == "en"
+    assert {r.lang_pred for r in langid.identify(docs, langid.train_profiles(empty)).collect()} == {"und"}
+
+
+# --- op 9 -----------------------------------------------------------------------------------------
+
+
+def brute_lines(rows, least=3, chars=20):
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate({c: c + 32 for c in range(65, 91)})
+    found = collections.defaultdict(list)
+    for k, (doc, text) in enumerate(rows):
+        for x in {key(x) for x in (text or "").split("\n")}:
+            if len(x) >= chars:
+                found[x].append(-1 if doc is None else doc)
+    gone = {x: max(d) for x, d in found.items() if len(d) >= least}
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        keep = [x for x in lines if not (key(x) in gone and gone[key(x)] != (-1 if doc is None else doc))]
+        out.append((doc, len(lines), len(lines) - len(keep), "\n".join(keep)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_lines_match_brute_force(spark, docs, empty, limit):
+    extra = [(500 + k, f"{'Wiederholte Zeile, die oft vorkommt ' if k % 3 else 'kurz'}\nline number {k // 4} of this small test\r\n\n", None, None, None, None) for k in range(60)]
+    df = docs.union(spark.createDataFrame(extra, SCHEMA))
+    want = brute_lines([(r.doc_id, r.text) for r in df.collect()])
+    out = linededup.drop_repeated_lines(df, broadcast_bytes=limit)
+    assert out.columns == ["doc_id", "text", "lang", "score", "sample", "n_lines", "n_dropped"]
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=repr)
+    assert got == want
+    assert linededup.drop_repeated_lines(empty, broadcast_bytes=limit).count() == 0
+
+
+def test_perfect_hash():
+    r = np.random.default_rng(9)
+    keys = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64))
+    made = linededup.PerfectHash.from_bytes(linededup.PerfectHash.build(keys, np.arange(len(keys)), -np.arange(len(keys))).to_bytes())
+    assert sorted(made.slots(keys).tolist()) == list(range(len(keys)))
+    found, count, keeper = made.probe(keys)
+    assert found.all() and (count == np.arange(len(keys))).all() and (keeper == -np.arange(len(keys))).all()
+    assert not made.probe(r.integers(0, 2**63, 5000, dtype=np.uint64))[0].any()
+
+
+# --- pipeline -------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = np.random.default_rng(11)
+    words = ["the", "of", "and", "river", "house", "light", "walk", "green", "stone", "often"]
+    rows = [(k, " ".join(r.choice(words, 60)) + "\nthis footer line stands below every text", "en", "s", 0) for k in range(40)]
+    rows += [(100, rows[0][1], "en", "s", 0), (101, "12345 678", None, "s", 0), (102, None, None, "s", 0), (103, "!!! $$$ " * 40, "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(103, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first = pipeline.identify_language(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and {x.doc_id for x in first.collect()} == {*range(40), 100}
+    lines = pipeline.drop_lines(spark, first, str(tmp_path)).collect()
+    assert sum("footer" in x.text for x in lines) == 1 and all(x.n_chars == len(x.text) for x in lines)
+    kept = pipeline.drop_near_copies(spark, first, str(tmp_path)).collect()
+    want, _ = brute_near({x.doc_id: x.text for x in first.collect()}, 5, 80)
+    assert {x.doc_id for x in kept} == set(want.values())
+    out = pipeline.run(spark, str(tmp_path)).toPandas()
+    assert {0, 39} <= set(out.doc_id) and not {100, 101, 102} & set(out.doc_id)
