@@ -14,6 +14,11 @@ FIT_EVENTS = FIT_BINS = 10
 TARGETS = (95.0, 90.0)
 
 
+def _match(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on the keys; without keys each side is the one sample's few rows."""
+    return a.join(b, keys) if keys else a.join(F.broadcast(b), F.lit(True))
+
+
 def histogram(sample: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
     """(keys, k, bin, n, n_above): counts by bin from the least to the largest one, empty bins too."""
     counts = sample.where("magnitude is not null").groupBy(*keys, F.rint(F.col("magnitude") / width).cast("int").alias("k")).agg(F.count("*").alias("n"))
@@ -41,10 +46,10 @@ def mc_goodness_of_fit(sample: DataFrame, keys: list[str]) -> DataFrame:
     c = h.withColumn("mean", F.sum(F.col("n") * F.col("bin")).over(moments) / F.col("n_above"))
     c = c.withColumn("b", F.log10(F.lit(2.718281828459045)) / (F.col("mean") - (F.col("bin") - WIDTH / 2)))
     top = h.groupBy(*keys).agg(F.max("k").alias("top"), F.sum("n").alias("events"))
-    c = c.join(top, keys).where((F.col("n_above") >= FIT_EVENTS) & (F.col("top") - F.col("k") + 1 >= FIT_BINS) & (F.col("mean") > F.col("bin") - WIDTH / 2))
+    c = _match(c, top, keys).where((F.col("n_above") >= FIT_EVENTS) & (F.col("top") - F.col("k") + 1 >= FIT_BINS) & (F.col("mean") > F.col("bin") - WIDTH / 2))
     x, y = c.select(*keys, F.col("k").alias("k0"), F.col("bin").alias("bin0"), F.col("n_above").alias("n0"), "b", "events"), h.select(*keys, "k", "bin", "n_above")
     law = F.col("n0") * F.pow(F.lit(10.0), -F.col("b") * (F.col("bin") - F.col("bin0")))
-    fit = x.join(y, keys).where("k >= k0").groupBy(*keys, "k0", "bin0", "b", "events").agg((100 * (1 - F.sum(F.abs(F.col("n_above") - law)) / F.sum("n_above"))).alias("fit"))
+    fit = _match(x, y, keys).where("k >= k0").groupBy(*keys, "k0", "bin0", "b", "events").agg((100 * (1 - F.sum(F.abs(F.col("n_above") - law)) / F.sum("n_above"))).alias("fit"))
     best = fit.groupBy(*keys).agg(F.max("events").alias("events"), *(F.min(F.when(F.col("fit") >= t, F.col("bin0"))).alias(f"mc{int(t)}") for t in TARGETS))
     return best.select(*keys, "events", F.when(F.col("events") >= MIN_EVENTS, F.coalesce("mc95", "mc90")).alias("mc"), F.when(F.col("mc95").isNotNull(), 95).when(F.col("mc90").isNotNull(), 90).alias("confidence"))
 
