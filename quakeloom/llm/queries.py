@@ -154,8 +154,8 @@ ORACLES: dict[str, str] = {
         sets as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
                    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as s from word),
         size as (select doc_id, count(*) as n from sets group by doc_id),
-        share as (select a.doc_id as a, b.doc_id as b, count(*) as both from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-        half as (select a, b from share join size x on x.doc_id = a join size y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)),
+        share as (select a.doc_id as a, b.doc_id as b, count(*) as common from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        half as (select a, b from share join size x on x.doc_id = a join size y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
         link as (select a, b from half union all select b, a from half),
         reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on r.b = l.a),
         comp as (select a as doc_id, min(b) as component_id from reach group by a)
