@@ -68,7 +68,7 @@ def preferred_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.preferred(latest, "canonical", cat.source_priority(F.col("source_id"), PRIORITIES))
 
 
-@query(f"with ev as ({{ev}}), {LATEST}, {PREFERRED}, m as (select round(round_even(magnitude / 0.1, 0) * 0.1, 10) as m from preferred where magnitude is not null), s as (select * from m where m >= 3.5 - 1e-9), g as (select count(*) as n, avg(m) as mean, var_samp(m) as v from s) select n, round(log10(2.718281828459045) / (mean - 3.45), 6) as b, round(2.30 * power(log10(2.718281828459045) / (mean - 3.45), 2) * sqrt(v / n), 6) as b_error, round(log10(n) + log10(2.718281828459045) / (mean - 3.45) * 3.5, 6) as a from g")
+@query(f"with ev as ({{ev}}), {LATEST}, {PREFERRED}, m as (select round(round_even(magnitude / 0.1, 0) * 0.1, 10) as m from preferred where magnitude is not null), s as (select * from m where m >= 3.5 - 1e-9), g as (select count(*) as n, avg(m) as mean, var_samp(m) as v from s), b as (select *, case when n >= 50 then log10(2.718281828459045) / (mean - 3.45) end as b from g) select n, round(b, 6) as b, round(2.30 * b * b * sqrt(v / n), 6) as b_error, round(log10(n) + b * 3.5, 6) as a from b")
 def as_of_b_value(spark, sf_dir):
     """As of a time: latest revisions, preferred source, binned magnitudes, b and its error."""
     return rounded(magnitudes.b_value(preferred_events(spark, sf_dir), [], 3.5).select("n", "b", "b_error", "a"))
