@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.stats import magnitude_bin
 from .operators import catalog as cat
-from .operators import fitting, forecasting, grid, linkage, magnitudes, scoring, seismicity
+from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes, scoring, seismicity
 from .plans.graph import connected_components
 from .sources.adapter import ORACLE as EV
 from .sources.adapter import catalog, second_source
@@ -493,3 +493,76 @@ def revision_components(spark, sf_dir):
 @query("with ev as ({ev}) select event_id, round(round(round_even(magnitude / 0.1, 0) * 0.1, 10), 6) as bin from ev where magnitude is not null")
 def binned_magnitudes(spark, sf_dir):
     return catalog(spark, sf_dir).where("magnitude is not null").select("event_id", r6(magnitude_bin(F.col("magnitude"))).alias("bin"))
+
+
+# --- archives, backfill and alignment -----------------------------------------------------------
+
+
+@query("with a as (select event_type as source, props as body, case user_id % 4 when 0 then 'application/json' when 1 then 'text/html' when 2 then 'text/csv; charset=utf-8' else 'image/png' end as kind from events), k as (select source, sha256(body) as sha, kind from a where body is not null) select source, sha as sha256, count(*) as copies from k group by 1, 2")
+def raw_archive(spark, sf_dir):
+    """Distinct artifacts per source, by content address."""
+    kind = F.expr("case user_id % 4 when 0 then 'application/json' when 1 then 'text/html' when 2 then 'text/csv; charset=utf-8' else 'image/png' end")
+    a = spark.read.parquet(f"{sf_dir}/events.parquet").where("props is not null").select(F.col("event_type").alias("source"), F.col("props").cast("binary").alias("content"), kind.alias("media_type"))
+    return issuance.archive_keys(a).groupBy("source", "sha256").agg(F.count("*").alias("copies"))
+
+
+@query("with ev as ({ev}), x as (select available_at >= event_time and latitude between -90 and 90 and longitude between -180 and 180 as ok from ev) select count(*) filter (ok) as valid, count(*) filter (not ok) as rejected from x")
+def validated_events(spark, sf_dir):
+    good, bad = issuance.validated(catalog(spark, sf_dir))
+    return good.agg(F.count("*").alias("valid")).join(bad.agg(F.count("*").alias("rejected")), F.lit(True))
+
+
+SLOTS = "slot as (select floor((epoch_us(event_time) - epoch_us(timestamp '{origin}')) / 8.64e10 * 2)::bigint as slot, count(*) as n from ev group by 1)"
+
+
+@query(f"with ev as ({{ev}}), {SLOTS}, total as (select count(*) as t from ev), s as (select level, slot >> level as slot, sum(n)::bigint as n from slot, range(0, 7) l(level) group by 1, 2), f as (select s.level, s.slot, s.n, p.n as around from s left join s p on p.level = s.level + 1 and p.slot = s.slot >> 1) select level, slot, n from f, total where n <= t // 8 and (around is null or around > t // 8)")
+def backfill_slices(spark, sf_dir):
+    """Time slices of at most an eighth of the events, by halving."""
+    ev = catalog(spark, sf_dir)
+    half_day = F.floor(seismicity.days_since(F.col("event_time"), at(ORIGIN)) * 2).cast("long")
+    counts = ev.groupBy(half_day.alias("slot")).agg(F.count("*").alias("n"))
+    plan = issuance.backfill_plan(counts, ev.count() // 8, 6)
+    return plan.select(F.col("level").cast("long").alias("level"), "slot", "n")
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE}, seen as (select 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, case when magnitude < 4 then 0 when magnitude < 5 then 1 when magnitude < 6 then 2 when magnitude < 7 then 3 else 4 end as bin, count(*) as observed from s where t_days >= 20 and t_days < 27 group by 1, 2) select cell_id, bin, round(expected, 6) as expected, coalesce(observed, 0)::bigint as observed from cube left join seen using (cell_id, bin)")
+def observed_cube(spark, sf_dir):
+    """The forecast cube beside what was observed in its window."""
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5)
+    seen = grid.assign_bins(sample(spark, sf_dir).where("t_days >= 20 and t_days < 27"))
+    seen = seen.withColumn("cell_id", grid.point_to_cell(F.col("latitude"), F.col("longitude"), *GRID))
+    return rounded(issuance.with_observed(cube, seen).select("cell_id", "bin", "expected", "observed"))
+
+
+@query(f"with ev as ({{ev}}), {BINNED}, g as (select magnitude_type, max_by(bin, (n, -k)) + 0.2 as mc from f where n > 0 group by 1), b as (select magnitude_type, mc, unnest([3.0, 4.0, 5.0, 6.0, 7.0])::double as lower from g) select magnitude_type, coalesce(min(case when lower >= mc then lower end), min(lower)) as threshold from b group by 1")
+def region_thresholds(spark, sf_dir):
+    mc = magnitudes.mc_maximum_curvature(catalog(spark, sf_dir), ["magnitude_type"]).where("mc is not null")
+    bins = mc.join(F.broadcast(grid.bins_frame(spark)), F.lit(True))
+    return issuance.region_threshold(bins, ["magnitude_type"])
+
+
+@query("with ev as ({ev}) select magnitude_type, round(quantile_cont(magnitude, 0.05), 6) as q5, round(quantile_cont(magnitude, 0.5), 6) as q50, round(quantile_cont(magnitude, 0.975), 6) as q97 from ev where magnitude is not null group by 1")
+def magnitude_percentiles(spark, sf_dir):
+    g = catalog(spark, sf_dir).where("magnitude is not null").groupBy("magnitude_type")
+    return rounded(g.agg(F.percentile("magnitude", 0.05).alias("q5"), F.percentile("magnitude", 0.5).alias("q50"), F.percentile("magnitude", 0.975).alias("q97")))
+
+
+@query("with a as (select event_id // 500 as issued_at, sum(value) as ll from events group by 1), b as (select event_id // 500 as issued_at, avg(value) as ll from events group by 1) select issued_at, round(a.ll, 4) as candidate_ll, round(b.ll, 4) as champion_ll from a join b using (issued_at)")
+def fold_alignment(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("issued_at", F.expr("event_id div 500"))
+    both = issuance.aligned_folds(e.groupBy("issued_at").agg(F.sum("value").alias("log_likelihood")), e.groupBy("issued_at").agg(F.avg("value").alias("log_likelihood")))
+    return both.select("issued_at", F.round("candidate_ll", 4).alias("candidate_ll"), F.round("champion_ll", 4).alias("champion_ll"))
+
+
+@query()
+def omori_weighted(spark, sf_dir):
+    """Family-size weighted decay parameters."""
+    return rounded(issuance.weighted_parameters(omori_families(spark, sf_dir)))
+
+
+@query("with ev as ({ev}) select source_id, event_id, row_number() over (order by available_at, event_id) as step from ev where event_time < timestamp '2024-01-03 00:00:00'")
+def replay_order(spark, sf_dir):
+    """Events in the order in which they became known, numbered without one task holding all."""
+    ev = catalog(spark, sf_dir).where(F.col("event_time") < at("2024-01-03 00:00:00"))
+    ranked = seismicity.running_rank(ev.select("source_id", "event_id", F.struct("available_at", "event_id").alias("o")), "o")
+    return ranked.select("source_id", "event_id", F.col("rank").alias("step"))
