@@ -31,9 +31,9 @@ def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of each whole text of ``documents``, sampled without replacement; each is
     decoded again and compared with its text."""
     model = tokenizer_path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sampling.decode(sampling.sample_segmentations(docs, model, samples=2), model)
-    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = sampling.decode(sampling.sample_segmentations(docs, model, samples=2, carry=["doc_id", "text_crc32"]), model)
+    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("decodes"))
 
 
 def op2_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

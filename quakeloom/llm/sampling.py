@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textops import BYTE_KEYS, mix64, slices, string_parts
 
-STEP_BYTES = 3 << 19
+STEP_BYTES = 1 << 20
 #: A byte of a character without a piece costs so much more than the rarest piece.
 BYTE_PENALTY = 3.0
 #: Pieces of merge rank r weigh (r + RANK_SHIFT) ** -1, as in a list of words by frequency.
@@ -367,8 +367,8 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def sample_segmentations(docs: DataFrame, model: str, samples: int = 3, key: str = "doc_id") -> DataFrame:
-    """``docs`` (text, ``key``, any more columns) with one row per sample.
+def sample_segmentations(docs: DataFrame, model: str, samples: int = 3, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (text, ``key``, any more columns; those in ``carry``, or all) with one row per sample.
 
     Added are sample (from 0, by falling perturbed value), ids (little-endian 32-bit piece ids),
     n_pieces, log_prob, perturbed and inclusion (the chance of being among the samples, given the
@@ -378,23 +378,23 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 3, key: str
     """
     added = ["sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"]
     docs = docs.drop(*added).withColumn("__seed", F.xxhash64(F.col(key)))
-    names = [f.name for f in docs.schema.fields if f.name != "__seed"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "__seed")
+    names = [f.name for f in docs.schema.fields if f.name != "__seed" and (carry is None or f.name in carry)]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
         for whole in batches:
             for b in slices(whole, "text", STEP_BYTES):
-                data, offs = string_parts(b.column(names.index("text")))
-                seeds = mix64(b.column(len(names)).to_numpy().astype(np.uint64))
+                data, offs = string_parts(b.column(b.schema.get_field_index("text")))
+                seeds = mix64(b.column(b.schema.get_field_index("__seed")).to_numpy().astype(np.uint64))
                 sampler = Sampler(data, offs, seeds, words)
                 for k, (rows, paths, logp, key_, score) in enumerate(sampler.run(samples)):
                     raw, first = sampler.ids(paths).astype("<i4"), paths.first
                     ids = [raw[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                    kept = [c.take(pa.array(rows)) for c in b.columns[: len(names)]]
+                    kept = [b.column(b.schema.get_field_index(c)).take(pa.array(rows)) for c in names]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(rows), k), pa.int32()), pa.array(ids, pa.binary()), pa.array(np.diff(first)), pa.array(logp), pa.array(key_), pa.array(score)], [*names, *added])
 
-    return docs.select(*names, "__seed").mapInArrow(run, f"{ddl}, sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double")
+    return docs.select(*dict.fromkeys([*names, "text", "__seed"])).mapInArrow(run, f"{ddl}, sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
