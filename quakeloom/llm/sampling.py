@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textops import BYTE_KEYS, mix64, slices, string_parts
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 5 << 17
 #: A byte of a character without a piece costs so much more than the rarest piece.
 BYTE_PENALTY = 3.0
 #: Pieces of merge rank r weigh (r + RANK_SHIFT) ** -1, as in a list of words by frequency.
