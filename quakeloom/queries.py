@@ -566,3 +566,38 @@ def replay_order(spark, sf_dir):
     ev = catalog(spark, sf_dir).where(F.col("event_time") < at("2024-01-03 00:00:00"))
     ranked = seismicity.running_rank(ev.select("source_id", "event_id", F.struct("available_at", "event_id").alias("o")), "o")
     return ranked.select("source_id", "event_id", F.col("rank").alias("step"))
+
+
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, f(fold, start, stop) as (values (0, 10::double, 13::double), (1, 15, 18), (2, 20, 23)), fed as (select fold, latitude, longitude, 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')}) as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from f join s on t_days < start), part as (select fold, cell_id, sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) as fed from (select fold, cell_id, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell, fed) group by 1, 2), rate as (select f.fold, cell.cell_id, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) as base, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) + coalesce(fed, 0) * area_km2 as rate from cell cross join f left join part on part.fold = f.fold and part.cell_id = cell.cell_id), seen as (select fold, 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from s join f on t_days >= start and t_days < stop group by 1, 2), x as (select rate.*, coalesce(n, 0) as n from rate left join seen using (fold, cell_id)) select fold::int as fold, sum(n)::bigint as events, round(sum(rate), 5) as expected, round(avg(power(1 - exp(-rate) - case when n > 0 then 1 else 0 end, 2)), 6) as brier, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)), 4) as log_likelihood, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)) - sum(n * ln(greatest(base, 1e-12)) - base - lgamma(n + 1)), 4) as gain from x group by 1")
+def walk_forward_scores(spark, sf_dir):
+    """Forecasts of every fold from what came before it, scored on what followed, in one job."""
+    cells = grid.cells(spark, *GRID)
+    region = cells.agg(F.sum("area_km2")).first()[0]
+    windows = forecasting.folds(spark, 10.0, 23.0, 5.0, 3.0)
+    s = sample(spark, sf_dir)
+    rates = forecasting.walk_forward(cells, s, ETAS, windows, 4.5, region)
+    where = grid.point_to_cell(F.col("latitude"), F.col("longitude"), *GRID)
+    seen = s.join(F.broadcast(windows), (F.col("t_days") >= F.col("start")) & (F.col("t_days") < F.col("stop"))).groupBy("fold", where.alias("cell_id")).agg(F.count("*").alias("observed"))
+    rows = rates.join(seen, ["fold", "cell_id"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    scores = scoring.basic_scores(rows, ["fold"])
+    gain = F.col("log_likelihood") - F.col("reference_log_likelihood")
+    return scores.select("fold", "events", F.round("expected", 5).alias("expected"), r6("brier").alias("brier"), F.round("log_likelihood", 4).alias("log_likelihood"), F.round(gain, 4).alias("gain"))
+
+
+@query(f"with ev as ({{ev}}), {LATEST}, art as (select event_id, sha256(coalesce(props, '')) as artifact from events), src as (select distinct source_id, " + PRIORITY + " as priority from ev) select l.source_event_key, l.event_id, src.priority::int as priority, art.artifact from latest l join src using (source_id) join art using (event_id)")
+def revision_provenance(spark, sf_dir):
+    """Latest revisions with their source's priority and their raw artifact."""
+    latest = cat.as_of(catalog(spark, sf_dir), at(AS_OF))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.sha2(F.coalesce("props", F.lit("")).cast("binary"), 256).alias("artifact"))
+    sources = catalog(spark, sf_dir).select("source_id").distinct().withColumn("priority", cat.source_priority(F.col("source_id"), PRIORITIES))
+    return latest.join(sources, "source_id").join(raw, "event_id").select("source_event_key", "event_id", "priority", "artifact")
+
+
+@query("with ev as ({ev}), k as (select *, round_even(latitude, 0)::int as lat_index, round_even(longitude, 0)::int as lon_index from ev), d as (select lat_index, lon_index, avg(depth_km) as depth_km from k where depth_km is not null group by 1, 2), t as (select lat_index, lon_index, avg(magnitude) as thickness from k where event_id % 3 = 0 group by 1, 2), u as (select lat_index, lon_index, max(event_id % 50)::double as uncertainty from k where event_id % 5 = 0 group by 1, 2) select lat_index, lon_index, round(depth_km, 6) as depth_km, round(thickness, 6) as thickness, round(uncertainty, 6) as uncertainty from d left join t using (lat_index, lon_index) left join u using (lat_index, lon_index)")
+def merged_rasters(spark, sf_dir):
+    """Rasters on one lattice; depth decides which nodes there are, the others may lack some."""
+    lat, lon = grid.lattice_key(F.col("latitude"), F.col("longitude"), 1.0)
+    k = catalog(spark, sf_dir).withColumns({"lat_index": lat, "lon_index": lon})
+    node = lambda df, value: df.groupBy("lat_index", "lon_index").agg(value.alias("value"))
+    depth = node(k.where("depth_km is not null"), F.avg("depth_km"))
+    return rounded(grid.merge_rasters(depth, thickness=node(k.where("event_id % 3 = 0"), F.avg("magnitude")), uncertainty=node(k.where("event_id % 5 = 0"), F.max(F.col("event_id") % 50).cast("double"))))

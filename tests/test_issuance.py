@@ -114,3 +114,12 @@ def test_notifications(spark, tmp_path):
 def test_region_threshold_falls_back(spark):
     df = spark.createDataFrame([("a", 3.0, 3.5), ("a", 4.0, 3.5), ("b", 3.0, 9.0)], "k string, lower double, mc double")
     assert {r.k: r.threshold for r in issuance.region_threshold(df, ["k"]).collect()} == {"a": 4.0, "b": 3.0}
+
+
+def test_lineage_refuses_other_windows(spark):
+    est = spark.createDataFrame([(7, 9, 0, 10, "mb")], "mc_id int, b_id int, start int, stop int, magnitude_type string")
+    rows = spark.createDataFrame([(7, 0, 10, "mb", True), (9, 0, 10, "mb", True), (8, 0, 10, "mb", False)], "id int, start int, stop int, magnitude_type string, usable boolean")
+    assert issuance.checked_lineage(est, {"mc": rows, "b": rows}).count() == 1
+    for bad in (rows.where("id <> 9"), rows.withColumn("stop", F.lit(11)), rows.withColumn("usable", F.lit(False)), rows.withColumn("magnitude_type", F.lit("ml"))):
+        with pytest.raises(Exception, match="b: missing"):
+            issuance.checked_lineage(est, {"mc": rows, "b": bad}).collect()
