@@ -67,7 +67,8 @@ def _posted(classes: DataFrame, tables: int, bits: int) -> DataFrame:
 
 def _block(tab: int, rep: np.ndarray, copies: np.ndarray, keys: np.ndarray, vec: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links found first here between side 0 and side 1 (or within side 0 if there is no other):
-    (rep, number of vectors linked, smallest class it is tied to in this block)."""
+    (rep, number of vectors linked, smallest class it is tied to in this block). Classes are ranked
+    by their rep, so that the smallest one of a group is the root of its links."""
     norm = np.sqrt((vec * vec).sum(axis=1))
     a = np.flatnonzero(side == 0)
     b = np.flatnonzero(side == 1)
@@ -86,7 +87,6 @@ def _block(tab: int, rep: np.ndarray, copies: np.ndarray, keys: np.ndarray, vec:
             new &= keys[i, t] != keys[j, t]
         i, j = i[new], j[new]
     count = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-    root = np.arange(len(rep))
     order = np.argsort(rep, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(rep))
@@ -111,7 +111,6 @@ def _compared(posted: DataFrame, threshold: float, partitions: int) -> DataFrame
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": F.when(F.col("mine") > F.col("other"), 1).otherwise(0)})
     block = [*keys, "i", "j"]
-    schema = dealt.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -149,7 +148,6 @@ def _compared(posted: DataFrame, threshold: float, partitions: int) -> DataFrame
         yield from flush()
 
     columns = [*block, "side", "rep", "copies", "keys", "vec"]
-    assert set(columns) <= set(schema.names)
     return dealt.select(*columns).repartition(partitions, *block).sortWithinPartitions(*block).mapInArrow(run, "rep long, n long, root long")
 
 

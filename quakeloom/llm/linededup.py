@@ -187,7 +187,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     entries = stats.count()
     shards = max(1, math.ceil(entries / SHARD_KEYS))
     index = materialize(build_index(stats, shards), "line-index")
-    schema = [f for f in docs.schema.fields]
+    schema = docs.schema.fields
     names = [f.name for f in schema]
     added = ", n_lines long, n_dropped long"
     ddl = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in schema)
