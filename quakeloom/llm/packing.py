@@ -26,7 +26,7 @@ from .textops import slices
 WINDOW = 2048
 END_ID = 1
 #: Distinct strings whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_100_000
 #: Pieces in one bucket of a length, about.
 BUCKET_ROWS = 20_000
 _ODD = re.compile(r" (?:\s|\Z)")
