@@ -39,12 +39,34 @@ def poisson_log_pmf(n: Column, rate: Column) -> Column:
     return n * F.log(floored) - floored - log_factorial(n)
 
 
+def _poisson_pmf(n: Column, rate: Column) -> Column:
+    """Probability of a count of 20 or more, by Stirling's series and the deviance n (u - log(1 + u)) of
+    u = rate / n - 1, which keeps its digits where n and the rate are large and close."""
+    u = (rate - n) / n
+    series = 1 / (12 * n) - 1 / (360 * F.pow(n, 3)) + 1 / (1260 * F.pow(n, 5)) - 1 / (1680 * F.pow(n, 7))
+    return F.exp(-n * (u - F.log1p(u)) - 0.5 * F.log(2 * math.pi * n) - series)
+
+
 def poisson_cdf(n: Column, rate: Column) -> Column:
-    """P(N <= n) as a finite sum; 0 below zero."""
-    steps = F.sequence(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
+    """P(N <= n); 0 below zero.
+
+    Counts below 20 are summed from zero. From 20 on, the tail that lies away from the mode is summed
+    from its largest term, whose factors fall below exp(-40) of it within 12 sqrt(n or rate) + 100
+    terms, under the last digit of a double; nothing underflows at large rates."""
+    steps = F.sequence(F.lit(0), F.least(F.greatest(n, F.lit(0)), F.lit(19)).cast("int"))
     start = F.struct(F.exp(-rate).alias("term"), F.lit(0.0).alias("total"))
-    total = F.aggregate(steps, start, lambda a, k: F.struct((a.term * rate / (k + 1)).alias("term"), (a.total + a.term).alias("total"))).total
-    return F.when(n < 0, 0.0).otherwise(F.least(F.lit(1.0), total))
+    small = F.aggregate(steps, start, lambda a, k: F.struct((a.term * rate / (k + 1)).alias("term"), (a.total + a.term).alias("total"))).total
+
+    def tail(first: Column, far: Column, factor) -> Column:
+        terms = F.sequence(F.lit(1), (12 * F.sqrt(far) + 100).cast("int"))
+        one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+        step = lambda a, j: F.struct((a.term * factor(j)).alias("term"), (a.total + a.term * factor(j)).alias("total"))
+        return _poisson_pmf(first, rate) * F.aggregate(terms, one, step).total
+
+    m = n.cast("double")
+    below = tail(m, rate, lambda j: F.greatest(m - j + 1, F.lit(0.0)) / rate)
+    above = 1 - tail(m + 1, m + 1, lambda j: rate / (m + 1 + j))
+    return F.when(n < 0, 0.0).otherwise(F.least(F.lit(1.0), F.when(n < 20, small).when(rate <= 0, 1.0).when(n < rate, below).otherwise(above)))
 
 
 def at_least_one(expected: Column) -> Column:

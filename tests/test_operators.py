@@ -206,6 +206,20 @@ def test_scores_by_hand(spark):
     assert scoring.roc_auc(df.where("observed > 0")).first().auc is None
 
 
+def test_number_test_at_large_rates(spark):
+    def exact(n, rate):  # in log space around the largest term
+        logs = [k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(n + 1)]
+        top = max(logs, default=0.0)
+        return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
+
+    cases = [(n, rate) for rate in (0.3, 19.5, 25.0, 740.0, 1200.0, 2800.0, 50000.0) for n in sorted({0, 3, 19, 20, int(rate), *(max(0, int(rate + z * rate**0.5)) for z in (-4, -2, -1, 1, 2, 4))})]
+    df = spark.createDataFrame([(n, rate) for n, rate in cases], "observed long, expected double")
+    for r in scoring.number_test(df).collect():
+        low, high = exact(r.observed, r.expected), 1 - exact(r.observed - 1, r.expected)
+        assert abs(r.p_at_most - low) < 1e-9 and abs(r.p_at_least - high) < 1e-9
+        assert r.consistent == (low > 0.025 and high > 0.025)
+
+
 def test_promotion_gate(spark):
     few = spark.createDataFrame([(1.0, 0.0, 10)] * 3, "candidate_ll double, champion_ll double, events int")
     assert scoring.promotion(few, resamples=20).first().decision == "insufficient_evidence"
