@@ -79,51 +79,74 @@ def stability(params: DataFrame) -> DataFrame:
     return params.select("*", direct.alias("direct_offspring"), lifetime.alias("lifetime_offspring"), state.alias("state"))
 
 
-def simulate(spark: SparkSession, etas: Etas, b: float, reference: float, history: pd.DataFrame, start: float, stop: float, runs: int, seed: int = 1, largest: float = 9.5, limit: int = 50_000) -> DataFrame:
+def simulate(spark: SparkSession, etas: Etas, b: float, reference: float, history: DataFrame | pd.DataFrame, start: float, stop: float, runs: int, seed: int = 1, largest: float = 9.5, limit: int = 50_000) -> DataFrame:
     """(run, events, largest) of simulated catalogs: immigrants and all generations of offspring.
 
-    Each run has its own random stream, so results do not depend on partitioning; a run of more than
-    ``limit`` events is refused. ``history`` (t_days, magnitude) is the bounded sample that feeds it."""
-    past_t, past_m = history.t_days.to_numpy(float), history.magnitude.to_numpy(float)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        beta = b * LN10
-        top = 1 - np.exp(-beta * (largest - reference))
-
-        def integral(x):
-            return np.log((x + etas.c) / etas.c) if abs(etas.p - 1) < 1e-8 else ((x + etas.c) ** (1 - etas.p) - etas.c ** (1 - etas.p)) / (1 - etas.p)
-
-        def delays(r, lo, hi):
-            u = r.random(len(lo))
-            if abs(etas.p - 1) < 1e-8:
-                return np.exp(np.log(lo + etas.c) + u * (np.log(hi + etas.c) - np.log(lo + etas.c))) - etas.c
-            a, z = (lo + etas.c) ** (1 - etas.p), (hi + etas.c) ** (1 - etas.p)
-            return (a + u * (z - a)) ** (1 / (1 - etas.p)) - etas.c
+    Families are independent given their first parent, so the catalogs are superposed: every event of
+    ``history`` (event_id, t_days, magnitude) draws its descendants in all runs in the task that holds
+    it, immigrants theirs run by run, and the runs are summed. Each event and each run has its own
+    random stream, so results do not depend on partitioning; a run of more than ``limit`` events is
+    refused. A pandas history (t_days, magnitude) is numbered by its rows."""
+    if isinstance(history, pd.DataFrame):
+        history = spark.createDataFrame([(k, float(t), float(m)) for k, (t, m) in enumerate(zip(history.t_days, history.magnitude, strict=True))], "event_id long, t_days double, magnitude double")
+    beta = b * LN10
+    top = 1 - np.exp(-beta * (largest - reference))
+    schema = "run long, events long, largest double"
+    refused = f"a simulated catalog has more than {limit} events"
+
+    def integral(x):
+        return np.log((x + etas.c) / etas.c) if abs(etas.p - 1) < 1e-8 else ((x + etas.c) ** (1 - etas.p) - etas.c ** (1 - etas.p)) / (1 - etas.p)
 
+    def delays(r, lo, hi):
+        u = r.random(len(lo))
+        if abs(etas.p - 1) < 1e-8:
+            return np.exp(np.log(lo + etas.c) + u * (np.log(hi + etas.c) - np.log(lo + etas.c))) - etas.c
+        a, z = (lo + etas.c) ** (1 - etas.p), (hi + etas.c) ** (1 - etas.p)
+        return (a + u * (z - a)) ** (1 / (1 - etas.p)) - etas.c
+
+    def sizes(r, n):
+        return reference - np.log(1 - r.random(n) * top) / beta
+
+    def descend(r, t, m, run, events, most):
+        """Adds all generations of offspring of parents (t, m) in their runs."""
+        while len(t):
+            lo = np.maximum(start - t, 0)
+            hi = np.maximum(stop - t, lo)
+            n = r.poisson(etas.k0 * np.exp(etas.alpha * (m - reference)) * (integral(hi) - integral(lo)))
+            lo, hi, base, run = np.repeat(lo, n), np.repeat(hi, n), np.repeat(t, n), np.repeat(run, n)
+            t = base + delays(r, lo, hi)
+            m = sizes(r, len(t))
+            events += np.bincount(run, minlength=len(events))
+            np.maximum.at(most, run, m)
+            if events.max() > limit:
+                raise ValueError(refused)
+
+    def immigrants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k in batch.id:
                 r = np.random.default_rng([seed, int(k)])
                 t = r.uniform(start, stop, r.poisson(etas.mu * (stop - start)))
-                size = lambda n: reference - np.log(1 - r.random(n) * top) / beta  # noqa: B023, E731
-                m = size(len(t))
-                parents_t, parents_m, times, sizes = np.concatenate([past_t, t]), np.concatenate([past_m, m]), [t], [m]
-                while len(parents_t):
-                    lo = np.maximum(start - parents_t, 0)
-                    hi = stop - parents_t
-                    n = r.poisson(etas.k0 * np.exp(etas.alpha * (parents_m - reference)) * (integral(hi) - integral(lo)))
-                    lo, hi, base = np.repeat(lo, n), np.repeat(hi, n), np.repeat(parents_t, n)
-                    parents_t = base + delays(r, lo, hi)
-                    parents_m = size(len(parents_t))
-                    times.append(parents_t)
-                    sizes.append(parents_m)
-                    if sum(map(len, times)) > limit:
-                        raise ValueError(f"a simulated catalog has more than {limit} events")
-                sizes = np.concatenate(sizes)
-                rows.append((int(k), len(sizes), float(sizes.max()) if len(sizes) else None))
+                m = sizes(r, len(t))
+                events, most = np.array([len(t)]), np.array([m.max() if len(m) else -np.inf])
+                descend(r, t, m, np.zeros(len(t), int), events, most)
+                rows.append((int(k), int(events[0]), float(most[0]) if events[0] else None))
             yield pd.DataFrame(rows, columns=["run", "events", "largest"])
 
-    return spark.range(runs).mapInPandas(run, "run long, events long, largest double")
+    def families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        events, most = np.zeros(runs, int), np.full(runs, -np.inf)
+        for batch in batches:
+            for i, t, m in zip(batch.event_id, batch.t_days, batch.magnitude, strict=True):
+                # four words, the last one 1: never an immigrants' stream, which has zeros there
+                r = np.random.default_rng([seed, int(i) & 0xFFFFFFFF, int(i) >> 32 & 0xFFFFFFFF, 1])
+                descend(r, np.full(runs, t), np.full(runs, m), np.arange(runs), events, most)
+        some = np.flatnonzero(events)
+        yield pd.DataFrame({"run": some, "events": events[some], "largest": most[some]})
+
+    past = history.select(F.col("event_id").cast("long"), F.col("t_days").cast("double"), F.col("magnitude").cast("double"))
+    parts = spark.range(runs).mapInPandas(immigrants, schema).union(past.mapInPandas(families, schema))
+    total = F.sum("events")
+    return parts.groupBy("run").agg(F.when(total > limit, F.raise_error(refused).cast("long")).otherwise(total).alias("events"), F.max("largest").alias("largest"))
 
 
 def folds(spark: SparkSession, start: float, end: float, step: float, horizon: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import io
 import math
+import os
 import struct
 import zipfile
 
@@ -10,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quakeloom import queries
 from quakeloom.functions import geo, stats
 from quakeloom.operators import catalog, fitting, forecasting, grid, linkage, magnitudes, scoring, seismicity
 from quakeloom.plans.graph import connected_components
@@ -194,6 +196,29 @@ def test_simulation_is_poisson_without_triggering(spark):
     assert abs(got.events.mean() - 2) < 0.15 and abs((got.events > 0).mean() - (1 - math.exp(-2))) < 0.03
 
 
+def test_simulation_is_fed_by_all_history(spark):
+    etas = forecasting.Etas(mu=0.5, k0=0.02, alpha=0.0)
+    past = spark.range(1000).select(F.col("id").alias("event_id"), (-F.col("id") / 500).alias("t_days"), F.lit(4.5).alias("magnitude"))
+    runs = lambda n: forecasting.simulate(spark, etas, 1.0, 4.5, past.repartition(n), 0.0, 7.0, 300).orderBy("run").toPandas()
+    got = runs(3)
+    assert got.equals(runs(1)) and len(got) == 300
+    part = lambda x: ((x + 0.1) ** -0.2 - 0.1**-0.2) / -0.2
+    first = 0.5 * 7 + sum(0.02 * (part(7 + k / 500) - part(k / 500)) for k in range(1000))
+    # later generations add at most k0 times the whole integral each
+    assert 0.97 * first < got.events.mean() < 1.03 * first / (1 - 0.02 * part(7))
+    with pytest.raises(Exception, match="more than 5 events"):
+        forecasting.simulate(spark, etas, 1.0, 4.5, past, 0.0, 7.0, 10, limit=5).collect()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_simulated_catalogs_counts_small_parents(spark):
+    sf, e = "/root/testdata/sf0.01", queries.ETAS
+    past = queries.sample(spark, sf).where("t_days < 20")
+    fed = e.k0 * F.exp(e.alpha * (F.col("magnitude") - 4.5)) * (stats.omori_integral(e.c, e.p, 27 - F.col("t_days")) - stats.omori_integral(e.c, e.p, 20 - F.col("t_days")))
+    first = e.mu * 7 + past.agg(F.sum(fed)).first()[0]
+    assert queries.QUERIES["simulated_catalogs"](spark, sf).first()["mean"] > 0.95 * first
+
+
 def test_scores_by_hand(spark):
     rows = [(1, 1, 0.9, 1.0, 0.5), (2, 0, 0.2, 0.3, 0.5), (3, 1, 0.6, 0.8, 0.5), (4, 0, 0.6, 0.4, 0.5)]
     df = spark.createDataFrame(rows, "id long, observed int, probability double, rate double, reference_rate double").withColumn("g", F.lit(1))
