@@ -55,6 +55,26 @@ def sample(spark: SparkSession, sf_dir: str, least: float = 4.5) -> DataFrame:
     return ev.withColumn("t_days", seismicity.days_since(F.col("event_time"), at(ORIGIN)))
 
 
+def complete_too(f):
+    """Registers a query of a magnitude sample once more, as NAME_complete: on every event at or above
+    the catalog's own magnitude of completeness, which is then the models' reference magnitude too."""
+
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, completeness(spark, sf_dir))
+
+    run.__doc__ = f"``{f.__name__}`` on every event at or above the catalog's magnitude of completeness."
+    QUERIES[f"{f.__name__}_complete"] = run
+    return f
+
+
+def completeness(spark: SparkSession, sf_dir: str) -> float:
+    """Magnitude of completeness by maximum curvature; a catalog too small for one counts from its least magnitude."""
+    ev = catalog(spark, sf_dir).where("magnitude is not null")
+    found = magnitudes.mc_maximum_curvature(ev, []).first()
+    mc = found.mc if found else None
+    return float(mc if mc is not None else ev.agg(F.min("magnitude")).first()[0] or 0.0)
+
+
 # --- bitemporal reads ---------------------------------------------------------------------------
 
 LATEST = "latest as (select * from (select *, row_number() over (partition by source_event_key order by available_at desc, event_id desc) as rk from ev where available_at <= timestamp '{as_of}') where rk = 1)"
@@ -294,20 +314,22 @@ SMALL = "s as (select *, (epoch_us(event_time) - epoch_us(timestamp '{origin}'))
 PARENTS = "eta as (select c.event_id, p.event_id as parent_id, p.event_time as pt, greatest((epoch_us(c.event_time) - epoch_us(p.event_time)) / 1e6 / 86400, 1.0 / 86400) * power(greatest(" + HAVERSINE.format(a1="c.latitude", a2="c.longitude", b1="p.latitude", b2="p.longitude") + ", 1e-3), 1.6) * power(10.0::double, -p.magnitude) as eta from s c join s p on (p.event_time, p.event_id) < (c.event_time, c.event_id)), parent as (select event_id, min_by(parent_id, (eta, pt, parent_id)) as parent_id, log10(min(eta)) as log_eta from eta group by 1)"
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {PARENTS} select event_id, parent_id, round(log_eta, 6) as log_eta from parent")
-def nearest_parents(spark, sf_dir):
-    return rounded(seismicity.nearest_parents(sample(spark, sf_dir)))
+def nearest_parents(spark, sf_dir, least=4.5):
+    return rounded(seismicity.nearest_parents(sample(spark, sf_dir, least)))
 
 
 @query()
 def declustered(spark, sf_dir):
     """Background and triggered events by a two-component mixture fitted on the cluster."""
-    return rounded(seismicity.decluster(sample(spark, sf_dir)))
+    return rounded(seismicity.decluster(sample(spark, sf_dir, completeness(spark, sf_dir))))
 
 
+@complete_too
 @query(f"with recursive ev as ({{ev}}), {SMALL}, {PARENTS}, link as (select s.event_id, parent_id, coalesce(log_eta >= 0.5, true) as free from s left join parent using (event_id)), up as (select event_id, event_id as root, free, parent_id from link union all select up.event_id, l.event_id, l.free, l.parent_id from up join link l on l.event_id = up.parent_id where not up.free) select event_id, root as root_id from up where free")
-def family_roots(spark, sf_dir):
-    s = sample(spark, sf_dir)
+def family_roots(spark, sf_dir, least=4.5):
+    s = sample(spark, sf_dir, least)
     links = s.select("event_id").join(seismicity.nearest_parents(s), "event_id", "left").withColumn("is_background", F.coalesce(F.col("log_eta") >= 0.5, F.lit(True)))
     return seismicity.family_roots(links).select("event_id", "root_id")
 
@@ -315,35 +337,40 @@ def family_roots(spark, sf_dir):
 WIDTHS = "near as (select a.event_id, " + HAVERSINE.format(a1="a.latitude", a2="a.longitude", b1="b.latitude", b2="b.longitude") + " as km from s a join s b on a.event_id <> b.event_id), width as (select event_id, greatest(1.0, list_sort(list(km))[least(5, count(*))]) as h from near group by 1)"
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {WIDTHS} select event_id, round(h, 6) as bandwidth_km from width")
-def kernel_bandwidths(spark, sf_dir):
-    return rounded(seismicity.bandwidths(sample(spark, sf_dir)).select("event_id", "bandwidth_km"))
+def kernel_bandwidths(spark, sf_dir, least=4.5):
+    return rounded(seismicity.bandwidths(sample(spark, sf_dir, least)).select("event_id", "bandwidth_km"))
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {WIDTHS}, {CELLS} select cell_id, round(sum(exp(-0.5 * power(km / h, 2)) / (2 * pi() * h * h)) * any_value(area_km2) / (30 / 365.25), 6) as rate_per_year from (select cell_id, area_km2, h, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="s.latitude", b2="s.longitude") + " as km from cell, s join width using (event_id)) group by cell_id")
-def background_rates(spark, sf_dir):
-    kernels = seismicity.bandwidths(sample(spark, sf_dir))
+def background_rates(spark, sf_dir, least=4.5):
+    kernels = seismicity.bandwidths(sample(spark, sf_dir, least))
     return rounded(seismicity.background_rates(grid.cells(spark, *GRID), kernels, 30.0).select("cell_id", "rate_per_year"))
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL} select a.event_id, round(0.5 + coalesce(sum(0.05 * exp(b.magnitude - 4.5) * power(a.t_days - b.t_days + 0.1, -1.2)), 0), 6) as intensity from s a left join s b on b.t_days < a.t_days group by a.event_id")
-def etas_intensities(spark, sf_dir):
-    return rounded(seismicity.intensities(sample(spark, sf_dir), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, 4.5))
+def etas_intensities(spark, sf_dir, least=4.5):
+    return rounded(seismicity.intensities(sample(spark, sf_dir, least), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least))
 
 
 OMORI = "((power({x} + 0.1, -0.2::double) - power(0.1::double, -0.2::double)) / -0.2)"
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, w as (select w, 28::double - w as start, 29::double - w as stop from range(0, 28) t(w)), e as (select w.w, coalesce(sum(0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')})), 0) as fed from w left join s on t_days < start group by 1) select w, round(0.5 + fed, 6) as expected from e")
-def expected_counts(spark, sf_dir):
+def expected_counts(spark, sf_dir, least=4.5):
     windows = spark.range(28).select(F.col("id").alias("w"), (F.lit(28.0) - F.col("id")).alias("start"), (F.lit(29.0) - F.col("id")).alias("stop"))
-    out = seismicity.expected_counts(windows, sample(spark, sf_dir), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, 4.5)
+    out = seismicity.expected_counts(windows, sample(spark, sf_dir, least), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least)
     return rounded(out.select("w", "expected"))
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, f as (select min(t_days) as first from s), w as (select w, 28::double - w * 0.5::double as start, 28.5::double - w * 0.5::double as stop from f, range(0, 200) t(w) where w = 0 or 28 - w * 0.5 >= first), x as (select w.w, 0.25 + coalesce(sum(case when t_days < start then 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='greatest(stop - t_days, 0)')} - {OMORI.format(x='greatest(start - t_days, 0)')}) end), 0) as expected, count(case when t_days >= start and t_days < stop then 1 end) as observed from w left join s on t_days < stop group by 1), d as (select *, case when observed <= expected then 0 else 2 * (observed * ln(observed / expected) - (observed - expected)) end as dev from x) select max(case when w = 0 then observed end) as observed, round(max(case when w = 0 then expected end), 6) as expected, round(max(case when w = 0 then dev end), 6) as deviance, count(case when w > 0 then 1 end) as windows, round(case when count(case when w > 0 then 1 end) >= 30 then 100.0 * sum(case when w > 0 and dev <= (select dev from d where w = 0) then 1 else 0 end) / count(case when w > 0 then 1 end) end, 6) as score from d")
-def anomaly_index(spark, sf_dir):
-    return rounded(seismicity.anomaly_index(sample(spark, sf_dir), 28.5, ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, 4.5, window_days=0.5))
+def anomaly_index(spark, sf_dir, least=4.5):
+    return rounded(seismicity.anomaly_index(sample(spark, sf_dir, least), 28.5, ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least, window_days=0.5))
 
 
 @query()
@@ -370,25 +397,27 @@ def spatiotemporal_etas_fit(spark, sf_dir):
 # --- forecasts and scores -----------------------------------------------------------------------
 
 
-def forecast_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecast_rates(spark: SparkSession, sf_dir: str, least: float = 4.5) -> DataFrame:
     region = grid.cells(spark, *GRID).agg(F.sum("area_km2")).first()[0]
-    return forecasting.forecast_cells(grid.cells(spark, *GRID), sample(spark, sf_dir), ETAS, 20.0, 27.0, 4.5, region)
+    return forecasting.forecast_cells(grid.cells(spark, *GRID), sample(spark, sf_dir, least), ETAS, 20.0, 27.0, least, region)
 
 
 RATES = "fed as (select latitude, longitude, 0.05 * exp(magnitude - 4.5) * (" + OMORI.format(x="(27 - t_days)") + " - " + OMORI.format(x="(20 - t_days)") + ") as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from s where t_days < 20), rate as (select cell_id, any_value(area_km2) as area_km2, 0.5 * 7 * any_value(area_km2) / (select sum(area_km2) from cell) + coalesce(sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) * any_value(area_km2), 0) as expected from (select cell_id, area_km2, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell left join fed on true) group by 1)"
 CUBE = "bin(bin, lower, upper) as (values (0, 3.0::double, 4.0::double), (1, 4.0, 5.0), (2, 5.0, 6.0), (3, 6.0, 7.0), (4, 7.0, null)), cube as (select cell_id, bin, lower, expected * case when lower >= 4.5 then power(10::double, -(lower - 4.5)) - coalesce(power(10::double, -(upper - 4.5)), 0) end as expected from rate, bin)"
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select cell_id, bin, round(expected, 6) as expected, round(1 - exp(-expected), 6) as probability, case when expected is null then 'not_estimable' else 'estimable' end as support from cube")
-def forecast_cube(spark, sf_dir):
-    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5)
+def forecast_cube(spark, sf_dir, least=4.5):
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least)
     return rounded(cube.select("cell_id", "bin", "expected", "probability", "support"))
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select grouping(cell_id) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from cube where expected is not null group by grouping sets ((cell_id), (bin))")
-def forecast_marginals(spark, sf_dir):
+def forecast_marginals(spark, sf_dir, least=4.5):
     """Sums over bins and over cells in one pass."""
-    forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5).where("expected is not null").createOrReplaceTempView("quakeloom_cube")
+    forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least).where("expected is not null").createOrReplaceTempView("quakeloom_cube")
     return spark.sql("select cast(grouping(cell_id) as bigint) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from quakeloom_cube group by grouping sets ((cell_id), (bin))")
 
 
@@ -532,11 +561,12 @@ def backfill_slices(spark, sf_dir):
     return plan.select(F.col("level").cast("long").alias("level"), "slot", "n")
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE}, seen as (select 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, case when magnitude < 4 then 0 when magnitude < 5 then 1 when magnitude < 6 then 2 when magnitude < 7 then 3 else 4 end as bin, count(*) as observed from s where t_days >= 20 and t_days < 27 group by 1, 2) select cell_id, bin, round(expected, 6) as expected, coalesce(observed, 0)::bigint as observed from cube left join seen using (cell_id, bin)")
-def observed_cube(spark, sf_dir):
+def observed_cube(spark, sf_dir, least=4.5):
     """The forecast cube beside what was observed in its window."""
-    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5)
-    seen = grid.assign_bins(sample(spark, sf_dir).where("t_days >= 20 and t_days < 27"))
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least)
+    seen = grid.assign_bins(sample(spark, sf_dir, least).where("t_days >= 20 and t_days < 27"))
     seen = seen.withColumn("cell_id", grid.point_to_cell(F.col("latitude"), F.col("longitude"), *GRID))
     return rounded(issuance.with_observed(cube, seen).select("cell_id", "bin", "expected", "observed"))
 
@@ -575,14 +605,15 @@ def replay_order(spark, sf_dir):
     return ranked.select("source_id", "event_id", F.col("rank").alias("step"))
 
 
+@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, f(fold, start, stop) as (values (0, 10::double, 13::double), (1, 15, 18), (2, 20, 23)), fed as (select fold, latitude, longitude, 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')}) as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from f join s on t_days < start), part as (select fold, cell_id, sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) as fed from (select fold, cell_id, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell, fed) group by 1, 2), rate as (select f.fold, cell.cell_id, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) as base, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) + coalesce(fed, 0) * area_km2 as rate from cell cross join f left join part on part.fold = f.fold and part.cell_id = cell.cell_id), seen as (select fold, 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from s join f on t_days >= start and t_days < stop group by 1, 2), x as (select rate.*, coalesce(n, 0) as n from rate left join seen using (fold, cell_id)) select fold::int as fold, sum(n)::bigint as events, round(sum(rate), 5) as expected, round(avg(power(1 - exp(-rate) - case when n > 0 then 1 else 0 end, 2)), 6) as brier, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)), 4) as log_likelihood, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)) - sum(n * ln(greatest(base, 1e-12)) - base - lgamma(n + 1)), 4) as gain from x group by 1")
-def walk_forward_scores(spark, sf_dir):
+def walk_forward_scores(spark, sf_dir, least=4.5):
     """Forecasts of every fold from what came before it, scored on what followed, in one job."""
     cells = grid.cells(spark, *GRID)
     region = cells.agg(F.sum("area_km2")).first()[0]
     windows = forecasting.folds(spark, 10.0, 23.0, 5.0, 3.0)
-    s = sample(spark, sf_dir)
-    rates = forecasting.walk_forward(cells, s, ETAS, windows, 4.5, region)
+    s = sample(spark, sf_dir, least)
+    rates = forecasting.walk_forward(cells, s, ETAS, windows, least, region)
     where = grid.point_to_cell(F.col("latitude"), F.col("longitude"), *GRID)
     seen = s.join(F.broadcast(windows), (F.col("t_days") >= F.col("start")) & (F.col("t_days") < F.col("stop"))).groupBy("fold", where.alias("cell_id")).agg(F.count("*").alias("observed"))
     rows = rates.join(seen, ["fold", "cell_id"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))

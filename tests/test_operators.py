@@ -126,6 +126,30 @@ def test_declustering(spark):
     assert roots.root_id.notna().all() and len(roots) == len(p)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_complete_samples_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    ev = queries.catalog(spark, sf).where("magnitude is not null").select("event_id", F.unix_micros(F.col("event_time").cast("timestamp")).alias("us"), "latitude", "longitude", "magnitude").toPandas()
+    k = np.rint(ev.magnitude / 0.1).astype(int)
+    mc = round(0.1 * min(k.mode()) + 0.2, 10)  # the fullest bin, the lowest of equal ones
+    assert queries.completeness(spark, sf) == mc
+    s = ev[ev.magnitude >= mc].sort_values(["us", "event_id"]).reset_index(drop=True)
+    la, lo = np.radians(s.latitude.to_numpy()), np.radians(s.longitude.to_numpy())
+    a = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+    km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
+    eta = np.maximum((s.us.to_numpy()[:, None] - s.us.to_numpy()) / 8.64e10, 1 / 86400) * np.maximum(km, 1e-3) ** 1.6 * 10.0 ** -s.magnitude.to_numpy()
+    eta[np.triu_indices(len(s))] = np.inf
+    best = dict(zip(s.event_id[1:], zip(s.event_id.to_numpy()[eta.argmin(axis=1)][1:], np.log10(eta.min(axis=1)[1:]), strict=True), strict=True))
+    for r in (got := queries.QUERIES["nearest_parents_complete"](spark, sf).collect()):
+        assert r.parent_id == best[r.event_id][0] and abs(r.log_eta - best[r.event_id][1]) < 2e-6
+    assert len(got) == len(s) - 1
+    np.fill_diagonal(km, np.inf)
+    width = dict(zip(s.event_id, np.maximum(1.0, np.sort(km, axis=1)[:, 4]), strict=True))
+    got = queries.QUERIES["kernel_bandwidths_complete"](spark, sf).collect()
+    assert len(got) == len(s) and all(abs(r.bandwidth_km - width[r.event_id]) < 2e-6 for r in got)
+    assert queries.QUERIES["declustered"](spark, sf).count() == len(s)
+
+
 def test_small_catalog_is_unclassified(spark):
     df = spark.createDataFrame([(k, pd.Timestamp("2024-01-01").to_pydatetime(), -30.0, -70.0, 4.0) for k in range(30)], "event_id long, event_time timestamp, latitude double, longitude double, magnitude double")
     out = seismicity.decluster(df).collect()
