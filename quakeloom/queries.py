@@ -289,11 +289,23 @@ def slab_samples(spark, sf_dir):
     return s.select("point_id", "corners", F.round("depth_km", 5).alias("depth_km"), F.round("dip", 5).alias("dip"), F.round("strike", 4).alias("strike"))
 
 
-@query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e join seg on floor(latitude / 5) between floor(least(lat1, lat2) / 5) - 1 and floor(greatest(lat1, lat2) / 5) + 1 and floor(longitude / 5) between floor(least(lon1, lon2) / 5) - 1 and floor(greatest(lon1, lon2) / 5) + 1), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
-def nearest_traces(spark, sf_dir):
+def traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points and stand-in fault segments."""
     ev = catalog(spark, sf_dir)
     segments = ev.where("event_id % 500 = 7").selectExpr("event_id as trace_id", "latitude as lat1", "longitude as lon1", "latitude + 1 + (event_id % 3) * 0.5D as lat2", "longitude + (event_id % 5) * 0.3D - 0.6D as lon2")
-    return grid.nearest_trace(ev.select(F.col("event_id").alias("point_id"), "latitude", "longitude"), segments).select("point_id", F.round("km", 5).alias("km"))
+    return ev.select(F.col("event_id").alias("point_id"), "latitude", "longitude"), segments
+
+
+@query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e join seg on floor(latitude / 5) between floor(least(lat1, lat2) / 5) - 1 and floor(greatest(lat1, lat2) / 5) + 1 and floor(longitude / 5) between floor(least(lon1, lon2) / 5) - 1 and floor(greatest(lon1, lon2) / 5) + 1), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
+def nearest_traces(spark, sf_dir):
+    """By squares of five degrees, as its SQL; ``nearest_traces_exact`` has no reach."""
+    return grid.nearest_trace(*traces(spark, sf_dir)).select("point_id", F.round("km", 5).alias("km"))
+
+
+@query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e, seg), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
+def nearest_traces_exact(spark, sf_dir):
+    """The nearest of all segments for every point."""
+    return grid.nearest_trace_exact(*traces(spark, sf_dir)).select("point_id", F.round("km", 5).alias("km"))
 
 
 ERF = "sign({x}) * 1.1283791670955126 * exp(-power(least(abs({x}), 5), 2)) * list_reduce(list_prepend(struct_pack(t := least(abs({x}), 5), s := least(abs({x}), 5)), list_transform(range(1, 91), lambda n: struct_pack(t := n::double, s := 0::double))), lambda a, n: struct_pack(t := a.t * 2 * power(least(abs({x}), 5), 2) / (2 * n.t + 1), s := a.s + a.t * 2 * power(least(abs({x}), 5), 2) / (2 * n.t + 1))).s"

@@ -182,6 +182,16 @@ def test_classes(spark):
     assert got[1].label == "crustal"
 
 
+def test_nearest_trace_has_no_reach(spark):
+    segments = spark.createDataFrame([(1, -51.5, -70.0, -51.0, -70.0), (2, -60.0, -59.9, -59.5, -59.5)], "trace_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    points = spark.createDataFrame([(1, -60.0, -70.0), (2, 10.0, 100.0), (3, -52.0, -70.0), (4, -60.0, -80.0)], "point_id long, latitude double, longitude double")
+    every = points.crossJoin(segments).select("point_id", "trace_id", geo.segment_distance_km("latitude", "longitude", "lat1", "lon1", "lat2", "lon2").alias("km")).toPandas()
+    want = every.sort_values(["km", "trace_id"]).groupby("point_id").first()
+    got = grid.nearest_trace_exact(points, segments).toPandas().set_index("point_id").sort_index()
+    assert got.trace_id.tolist() == want.trace_id.tolist()
+    assert got.trace_id[1] == 2 and np.allclose(got.km, want.km, atol=1e-8)
+
+
 def test_fits(spark):
     r = np.random.default_rng(5)
     c, p, k, days = 0.05, 1.1, 50.0, 30.0
