@@ -155,6 +155,15 @@ def folds(spark: SparkSession, start: float, end: float, step: float, horizon: f
     return spark.range(max(0, n)).select(F.col("id").cast("int").alias("fold"), (F.lit(start) + F.col("id") * step).alias("start"), (F.lit(start) + F.col("id") * step + horizon).alias("stop"))
 
 
+def covering_folds(spark: SparkSession, start: float, end: float, horizon: float) -> DataFrame:
+    """(fold, start, stop) of the fewest windows of a horizon that leave no time between ``start`` and
+    ``end`` out: the step is the horizon, or less where the last one would run beyond the end."""
+    n = int(np.ceil((end - start) / horizon - 1e-9))
+    if end - start < horizon:
+        return folds(spark, start, start, horizon, horizon)
+    return folds(spark, start, end, (end - start - horizon) / (n - 1) if n > 1 else horizon, horizon)
+
+
 def walk_forward(cells: DataFrame, sample: DataFrame, etas: Etas, windows: DataFrame, reference: float, region_km2: float) -> DataFrame:
     """(fold, cell_id, rate, reference_rate, probability) for every cell of every (fold, start, stop).
 

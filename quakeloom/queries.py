@@ -609,21 +609,28 @@ def omori_weighted(spark, sf_dir):
     return rounded(issuance.weighted_parameters(omori_families(spark, sf_dir)))
 
 
+def replayed(ev: DataFrame) -> DataFrame:
+    ranked = seismicity.running_rank(ev.select("source_id", "event_id", F.struct("available_at", "event_id").alias("o")), "o")
+    return ranked.select("source_id", "event_id", F.col("rank").alias("step"))
+
+
 @query("with ev as ({ev}) select source_id, event_id, row_number() over (order by available_at, event_id) as step from ev where event_time < timestamp '2024-01-03 00:00:00'")
 def replay_order(spark, sf_dir):
     """Events in the order in which they became known, numbered without one task holding all."""
     ev = catalog(spark, sf_dir).where(F.col("event_time") < at("2024-01-03 00:00:00"))
-    ranked = seismicity.running_rank(ev.select("source_id", "event_id", F.struct("available_at", "event_id").alias("o")), "o")
-    return ranked.select("source_id", "event_id", F.col("rank").alias("step"))
+    return replayed(ev)
 
 
-@complete_too
-@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, f(fold, start, stop) as (values (0, 10::double, 13::double), (1, 15, 18), (2, 20, 23)), fed as (select fold, latitude, longitude, 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')}) as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from f join s on t_days < start), part as (select fold, cell_id, sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) as fed from (select fold, cell_id, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell, fed) group by 1, 2), rate as (select f.fold, cell.cell_id, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) as base, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) + coalesce(fed, 0) * area_km2 as rate from cell cross join f left join part on part.fold = f.fold and part.cell_id = cell.cell_id), seen as (select fold, 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from s join f on t_days >= start and t_days < stop group by 1, 2), x as (select rate.*, coalesce(n, 0) as n from rate left join seen using (fold, cell_id)) select fold::int as fold, sum(n)::bigint as events, round(sum(rate), 5) as expected, round(avg(power(1 - exp(-rate) - case when n > 0 then 1 else 0 end, 2)), 6) as brier, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)), 4) as log_likelihood, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)) - sum(n * ln(greatest(base, 1e-12)) - base - lgamma(n + 1)), 4) as gain from x group by 1")
-def walk_forward_scores(spark, sf_dir, least=4.5):
-    """Forecasts of every fold from what came before it, scored on what followed, in one job."""
+@query("with ev as ({ev}) select source_id, event_id, row_number() over (order by available_at, event_id) as step from ev")
+def replay_order_whole(spark, sf_dir):
+    """``replay_order`` of every event."""
+    return replayed(catalog(spark, sf_dir))
+
+
+def fold_scores(spark: SparkSession, sf_dir: str, windows: DataFrame, least: float) -> DataFrame:
+    """Scores of every fold of (fold, start, stop), in one job."""
     cells = grid.cells(spark, *GRID)
     region = cells.agg(F.sum("area_km2")).first()[0]
-    windows = forecasting.folds(spark, 10.0, 23.0, 5.0, 3.0)
     s = sample(spark, sf_dir, least)
     rates = forecasting.walk_forward(cells, s, ETAS, windows, least, region)
     where = grid.point_to_cell(F.col("latitude"), F.col("longitude"), *GRID)
@@ -634,6 +641,24 @@ def walk_forward_scores(spark, sf_dir, least=4.5):
     return scores.select("fold", "events", F.round("expected", 5).alias("expected"), r6("brier").alias("brier"), F.round("log_likelihood", 4).alias("log_likelihood"), F.round(gain, 4).alias("gain"))
 
 
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, f(fold, start, stop) as (values (0, 10::double, 13::double), (1, 15, 18), (2, 20, 23)), fed as (select fold, latitude, longitude, 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')}) as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from f join s on t_days < start), part as (select fold, cell_id, sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) as fed from (select fold, cell_id, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell, fed) group by 1, 2), rate as (select f.fold, cell.cell_id, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) as base, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) + coalesce(fed, 0) * area_km2 as rate from cell cross join f left join part on part.fold = f.fold and part.cell_id = cell.cell_id), seen as (select fold, 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from s join f on t_days >= start and t_days < stop group by 1, 2), x as (select rate.*, coalesce(n, 0) as n from rate left join seen using (fold, cell_id)) select fold::int as fold, sum(n)::bigint as events, round(sum(rate), 5) as expected, round(avg(power(1 - exp(-rate) - case when n > 0 then 1 else 0 end, 2)), 6) as brier, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)), 4) as log_likelihood, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)) - sum(n * ln(greatest(base, 1e-12)) - base - lgamma(n + 1)), 4) as gain from x group by 1")
+def walk_forward_scores(spark, sf_dir):
+    """Forecasts of three folds from what came before them, scored on what followed; see its complete form."""
+    return fold_scores(spark, sf_dir, forecasting.folds(spark, 10.0, 23.0, 5.0, 3.0), 4.5)
+
+
+@query()
+def walk_forward_scores_complete(spark, sf_dir):
+    """Folds of three days without a gap, from the tenth day after the first event to the last one, on
+    every event at or above the catalog's magnitude of completeness."""
+    t = seismicity.days_since(F.col("event_time"), at(ORIGIN))
+    ends = catalog(spark, sf_dir).agg(F.min(t).alias("first"), F.max(t).alias("last")).first()
+    if ends[0] is None:
+        return fold_scores(spark, sf_dir, forecasting.covering_folds(spark, 0.0, 0.0, 3.0), completeness(spark, sf_dir))
+    windows = forecasting.covering_folds(spark, ends[0] + 10.0, ends[1] + 1 / 86400, 3.0)
+    return fold_scores(spark, sf_dir, windows, completeness(spark, sf_dir))
+
+
 @query(f"with ev as ({{ev}}), {LATEST}, art as (select event_id, sha256(coalesce(props, '')) as artifact from events), src as (select distinct source_id, " + PRIORITY + " as priority from ev) select l.source_event_key, l.event_id, src.priority::int as priority, art.artifact from latest l join src using (source_id) join art using (event_id)")
 def revision_provenance(spark, sf_dir):
     """Latest revisions with their source's priority and their raw artifact."""

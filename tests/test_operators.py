@@ -253,6 +253,24 @@ def test_simulated_catalogs_counts_small_parents(spark):
     assert queries.QUERIES["simulated_catalogs"](spark, sf).first()["mean"] > 0.95 * first
 
 
+def test_folds_cover_the_catalog(spark):
+    for start, end in ((10.0, 30.0), (10.0, 13.0), (0.0, 92.9), (5.0, 14.0)):
+        f = forecasting.covering_folds(spark, start, end, 3.0).orderBy("fold").toPandas()
+        assert f.start[0] == start and abs(f.stop.iloc[-1] - end) < 1e-9 and len(f) == math.ceil((end - start) / 3)
+        assert (f.start.to_numpy()[1:] <= f.stop.to_numpy()[:-1] + 1e-9).all()
+    assert forecasting.covering_folds(spark, 10.0, 12.0, 3.0).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_whole_catalog_is_replayed_and_scored(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["replay_order_whole"](spark, sf)
+    assert got.count() == queries.catalog(spark, sf).count() == got.select("step").distinct().count()
+    s = queries.sample(spark, sf, queries.completeness(spark, sf)).withColumn("cell", grid.point_to_cell(F.col("latitude"), F.col("longitude"), *queries.GRID))
+    first = queries.sample(spark, sf, -1.0).agg(F.min("t_days")).first()[0]
+    assert queries.QUERIES["walk_forward_scores_complete"](spark, sf).agg(F.sum("events")).first()[0] >= s.where(F.col("t_days") >= first + 10.5).where("cell is not null").count() > 0
+
+
 def test_scores_by_hand(spark):
     rows = [(1, 1, 0.9, 1.0, 0.5), (2, 0, 0.2, 0.3, 0.5), (3, 1, 0.6, 0.8, 0.5), (4, 0, 0.6, 0.4, 0.5)]
     df = spark.createDataFrame(rows, "id long, observed int, probability double, rate double, reference_rate double").withColumn("g", F.lit(1))
