@@ -1,5 +1,6 @@
 """Claims about single operators: golden values, refusals, recovery, edge cases."""
 
+import inspect
 import io
 import math
 import os
@@ -107,6 +108,25 @@ def test_linkage_needs_another_source(spark):
     assert len(set(got.values())) == 2 and got[1] != got[3] and got[2] in (got[1], got[3])
 
 
+def test_linkage_settles_in_rounds(spark):
+    r = np.random.default_rng(12)
+    t0, n = pd.Timestamp("2024-01-01"), 160
+    p = pd.DataFrame({"event_id": range(n), "source_id": r.choice(list("xyz"), n), "s": r.uniform(0, 400, n), "latitude": r.normal(0, 0.01, n), "longitude": 0.0, "magnitude": 5.0, "later": r.integers(0, 40, n)})
+    p["event_time"], p["available_at"] = t0 + pd.to_timedelta(p.s, unit="s"), t0 + pd.to_timedelta(p.later, unit="h")
+    df = spark.createDataFrame(p.drop(columns=["s", "later"])).withColumn("depth_km", F.lit(None).cast("double"))
+    assert "applyInPandas" not in inspect.getsource(linkage.canonical_events)  # no component goes to one task
+    near = {}
+    for x in linkage.link_candidates(df, df.withColumnRenamed("event_id", "other_id")).where("event_id <> other_id and decision = 'auto_match'").collect():
+        near.setdefault(x.event_id, []).append((x.probability, x.other_id))
+    home, sources = {}, {}
+    for x in p.sort_values(["available_at", "event_id"]).itertuples():
+        free = sorted((-q, home[o]) for q, o in near.get(x.event_id, ()) if o in home and x.source_id not in sources[home[o]])
+        home[x.event_id] = free[0][1] if free else x.event_id
+        sources.setdefault(home[x.event_id], set()).add(x.source_id)
+    got = linkage.canonical_events(df).collect()
+    assert len(near) > 100 and len(got) == n and {g.event_id: g.canonical_id for g in got} == home
+
+
 def test_declustering(spark):
     r = np.random.default_rng(3)
     t0 = pd.Timestamp("2024-01-01")
