@@ -126,6 +126,46 @@ def test_samples_match_brute_force():
         assert abs(weighted[path] / n - 1) < 0.1  # inclusion scores make the sample unbiased
 
 
+def test_very_long_words_and_neighbours():
+    """A word of 300 kB goes position by position; a row's samples do not depend on rows beside it."""
+    import sentencepiece
+
+    v = sampling.vocabulary(public.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(1)
+    long = r.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8), 300_000).tobytes()
+    rows = [b"the cat sat on the mat", long, b"", long[:5000] + b" and more", "日本語のテキスト".encode()]
+    keys = sampling.mix64(np.arange(len(rows), dtype=np.uint64))
+
+    def samples(some):
+        data = [rows[i] for i in some]
+        s = sampling.Sampler(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]), keys[some], v)
+        out = collections.defaultdict(list)
+        for which, p, logp, key, score in s.run(2):
+            ids = s.ids(p)
+            for j, i in enumerate(which):
+                out[some[i]].append((ids[p.first[j] : p.first[j + 1]].tolist(), logp[j], score[j]))
+        return out
+
+    together, alone = samples(list(range(len(rows)))), {i: samples([i])[i] for i in range(len(rows))}
+    decoder = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    for i, text in enumerate(rows):
+        assert len(together[i]) == len(alone[i])
+        for (ids, logp, score), (ids2, logp2, score2) in zip(together[i], alone[i], strict=True):
+            assert ids == ids2 and abs(logp - logp2) < 1e-6 * max(1, abs(logp)) and abs(score - score2) < 1e-5
+            assert b"".join(v.bytes[k] for k in ids) == b" " + text
+            assert decoder.decode(ids) == text.decode()  # an independent decoder
+        assert len({tuple(ids) for ids, *_ in together[i]}) == len(together[i])
+
+
+def test_positions_one_by_one_match_arrays(monkeypatch):
+    v = sampling.vocabulary(public.path("piece_bpe_32k.model"))
+    data = np.frombuffer(b" segmentation" + "ß𝄞x".encode() + b"zqzqzq" * 9, np.uint8)
+    whole = sampling.Lattice.build(data, np.array([0]), np.array([len(data)]), v)
+    monkeypatch.setattr(sampling, "LONG", 3)
+    single = sampling.Lattice.build(data, np.array([0]), np.array([len(data)]), v)
+    assert np.allclose(whole.share, single.share, atol=1e-5) and (whole.piece == single.piece).all()
+
+
 def test_all_segmentations_of_a_short_text():
     v = sampling.vocabulary(public.path("piece_bpe_32k.model"))
     s = sampling.Sampler(np.frombuffer(b"a", np.uint8), np.array([0, 1]), sampling.mix64(np.zeros(1, np.uint64)), v)
