@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpointing import materialize
 from .textops import slices
 
 #: Payload bytes of one package, about.
@@ -127,7 +128,7 @@ def sha1_base32(hexadecimal: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def warc_record(kind: str, uri: str, page_id: int, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
+def warc_record(kind: str, uri: str, page_id: int | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
     """One record; a revisit keeps the HTTP headers, with the payload's length, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
@@ -155,13 +156,14 @@ def _one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def package(records: list[tuple[str, str, int, bytes, int, str, int | None]]) -> bytes:
+def package(records: list[tuple[str, str, int | None, bytes, int, str, int | None]]) -> bytes:
     data, index, at = [], [], 0
     for kind, uri, page_id, payload, length, digest, refers_to in records:
         squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
         raw = squeeze.compress(warc_record(kind, uri, page_id, payload, length, digest, refers_to)) + squeeze.flush()
         entry = {"url": uri, "mime": "warc/revisit" if kind == "revisit" else "text/html", "digest": sha1_base32(digest), "offset": str(at), "length": str(len(raw)), "filename": DATA.rpartition("/")[2]}
-        index.append(f"{page_id:020d} {_DATE[:4]}0101000000 {json.dumps(entry)}\n".encode())
+        key = "-" * 20 if page_id is None else f"{page_id:020d}"
+        index.append(f"{key} {_DATE[:4]}0101000000 {json.dumps(entry)}\n".encode())
         data.append(raw)
         at += len(raw)
     return zip_stored([(DATA, b"".join(data)), (INDEX, b"".join(sorted(index)))])
@@ -187,12 +189,17 @@ def write_packages(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """(name, content): ``pages`` (page_id, url, html) as packages of WARC records.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of ``min_bytes`` or more the
-    one with the largest page_id is a response and the others are revisits that refer to it; which
-    they are is found on digests alone, before the one shuffle-free pass that writes."""
-    sized = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    one with the largest page_id is a response and the others are revisits that refer to it (repeated
+    rows of that page_id are responses too). Which they are is found on digests alone: pages below
+    ``min_bytes`` are written where they lie, and so are the others as long as Spark broadcasts the
+    repeated digests, by the size of their table; beyond that size pages meet their digest in one
+    shuffle. A null page_id is smaller than any other, and is written as a record without a number."""
+    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     sized = sized.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
-    copies = sized.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = sized.join(copies.withColumnRenamed("digest", "copied"), (sized.digest == F.col("copied")) & (sized.bytes >= min_bytes), "left").select("page_id", "url", "html", "digest", "keeper")
+    large = sized.where(F.col("bytes") >= min_bytes)
+    copies = large.groupBy(F.col("digest").alias("copied")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = large.join(materialize(copies, "copies"), F.col("digest") == F.col("copied"), "left").select("page_id", "url", "html", "digest", "keeper")
+    joined = joined.union(sized.where(F.col("bytes") < min_bytes).select("page_id", "url", "html", "digest", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,27 +215,56 @@ def write_packages(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return joined.mapInArrow(run, "name string, content binary")
 
 
+_RECORDS = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+_RECORDS_DDL = "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+
+
+def _records(read_at: ReadAt, size: int) -> Iterator[pa.RecordBatch]:
+    """A package's records in batches of about ``PACKAGE_BYTES`` of payload."""
+    rows, held = [], 0
+    for warc, http, payload in read_package(read_at, size):
+        digest = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
+        full = warc["warc-type"] == "response"
+        if full and hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError(f"payload of page {warc['warc-page-id']} does not match its digest")
+        page, refers = warc["warc-page-id"], warc.get("warc-refers-to-page-id")
+        rows.append((None if page == "None" else int(page), warc["warc-target-uri"], warc["warc-type"], int(refers) if refers else None, len(payload) if full else int(http["content-length"]), digest, payload if full else None))
+        held += len(payload)
+        if held >= PACKAGE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
+
+
 def read_packages(packages: DataFrame) -> DataFrame:
     """(page_id, uri, record_type, refers_to, payload_bytes, digest, payload) of every record in
-    ``packages`` (content, more columns are ignored). A revisit's payload is null and its length is
-    that of its HTTP header; a payload is checked against the digest in its record."""
+    ``packages`` (content, more columns are ignored; a null content has none). A revisit's payload is
+    null and its length is that of its HTTP header; a payload is checked against the digest in its
+    record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         for b in batches:
             for cell in b.column(0):
-                if not cell.is_valid:
-                    continue
-                view = memoryview(cell.as_buffer())
-                rows = []
-                for warc, http, payload in read_package(lambda at, n, view=view: bytes(view[at : at + n]), len(view)):
-                    digest = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
-                    full = warc["warc-type"] == "response"
-                    if full and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of page {warc['warc-page-id']} does not match its digest")
-                    page, refers = warc["warc-page-id"], warc.get("warc-refers-to-page-id")
-                    rows.append((None if page == "None" else int(page), warc["warc-target-uri"], warc["warc-type"], int(refers) if refers else None, len(payload) if full else int(http["content-length"]), digest, payload if full else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return packages.select("content").mapInArrow(run, "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+                if cell.is_valid:
+                    view = memoryview(cell.as_buffer())
+                    yield from _records(lambda at, n, view=view: bytes(view[at : at + n]), len(view))
+
+    return packages.select("content").mapInArrow(run, _RECORDS_DDL)
+
+
+def read_package_files(paths: DataFrame) -> DataFrame:
+    """The same records of packages that lie as files, from their ``path``: a local path, or a URI of a
+    store that Arrow's file systems open. Only the directory, the index and the records' own ranges are
+    read, so a package may be larger than a task's memory. Null paths have no records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for path in b.column(0).drop_null().to_pylist():
+                store, inner = fs.FileSystem.from_uri(path)
+                with store.open_input_file(inner) as f:
+                    yield from _records(lambda at, n, f=f: f.read_at(n, at), f.size())
+
+    return paths.select("path").mapInArrow(run, _RECORDS_DDL)

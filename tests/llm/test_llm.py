@@ -209,6 +209,28 @@ def test_warc_packages(spark):
     assert warczip.read_packages(warczip.write_packages(pages.where("false"))).count() == 0
 
 
+def test_warc_null_ids_and_repeated_rows(spark):
+    long = "x" * 1200
+    pages = spark.createDataFrame([(None, "u", long), (None, "v", None), (-7, "u", long), (9, "u", long), (9, "u", long), (None, None, "y" * 1500)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warczip.read_packages(warczip.write_packages(pages)).collect()), key=repr)
+    assert got == sorted([(None, 1200, "revisit", 9), (None, 0, "response", None), (-7, 1200, "revisit", 9), (9, 1200, "response", None), (9, 1200, "response", None), (None, 1500, "response", None)], key=repr)
+
+
+def test_warc_files_by_ranges(spark, tmp_path):
+    """Records of a package file are read by their own ranges."""
+    rows = [("response", f"http://h/{k}", k, bytes([65 + k]) * 50_000, 50_000, hashlib.sha1(bytes([65 + k]) * 50_000).hexdigest(), None) for k in range(4)]
+    (tmp_path / "a.wacz").write_bytes(warczip.package(rows))
+    got = warczip.read_package_files(spark.createDataFrame([(str(tmp_path / "a.wacz"),), (None,)], "path string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, bytes(r.payload)[:1]) for r in got) == [(k, 50_000, bytes([65 + k])) for k in range(4)]
+    raw, reads = warczip.package(rows), []
+
+    def read_at(at, n):
+        reads.append(n)
+        return raw[at : at + n]
+
+    assert len(list(warczip.read_package(read_at, len(raw)))) == 4 and max(reads[1:]) < len(raw)
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_directories(wide):
     raw = warczip.zip_stored([("a.txt", b"hello"), ("dir/é.bin", bytes(1000))], zip64=wide)
