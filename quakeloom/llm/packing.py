@@ -11,6 +11,7 @@ length, which is counted in two levels so that a common length is spread over ma
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,19 +34,27 @@ _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 
+def starts_at_single_spaces(model: dict) -> bool:
+    """Whether a tokenizer (its JSON) starts a new token at every single space before a non-space: the
+    byte-level pattern does, if nothing changes the text before it."""
+    pre = model.get("pre_tokenizer") or {}
+    return model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+
+
 class Encoder:
     """Token ids of whole texts, by the tokenizer's own encoding of each distinct part.
 
-    The vocabulary's pattern starts a new token at every single space before a non-space, so the
-    parts between such spaces can be encoded apart; each distinct part is encoded once and
-    remembered."""
+    Where the tokenizer's pattern starts a new token at every single space before a non-space, the
+    parts between such spaces are encoded apart, and each distinct part once. A text that holds one
+    of the tokenizer's added tokens, or any text of a tokenizer with another pattern, is one part."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._end = end_id
+        self._parts = starts_at_single_spaces(json.loads(self._tokenizer.to_str()))
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
         self._forget()
 
     def _forget(self) -> None:
@@ -89,7 +98,9 @@ class Encoder:
         at: list[int] = []
         bounds = [0]
         for text in texts:
-            if text:
+            if text and (not self._parts or any(t in text for t in self._added)):
+                at.append(self._heads[text])
+            elif text:
                 first, *more = _CUT.split(text) if _ODD.search(text) else text.split(" ")
                 at.append(self._heads[first])
                 at.extend(map(self._rest.__getitem__, more))
@@ -210,11 +221,13 @@ def assign(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Pieces of 1 to ``window`` tokens; a sequence's pieces lie at offsets from 0 without gaps."""
     pieces = pieces.drop("sequence_id", "offset")
-    held = materialize(pieces, "pieces")
-    buckets = held.count() // BUCKET_ROWS + 1
-    held = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    sizes = materialize(held.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")
-    plan = held.sparkSession.sparkContext.broadcast(minimum_bin_slack({r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window))
+    spark, held = pieces.sparkSession, materialize(pieces, "pieces")
+    counts = {r.length: r.n for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = spark.sparkContext.broadcast(minimum_bin_slack(counts, window))
+    # only common lengths are dealt to more than one bucket: at most window + pieces / BUCKET_ROWS in all
+    dealt = spark.createDataFrame([(k, n // BUCKET_ROWS + 1) for k, n in counts.items()], "length long, buckets long")
+    held = held.join(F.broadcast(dealt), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets")).cast("int")).drop("buckets")
+    sizes = held.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("head"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")

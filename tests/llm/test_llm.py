@@ -365,8 +365,7 @@ def test_minhash_null_ids(spark, docs):
 def test_packing(spark, docs, empty):
     path = public.path("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["it's  a\n\n b", " lead", "trail ", "a\tb \t c", "<|endoftext|> x", "don't!! 'll", " x  y", "\r\n \r\n"]
+    odd = ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>  \n", "<|endoftext", "it's  a\n\n b", " lead", "trail ", "a\tb \t c", "<|endoftext|> x", "don't!! 'll", " x  y", "\r\n \r\n"]
     df = docs.union(spark.createDataFrame([(1000 + k, x, None, None, None, None) for k, x in enumerate(odd)], SCHEMA))
     p = packing.pack(df.withColumn("offset", F.lit(1)), path).toPandas()
     texts = dict(enumerate(TEXTS)) | {1000 + k: x for k, x in enumerate(odd)}
@@ -381,6 +380,37 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_other_pre_tokenizers_encode_whole_texts(tmp_path):
+    t = tokenizers.Tokenizer(tokenizers.models.BPE({"a": 0, " ": 1, "b": 2, "end": 3, "a b": 4, "a ": 5}, [("a", " "), ("a ", "b")]))
+    t.save(str(tmp_path / "t.json"))
+    ids, offs = packing.Encoder(str(tmp_path / "t.json"), 3).encode(["a b", "b a", ""])
+    assert ids.tolist() == [4, 3, 2, 1, 0, 3, 3] and offs.tolist() == [0, 2, 6, 7]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_packing_query(spark):
+    """Every column of the query against the plain tokenizer, whole table."""
+    import zlib
+
+    from quakeloom.llm.queries import op6_bin_slack_packing
+
+    sf = "/root/testdata/sf0.01"
+    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    got = op6_bin_slack_packing(spark, sf).toPandas()
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    by = dict(tuple(got.groupby("doc_id")))
+    for doc, text in zip(docs.doc_id, docs.text, strict=True):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        g = by[doc].sort_values("start")
+        assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids) and (g.doc_tokens == len(ids)).all()
+        assert g.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g.start, g.length, strict=True)]
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+    assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
+    assert got.length.sum() / (2048 * got.sequence_id.nunique()) > 0.98
+
+
 def test_minimum_bin_slack_against_brute_force():
     r = np.random.default_rng(6)
     for _ in range(60):
