@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles (out-of-place distance).
 
 Letters are lower-cased; any other character ends a word, and a word is padded with one boundary on
-each side. N-grams of one to three letters, with a boundary only at an end, are counted per
+each side. N-grams of one to three letters, with a boundary at one end at most, are counted per
 document; a language's profile is the ranking of the most frequent n-grams of all its training
 documents. A document's own most frequent n-grams are compared with each profile by the sum of
 their distances in rank, an n-gram that a profile lacks counting the largest distance.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpointing import materialize
@@ -69,8 +69,9 @@ def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def train_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles by language from (text, lang) rows; null languages teach nothing.
 
-    Counts cover all rows and are summed on the cluster; what reaches the driver is ``size``
-    n-grams for each language."""
+    Counts cover all rows and are summed on the cluster; each language's are ranked by a window whose
+    limit Spark applies before the shuffle, so what reaches a task or the driver is about ``size``
+    n-grams for each language. A text without a letter teaches nothing, nor does its language's name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -97,11 +98,12 @@ def train_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
 
     counted = labelled.where("lang is not null").select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, gram long, n long")
     summed = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngram-counts")
-    best = {}
-    for row in summed.select("lang").distinct().collect():
-        # packed n-grams are unsigned: those with the top bit come last, as in a document's own ranking
-        first = summed.where(F.col("lang") == row.lang).orderBy(F.desc("n"), F.col("gram") < 0, "gram").limit(size)
-        best[row.lang] = np.array([r.gram for r in first.collect()], np.int64).astype(np.uint64)
+    # packed n-grams are unsigned: those with the top bit come last, as in a document's own ranking
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")
+    ranked = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    best: dict[str, np.ndarray] = {}
+    for lang, g in ranked.select("lang", "gram", "rank").toPandas().groupby("lang"):
+        best[lang] = g.sort_values("rank").gram.to_numpy().astype(np.uint64)
     return best
 
 

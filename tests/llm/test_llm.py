@@ -521,6 +521,41 @@ def test_language_ranks_and_edges(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, langid.train_profiles(empty)).collect()} == {"und"}
 
 
+def word_grams(text):
+    """N-grams of one to three letters of a text's padded words, with their counts."""
+    out = collections.Counter()
+    for w in "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split():
+        w = f"_{w}_"
+        out.update(x for n in (1, 2, 3) for k in range(len(w) + 1 - n) if (x := w[k : k + n]).strip("_") and x.count("_") < 2)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_language_distances_match_brute_force(spark):
+    """The whole query against profiles and out-of-place distances in plain Python."""
+    import zlib
+
+    from quakeloom.llm.queries import op10_language_id
+
+    docs = pd.read_parquet(f"{SF.replace('0.01', '0.001')}/documents.parquet")
+    rank = lambda n: (-n[1], len(n[0]) == 2, [0 if c == "_" else ord(c) for c in n[0].rjust(3, "_")])
+    best = lambda c: [g for g, _ in sorted(c.items(), key=rank)[: langid.PROFILE]]
+    counts = {i: word_grams(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    taught = collections.defaultdict(collections.Counter)
+    for i, lang in zip(docs.doc_id, docs.lang, strict=True):
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            taught[lang].update(counts[i])
+    profiles = {k: {g: r for r, g in enumerate(best(c))} for k, c in taught.items()}
+    for row in op10_language_id(spark, SF.replace("0.01", "0.001")).collect():
+        mine = best(counts[row.doc_id])
+        if not mine:
+            assert row.lang_pred == "und" and row.score == 0
+            continue
+        apart = {k: sum(abs(p[g] - r) if g in p else langid.PROFILE for r, g in enumerate(mine)) for k, p in profiles.items()}
+        assert row.lang_pred == min(sorted(apart), key=apart.get)
+        assert abs(row.score - (1 - min(apart.values()) / (langid.PROFILE * len(mine)))) < 1e-12
+
+
 # --- op 9 -----------------------------------------------------------------------------------------
 
 
