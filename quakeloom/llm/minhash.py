@@ -67,8 +67,17 @@ def minhash(s: np.ndarray, coordinates: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+#: A null doc_id in keys of joins; rows are told apart by their text's hash besides.
+_NO_ID = -(2**63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``k`` and ``h``, which tell rows of different ids or texts apart."""
+    return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "h": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig): the set's size, 128-bit digest and MinHash signature."""
+    """(doc_id, k, h, n_shingles, d1, d2, sig): the set's size, 128-bit digest and MinHash signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -79,9 +88,10 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
                     d1.append(np.sum(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64).astype(np.int64))
                     d2.append(np.sum(mix64(s + np.uint64(0x0123456789ABCDEF)), dtype=np.uint64).astype(np.int64))
                     sig.append(minhash(s, coordinates).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "k", "h", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    rows = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "k", "h", "text")
+    return rows.mapInArrow(run, "doc_id long, k long, h long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _postings(reps: DataFrame, coordinates: int) -> DataFrame:
@@ -127,14 +137,14 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles): the full sets, as packed unsigned 64-bit hashes, of the documents in ``wanted``."""
+    """(rep, shingles): the full sets, as packed unsigned 64-bit hashes, of the rows in ``wanted`` (rep, k, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(batch, width)], pa.binary())], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch, width)], pa.binary())], ["rep", "shingles"])
 
-    chosen = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    chosen = keyed(docs).join(wanted, ["k", "h"]).dropDuplicates(["k", "h"]).select("rep", "text")
     return chosen.mapInArrow(run, "rep long, shingles binary")
 
 
@@ -187,19 +197,15 @@ def _possible(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text; more columns are ignored).
+def _classes(docs: DataFrame, width: int, percent: int, coordinates: int, matches: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): a (doc_id, k, h, n_shingles, d1, d2) per row of ``docs``, and of each class of equal
+    sets its group ``g`` of linked classes and the smallest doc_id of that group.
 
-    Words are runs of non-space bytes with A-Z lower-cased; a document's set holds its distinct
-    ``width``-word shingles, or its whole sequence if it has fewer words. Documents with equal sets
-    are one class, whose smallest doc_id stands for it in the join. A null, empty or blank text has
-    an empty set, links with nothing and is kept. Repeated rows get the same answer; a row without
-    a doc_id is answered from its class, and is not kept.
-    """
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = materialize(signatures(whole, width, coordinates), "signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(sigs.where("n_shingles > 0").join(classes.select("rep"), sigs.doc_id == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("sig").alias("sig")), "reps")
+    A class goes by the number of one of its rows, so rows may share an id or lack one."""
+    rows = materialize(signatures(docs.select("doc_id", "text"), width, coordinates).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    full = rows.where("n_shingles > 0")
+    classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("rep"))
+    reps = materialize(full.join(classes.select("rep"), full.row == F.col("rep")).select("rep", "k", "h", "sig"), "reps")
     lists = materialize(prefix_lists(reps, coordinates, matches), "lists")
 
     sizes = lists.groupBy("token").agg(F.count("*").alias("n"), F.max_by("rep", F.struct("weight", "rep")).alias("center")).where("n > 1")
@@ -209,16 +215,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     stars = long.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
     near = materialize(_agreeing(pairs.union(stars).distinct(), reps, matches), "near")
     wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(long.select("rep")).distinct()
-    sets = materialize(shingle_table(whole, wanted, width), "sets")
+    sets = materialize(shingle_table(docs, reps.select("rep", "k", "h").join(wanted, "rep"), width), "sets")
     links = materialize(_confirmed(near, sets, percent), "links")
     labels = connected_components(links)
 
     held = long.join(labels, long.rep == labels.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = held.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
-    pool = held.join(mixed, "token", "left_semi").select("rep").distinct()
-    more = materialize(_confirmed(_possible(sets.join(pool, "rep", "left_semi"), labels, percent), sets, percent), "links")
-    labels = connected_components(links.union(more))
+    pool = materialize(held.join(mixed, "token", "left_semi").select("rep").distinct(), "pool")
+    if not pool.isEmpty():
+        more = materialize(_confirmed(_possible(sets.join(pool, "rep", "left_semi"), labels, percent), sets, percent), "links")
+        if not more.isEmpty():
+            labels = connected_components(links.union(more))
+    named = classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "d1", "d2", "first_id", F.coalesce("component", "rep").alias("g"))
+    named = materialize(named, "classes")
+    least = named.groupBy("g").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "k", "h", "n_shingles", "d1", "d2"), named.join(least, "g").drop("first_id")
 
-    named = classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text; more columns are ignored).
+
+    Words are runs of non-space bytes with A-Z lower-cased; a document's set holds its distinct
+    ``width``-word shingles, or its whole sequence if it has fewer words. Documents with equal sets
+    are one class, compared once. A null, empty or blank text has an empty set, links with nothing and
+    is kept. Rows may share a doc_id: each is a document of its own with its own text. Repeated rows
+    get the same answer; a row without a doc_id gets the smallest id it is linked with, or none, and
+    is not kept.
+    """
+    rows, named = _classes(docs, width, percent, coordinates, matches)
+    out = rows.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """One row of each group of near duplicates in ``docs`` (doc_id, text, any more columns).
+
+    The one with the smallest doc_id stays (of several with that id, the one of the smallest text
+    hash); rows without an id come last. Different texts under one id are different documents, and a
+    row with a null, empty or blank text stays."""
+    rows, named = _classes(docs, width, percent, coordinates, matches)
+    mine = rows.where("n_shingles > 0").join(named, ["n_shingles", "d1", "d2"])
+    first = mine.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "k", "h")).alias("one")).select("one.k", "one.h")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    names = [f"`{c}`" for c in docs.columns]
+    kept = keyed(docs.where(worded).withColumnsRenamed({c: f"__{c}" for c in ("k", "h") if c in docs.columns})).join(first, ["k", "h"]).dropDuplicates(["k", "h"])
+    kept = kept.drop("k", "h").withColumnsRenamed({f"__{c}": c for c in ("k", "h") if c in docs.columns})
+    return kept.select(*names).union(docs.where(~worded).select(*names))

@@ -354,9 +354,17 @@ def test_minhash_matches_brute_force(spark, docs, width):
     assert minhash.near_duplicates(df.where("false"), width=width).count() == 0
 
 
-def test_minhash_null_ids(spark, docs):
+def test_minhash_ids_that_repeat_or_lack(spark, docs):
     got = minhash.near_duplicates(docs, width=2).where("doc_id is null").collect()
-    assert len(got) == 1 and not got[0].kept
+    assert len(got) == 1 and not got[0].kept and got[0].component_id is None
+    a, b, c = ("one two three four five six seven eight nine", "red green blue black white grey pink", "up down left right in out over")
+    df = spark.createDataFrame([(5, a, 1, "x"), (5, b, 2, "y"), (5, b, 2, "y"), (3, b + " !", 3, "z"), (None, c, 4, ""), (None, c, 4, ""), (None, a.upper(), 5, ""), (8, "", 6, ""), (8, "", 6, ""), (9, None, 7, "")], "doc_id long, text string, k int, h string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in minhash.near_duplicates(df, width=2, percent=70).collect())
+    assert got == sorted([(5, 8, 5, True), (5, 6, 3, False), (5, 6, 3, False), (3, 7, 3, True), (-1, 6, -1, False), (-1, 6, -1, False), (-1, 8, 5, False), (8, 0, 8, True), (8, 0, 8, True), (9, 0, 9, True)])
+    kept = minhash.drop_near_duplicates(df, width=2, percent=70)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1, r.k) for r in kept.collect()) == [(-1, 4), (3, 3), (5, 1), (8, 6), (8, 6), (9, 7)]
+    assert minhash.drop_near_duplicates(df.where("false")).count() == 0
 
 
 # --- op 6 -----------------------------------------------------------------------------------------
