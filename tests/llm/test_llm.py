@@ -593,6 +593,9 @@ def test_lines_match_brute_force(spark, docs, empty, limit):
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=repr)
     assert got == want
     assert linededup.drop_repeated_lines(empty, broadcast_bytes=limit).count() == 0
+    if not limit:  # shards of common lines in several tasks
+        got = linededup.drop_repeated_lines(df, broadcast_bytes=0, probes=5).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=repr) == want
 
 
 def test_perfect_hash():
