@@ -1,12 +1,13 @@
 """Quality scores from random-indexing word vectors and a small neural network.
 
-Words, numbers and runs of punctuation are hashed to a fixed number of rows. Each row has a sparse
-random index vector; a row's word vector is the sum of the index vectors of its neighbours over the
-whole corpus (random indexing), so it is built by one pass of additions whatever the size of the
-vocabulary. A document's features are the mean of its words' vectors and a few ratios of its own
-(capitals, numbers, punctuation, repeated words, lengths).
-A network of two layers, trained in numpy on a bounded sample of labelled rows, gives a logit, and
-one temperature, fitted on rows kept apart from training, turns it into a probability.
+Every word, number and run of punctuation has a sparse random index vector, made from its hash. A
+word's vector is the sum of the index vectors of its neighbours over the whole corpus (random
+indexing), so it is built by additions alone. Words are counted over all documents first: the most
+frequent ones have a vector each, and what is rarer shares a vector with the words of equal hash.
+A document's features are the mean of its words' vectors and a few ratios of its own (capitals,
+numbers, punctuation, repeated words, lengths). A network of two layers, trained in numpy on a
+bounded sample of labelled rows, gives a logit, and one temperature, fitted on rows kept apart from
+training, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -19,17 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, Spans, slices, string_parts
+from .textops import LOWER, Spans, mix64, slices, string_parts
 
-#: Hashed vocabulary, width of the word vectors and non-zero places of an index vector.
-ROWS, WIDTH, PLACES = 1 << 14, 64, 2
+#: Words with a vector of their own, vectors that rarer words share by hash.
+OWN, SHARED = 1 << 16, 1 << 15
+#: Width of the word vectors and non-zero places of an index vector.
+WIDTH, PLACES = 64, 2
 #: Most labelled rows that a network is trained on, those of the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 #: Rows of word vectors that one record of a partial sum holds.
-BLOCK = 1024
+BLOCK = 4096
 #: Tasks that share the partial sums of a block in the first step.
 SALTS = 4
+#: Distinct words that a task holds before it adds up equal ones.
+HELD_WORDS = 2_000_000
 _SHAPES = 7
 _KIND = np.full(256, 3, np.uint8)  # punctuation
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -39,16 +44,18 @@ _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs) of the sparse ternary index vector of each row."""
-    r = np.random.default_rng(8)
-    return r.integers(0, WIDTH, (ROWS, PLACES)), r.choice([-1.0, 1.0], (ROWS, PLACES))
+def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the sparse ternary index vector of each word, from its hash."""
+    bits = mix64(h ^ np.uint64(0x2545F4914F6CDD1D))
+    shifts = np.uint64(16) * np.arange(PLACES, dtype=np.uint64)
+    part = bits[:, None] >> shifts
+    return (part % np.uint64(WIDTH)).astype(np.int64), np.where(part >> np.uint64(15) & np.uint64(1), 1, -1)
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each token, first token of each document and the total, shape ratios of each document).
+    """(hash of each token, first token of each document and the total, shape ratios of each document).
 
-    A word of two letters or more in capitals only has a row of its own apart from its lower case."""
+    A word of two letters or more in capitals only is another word than its lower case."""
     data, offs = string_parts(batch.column(batch.schema.get_field_index("text")))
     kind = _KIND[data]
     change = np.ones(len(data) + 1, bool)
@@ -60,76 +67,133 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = starts[solid], ends[solid]
     capitals = np.concatenate([[0], np.cumsum(_UPPER[data])])
     shout = (capitals[ends] - capitals[starts] == ends - starts) & (ends - starts > 1)
-    h = Spans(LOWER[data]).hash(starts, ends)
-    row = ((h >> np.uint64(8)) % np.uint64(ROWS // 2)).astype(np.int64) + shout * (ROWS // 2)
+    h = Spans(LOWER[data]).hash(starts, ends) ^ (shout * np.uint64(0x9E3779B97F4A7C15))
     first = np.searchsorted(starts, offs)
     kinds = kind[starts] if len(starts) else np.zeros(0, np.uint8)
     n = np.maximum(np.diff(first), 1)
     per = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[first]) / n
-    again = np.zeros((2, len(row)), bool)
+    again = np.zeros((2, len(h)), bool)
     for lag in (1, 2):
-        again[lag - 1, lag:] = row[lag:] == row[:-lag]
+        again[lag - 1, lag:] = h[lag:] == h[:-lag]
         for k in range(lag):
             again[lag - 1, np.minimum(first[:-1] + k, first[1:] - 1)[np.diff(first) > 0]] = False
     shapes = np.stack([per(shout), per(kinds == 2), per(kinds == 3), per(again[0]), per(again[1]), per((ends - starts) * (kinds == 1)) / 10, np.log1p(np.diff(first)) / 10], axis=1)
-    return row, first, shapes
+    return h, first, shapes
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(ROWS, WIDTH) word vectors of unit length from all rows of ``docs``.
+@dataclass
+class WordVectors:
+    """Hashes of the words with a vector of their own, in order, and unit vectors: theirs, then the shared ones."""
+
+    words: np.ndarray
+    vectors: np.ndarray
+
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        return word_rows(h, self.words)
+
+
+def word_rows(h: np.ndarray, words: np.ndarray, shared: int = SHARED) -> np.ndarray:
+    """The row of each word: its own, or one that it shares."""
+    out = len(words) + ((h >> np.uint64(8)) % np.uint64(shared)).astype(np.int64)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        out = np.where(words[at] == h, at, out)
+    return out
+
+
+def frequent_words(docs: DataFrame, most: int = OWN) -> np.ndarray:
+    """Hashes of the ``most`` most frequent words of all rows, in order; ties go to the smaller hash.
 
-    A task adds up its partition; the sums of tasks are added by blocks of rows in two shuffled
-    steps, so that no task reads more than its share. The driver gets one fixed-size matrix."""
+    Tasks add up their own counts before the shuffle; the driver gets ``most`` numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        total = np.zeros(ROWS * WIDTH)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return u, np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
+
         for whole in batches:
             for batch in slices(whole):
-                row, first, _ = tokens(batch)
-                pair = np.ones(max(len(row) - 1, 0), bool)
+                parts.append(np.unique(tokens(batch)[0], return_counts=True))
+                held += len(parts[-1][0])
+                if held > HELD_WORDS:
+                    u, n = merged()
+                    if len(u) > HELD_WORDS // 2:  # mostly distinct words: hand them on
+                        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n)], ["h", "n"])
+                        u, n = u[:0], n[:0]
+                    parts, held = [(u, n)], len(u)
+        if parts:
+            u, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n)], ["h", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    best = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas()
+    return np.sort(best.h.to_numpy(np.int64).astype(np.uint64))
+
+
+def word_vectors(docs: DataFrame, own: int = OWN) -> WordVectors:
+    """Word vectors of unit length from all rows of ``docs``.
+
+    A task adds up its partition in whole numbers; the sums of tasks are added by blocks of rows in two
+    shuffled steps, so that no task reads more than its share. The driver gets one fixed-size matrix."""
+    words = frequent_words(docs, own)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+    blocks = -(-(len(words) + SHARED) // BLOCK)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(blocks * BLOCK * WIDTH, np.int64)
+        for whole in batches:
+            for batch in slices(whole):
+                h, first, _ = tokens(batch)
+                row, (places, signs) = word_rows(h, held.value), index_vectors(h)
+                pair = np.ones(max(len(h) - 1, 0), bool)
                 inner = first[1:-1]
-                pair[inner[(inner > 0) & (inner < len(row))] - 1] = False
-                left, right = row[:-1][pair], row[1:][pair]
-                for a, b in ((left, right), (right, left)):
+                pair[inner[(inner > 0) & (inner < len(h))] - 1] = False
+                left = np.flatnonzero(pair)
+                for a, b in ((left, left + 1), (left + 1, left)):
                     for k in range(PLACES):
-                        total += np.bincount(a * WIDTH + places[b, k], signs[b, k], ROWS * WIDTH)
-        yield from packed(total.reshape(-1, BLOCK * WIDTH), range(ROWS // BLOCK))
+                        np.add.at(total, row[a] * WIDTH + places[b, k], signs[b, k])
+        yield from packed(total.reshape(blocks, -1), range(blocks))
 
-    def packed(sums: np.ndarray, blocks) -> Iterator[pa.RecordBatch]:
-        for k, x in zip(blocks, sums, strict=True):
+    def packed(sums: np.ndarray, which) -> Iterator[pa.RecordBatch]:
+        for k, x in zip(which, sums, strict=True):
             if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["block", "sums"])
+                kind = next(t for t in ("<i2", "<i4", "<i8") if np.abs(x).max() <= np.iinfo(t).max)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(kind).tobytes()], pa.binary())], ["block", "sums"])
+
+    def opened(raw) -> np.ndarray:
+        return np.frombuffer(raw, f"<i{len(raw) // (BLOCK * WIDTH)}").astype(np.int64)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        added: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), "<f4").astype(np.float64)
-                held[k] = held[k] + x if k in held else x
-        if held:
-            yield from packed(np.stack(list(held.values())), list(held))
+                x = opened(memoryview(raw.as_buffer()))
+                added[k] = added[k] + x if k in added else x
+        if added:
+            yield from packed(np.stack(list(added.values())), list(added))
 
     schema = "block int, sums binary"
     sums = docs.select("text").mapInArrow(count, schema)
-    blocks = ROWS // BLOCK
-    salted = sums.withColumn("salt", F.floor(F.rand(8) * SALTS).cast("int")).repartition(blocks * SALTS, "block", "salt")
+    salted = sums.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(blocks * SALTS, "block", "salt")
     sums = salted.select("block", "sums").mapInArrow(add, schema).repartition(blocks, "block").mapInArrow(add, schema)
-    out = np.zeros((blocks, BLOCK * WIDTH))
+    out = np.zeros((blocks, BLOCK * WIDTH), np.int64)
     for r in sums.toLocalIterator():
-        out[r.block] += np.frombuffer(bytes(r.sums), "<f4")
-    out = out.reshape(ROWS, WIDTH)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        out[r.block] += opened(bytes(r.sums))
+    out = out.reshape(-1, WIDTH)[: len(words) + SHARED].astype(np.float64)
+    return WordVectors(words, (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
-def pooled(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
+def pooled(batch: pa.RecordBatch, vectors: WordVectors) -> np.ndarray:
     """Features of each row: mean word vector and shape ratios; an empty text has zeros."""
-    row, first, shapes = tokens(batch)
+    h, first, shapes = tokens(batch)
     n = np.diff(first)
-    out = np.zeros((batch.num_rows, vectors.shape[1] + _SHAPES))
+    out = np.zeros((batch.num_rows, WIDTH + _SHAPES))
     full = np.flatnonzero(n)
     if len(full):
-        out[full, :-_SHAPES] = np.add.reduceat(vectors[row], first[:-1][full], axis=0) / n[full, None]
+        out[full, :-_SHAPES] = np.add.reduceat(vectors.vectors[vectors.rows(h)], first[:-1][full], axis=0) / n[full, None]
     out[:, -_SHAPES:] = shapes
     return out
 
@@ -188,16 +252,17 @@ def train_network(x: np.ndarray, y: np.ndarray, apart: np.ndarray, steps: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, own: int = OWN) -> tuple[WordVectors, Network]:
     """Word vectors from all of ``docs`` (text), and a network from ``labels`` (doc_id, quality 0/1).
 
     Labelled rows beyond ``limit`` are left out by a hash of doc_id; a fifth of those taken, by
-    another hash, fits the temperature only. Rows without a label, id or text teach nothing."""
-    vectors = word_vectors(docs)
+    another hash, fits the temperature only. Rows without a label, id or text teach nothing. The
+    ids taken, ``limit`` at most, are broadcast, so texts stay where they lie."""
+    vectors = word_vectors(docs, own)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
     one = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     taken = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").where("text is not null").join(taken, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -209,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[
     return vectors, train_network(x, got.quality.to_numpy(np.float64), got.apart.to_numpy(bool))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
+def score(docs: DataFrame, vectors: WordVectors, net: Network) -> DataFrame:
     """``docs`` with ``score``, the probability of label 1, from the text alone; a null text is as an
     empty one. A column of the input called score is replaced."""
     docs = docs.drop("score")

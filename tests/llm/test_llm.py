@@ -505,6 +505,65 @@ def test_quality_edges(spark, docs, empty):
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality.score(docs, vectors, net).collect())
 
 
+def word_list(text):
+    """Words, numbers and runs of punctuation, as (bytes, whether in capitals only)."""
+    out = []
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0D]+", (text or "").encode()):
+        out.append((w, len(w) > 1 and re.fullmatch(rb"[A-Z]+", w) is not None))
+    return out
+
+
+def test_quality_vectors_and_pooling_match_brute_force(spark, docs):
+    import pyarrow as pa
+
+    texts = [r.text for r in docs.collect()]
+    seen = collections.Counter(x for t in texts for w, shout in word_list(t) for x in [(w.lower(), shout)])
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["text"])
+    hashes = {x: int(quality.tokens(batch([(x[0].upper() if x[1] else x[0]).decode()]))[0][0]) for x in seen}
+    assert len(set(hashes.values())) == len(hashes)
+    most = 20
+    vectors = quality.word_vectors(docs, most)
+    best = sorted(seen, key=lambda x: (-seen[x], np.uint64(hashes[x]).astype(np.int64)))[:most]
+    assert vectors.words.tolist() == sorted(hashes[x] for x in best)
+    row = {x: vectors.words.tolist().index(h) if h in vectors.words else most + (h >> 8) % quality.SHARED for x, h in hashes.items()}
+    index = {x: [a.tolist()[0] for a in quality.index_vectors(np.array([h], np.uint64))] for x, h in hashes.items()}
+    sums = np.zeros((most + quality.SHARED, quality.WIDTH))
+    for t in texts:
+        ws = [(w.lower(), shout) for w, shout in word_list(t)]
+        for a, b in [*zip(ws, ws[1:]), *zip(ws[1:], ws)]:
+            for place, sign in zip(*index[b], strict=True):
+                sums[row[a], place] += sign
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors.vectors, want, atol=1e-6)
+    got = quality.pooled(batch(texts), vectors)
+    for t, x in zip(texts, got, strict=True):
+        ws = word_list(t)
+        n = max(len(ws), 1)
+        assert np.allclose(x[: quality.WIDTH], sum((want[row[w.lower(), s]] for w, s in ws), np.zeros(quality.WIDTH)) / n, atol=1e-4)
+        low = [(w.lower(), s) for w, s in ws]
+        shapes = [sum(s for _, s in ws), sum(w.isdigit() for w, _ in ws), sum(not w[:1].isalnum() and w[0] < 128 for w, _ in ws), sum(a == b for a, b in zip(low, low[1:])), sum(a == b for a, b in zip(low, low[2:])), sum(len(w) for w, _ in ws if w[:1].isalpha() or w[0] >= 128) / 10]
+        assert np.allclose(x[quality.WIDTH :], [*(v / n for v in shapes), np.log1p(len(ws)) / 10])
+
+
+def test_quality_network_in_plain_python():
+    import math
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 5))
+    y = (x[:, 0] * x[:, 1] + 0.3 * r.normal(size=300) > 0).astype(float)
+    apart = np.arange(300) % 5 == 0
+    net = quality.train_network(x, y, apart)
+    for v, p in zip(x[:20], net.probability(x[:20]), strict=True):
+        z = [(a - m) / s for a, m, s in zip(v, net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(z[i] * net.w1[i, j] for i in range(5)) + net.b1[j]) for j in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+        assert abs(p - 1 / (1 + math.exp(-logit / net.temperature))) < 1e-9
+    assert ((net.probability(x) > 0.5) == y)[~apart].mean() > 0.95  # no linear model can do this
+    logit = net.logits(x[apart])
+    loss = lambda t: np.mean(np.logaddexp(0, logit / t) - y[apart] * logit / t)
+    assert loss(net.temperature) <= min(loss(t) for t in (0.3, 0.5, 1.0, 2.0, 4.0, 7.0)) + 1e-3
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_language_held_out(spark):
     from quakeloom.llm.queries import op10_language_id
