@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import re
 import struct
@@ -195,6 +196,27 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicate_embeddings(df.where("false")).count() == 0
 
 
+def test_embeddings_of_any_magnitude_and_ids(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(3, 8))
+    rows = [(1, (v[0] * 1e200).tolist(), "a"), (2, (v[0] * 1e-200).tolist(), "a"), (3, v[0].tolist(), "a"), (4, v[0].tolist(), "b"), (5, (v[1] * 1e307).tolist(), "a"), (None, (v[1] * 3).tolist(), "a"), (7, v[2].tolist(), "a"), (7, (-v[2]).tolist(), "a"), (None, (v[2] * 2).tolist(), "c"), (8, [1e308, -1e308] * 4, "a"), (9, [5e-324, -5e-324] * 4, "a")]
+    got = sorted(((x.vec_id or -1, x.n_links, x.component_id or -1, x.kept) for x in embeddings.near_duplicate_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()))
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (-1, 1, 5, False), (7, 0, 7, True), (7, 0, 7, True), (-1, 0, -1, False), (8, 1, 8, True), (9, 1, 8, False)])
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=(4000, 64))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.98 * x + math.sqrt(1 - 0.98**2) * y
+    (_, a), (_, b) = embeddings.signs(x, 1, 8), embeddings.signs(z, 1, 8)
+    apart = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1)
+    assert (apart <= embeddings.sketch_reach(0.98)).all() and embeddings.sketch_reach(0.98) < 40
+
+
 # --- op 3 -----------------------------------------------------------------------------------------
 
 
