@@ -25,7 +25,8 @@ RATE = 8000
 STEP_BYTES = 1 << 20
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 _SHIFT, _PRECISION = 8, 11
-_VERBATIM, _CONSTANT = -1, -2
+#: Kinds of subframes besides the fixed predictors of order 0 to 4.
+_LPC, _VERBATIM, _CONSTANT = 5, -1, -2
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -114,7 +115,14 @@ def encode(data: np.ndarray, offs: np.ndarray, block: int = BLOCK) -> list[bytes
     s = np.zeros((len(doc), block), np.int32)
     s[inside] = data[(at[:, None] + np.arange(block))[inside]].astype(np.int32) - 128
 
-    # the candidates: the samples themselves, and LPC of order 2
+    # the candidates: the fixed predictor of the smallest residuals, and LPC of order 2
+    fixed, residual, least, step = np.zeros(len(doc), np.int64), s.copy(), np.abs(s).sum(axis=1, dtype=np.int64), s
+    for degree in range(1, 5):
+        step = np.diff(step, axis=1, prepend=np.int32(0))
+        left = np.where(inside & (np.arange(block) >= degree), step, 0)
+        size = np.abs(left).sum(axis=1, dtype=np.int64)
+        better = (size < least) & (n > degree)
+        fixed[better], residual[better], least[better] = degree, left[better], size[better]
     f = s.astype(np.float32)
     r0, r1, r2 = (np.einsum("ij,ij->i", f[:, lag:], f[:, : block - lag]).astype(np.float64) for lag in range(3))
     det = np.where(r0 * r0 - r1 * r1 > 1e-6 * r0 * r0, r0 * r0 - r1 * r1, np.inf)
@@ -123,37 +131,32 @@ def encode(data: np.ndarray, offs: np.ndarray, block: int = BLOCK) -> list[bytes
     guessed = s.copy()
     guessed[:, 2:] -= (coef[:, :1] * s[:, 1:-1] + coef[:, 1:] * s[:, :-2]) >> _SHIFT
     guessed[~inside] = 0
-    costs, params, codes = [], [], []
-    for order, r in ((0, s), (2, guessed)):
-        u = _zigzag(r)
-        u[:, :order] = 0
-        bits, k = _rice_cost(u, n - order)
-        costs.append(np.where(n > order, bits + 18 + 8 * order + (9 + 2 * _PRECISION) * (order == 2), 1 << 60))
-        params.append(k)
-        codes.append(u)
-    costs.append(8 * n + 8)
-    kind = np.array([0, 2, _VERBATIM])[np.stack(costs).argmin(axis=0)]
-    lpc = kind == 2
-    k = np.where(lpc, params[1], params[0])
-    u = np.where(lpc[:, None], codes[1], codes[0])
+    u, guess = _zigzag(residual), _zigzag(guessed)
+    guess[:, :2] = 0
+    (cost, k), (cost2, k2) = _rice_cost(u, n - fixed), _rice_cost(guess, n - 2)
+    costs = [cost + 18 + 8 * fixed, np.where(n > 2, cost2 + 18 + 16 + 9 + 2 * _PRECISION, 1 << 60), 8 * n + 8]
+    kind = np.choose(np.stack(costs).argmin(axis=0), [fixed, np.full(len(n), _LPC), np.full(len(n), _VERBATIM)])
+    lpc = kind == _LPC
+    k = np.where(lpc, k2, k)
+    u[lpc] = guess[lpc]
     kind[(u >> k[:, None]).max(axis=1) > 22] = _VERBATIM
     kind[((s == s[:, :1]) & inside).sum(axis=1) == n] = _CONSTANT
-    order = np.maximum(kind, 0)
+    order = np.select([kind == _LPC, kind < 0], [2, 0], kind)
     coded = kind >= 0
 
     # the values of each subframe and their sizes in bits, row by row
-    head = 8 + 10  # widest fixed part: type, warm-up (2), LPC (4), residual head
+    head = 9  # type, warm-up (4), LPC (3), residual head
     vals = np.zeros((len(doc), head + block), np.int32)
     bits = np.zeros((len(doc), head + block), np.int32)
-    vals[:, 0] = np.select([kind == _CONSTANT, kind == _VERBATIM, kind == 2], [0, 1 << 1, (32 + 1) << 1], (8 + order) << 1)
+    vals[:, 0] = np.select([kind == _CONSTANT, kind == _VERBATIM, kind == _LPC], [0, 1 << 1, (32 + 1) << 1], (8 + order) << 1)
     bits[:, 0] = 8
-    for j in range(2):
+    for j in range(4):
         warm = (order > j) | ((kind == _CONSTANT) & (j == 0))
         vals[warm, 1 + j], bits[warm, 1 + j] = s[warm, j] & 0xFF, 8
-    lpc = kind == 2
+    lpc = kind == _LPC
     for j, (v, b) in enumerate((((_PRECISION - 1) << 5 | _SHIFT, 9), (coef[:, 0] & ((1 << _PRECISION) - 1), _PRECISION), (coef[:, 1] & ((1 << _PRECISION) - 1), _PRECISION))):
-        vals[lpc, 3 + j], bits[lpc, 3 + j] = v[lpc] if isinstance(v, np.ndarray) else v, b
-    vals[coded, 6], bits[coded, 6] = k[coded], 2 + 4 + 4  # Rice with 4-bit parameters, one partition
+        vals[lpc, 5 + j], bits[lpc, 5 + j] = v[lpc] if isinstance(v, np.ndarray) else v, b
+    vals[coded, 8], bits[coded, 8] = k[coded], 2 + 4 + 4  # Rice with 4-bit parameters, one partition
     rice = inside & coded[:, None] & (np.arange(block) >= order[:, None])
     body_v, body_b = vals[:, head:], bits[:, head:]
     kk = np.broadcast_to(k[:, None], u.shape)[rice]

@@ -302,6 +302,43 @@ def test_flac_round_trip(spark, docs):
     assert all((a is None or len(a) == 0) if b is None else bytes(a) == bytes(b) for a, b in zip(rows.payload, rows.pcm, strict=True))
 
 
+def test_flac_encoder_takes_every_fixed_order():
+    """Noise, a ramp and smooth waves: each best with another predictor."""
+    r = np.random.default_rng(8)
+    t = np.arange(900)
+    steps = lambda x: np.clip(x - x.min(), 0, 255).astype(np.uint8)
+    waves = [r.integers(0, 9, 900).astype(np.uint8), steps(np.cumsum(r.integers(0, 2, 900)) % 200), steps(120 + 100 * np.sin(t / 60)), (128 + 100 * np.sin(t / 9)).astype(np.uint8), steps((t - 450) ** 2 / 900), steps((t - 450) ** 3 / 8e5 + 120)]
+    streams = flac.encode(np.concatenate(waves), np.arange(len(waves) + 1) * 900)
+    kinds = {x[flac.Stream(x).frames_at + 8] >> 1 for x in streams}  # the byte behind a frame's header and its CRC-8
+    assert len(kinds) >= 3 and kinds <= {0, 1, 8, 9, 10, 11, 12, 33}
+    for wave, (pcm, _) in zip(waves, flac.decode(streams), strict=True):
+        assert ((pcm + 128) == wave).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_flac_query(spark, tmp_path):
+    """Every column of the query by hand, with the edges of the padding."""
+    import zlib
+
+    from quakeloom.llm.queries import op4_flac
+
+    odd = [None, "", "a" * 63, "b" * 64, "c" * 65, "é" * 32, "b" * 64]
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    docs = pd.concat([docs, pd.DataFrame({"doc_id": range(10**6, 10**6 + len(odd)), "text": odd})])
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op4_flac(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        raw, row = (text or "").encode() if isinstance(text, str) else b"", got[i]
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = flac.encode(np.frombuffer(payload, np.uint8), np.array([0, len(payload)]))[0]
+        assert (row.media_bytes, row.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert row.feature == f"blocks={-(-len(payload) // flac.BLOCK)};peak={np.abs(x).max()};rms={math.sqrt((x * x).mean()):.4f}"
+    assert got[10**6].payload_bytes == got[10**6 + 3].payload_bytes == 64 and got[10**6 + 4].payload_bytes == 128
+
+
 class Bits:
     def __init__(self):
         self.s = ""
