@@ -33,7 +33,11 @@ P_CLOSERS = frozenset("address article aside blockquote center details dialog di
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tbody",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",), "option": ("option",)}
 FENCES = frozenset("table td th ul ol dl body html article section div".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What an implied end tag may end, and so is looked up by its nearest open element.
+TRACKED = frozenset(t for ends in CLOSES.values() for t in ends) | {"p"}
+#: A whole tag: quotes count after an equals sign only. It never backtracks, so a tag costs its length.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -51,96 +55,149 @@ class Node:
     label: int = 2
 
 
-def parse(page: str) -> list[Node]:
-    """Block elements and text leaves in page order, each after its parent; the first is the root."""
-    nodes = [Node("root", -1)]
-    stack: list[tuple[str, int]] = [("root", 0)]  # open elements and the block they belong to
-    run: list[str] = []
-    links = linked = silent = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if run:
-            text = " ".join("".join(run).split())
-            run.clear()
-            if text:
-                nodes.append(Node("text", stack[-1][1], (), text, linked, nodes[stack[-1][1]].label))
-        linked = 0
-
-    def close(to: int) -> None:
-        nonlocal links, silent
-        for tag, _ in stack[to:]:
-            links -= tag == "a"
-            silent -= tag in SILENT or tag.startswith("!")
-        if any(tag not in INLINE for tag, _ in stack[to:]):
-            flush()
-        del stack[to:]
-
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece and not silent:
+@dataclass(slots=True)
+class Block:
+    """An open element that breaks text, and the inline elements that are open within it."""
+
+    tag: str  # with a leading ! if it is hidden
+    node: int
+    near: dict[str, int]  # nearest open element of each tracked tag that an implied end may reach
+    silent: bool = False
+    inline: list[str] = field(default_factory=list)
+    counts: dict[str, int] = field(default_factory=dict)
+
+
+class Tree:
+    """Builds the nodes of a page tag by tag. Every step costs a constant or is paid for by an element that it
+    closes, so a page costs its length, however it nests."""
+
+    def __init__(self):
+        self.nodes = [Node("root", -1)]
+        self.open = [Block("root", 0, {})]
+        self.names: dict[str, int] = {}  # open blocks by tag
+        self.run: list[str] = []
+        self.links = self.linked = self.silent = 0
+
+    def text(self, piece: str) -> None:
+        if piece and not self.silent:
             piece = html.unescape(piece) if "&" in piece else piece
-            run.append(piece)
-            if links:
-                linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0].lstrip("!") == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
+            self.run.append(piece)
+            if self.links:
+                self.linked += len(piece)
+
+    def flush(self) -> None:
+        if self.run:
+            text = " ".join("".join(self.run).split())
+            self.run.clear()
+            if text:
+                at = self.open[-1].node
+                self.nodes.append(Node("text", at, (), text, self.linked, self.nodes[at].label))
+        self.linked = 0
+
+    def push(self, tag: str, node: int, silent: bool = False) -> None:
+        near = self.open[-1].near
+        if tag in FENCES:
+            near = {k: v for k, v in near.items() if k in ("tr", "td", "th")} if tag in ("td", "th") else {}
+        if tag in TRACKED:
+            near = {**near, tag: len(self.open)}
+        self.open.append(Block(tag, node, near, silent))
+        self.silent += silent
+        tag = tag.lstrip("!")
+        self.names[tag] = self.names.get(tag, 0) + 1
+
+    def close(self, to: int) -> None:
+        """Ends all open blocks from number ``to`` on."""
+        if to < len(self.open):
+            self.flush()
+        while len(self.open) > to:
+            block = self.open.pop()
+            self.links -= block.counts.get("a", 0)
+            self.silent -= block.silent
+            self.names[block.tag.lstrip("!")] -= 1
+
+    def end(self, tag: str) -> None:
+        block = self.open[-1]
+        if tag in INLINE and block.counts.get(tag):
+            while True:
+                last = block.inline.pop()
+                block.counts[last] -= 1
+                self.links -= last == "a"
+                if last == tag:
+                    return
+        if tag in INLINE:
+            if block.tag == "!" + tag:
+                self.close(len(self.open) - 1)
+        elif self.names.get(tag):
+            to = len(self.open) - 1
+            while self.open[to].tag.lstrip("!") != tag:
+                to -= 1
+            self.close(to)
+
+    def start(self, tag: str, attrs: str) -> None:
         if tag == "br":
-            run.append(" ")
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            at = page.find(">", end.start()) + 1 if end else len(page)
-            at = at or len(page)
-            continue
+            self.run.append(" ")
+            return
         if tag in VOID:
             if tag == "hr":
-                flush()
-            continue
-        if tag == "body" or tag in P_CLOSERS or tag in CLOSES:
-            if tag == "body":
-                close(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t in CLOSES.get(tag, ()) or (tag in P_CLOSERS and t == "p"):
-                    close(k)
-                    break
-                if t in FENCES and not (tag == "tr" and t in ("td", "th")):
-                    break
-        attrs = m[3]
+                self.flush()
+            return
+        if tag == "body" and self.names.get("head"):
+            self.close(next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag.lstrip("!") == "head"))
+        near = self.open[-1].near
+        if near and (tag in P_CLOSERS or tag in CLOSES):
+            ended = max([near.get(t, 0) for t in CLOSES.get(tag, ())] + [near.get("p", 0) if tag in P_CLOSERS else 0])
+            if ended:
+                self.close(ended)
         hidden = bool(attrs) and _HIDDEN.search(attrs) is not None
+        block = self.open[-1]
         if tag in INLINE and not hidden:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
-            continue
-        flush()
+            block.inline.append(tag)
+            block.counts[tag] = block.counts.get(tag, 0) + 1
+            self.links += tag == "a"
+            return
+        self.flush()
         if tag in SILENT or hidden:
-            silent += 1
-            stack.append((tag if tag in SILENT else "!" + tag, stack[-1][1]))
-            continue
+            self.push(tag if tag in SILENT else "!" + tag, block.node, True)
+            return
         names = tuple(w.lower() for x in _NAMES.findall(attrs) for w in _WORD.findall(x[1] or x[2] or x[3])) if attrs else ()
-        label = nodes[stack[-1][1]].label
+        label = self.nodes[block.node].label
         if attrs and _LABEL in attrs:
             label = int(f'{_LABEL}="1"' in attrs)  # a frame unless it is marked
-        nodes.append(Node(tag, stack[-1][1], names, None, 0, label))
-        stack.append((tag, len(nodes) - 1))
-    close(1)
-    flush()
-    return nodes
+        self.nodes.append(Node(tag, block.node, names, None, 0, label))
+        self.push(tag, len(self.nodes) - 1)
+
+
+def parse(page: str) -> list[Node]:
+    """Block elements and text leaves in page order, each after its parent; the first is the root.
+
+    A tag, comment or raw element without an end takes the rest of the page with it, as in browsers."""
+    tree, at, look, size = Tree(), 0, 0, len(page)
+    while (lt := page.find("<", look)) >= 0:
+        mark = page[lt + 1 : lt + 3]
+        if not (mark[:1] in ("!", "?", "/") or (mark[:1].isascii() and mark[:1].isalpha())):
+            look = lt + 1  # a character of the text
+            continue
+        tree.text(page[at:lt])
+        m = None
+        if mark[0].isalpha() or (mark[0] == "/" and mark[1:].isascii() and mark[1:].isalpha()):
+            m = _TAG.match(page, lt)
+            at = m.end() if m else size
+        else:
+            end, skip = (page.find("-->", lt + 2), 3) if page.startswith("<!--", lt) else (page.find("]]>", lt), 3) if page.startswith("<![CDATA[", lt) else (page.find(">", lt), 1)
+            at = end + skip if end >= 0 else size
+        if m and m[1]:
+            tree.end(m[2].lower())
+        elif m and (tag := m[2].lower()) in RAW:
+            end = _RAW_END[tag].search(page, at)
+            at = page.find(">", end.start()) + 1 if end else size
+            at = at or size
+        elif m:
+            tree.start(tag, m[3])
+        look = at
+    tree.text(page[at:])
+    tree.close(1)
+    tree.flush()
+    return tree.nodes
 
 
 def evidence(node: Node) -> Iterator[str]:

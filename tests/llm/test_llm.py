@@ -525,6 +525,60 @@ def test_html_marginals_match_brute_force():
     assert np.allclose(model.marginals(nodes), on / total, atol=1e-9)
 
 
+#: Pages written by hand in the manner of common site software, none from the generator: (html, main text).
+LAYOUTS = [
+    (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>Storm - Coast News</title><link rel=stylesheet href=a.css></head><body class="single post-12">
+        <a class="skip-link" href="#content">Skip to content</a><header class="site-header"><div class="site-branding"><p class="site-title"><a href="/">Coast News</a></p></div>
+        <nav class="main-navigation"><ul><li><a href="/w">World</a><li><a href="/s">Sport</a></ul></nav></header>
+        <div id="content" class="site-content"><main id="main" class="site-main"><article class="post type-post"><header class="entry-header"><h1 class="entry-title">Storm closes the harbour</h1></header>
+        <div class="entry-content"><p>The harbour was closed on Monday after waves of six metres. Ferries stay in port until Thursday.</p><h2>What comes next</h2><p>The office expects <a href="/calm">calmer weather</a> by the weekend.</p><ul><li>No ferries on Tuesday.</li><li>Buses run as planned.</li></ul></div>
+        <footer class="entry-footer"><span class="tags-links">Tags: <a href="/t/1">storm</a>, <a href="/t/2">harbour</a></span></footer></article>
+        <div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts</h2><ol class="comment-list"><li class="comment"><p>I was there and it was frightening to see.</p></li></ol></div></main>
+        <aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="/1">One</a></li></ul></section></aside></div>
+        <footer class="site-footer"><div class="site-info">Proudly run by volunteers.</div></footer></body></html>""",
+        "Storm closes the harbour The harbour was closed on Monday after waves of six metres. Ferries stay in port until Thursday. What comes next The office expects calmer weather by the weekend. No ferries on Tuesday. Buses run as planned.",
+    ),
+    (
+        """<html><body><div class="navbar"><a href=/>Home</a> <a href=/docs>Docs</a></div><div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div>
+        <div class="container"><div class="content"><h1>Installing the pump</h1><p>Switch the power off first &mdash; always.</p><blockquote>Water and power do not mix.</blockquote><table><tr><th>Part</th><th>Count</th></tr><tr><td>Screw</td><td>4</td></tr></table><p>Turn the valve to the right until it stops.</p></div>
+        <div class="sidebar"><h3>Related</h3><ul><li><a href=/a>Valves</a></li><li><a href=/b>Filters</a></li></ul></div></div><div class="footer">Copyright 2020 Pump Ltd.</div><script>track("<p>no</p>")</script></body></html>""",
+        "Installing the pump Switch the power off first — always. Water and power do not mix. Part Count Screw 4 Turn the valve to the right until it stops.",
+    ),
+    (
+        """<body><table width=100%><tr><td class=menu><a href=1>Start</a><br><a href=2>Pictures</a></td></tr></table><div id="main-content"><p>My grandfather built the mill in the spring of the second year. It stood for sixty years.<p>Then the river rose, and nobody ever found the wheel again.</div><p class=copyright>All rights reserved.</p></body>""",
+        "My grandfather built the mill in the spring of the second year. It stood for sixty years. Then the river rose, and nobody ever found the wheel again.",
+    ),
+    (
+        """<html><body><nav class="breadcrumb"><a href="/">Recipes</a> &gt; <a href="/soups">Soups</a></nav><article itemscope><h1>Leek soup</h1><figure><img src=x.jpg alt="soup"><figcaption>A bowl of soup.</figcaption></figure><div class="ad-slot">Advertisement</div><p>Cut the leeks into rings and wash them well.</p><ol><li>Melt the butter.</li><li>Add the leeks.</li></ol><div class="social-share"><a href="#">Share</a><a href="#">Tweet</a></div><p>Serve hot, with bread.</p></article><div class="newsletter-signup"><form><label>Mail</label><input></form><p>Get a recipe every week.</p></div></body></html>""",
+        "Leek soup A bowl of soup. Cut the leeks into rings and wash them well. Melt the butter. Add the leeks. Serve hot, with bread.",
+    ),
+    (
+        """<html><head><title>x</title></head><body><header><h2>City Library</h2><ul><li><a href="/">Home</a></li></ul></header><section class="notice"><p>The site will be down on Sunday.</p></section><main><h1>Opening hours</h1><div><p>We open at nine on weekdays.</p><p>On Saturdays we open at ten.</p></div></main><aside><h3>Events</h3><p>Reading night on Friday.</p></aside><footer><p>Main street 1, phone 555.</p></footer></body></html>""",
+        "Opening hours We open at nine on weekdays. On Saturdays we open at ten.",
+    ),
+]
+
+
+def test_html_layouts_by_hand():
+    """Share of words of the main text that are found, and of what is found that is main text."""
+    model, hit, want, got = htmltext.default_model(), 0, 0, 0
+    for page, text in LAYOUTS:
+        a, b = collections.Counter(text.split()), collections.Counter(model.extract(page).split())
+        hit, want, got = hit + (a & b).total(), want + a.total(), got + b.total()
+    assert hit / want > 0.95 and hit / got > 0.95, (hit, want, got)
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<b>" * 150_000 + "</i>" * 150_000, "<b " * 300_000, "<center>" * 60_000 + "<li></li>" * 60_000, '<a ="' * 200_000 + '>"', "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul><li>" * 80_000, "<td><tr>" * 100_000])
+def test_html_costs_its_length(page):
+    """About 1 MB each, that would take hours if a step looked back over the page."""
+    import time
+
+    model, began = htmltext.default_model(), time.process_time()
+    model.extract(page)
+    assert time.process_time() - began < 30
+
+
 def test_html_held_out_layouts():
     model = htmltext.train(htmltext.labelled_pages(300, seed=1))
     right = wrong = 0
