@@ -33,15 +33,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one with
-    the smallest doc_id; of repeated rows one stays. Rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    the smallest doc_id. Different texts under one doc_id, or under none, are different documents; of
+    rows with equal id and text one stays."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, packed into windows of 2048 tokens."""
-    pieces = packing.cut_pieces(docs, tokenizer_path())
-    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    """Pieces of the documents that are left, with their token ids, packed into windows of 2048."""
+    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

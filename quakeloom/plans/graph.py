@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpointing import materialize
+from .checkpointing import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,20 +13,24 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
     Each round takes the least label among a node's neighbours and itself, then jumps to the
     label of that label, so that the labels' trees stay flat and rounds grow with the logarithm
-    of the longest path. Labels are written to the shared folder in each round. Minima are
+    of the longest path. Labels are written to the shared folder in each round, and those of the
+    round before are removed. Minima are
     combined before each shuffle, and a hub's links meet the labels in a plain equi-join, which
     adaptive execution may split. Nulls and links of a node to itself add nothing; an empty
     table gives an empty one.
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     both = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
+    held = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     for _ in range(max_rounds):
+        labels = held.select("node", "component")
         near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
         step = materialize(least.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("component")), "labels")
-        labels = step.select("node", "component")
+        discard(held)
+        held = step
         if step.where("component <> old").isEmpty():
-            return labels
+            discard(both)
+            return step.select("node", "component")
     raise RuntimeError(f"labels still changed after {max_rounds} rounds")
