@@ -28,6 +28,8 @@ WINDOW = 2048
 END_ID = 1
 #: Distinct strings whose ids a worker remembers.
 REMEMBERED = 1_100_000
+#: New parts that the tokenizer gets in one string.
+JOINED = 512
 #: Pieces in one bucket of a length, about.
 BUCKET_ROWS = 20_000
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -45,16 +47,21 @@ class Encoder:
     """Token ids of whole texts, by the tokenizer's own encoding of each distinct part.
 
     Where the tokenizer's pattern starts a new token at every single space before a non-space, the
-    parts between such spaces are encoded apart, and each distinct part once. A text that holds one
-    of the tokenizer's added tokens, or any text of a tokenizer with another pattern, is one part."""
+    parts between such spaces are encoded each once: new parts go to the tokenizer in strings of
+    ``JOINED``, and the bytes of the tokens tell where each part ends. A text that holds one of the
+    tokenizer's added tokens, or any text of a tokenizer with another pattern, is one part."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._end = end_id
-        self._parts = starts_at_single_spaces(json.loads(self._tokenizer.to_str()))
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._parts = starts_at_single_spaces(json.loads(self._tokenizer.to_str())) and not any(" " in t for t in self._added)
+        vocabulary = self._tokenizer.get_vocab()
+        self._bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():  # byte-level tokens spell every byte as one character
+            self._bytes[k] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -63,33 +70,51 @@ class Encoder:
         class Parts(dict):
             def __init__(self, lead: str):
                 super().__init__()
-                self.lead = lead
+                self.lead, self.new, self.numbers = lead, [], []
 
             def __missing__(self, part: str) -> int:
-                encoder._new.append(self.lead + part)
-                k = self[part] = encoder._known + len(encoder._new) - 1
+                k = self[part] = encoder._known
+                self.new.append(self.lead + part)
+                self.numbers.append(k)
+                encoder._known = k + 1
                 return k
 
-        self._heads, self._rest = Parts(""), Parts(" ")
-        self._known, self._new = 1, []
+        self._heads, self._rest, self._known = Parts(""), Parts(" "), 1
         self._ids, self._used = np.full(1 << 16, self._end, np.int32), 1
         self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
 
-    def _learn(self) -> None:
-        if not self._new:
-            return
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(self._new, add_special_tokens=False)]
+    def _apart(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings, how many of each), each string encoded alone."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
-        while self._known + len(found) > len(self._starts):
-            self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        at = slice(self._known, self._known + len(found))
-        self._sizes[at] = sizes
-        self._starts[at] = self._used + np.cumsum(sizes) - sizes
-        self._ids[self._used : self._used + len(flat)] = flat
-        self._known, self._used, self._new = at.stop, self._used + len(flat), []
+        return np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum())), sizes
+
+    def _joined(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_apart``, for parts that start with their space."""
+        chunks = ["".join(strings[i : i + JOINED]) for i in range(0, len(strings), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        reached = np.concatenate([[0], np.cumsum(self._bytes[ids])])
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in strings), np.int64, len(strings)))
+        k = np.minimum(np.searchsorted(reached, ends), len(ids))
+        if not np.array_equal(reached[k], ends):  # a vocabulary that leaves bytes out
+            return self._apart(strings)
+        return ids, np.diff(k, prepend=0)
+
+    def _learn(self) -> None:
+        for parts, encode in ((self._heads, self._apart), (self._rest, self._joined)):
+            if not parts.new:
+                continue
+            flat, sizes = encode(parts.new)
+            while self._known > len(self._starts):
+                self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
+            while self._used + len(flat) > len(self._ids):
+                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+            at = np.array(parts.numbers)
+            self._sizes[at] = sizes
+            self._starts[at] = self._used + np.cumsum(sizes) - sizes
+            self._ids[self._used : self._used + len(flat)] = flat
+            self._used += len(flat)
+            parts.new, parts.numbers = [], []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; offsets of the texts)."""
