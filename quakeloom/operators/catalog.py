@@ -83,8 +83,9 @@ def revision_hash(fields: list[str]) -> Column:
 
 
 def append_if_absent(new: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not held yet, one per key."""
-    return new.dropDuplicates(keys).join(held.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``new`` whose key is not held yet, one per key; a null equals a null."""
+    fresh, old = new.dropDuplicates(keys).alias("n"), held.select(*keys).distinct().alias("o")
+    return fresh.join(old, [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], "left_anti")
 
 
 def upsert(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

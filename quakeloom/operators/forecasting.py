@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import LN10, bin_fraction, omori_integral
@@ -191,3 +191,22 @@ def walk_forward(cells: DataFrame, sample: DataFrame, etas: Etas, windows: DataF
     base = etas.mu * F.col("area_km2") / region_km2 * (F.col("stop") - F.col("start"))
     out = rows.join(fed, "key", "left").select("fold", "cell_id", (base + F.coalesce("fed", F.lit(0.0))).alias("rate"), base.alias("reference_rate"))
     return out.withColumn("probability", 1 - F.exp(-F.col("rate")))
+
+
+def latest_run(runs: DataFrame, moment: Column) -> DataFrame:
+    """The run issued last at or before ``moment``; ties go to the largest run_id. No row without one."""
+    return runs.where(F.col("issued_at") <= moment).orderBy(F.desc("issued_at"), F.desc("run_id")).limit(1)
+
+
+def run_detail(bins: DataFrame, cells: DataFrame, reference: float, magnitude_lower: float | None = None, limit: int = 3000) -> DataFrame:
+    """Estimable cells of one magnitude bin of a run, by falling expectation (ties by cell_id).
+
+    Without ``magnitude_lower`` the bin is the lowest that starts at the reference magnitude or above,
+    else the lowest. A top-k read: each task keeps ``limit`` rows."""
+    if magnitude_lower is None:
+        lowest = bins.agg(F.coalesce(F.min(F.when(F.col("lower") >= reference, F.col("lower"))), F.min("lower")).alias("lower"))
+        chosen = bins.join(F.broadcast(lowest), "lower")
+    else:
+        chosen = bins.where(F.col("lower") == magnitude_lower)
+    places = cells.select("cell_id", "latitude", "longitude")
+    return chosen.where("support = 'estimable'").join(places, "cell_id").orderBy(F.desc("expected"), "cell_id").limit(limit)

@@ -14,6 +14,8 @@ from ..functions.stats import poisson_cdf, poisson_log_pmf
 from .seismicity import running_rank
 
 CLIP = 1e-12
+#: Parts into which the bins of a simulated test are dealt.
+BLOCKS = 256
 
 
 def basic_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,32 +79,76 @@ def number_test(totals: DataFrame, alpha: float = 0.05) -> DataFrame:
     return totals.select("*", high.alias("p_at_least"), low.alias("p_at_most"), ((low > alpha / 2) & (high > alpha / 2)).alias("consistent"))
 
 
-def likelihood_test(bins: DataFrame, simulations: int = 1000, seed: int = 1, conditional: bool = False) -> DataFrame:
-    """(quantile, consistent) of the observed joint log likelihood among simulated catalogs.
+def calibration_error(curve: DataFrame) -> DataFrame:
+    """(ece): mean distance between probability and observed share of a reliability curve, by its counts."""
+    gap = F.abs(F.col("mean_probability") - F.col("observed_share"))
+    return curve.agg(F.try_divide(F.sum(F.col("n") * gap), F.sum("n")).alias("ece"))
 
-    Every bin (id, observed, rate) adds its own part of each simulated likelihood, drawn from a
-    stream of its own, so bins can lie anywhere and only one vector of sums per task is shuffled.
-    ``conditional`` keeps the observed total: rates are scaled to it, as in tests of space and
-    magnitude alone."""
-    totals = bins.agg(F.sum("observed").alias("n"), F.sum("rate").alias("r")).first()
-    scale = float(totals.n) / float(totals.r) if conditional and totals.r else 1.0
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros(simulations), 0.0
-        table = np.array([math.lgamma(k + 1) for k in range(256)])
-        log_factorial = lambda n: np.where(n < 256, table[np.minimum(n, 255)], np.vectorize(math.lgamma)(n + 1.0)) if n.size and n.max() > 255 else table[n]
-        for b in batches:
-            for i, n, rate in zip(b.id, b.observed, b.rate, strict=True):
-                rate = max(rate * scale, 1e-12)
-                draw = np.random.default_rng([seed, int(i) & 0x7FFFFFFFFFFFFFFF]).poisson(rate, simulations)
-                total += draw * math.log(rate) - rate - log_factorial(draw)
-                seen += n * math.log(rate) - rate - math.lgamma(n + 1)
-        yield pd.DataFrame({"sim": np.append(np.arange(simulations), -1), "part": np.append(total, seen)})
-
-    sums = bins.select("id", "observed", "rate").mapInPandas(part, "sim int, part double").groupBy("sim").agg(F.sum("part").alias("ll"))
+def _in_blocks(bins: DataFrame) -> DataFrame:
+    return bins.select("id", "observed", "rate", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block"))
+
+
+def _simulated(blocks: DataFrame, simulations: int, alpha: float, scale: float, draws) -> DataFrame:
+    """Where the observed joint log likelihood lies among simulated ones.
+
+    ``draws(block, rates)`` yields one array of counts per simulation. A block is a fixed share of the
+    bins, in the order of their ids, so the result does not depend on partitions; one vector of sums
+    per block is shuffled."""
+
+    def part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        rate = g.rate.to_numpy(float)
+        lam = np.maximum(rate * scale, CLIP)
+        log_lam, area, table = np.log(lam), lam.sum(), np.zeros(1)
+
+        def score(counts: np.ndarray) -> float:
+            nonlocal table
+            top = int(counts.max(initial=0))
+            if top >= len(table):
+                table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * top + 2)))])
+            return float(counts @ log_lam - area - table[counts].sum())
+
+        ll = [score(n) for n in draws(int(key[0]), rate)]
+        return pd.DataFrame({"sim": np.arange(-1, simulations), "part": [score(g.observed.to_numpy(np.int64)), *ll]})
+
+    sums = blocks.groupBy("block").applyInPandas(part, "sim int, part double").groupBy("sim").agg(F.sum("part").alias("ll"))
     seen = sums.where("sim = -1").select(F.col("ll").alias("seen"))
-    out = sums.where("sim >= 0").join(F.broadcast(seen), F.lit(True)).agg(F.avg((F.col("ll") <= F.col("seen")).cast("double")).alias("quantile"))
-    return out.select("quantile", (F.col("quantile") >= 0.05).alias("consistent"))
+    both = sums.where("sim >= 0").join(F.broadcast(seen), F.lit(True))
+    out = both.agg(F.first("seen").alias("observed_ll"), F.avg("ll").alias("mean_ll"), F.percentile("ll", 0.05).alias("p05_ll"), F.percentile("ll", 0.95).alias("p95_ll"), F.avg((F.col("ll") <= F.col("seen")).cast("double")).alias("quantile")).where("quantile is not null")
+    return out.withColumn("consistent", F.col("quantile") >= alpha)
+
+
+def likelihood_test(bins: DataFrame, simulations: int = 1000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
+    """L-test: (observed_ll, mean_ll, p05_ll, p95_ll, quantile, consistent) of independent Poisson bins
+    (id, observed, rate); no row without bins."""
+
+    def draws(block: int, rate: np.ndarray) -> Iterator[np.ndarray]:
+        r = np.random.default_rng([seed, block])
+        return (r.poisson(np.maximum(rate, CLIP)) for _ in range(simulations))
+
+    return _simulated(_in_blocks(bins), simulations, alpha, 1.0, draws)
+
+
+def marginal_test(bins: DataFrame, simulations: int = 1000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
+    """S-test (bins are cells) or M-test (bins are magnitude bins): the shape alone, given the total.
+
+    Every simulated catalog has the observed number of events: it is dealt to the blocks by one
+    multinomial, the same in every task, and within a block by another. Rates are scaled to the total.
+    No row where nothing was observed or expected."""
+    blocks = _in_blocks(bins)
+    sums = {r.block: (float(r.rate or 0), int(r.n or 0)) for r in blocks.groupBy("block").agg(F.sum("rate").alias("rate"), F.sum("observed").alias("n")).collect()}  # BLOCKS rows at most
+    keys = sorted(sums)
+    weight, n = np.array([sums[k][0] for k in keys]), sum(v[1] for v in sums.values())
+    if n == 0 or weight.sum() <= 0:
+        return _simulated(blocks.limit(0), simulations, alpha, 1.0, lambda block, rate: iter(()))
+
+    def draws(block: int, rate: np.ndarray) -> Iterator[np.ndarray]:
+        share = np.random.default_rng([seed]).multinomial(n, weight / weight.sum(), simulations)[:, keys.index(block)]
+        r, p = np.random.default_rng([seed, block]), rate / (rate.sum() or 1.0)
+        return (r.multinomial(k, p) if k else np.zeros(len(p), np.int64) for k in share)
+
+    return _simulated(blocks, simulations, alpha, n / float(weight.sum()), draws)
 
 
 def bootstrap_mean(values: DataFrame, column: str, resamples: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:

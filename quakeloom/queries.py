@@ -425,12 +425,21 @@ def forecast_cube(spark, sf_dir, least=4.5):
     return rounded(cube.select("cell_id", "bin", "expected", "probability", "support"))
 
 
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select cell_id, round(cell.latitude, 6) as latitude, round(cell.longitude, 6) as longitude, lower, round(expected, 6) as expected, round(1 - exp(-expected), 6) as probability from cube join cell using (cell_id) where expected is not null and lower = (select coalesce(min(lower) filter (lower >= 4.5), min(lower)) from cube) order by round(expected, 6) desc, cell_id limit 100")
+def forecast_detail(spark, sf_dir):
+    """The 100 cells of the latest run with the most expected events in the lowest bin it can estimate."""
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5)
+    cells = grid.cells(spark, *GRID)
+    out = forecasting.run_detail(cube.withColumn("expected", r6("expected")), cells, 4.5, limit=100)
+    return rounded(out.select("cell_id", "latitude", "longitude", "lower", "expected", "probability"))
+
+
 @complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select grouping(cell_id) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from cube where expected is not null group by grouping sets ((cell_id), (bin))")
 def forecast_marginals(spark, sf_dir, least=4.5):
     """Sums over bins and over cells in one pass."""
-    forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least).where("expected is not null").createOrReplaceTempView("quakeloom_cube")
-    return spark.sql("select cast(grouping(cell_id) as bigint) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from quakeloom_cube group by grouping sets ((cell_id), (bin))")
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least).where("expected is not null")
+    return spark.sql("select cast(grouping(cell_id) as bigint) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from {cube} group by grouping sets ((cell_id), (bin))", cube=cube)
 
 
 @query("select user_id, state, round(lifetime, 6) as lifetime_offspring from (select user_id, case when alpha >= b * ln(10) then 'non_finite_magnitude_productivity' when p <= 1 then 'finite_horizon_only_p_not_above_one' when k0 * (b * ln(10) / (b * ln(10) - alpha)) * power(0.1::double, 1 - p) / (p - 1) >= 1 then 'supercritical_lifetime_branching' else 'subcritical_lifetime_branching' end as state, case when alpha < b * ln(10) and p > 1 then k0 * (b * ln(10) / (b * ln(10) - alpha)) * power(0.1::double, 1 - p) / (p - 1) end as lifetime from (select user_id, 0.01::double * (1 + user_id % 30) as k0, 0.1::double * (user_id % 30) as alpha, 0.9::double + 0.05::double * (user_id % 13) as p, 1::double as b from (select distinct user_id from events)))")
@@ -495,9 +504,23 @@ def likelihood_test(spark, sf_dir):
 
 @query()
 def space_test(spark, sf_dir):
-    """Cells alone, given the observed total."""
+    """Cells alone, given the observed total: every simulated catalog has that many events."""
     cells = scored_rows(spark, sf_dir).groupBy(F.pmod("id", F.lit(400)).alias("id")).agg(F.sum("observed").alias("observed"), F.sum("rate").alias("rate"))
-    return rounded(scoring.likelihood_test(cells, simulations=200, conditional=True))
+    return rounded(scoring.marginal_test(cells, simulations=200))
+
+
+@query()
+def magnitude_test(spark, sf_dir):
+    """Magnitude bins alone: counts of the catalog per bin of 0.5 against the exponential law above 3.5."""
+    bin_of = F.floor((F.col("magnitude") - 3.5) / 0.5).cast("long")
+    seen = catalog(spark, sf_dir).where("magnitude >= 3.5").groupBy(bin_of.alias("id")).agg(F.count("*").alias("observed"))
+    share = F.pow(F.lit(10.0), -0.5 * F.col("id")) - F.pow(F.lit(10.0), -0.5 * (F.col("id") + 1))
+    return rounded(scoring.marginal_test(seen.withColumn("rate", share), simulations=200))
+
+
+@query(f"with {SCORED}, r as (select *, row_number() over (order by probability, id) as rk, count(*) over () as n from row), b as (select *, (select min(i) from range(0, 10) t(i) where rk <= (i + 1) * n // 10) as bucket from r), c as (select count(*) as n, avg(probability) as p, avg(case when observed > 0 then 1 else 0 end) as y from b group by bucket) select round(sum(n * abs(p - y)) / sum(n), 6) as ece from c")
+def calibration_error(spark, sf_dir):
+    return rounded(scoring.calibration_error(scoring.reliability(scored_rows(spark, sf_dir), "id")))
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,21 +47,36 @@ def replay(events: DataFrame) -> DataFrame:
     return events.orderBy("available_at", "event_id")
 
 
-def notify(stream: DataFrame, seen_path: str, checkpoint: str, send: Callable[[list], None], most: int = 3) -> StreamingQuery:
-    """Sends at most ``most`` new events of a batch, each id once; the first batch only marks what is there."""
-
-    def batch_done(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ids = batch.select("event_id").distinct()
-        try:
-            seen = spark.read.schema("event_id long").parquet(seen_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ids.write.mode("append").parquet(seen_path)
-            return
-        fresh = batch.join(seen, "event_id", "left_anti")
-        send(fresh.orderBy(F.desc("event_time"), F.desc("event_id")).limit(most).collect())
-        fresh.select("event_id").distinct().write.mode("append").parquet(seen_path)
-
-    return stream.writeStream.foreachBatch(batch_done).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def notify(batch: DataFrame, seen_path: str, send: Callable[[list], None], now: Column, most: int = 3, max_age: str = "2 hours") -> int:
+    """One run over the events at hand: sends up to ``most`` unseen ones, oldest first, each id once.
+
+    What is over the limit stays unseen for the next run. Events older than ``max_age`` at ``now`` are
+    marked without being sent, and the first run only marks what is there."""
+    spark = batch.sparkSession
+    known = batch.where("event_id is not null").dropDuplicates(["event_id"])
+    try:
+        seen = spark.read.schema("event_id long").parquet(seen_path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known.select("event_id").write.mode("append").parquet(seen_path)
+        return 0
+    fresh = known.join(seen.distinct(), "event_id", "left_anti")
+    old = F.coalesce(F.col("event_time") < now - F.expr(f"interval {max_age}"), F.lit(False))
+    sent = fresh.where(~old).orderBy("event_time", "event_id").limit(most).collect()
+    send(sent)
+    # ids of this run in one file: those that were sent, and those that are too old
+    told = spark.createDataFrame([(r.event_id,) for r in sent], "event_id long")
+    fresh.where(old).select("event_id").unionByName(told).write.mode("append").parquet(seen_path)
+    return len(sent)
+
+
+def notifications(stream: DataFrame, pending_path: str, seen_path: str, checkpoint: str, send: Callable[[list], None], now: Column | None = None, most: int = 3) -> StreamingQuery:
+    """``notify`` after each batch of a stream, over all events that arrived and wait in ``pending_path``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{pending_path}/batch={batch_id}")
+        pending = batch.sparkSession.read.schema(batch.schema).parquet(pending_path)
+        notify(pending, seen_path, send, F.current_timestamp() if now is None else now, most)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

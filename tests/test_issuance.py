@@ -1,10 +1,12 @@
 """Archives, backfill plans, idempotent issue, notifications and range-wise ranks."""
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quakeloom.operators import catalog, issuance, scoring, seismicity
+from quakeloom.operators import catalog, forecasting, issuance, scoring, seismicity
 from quakeloom.sources import files
 from quakeloom.streaming import ingest
 
@@ -98,17 +100,73 @@ def test_likelihood_quantiles_are_uniform_under_the_model(spark):
 
 
 def test_notifications(spark, tmp_path):
+    """Oldest first, three a run; the rest waits for the next run, stale events are marked unsent."""
     schema = "event_id long, event_time timestamp"
     t = lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
     sent = []
     put = lambda ids: spark.createDataFrame([(k, t(k)) for k in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
-    run = lambda: ingest.notify(ingest.landing_stream(spark, str(tmp_path / "land"), schema), str(tmp_path / "seen"), str(tmp_path / "ck"), sent.extend).awaitTermination()
+    moment = lambda h: F.lit(t(h)).cast("timestamp")
+    land, seen = str(tmp_path / "land"), str(tmp_path / "seen")
+    run = lambda h: ingest.notify(spark.read.schema(schema).parquet(land), seen, sent.extend, moment(h), max_age="6 hours")
     put([1, 2])
+    assert run(2) == 0 and sent == []
+    put([2, 3, 4, 5, 6, 7])
+    assert run(7) == 3 and [r.event_id for r in sent] == [3, 4, 5]
+    assert run(7) == 2 and [r.event_id for r in sent] == [3, 4, 5, 6, 7]
+    put([8, 16])
+    assert run(17) == 1 and sent[-1].event_id == 16
+    assert run(17) == 0
+
+
+def test_notifications_of_a_stream(spark, tmp_path):
+    schema = "event_id long, event_time timestamp"
+    sent = []
+    when = pd.Timestamp("2024-01-01").to_pydatetime()
+    put = lambda ids: spark.createDataFrame([(k, when) for k in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
+    run = lambda: ingest.notifications(ingest.landing_stream(spark, str(tmp_path / "land"), schema), str(tmp_path / "wait"), str(tmp_path / "seen"), str(tmp_path / "ck"), sent.extend, F.lit(when).cast("timestamp")).awaitTermination()
+    put([1])
     run()
-    assert sent == []
-    put([2, 3, 4, 5, 6])
+    put([2, 3, 4, 5])
     run()
-    assert [r.event_id for r in sent] == [6, 5, 4]
+    put([6])
+    run()
+    assert [r.event_id for r in sent] == [2, 3, 4, 5, 6]
+
+
+def test_marginal_test_keeps_the_total(spark):
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    rates = r.uniform(0.1, 2, 300)
+    frame = lambda n: spark.createDataFrame(pd.DataFrame({"id": range(300), "observed": n, "rate": rates}))
+    n = r.multinomial(400, rates / rates.sum())
+    got = scoring.marginal_test(frame(n), simulations=300).first()
+    lam = 400 * rates / rates.sum()
+    score = lambda c: float((c * np.log(lam) - lam - np.vectorize(math.lgamma)(c + 1.0)).sum())
+    brute = np.array([score(np.random.default_rng(k).multinomial(400, rates / rates.sum())) for k in range(1000)])
+    assert abs(got.observed_ll - score(n)) < 1e-6
+    assert abs(got.mean_ll - brute.mean()) < 2 and abs(got.p05_ll - np.percentile(brute, 5)) < 4
+    assert got == scoring.marginal_test(frame(n).repartition(7), simulations=300).first()
+    # all events in one bin is no draw from these rates
+    assert scoring.marginal_test(frame(np.where(np.arange(300) == 5, 400, 0)), simulations=300).first().consistent is False
+    assert scoring.marginal_test(frame(np.zeros(300, int)), simulations=10).count() == 0
+
+
+def test_append_takes_a_null_key_once(spark):
+    held = spark.createDataFrame([(1, None), (1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, None), (1, "b"), (None, "a"), (None, "a")], "k int, v string")
+    got = catalog.append_if_absent(new, held, ["k", "v"])
+    assert got.columns == ["k", "v"] and {tuple(r) for r in got.collect()} == {(1, "b"), (None, "a")}
+
+
+def test_run_detail(spark):
+    bins = spark.createDataFrame([("a", 0, 3.0, None, "not_estimable"), ("a", 1, 5.0, 0.2, "estimable"), ("b", 1, 5.0, 0.7, "estimable"), ("c", 1, 5.0, 0.2, "estimable"), ("a", 2, 6.0, 0.01, "estimable")], "cell_id string, bin int, lower double, expected double, support string")
+    cells = spark.createDataFrame([(k, 1.0, 2.0) for k in "abc"], "cell_id string, latitude double, longitude double")
+    ids = lambda *a, **k: [(r.cell_id, r.lower) for r in forecasting.run_detail(bins, cells, *a, **k).collect()]
+    assert ids(4.5) == [("b", 5.0), ("a", 5.0), ("c", 5.0)] and ids(4.5, limit=2) == [("b", 5.0), ("a", 5.0)]
+    assert ids(4.5, 6.0) == [("a", 6.0)] and ids(9.0) == [] and ids(4.5, 3.0) == []
+    runs = spark.createDataFrame([(1, 10), (2, 30), (3, 30), (4, 50)], "run_id int, issued_at int")
+    assert forecasting.latest_run(runs, F.lit(40)).first().run_id == 3 and forecasting.latest_run(runs, F.lit(5)).count() == 0
 
 
 def test_region_threshold_falls_back(spark):
