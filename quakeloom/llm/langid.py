@@ -87,7 +87,7 @@ def train_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
                 for lang, (g, c) in zip(batch.column(1).to_pylist(), ngrams(batch), strict=True):
                     held.setdefault(lang, []).extend((g, c))
                     waiting += len(g)
-                if waiting > 2_000_000:
+                if waiting > 500_000:
                     held = {k: merged(v) for k, v in held.items()}
                     waiting = 0
         for lang, parts in held.items():

@@ -26,8 +26,8 @@ from .textops import slices
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct strings whose ids a worker remembers.
-REMEMBERED = 1_100_000
+#: Distinct strings whose ids a task remembers; a worker that outlives the task keeps none.
+REMEMBERED = 500_000
 #: New parts that the tokenizer gets in one string.
 JOINED = 512
 #: Pieces in one bucket of a length, about.
@@ -62,9 +62,9 @@ class Encoder:
         self._bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, k in vocabulary.items():  # byte-level tokens spell every byte as one character
             self._bytes[k] = len(token)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         encoder = self
 
         class Parts(dict):
@@ -119,7 +119,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; offsets of the texts)."""
         if self._known > REMEMBERED:
-            self._forget()
+            self.forget()
         at: list[int] = []
         bounds = [0]
         for text in texts:
@@ -170,6 +170,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFra
                 lo = offs[doc] + start
                 pieces = [raw[x : x + n].tobytes() for x, n in zip(lo, length, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(pieces, pa.binary()), pa.array(total[doc])], names)
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
 
