@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +14,48 @@ from quakeloom.plans.checkpointing import materialize
 
 #: Least quality score that stays.
 QUALITY = 0.3
+#: Most rows of an Arrow batch. Spark's 10,000 whole documents are tens of megabytes for each task, in
+#: the JVM and again in its Python worker.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    """The stage in a session whose Arrow batches have ``BATCH_ROWS`` rows at most."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get(_BATCH))
+        spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts that are null or without a letter go."""
     found = langid.identify(docs, train_languages(docs))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
+@small_batches
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 at least."""
     vectors, net = train_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, vectors, net).where(F.col("score") >= QUALITY).select(docs.columns)
 
 
+@small_batches
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three or more of them share; n_chars follows the text."""
     out = linededup.drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(docs.columns)
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one with
     the smallest doc_id. Different texts under one doc_id, or under none, are different documents; of
@@ -38,6 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.drop_near_duplicates(docs)
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their token ids, packed into windows of 2048."""
     return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
