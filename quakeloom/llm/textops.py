@@ -6,13 +6,14 @@ their arrays stay small whatever the size of an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorized step handles (a longer single text is one step).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -69,14 +70,25 @@ def string_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def release_memory() -> None:
+    """Gives the system back what this worker has freed: a worker outlives its tasks, and what its
+    allocators keep adds to the next stage's needs. Where the C library can't trim, Arrow's pool is all."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose ``column`` holds about ``limit`` bytes, one row at least."""
+    """The batch in runs of rows whose ``column`` holds about ``limit`` bytes, one row at least; freed
+    memory is given back after the last one."""
     _, offs = string_parts(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release_memory()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
