@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quakeloom import queries
 from quakeloom.functions import geo, stats
 from quakeloom.operators import catalog, fitting, forecasting, grid, linkage, magnitudes, scoring, seismicity
+from quakeloom.plans import graph
 from quakeloom.plans.graph import connected_components
 from quakeloom.sources import files
 from quakeloom.streaming import ingest
@@ -333,6 +334,17 @@ def test_components(spark):
     assert connected_components(links.where("a < 0")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["falling", "random", "bit-reversed"])
+def test_components_of_long_chains(spark, order, monkeypatch):
+    n = 10_000 if order != "bit-reversed" else 4096
+    ids = {"falling": np.arange(n)[::-1], "random": np.random.default_rng(7).permutation(n), "bit-reversed": np.array([int(f"{k:012b}"[::-1], 2) for k in range(4096)])}[order]
+    rounds, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    got = connected_components(spark.createDataFrame(pd.DataFrame({"a": ids[:-1], "b": ids[1:]})))
+    assert got.agg(F.count("*"), F.max("component")).first() == (n, 0)
+    assert rounds.count("pointers") - 1 <= 20
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "feed.json").write_text('{"type": "FeatureCollection", "features": [{"id": "a1", "properties": {"mag": 4.5, "time": 1700000000000, "updated": 1700000100000, "magType": " MB "}, "geometry": {"type": "Point", "coordinates": [-70.5, -30.25, 33.0]}}, {"id": null, "properties": {"time": 1}, "geometry": {"coordinates": [0, 0]}}, {"id": "c3", "properties": {"time": 1700000000000}, "geometry": {"coordinates": [10.0, 50.0]}}]}')
     events, rejected = files.geojson_events(spark, str(tmp_path / "feed.json"), (-60, -15, -82, -62))
