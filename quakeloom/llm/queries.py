@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.checkpointing import materialize
-from . import embeddings, flac, htmltext, langid, linededup, minhash, packing, quality, sampling, warczip
+from . import contamination, embeddings, flac, htmltext, infill, langid, linededup, minhash, packing, quality, resampling, sampling, warczip
 
 #: Where the public tokenizers lie; their module gives the path of each file.
 TOKENIZER = "byte_bpe_50k.json"
@@ -107,6 +107,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of ``documents`` stored as seekable frames, cut and rearranged for fill-in-middle, and
+    rebuilt from the rearranged text."""
+    stored = materialize(infill.store(table(spark, sf_dir, "documents").select("doc_id", "text")), "frames")
+    rows = infill.restore(infill.transform(infill.plan_cuts(stored)), text=None)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` inside passages of ``benchmark`` of ten words, or whole shorter items."""
+    return contamination.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of ``documents`` drawn towards the word distribution of ``benchmark``."""
+    rows = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_gumbel_segmentations": op1_gumbel_segmentations,
     "op3_warc_zip": op3_warc_zip,
@@ -118,6 +137,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_infill": op11_infill,
+    "op12_decontamination": op12_decontamination,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op3_warc_zip": r"""
@@ -161,4 +183,42 @@ ORACLES: dict[str, str] = {
         comp as (select a as doc_id, min(b) as component_id from reach group by a)
         select d.doc_id, coalesce(z.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
         from documents d join comp c using (doc_id) left join size z using (doc_id)""",
+    "op11_infill": r"""
+        with doc as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as d from documents),
+        unit as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as u, list_transform(range(4), lambda k: ('0x' || d[8 * k + 1 : 8 * k + 8])::bigint) as h from doc),
+        cut as (select *, len(u)::bigint as n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as lo, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as hi,
+                  case when text = '' or regexp_matches(text, '<[PSM]>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from unit),
+        part as (select *, coalesce(array_to_string(u[1 : lo], ''), '') as p, coalesce(array_to_string(u[lo + 1 : hi], ''), '') as m, coalesce(array_to_string(u[hi + 1 :], ''), '') as s from cut)
+        select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+               sha256(text) as restored_sha256
+        from part""",
+    "op12_decontamination": r"""
+        with doc as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        item as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        win as (select distinct item, least(len(w), 10) as n, array_to_string(w[i + 1 : i + 10], ' ') as t from (select item, w, unnest(range(greatest(len(w) - 9, 1))) as i from item where len(w) > 0)),
+        size as (select distinct n from win),
+        gram as (select r, i, n, array_to_string(w[i + 1 : i + n], ' ') as t from (select r, w, n, unnest(range(len(w) - n + 1)) as i from doc, size where len(w) >= n)),
+        hit as (select r, i, n, item from gram join win using (n, t)),
+        word as (select r, count(*) as n_hit from (select distinct r, unnest(range(i, i + n)) as p from (select distinct r, i, n from hit)) group by r),
+        named as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct r, item from hit) group by r)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
+        from doc left join word using (r) left join named using (r)""",
+    "op13_importance_resampling": r"""
+        with recursive step(k, i, x) as (select 0, i, i from range(256) b(i) union all select k + 1, i, case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end from step where k < 8),
+        tab as (select list(x order by i) as t from step where k = 8),
+        doc as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        item as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        f as (select r, unnest(w) as g from doc), fb as (select unnest(w) as g from item),
+        vocab as (select distinct g from (select g from f union all select g from fb)),
+        bucket as (select g, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(g))), lambda k: ('0x' || hex(encode(g))[2 * k + 1 : 2 * k + 2])::bigint)),
+                     lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 10000 as b from vocab, tab),
+        s as (select b, count(*) as n from f join bucket using (g) group by b), t as (select b, count(*) as n from fb join bucket using (g) group by b),
+        total as (select coalesce((select sum(n) from s), 0)::double as ss, coalesce((select sum(n) from t), 0)::double as tt),
+        gain as (select k.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (ss + 10000) / ((coalesce(s.n, 0) + 1)::double * (tt + 10000))))::bigint as g from range(10000) k(b) left join s on s.b = k.b left join t on t.b = k.b, total),
+        w as (select r, sum(gain.g)::bigint as weight from f join bucket using (g) join gain using (b) group by r),
+        scored as (select r, doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+                     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5) / 4294967296.0)))::bigint as score from doc left join w using (r)),
+        able as (select r, row_number() over (order by score desc, doc_id nulls last) as k, count(*) over () as n from scored where n_features >= 20)
+        select doc_id, n_features, weight::bigint as weight, score::bigint as score, case when k <= floor(10 * n / 100) then k end as rank from scored left join able using (r)""",
 }
