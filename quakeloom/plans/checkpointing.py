@@ -37,20 +37,22 @@ def _at_exit(jvm, conf, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there,
-    and a lost executor costs a reread instead of a recomputation.
-
-    An application's tables lie in one folder, which is removed when its driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which is removed when its driver ends."""
     context = spark.sparkContext
     folder = f"{shared_dir(spark)}/tables-{context.applicationId}"
     if folder not in _cleaned:
         _cleaned.add(folder)
         atexit.register(_at_exit, context._jvm, context._jsc.hadoopConfiguration(), folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there,
+    and a lost executor costs a reread instead of a recomputation."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 

@@ -6,13 +6,17 @@ Floats are rounded to six decimals on both sides.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.stats import magnitude_bin
 from .operators import catalog as cat
 from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes, scoring, seismicity
+from .plans.checkpointing import scratch
 from .plans.graph import connected_components
+from .sources import bounded
 from .sources.adapter import ORACLE as EV
 from .sources.adapter import catalog, second_source
 
@@ -596,6 +600,32 @@ def backfill_slices(spark, sf_dir):
     return plan.select(F.col("level").cast("long").alias("level"), "slot", "n")
 
 
+def feed(spark: SparkSession, sf_dir: str) -> tuple[str, datetime, datetime] | None:
+    """The catalog as the folder of a bounded service, and its time range; None if it is empty."""
+    ev = catalog(spark, sf_dir).select("event_id", "event_time", "available_at", "latitude", "longitude", "depth_km", "magnitude", "magnitude_type")
+    ends = ev.agg(F.min("event_time").alias("first"), F.max("event_time").alias("last")).first()
+    url = scratch(spark, "feed")
+    bounded.write_feed(ev, url)
+    # the service's times are in milliseconds
+    return None if ends.first is None else (url, ends.first.replace(microsecond=ends.first.microsecond // 1000 * 1000), ends.last + timedelta(milliseconds=1))
+
+
+@query("with ev as ({ev}) select event_id::varchar as source_event_id, date_trunc('milliseconds', event_time) as event_time, latitude, longitude, depth_km, magnitude, magnitude_type from ev where latitude between -60 and -15 and longitude between -82 and -62")
+def bounded_scan(spark, sf_dir):
+    """Every event inside the service's box, read in slices that the service agrees to answer."""
+    url, start, end = feed(spark, sf_dir) or (scratch(spark, "feed"), datetime(2024, 1, 1), datetime(2024, 1, 2))
+    out = bounded.bounded_events(spark, url, start, end)
+    return out.select("source_event_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "latitude", "longitude", "depth_km", "magnitude", "magnitude_type")
+
+
+@query("with ev as ({ev}) select 'succeeded' as status, count(*) as events from ev where latitude between -60 and -15 and longitude between -82 and -62 having count(*) > 0")
+def backfill_run(spark, sf_dir):
+    """A backfill of the whole time range: what its ledger shows, by the state of the slices."""
+    url, start, end = feed(spark, sf_dir) or (scratch(spark, "feed"), datetime(2024, 1, 1), datetime(2024, 1, 2))
+    tried = bounded.backfill(spark, url, start, end, scratch(spark, "backfilled"), scratch(spark, "ledger"))
+    return tried.groupBy("status").agg(F.sum("events").alias("events")).where("events > 0")
+
+
 @complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE}, seen as (select 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, case when magnitude < 4 then 0 when magnitude < 5 then 1 when magnitude < 6 then 2 when magnitude < 7 then 3 else 4 end as bin, count(*) as observed from s where t_days >= 20 and t_days < 27 group by 1, 2) select cell_id, bin, round(expected, 6) as expected, coalesce(observed, 0)::bigint as observed from cube left join seen using (cell_id, bin)")
 def observed_cube(spark, sf_dir, least=4.5):
