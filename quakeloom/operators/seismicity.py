@@ -2,64 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import excess_deviance, omori_integral
+from ..plans import intervals
 from ..plans.blocks import block_join
 from ..plans.checkpointing import materialize
+from .nearest import _haversine, kth_neighbours, nearest_parents
 
-FRACTAL_DIMENSION = 1.6
 NEIGHBOURS = 5
 MIN_BANDWIDTH_KM = 1.0
 DAYS_PER_YEAR = 365.25
-_KM = 6371.0088
 
 
 def days_since(time: Column, start: Column) -> Column:
     return (F.unix_micros(time.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 8.64e10
 
 
-def _haversine(lat1, lon1, lat2, lon2):
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * _KM * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
-
-
-def nearest_parents(events: DataFrame, b: float = 1.0, dimension: float = FRACTAL_DIMENSION) -> DataFrame:
-    """(event_id, parent_id, log_eta): each event's closest earlier event in space, time and magnitude.
-
-    The distance is dt * r**dimension * 10**(-b * parent's magnitude), with floors of a second and a
-    metre; earlier means smaller (event_time, event_id), ties go to the earliest parent. The first
-    event has no parent and no row."""
-    rows = events.where("magnitude is not null and latitude is not null and longitude is not null")
-    rows = rows.select("event_id", (F.unix_micros(F.col("event_time").cast("timestamp")) / 1e6).alias("t"), "latitude", "longitude", "magnitude")
-
-    def compare(child: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        parent = parent.sort_values(["t", "event_id"])
-        pt, pid = parent.t.to_numpy(), parent.event_id.to_numpy()
-        for lo in range(0, len(child), 512):
-            c = child.iloc[lo : lo + 512]
-            t, i = c.t.to_numpy()[:, None], c.event_id.to_numpy()[:, None]
-            dt = np.maximum((t - pt) / 86400.0, 1 / 86400.0)
-            r = np.maximum(_haversine(c.latitude.to_numpy()[:, None], c.longitude.to_numpy()[:, None], parent.latitude.to_numpy(), parent.longitude.to_numpy()), 1e-3)
-            eta = dt * r**dimension * 10.0 ** (-b * parent.magnitude.to_numpy())
-            eta[(pt > t) | ((pt == t) & (pid >= i))] = np.inf
-            k = eta.argmin(axis=1) if len(parent) else np.zeros(0, int)
-            if len(k):
-                best = eta[np.arange(len(c)), k]
-                ok = np.isfinite(best)
-                out.append(pd.DataFrame({"event_id": c.event_id.to_numpy()[ok], "eta": best[ok], "t": pt[k][ok], "parent_id": pid[k][ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"event_id": pd.Series(dtype="int64"), "eta": pd.Series(dtype=float), "t": pd.Series(dtype=float), "parent_id": pd.Series(dtype="int64")})
-
-    part = block_join(rows, rows, "event_id", "event_id", compare, "event_id long, eta double, t double, parent_id long")
-    best = part.groupBy("event_id").agg(F.min(F.struct("eta", "t", "parent_id")).alias("best"))
-    return best.select("event_id", "best.parent_id", F.log10("best.eta").alias("log_eta"))
-
-
 def two_component_threshold(log_eta: DataFrame, column: str = "log_eta", rounds: int = 200, tolerance: float = 1e-8) -> dict[str, float] | None:
     """Crossover of two Gaussians fitted by EM; None below 50 values.
 
@@ -126,23 +90,8 @@ def family_roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def bandwidths(events: DataFrame, k: int = NEIGHBOURS, floor_km: float = MIN_BANDWIDTH_KM) -> DataFrame:
     """(event_id, latitude, longitude, bandwidth_km): distance to the k-th nearest other event."""
-    rows = events.select("event_id", "latitude", "longitude").where("latitude is not null and longitude is not null")
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for lo in range(0, len(a), 512):
-            c = a.iloc[lo : lo + 512]
-            d = _haversine(c.latitude.to_numpy()[:, None], c.longitude.to_numpy()[:, None], b.latitude.to_numpy(), b.longitude.to_numpy())
-            d[c.event_id.to_numpy()[:, None] == b.event_id.to_numpy()] = np.inf
-            near = np.sort(d, axis=1)[:, :k]
-            out.append(pd.DataFrame({"event_id": c.event_id.to_numpy(), "near": list(near)}))
-        return pd.concat(out) if out else pd.DataFrame({"event_id": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
-
-    part = block_join(rows, rows, "event_id", "event_id", compare, "event_id long, near array<double>")
-    near = F.filter(F.sort_array(F.flatten(F.collect_list("near"))), lambda d: d < float("inf"))
-    best = part.groupBy("event_id").agg(near.alias("near"))
-    width = F.greatest(F.coalesce(F.try_element_at("near", F.least(F.lit(k), F.size("near"))), F.lit(floor_km)), F.lit(floor_km))
-    return rows.join(best.select("event_id", F.when(F.size("near") > 0, width).otherwise(floor_km).alias("bandwidth_km")), "event_id")
+    width = F.greatest(F.coalesce("km", F.lit(floor_km)), F.lit(floor_km))
+    return kth_neighbours(events, k).select("event_id", "latitude", "longitude", width.alias("bandwidth_km"))
 
 
 def background_rates(cells: DataFrame, kernels: DataFrame, duration_days: float) -> DataFrame:
@@ -161,21 +110,55 @@ def background_rates(cells: DataFrame, kernels: DataFrame, duration_days: float)
     return out.select("cell_id", "density", (F.col("density") * F.col("area_km2") / (duration_days / DAYS_PER_YEAR)).alias("rate_per_year"))
 
 
+#: Terms of a far interval's series; events in a finest interval, on average and at most.
+TERMS, NEAR, CROWD = 24, 32, 512
+
+
 def intensities(sample: DataFrame, mu: float, k0: float, alpha: float, c: float, p: float, reference: float) -> DataFrame:
-    """(event_id, intensity) of (event_id, t_days, magnitude): every strictly earlier event adds its part."""
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        own = k0 * np.exp(alpha * (b.magnitude.to_numpy() - reference))
-        total = np.zeros(len(a))
-        for lo in range(0, len(a), 512):
-            dt = a.t_days.to_numpy()[lo : lo + 512, None] - b.t_days.to_numpy()
-            with np.errstate(invalid="ignore", divide="ignore"):
-                total[lo : lo + 512] = np.where(dt > 0, np.where(dt > 0, dt + c, 1.0) ** -p, 0.0) @ own
-        return pd.DataFrame({"event_id": a.event_id.to_numpy(), "part": total})
-
-    rows = sample.select("event_id", "t_days", "magnitude")
-    part = block_join(rows, rows, "event_id", "event_id", compare, "event_id long, part double")
-    return part.groupBy("event_id").agg((F.lit(mu) + F.sum("part")).alias("intensity"))
+    """(event_id, intensity, error_bound) of (event_id, t_days, magnitude): every strictly earlier event adds
+    k0 * exp(alpha * (magnitude - reference)) * (dt + c) ** -p to ``mu``.
+
+    Near events are added one by one. A far interval (``plans.intervals``) is a series of its moments about
+    its middle: it lies three half widths away or more, so that each term is at most a third of the last
+    but for slowly growing coefficients, and ``TERMS`` of them leave a relative error of about 1e-11. What
+    they leave at most, summed over the intervals, is ``error_bound``. Events of one time are one source.
+    Rows without time or magnitude feed nothing; those without time have no row."""
+    if c <= 0 or p <= 0:
+        raise ValueError("c and p must be positive")
+    rows = sample.select("event_id", F.col("t_days").cast("double").alias("t_days"), F.col("magnitude").cast("double").alias("magnitude")).where("t_days is not null")
+    own = F.lit(k0) * F.exp(F.lit(alpha) * (F.col("magnitude") - reference))
+    sources = materialize(rows.groupBy("t_days").agg(F.coalesce(F.sum(own), F.lit(0.0)).alias("k")), "sources")
+    ends = sources.agg(F.min("t_days"), F.max("t_days"), F.count("*")).first()
+    if not ends[2]:
+        return rows.select("event_id", F.lit(mu).alias("intensity"), F.lit(0.0).alias("error_bound"))
+    levels = max(1, math.ceil(math.log2(max(2.0, ends[2] / NEAR))))
+    index = lambda n: F.floor((F.col("t_days") - ends[0]) / ((ends[1] - ends[0]) * (1 + 1e-12) / 2**n or 1.0))
+    while levels < 40 and sources.groupBy(index(levels)).count().agg(F.max("count")).first()[0] > CROWD:
+        levels += 3
+    width = (ends[1] - ends[0]) * (1 + 1e-12) / 2**levels or 1.0
+    placed = sources.withColumn("index", index(levels))
+    half = F.lit(width / 2) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    middle = F.lit(ends[0]) + (2 * F.col("i") + 1) * half
+
+    held = placed.select("t_days", "k", F.inline(intervals.holding(F.col("index"), levels)))
+    off = (F.col("t_days") - middle) / half
+    moments = held.withColumn("off", off).groupBy("level", "i").agg(*(F.sum(F.col("k") * F.pow("off", F.lit(q))).alias(f"m{q}") for q in range(TERMS)))
+    looks = placed.select("t_days", F.inline(intervals.far(F.col("index"), levels))).join(moments, ["level", "i"])
+    x = F.col("t_days") - middle + c
+    ratio, series, factor = half / x, F.lit(0.0), [1.0]
+    for q in range(TERMS):
+        factor.append(factor[-1] * (p + q) / (q + 1))
+    for q in reversed(range(TERMS)):
+        series = F.col(f"m{q}") * factor[q] + F.col("ratio") * series
+    grown = max(1.0, (p + TERMS) / (TERMS + 1))
+    left = F.col("m0") * factor[TERMS] * F.pow("ratio", F.lit(TERMS)) / (1 - F.col("ratio") * grown)
+    far = looks.withColumns({"ratio": ratio, "x": x}).select("t_days", (F.pow("x", F.lit(-p)) * series).alias("part"), (F.pow("x", F.lit(-p)) * left).alias("left"))
+    close = placed.select("t_days", F.explode(intervals.near(F.col("index"))).alias("index"))
+    earlier = placed.select("index", F.col("t_days").alias("s"), "k")
+    near = close.join(earlier, "index").where("s < t_days").select("t_days", (F.col("k") * F.pow(F.col("t_days") - F.col("s") + c, F.lit(-p))).alias("part"), F.lit(0.0).alias("left"))
+    total = far.union(near).groupBy("t_days").agg(F.sum("part").alias("part"), F.sum("left").alias("left"))
+    out = rows.join(total, "t_days", "left")
+    return out.select("event_id", (F.lit(mu) + F.coalesce("part", F.lit(0.0))).alias("intensity"), F.coalesce("left", F.lit(0.0)).alias("error_bound"))
 
 
 def expected_counts(windows: DataFrame, sample: DataFrame, mu: float, k0: float, alpha: float, c: float, p: float, reference: float) -> DataFrame:

@@ -35,7 +35,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql.replace("{ev}", EV).replace("{as_of}", AS_OF).replace("{origin}", ORIGIN)
+            ORACLES[f.__name__] = sql.replace("{ev}", EV).replace("{mc}", "(select mc from mcx)").replace("{as_of}", AS_OF).replace("{origin}", ORIGIN)
         return f
 
     return add
@@ -53,22 +53,21 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(r6(f"`{k}`").alias(k) if t == "double" else F.col(f"`{k}`") for k, t in df.dtypes))
 
 
-def sample(spark: SparkSession, sf_dir: str, least: float = 4.5) -> DataFrame:
+def sample(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     """Located events at or above a magnitude, with days since the origin."""
     ev = catalog(spark, sf_dir).where(F.col("magnitude") >= least)
     return ev.withColumn("t_days", seismicity.days_since(F.col("event_time"), at(ORIGIN)))
 
 
-def complete_too(f):
-    """Registers a query of a magnitude sample once more, as NAME_complete: on every event at or above
-    the catalog's own magnitude of completeness, which is then the models' reference magnitude too."""
+def complete(f):
+    """Calls a query of a magnitude sample with the catalog's own magnitude of completeness, which is then
+    the models' reference magnitude too. In SQL it is {mc}."""
 
     def run(spark, sf_dir):
         return f(spark, sf_dir, completeness(spark, sf_dir))
 
-    run.__doc__ = f"``{f.__name__}`` on every event at or above the catalog's magnitude of completeness."
-    QUERIES[f"{f.__name__}_complete"] = run
-    return f
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> float:
@@ -300,14 +299,8 @@ def traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ev.select(F.col("event_id").alias("point_id"), "latitude", "longitude"), segments
 
 
-@query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e join seg on floor(latitude / 5) between floor(least(lat1, lat2) / 5) - 1 and floor(greatest(lat1, lat2) / 5) + 1 and floor(longitude / 5) between floor(least(lon1, lon2) / 5) - 1 and floor(greatest(lon1, lon2) / 5) + 1), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
-def nearest_traces(spark, sf_dir):
-    """By squares of five degrees, as its SQL; ``nearest_traces_exact`` has no reach."""
-    return grid.nearest_trace(*traces(spark, sf_dir)).select("point_id", F.round("km", 5).alias("km"))
-
-
 @query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e, seg), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
-def nearest_traces_exact(spark, sf_dir):
+def nearest_traces(spark, sf_dir):
     """The nearest of all segments for every point."""
     return grid.nearest_trace_exact(*traces(spark, sf_dir)).select("point_id", F.round("km", 5).alias("km"))
 
@@ -326,13 +319,13 @@ def tectonic_classes(spark, sf_dir):
 
 # --- declustering, rates, triggering ------------------------------------------------------------
 
-SMALL = "s as (select *, (epoch_us(event_time) - epoch_us(timestamp '{origin}')) / 8.64e10 as t_days from ev where magnitude >= 4.5)"
+SMALL = "mcx as (select round(max_by(k, (n, -k)) * 0.1::double + 0.2::double, 10) as mc from (select round_even(magnitude / 0.1, 0)::int as k, count(*) as n from ev where magnitude is not null group by 1)), s as (select *, (epoch_us(event_time) - epoch_us(timestamp '{origin}')) / 8.64e10 as t_days from ev where magnitude >= (select mc from mcx))"
 PARENTS = "eta as (select c.event_id, p.event_id as parent_id, p.event_time as pt, greatest((epoch_us(c.event_time) - epoch_us(p.event_time)) / 1e6 / 86400, 1.0 / 86400) * power(greatest(" + HAVERSINE.format(a1="c.latitude", a2="c.longitude", b1="p.latitude", b2="p.longitude") + ", 1e-3), 1.6) * power(10.0::double, -p.magnitude) as eta from s c join s p on (p.event_time, p.event_id) < (c.event_time, c.event_id)), parent as (select event_id, min_by(parent_id, (eta, pt, parent_id)) as parent_id, log10(min(eta)) as log_eta from eta group by 1)"
 
 
-@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {PARENTS} select event_id, parent_id, round(log_eta, 6) as log_eta from parent")
-def nearest_parents(spark, sf_dir, least=4.5):
+@complete
+def nearest_parents(spark, sf_dir, least):
     return rounded(seismicity.nearest_parents(sample(spark, sf_dir, least)))
 
 
@@ -342,9 +335,9 @@ def declustered(spark, sf_dir):
     return rounded(seismicity.decluster(sample(spark, sf_dir, completeness(spark, sf_dir))))
 
 
-@complete_too
 @query(f"with recursive ev as ({{ev}}), {SMALL}, {PARENTS}, link as (select s.event_id, parent_id, coalesce(log_eta >= 0.5, true) as free from s left join parent using (event_id)), up as (select event_id, event_id as root, free, parent_id from link union all select up.event_id, l.event_id, l.free, l.parent_id from up join link l on l.event_id = up.parent_id where not up.free) select event_id, root as root_id from up where free")
-def family_roots(spark, sf_dir, least=4.5):
+@complete
+def family_roots(spark, sf_dir, least):
     s = sample(spark, sf_dir, least)
     links = s.select("event_id").join(seismicity.nearest_parents(s), "event_id", "left").withColumn("is_background", F.coalesce(F.col("log_eta") >= 0.5, F.lit(True)))
     return seismicity.family_roots(links).select("event_id", "root_id")
@@ -353,39 +346,40 @@ def family_roots(spark, sf_dir, least=4.5):
 WIDTHS = "near as (select a.event_id, " + HAVERSINE.format(a1="a.latitude", a2="a.longitude", b1="b.latitude", b2="b.longitude") + " as km from s a join s b on a.event_id <> b.event_id), width as (select event_id, greatest(1.0, list_sort(list(km))[least(5, count(*))]) as h from near group by 1)"
 
 
-@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {WIDTHS} select event_id, round(h, 6) as bandwidth_km from width")
-def kernel_bandwidths(spark, sf_dir, least=4.5):
+@complete
+def kernel_bandwidths(spark, sf_dir, least):
     return rounded(seismicity.bandwidths(sample(spark, sf_dir, least)).select("event_id", "bandwidth_km"))
 
 
-@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {WIDTHS}, {CELLS} select cell_id, round(sum(exp(-0.5 * power(km / h, 2)) / (2 * pi() * h * h)) * any_value(area_km2) / (30 / 365.25), 6) as rate_per_year from (select cell_id, area_km2, h, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="s.latitude", b2="s.longitude") + " as km from cell, s join width using (event_id)) group by cell_id")
-def background_rates(spark, sf_dir, least=4.5):
+@complete
+def background_rates(spark, sf_dir, least):
     kernels = seismicity.bandwidths(sample(spark, sf_dir, least))
     return rounded(seismicity.background_rates(grid.cells(spark, *GRID), kernels, 30.0).select("cell_id", "rate_per_year"))
 
 
-@complete_too
-@query(f"with ev as ({{ev}}), {SMALL} select a.event_id, round(0.5 + coalesce(sum(0.05 * exp(b.magnitude - 4.5) * power(a.t_days - b.t_days + 0.1, -1.2)), 0), 6) as intensity from s a left join s b on b.t_days < a.t_days group by a.event_id")
-def etas_intensities(spark, sf_dir, least=4.5):
-    return rounded(seismicity.intensities(sample(spark, sf_dir, least), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least))
+@query(f"with ev as ({{ev}}), {SMALL} select a.event_id, round(0.5 + coalesce(sum(0.05 * exp(b.magnitude - {{mc}}) * power(a.t_days - b.t_days + 0.1, -1.2)), 0), 6) as intensity from s a left join s b on b.t_days < a.t_days group by a.event_id")
+@complete
+def etas_intensities(spark, sf_dir, least):
+    out = seismicity.intensities(sample(spark, sf_dir, least), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least)
+    return rounded(out.select("event_id", "intensity"))
 
 
 OMORI = "((power({x} + 0.1, -0.2::double) - power(0.1::double, -0.2::double)) / -0.2)"
 
 
-@complete_too
-@query(f"with ev as ({{ev}}), {SMALL}, w as (select w, 28::double - w as start, 29::double - w as stop from range(0, 28) t(w)), e as (select w.w, coalesce(sum(0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')})), 0) as fed from w left join s on t_days < start group by 1) select w, round(0.5 + fed, 6) as expected from e")
-def expected_counts(spark, sf_dir, least=4.5):
+@query(f"with ev as ({{ev}}), {SMALL}, w as (select w, 28::double - w as start, 29::double - w as stop from range(0, 28) t(w)), e as (select w.w, coalesce(sum(0.05 * exp(magnitude - {{mc}}) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')})), 0) as fed from w left join s on t_days < start group by 1) select w, round(0.5 + fed, 6) as expected from e")
+@complete
+def expected_counts(spark, sf_dir, least):
     windows = spark.range(28).select(F.col("id").alias("w"), (F.lit(28.0) - F.col("id")).alias("start"), (F.lit(29.0) - F.col("id")).alias("stop"))
     out = seismicity.expected_counts(windows, sample(spark, sf_dir, least), ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least)
     return rounded(out.select("w", "expected"))
 
 
-@complete_too
-@query(f"with ev as ({{ev}}), {SMALL}, f as (select min(t_days) as first from s), w as (select w, 28::double - w * 0.5::double as start, 28.5::double - w * 0.5::double as stop from f, range(0, 200) t(w) where w = 0 or 28 - w * 0.5 >= first), x as (select w.w, 0.25 + coalesce(sum(case when t_days < start then 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='greatest(stop - t_days, 0)')} - {OMORI.format(x='greatest(start - t_days, 0)')}) end), 0) as expected, count(case when t_days >= start and t_days < stop then 1 end) as observed from w left join s on t_days < stop group by 1), d as (select *, case when observed <= expected then 0 else 2 * (observed * ln(observed / expected) - (observed - expected)) end as dev from x) select max(case when w = 0 then observed end) as observed, round(max(case when w = 0 then expected end), 6) as expected, round(max(case when w = 0 then dev end), 6) as deviance, count(case when w > 0 then 1 end) as windows, round(case when count(case when w > 0 then 1 end) >= 30 then 100.0 * sum(case when w > 0 and dev <= (select dev from d where w = 0) then 1 else 0 end) / count(case when w > 0 then 1 end) end, 6) as score from d")
-def anomaly_index(spark, sf_dir, least=4.5):
+@query(f"with ev as ({{ev}}), {SMALL}, f as (select min(t_days) as first from s), w as (select w, 28::double - w * 0.5::double as start, 28.5::double - w * 0.5::double as stop from f, range(0, 200) t(w) where w = 0 or 28 - w * 0.5 >= first), x as (select w.w, 0.25 + coalesce(sum(case when t_days < start then 0.05 * exp(magnitude - {{mc}}) * ({OMORI.format(x='greatest(stop - t_days, 0)')} - {OMORI.format(x='greatest(start - t_days, 0)')}) end), 0) as expected, count(case when t_days >= start and t_days < stop then 1 end) as observed from w left join s on t_days < stop group by 1), d as (select *, case when observed <= expected then 0 else 2 * (observed * ln(observed / expected) - (observed - expected)) end as dev from x) select max(case when w = 0 then observed end) as observed, round(max(case when w = 0 then expected end), 6) as expected, round(max(case when w = 0 then dev end), 6) as deviance, count(case when w > 0 then 1 end) as windows, round(case when count(case when w > 0 then 1 end) >= 30 then 100.0 * sum(case when w > 0 and dev <= (select dev from d where w = 0) then 1 else 0 end) / count(case when w > 0 then 1 end) end, 6) as score from d")
+@complete
+def anomaly_index(spark, sf_dir, least):
     return rounded(seismicity.anomaly_index(sample(spark, sf_dir, least), 28.5, ETAS.mu, ETAS.k0, ETAS.alpha, ETAS.c, ETAS.p, least, window_days=0.5))
 
 
@@ -413,34 +407,35 @@ def spatiotemporal_etas_fit(spark, sf_dir):
 # --- forecasts and scores -----------------------------------------------------------------------
 
 
-def forecast_rates(spark: SparkSession, sf_dir: str, least: float = 4.5) -> DataFrame:
+def forecast_rates(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     region = grid.cells(spark, *GRID).agg(F.sum("area_km2")).first()[0]
     return forecasting.forecast_cells(grid.cells(spark, *GRID), sample(spark, sf_dir, least), ETAS, 20.0, 27.0, least, region)
 
 
-RATES = "fed as (select latitude, longitude, 0.05 * exp(magnitude - 4.5) * (" + OMORI.format(x="(27 - t_days)") + " - " + OMORI.format(x="(20 - t_days)") + ") as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from s where t_days < 20), rate as (select cell_id, any_value(area_km2) as area_km2, 0.5 * 7 * any_value(area_km2) / (select sum(area_km2) from cell) + coalesce(sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) * any_value(area_km2), 0) as expected from (select cell_id, area_km2, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell left join fed on true) group by 1)"
-CUBE = "bin(bin, lower, upper) as (values (0, 3.0::double, 4.0::double), (1, 4.0, 5.0), (2, 5.0, 6.0), (3, 6.0, 7.0), (4, 7.0, null)), cube as (select cell_id, bin, lower, expected * case when lower >= 4.5 then power(10::double, -(lower - 4.5)) - coalesce(power(10::double, -(upper - 4.5)), 0) end as expected from rate, bin)"
+RATES = "fed as (select latitude, longitude, 0.05 * exp(magnitude - {mc}) * (" + OMORI.format(x="(27 - t_days)") + " - " + OMORI.format(x="(20 - t_days)") + ") as fed, 5 * exp(0.5 * (magnitude - {mc})) as d from s where t_days < 20), rate as (select cell_id, any_value(area_km2) as area_km2, 0.5 * 7 * any_value(area_km2) / (select sum(area_km2) from cell) + coalesce(sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) * any_value(area_km2), 0) as expected from (select cell_id, area_km2, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell left join fed on true) group by 1)"
+CUBE = "bin(bin, lower, upper) as (values (0, 3.0::double, 4.0::double), (1, 4.0, 5.0), (2, 5.0, 6.0), (3, 6.0, 7.0), (4, 7.0, null)), cube as (select cell_id, bin, lower, expected * case when lower >= {mc} then power(10::double, -(lower - {mc})) - coalesce(power(10::double, -(upper - {mc})), 0) end as expected from rate, bin)"
 
 
-@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select cell_id, bin, round(expected, 6) as expected, round(1 - exp(-expected), 6) as probability, case when expected is null then 'not_estimable' else 'estimable' end as support from cube")
-def forecast_cube(spark, sf_dir, least=4.5):
+@complete
+def forecast_cube(spark, sf_dir, least):
     cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least)
     return rounded(cube.select("cell_id", "bin", "expected", "probability", "support"))
 
 
-@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select cell_id, round(cell.latitude, 6) as latitude, round(cell.longitude, 6) as longitude, lower, round(expected, 6) as expected, round(1 - exp(-expected), 6) as probability from cube join cell using (cell_id) where expected is not null and lower = (select coalesce(min(lower) filter (lower >= 4.5), min(lower)) from cube) order by round(expected, 6) desc, cell_id limit 100")
-def forecast_detail(spark, sf_dir):
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select cell_id, round(cell.latitude, 6) as latitude, round(cell.longitude, 6) as longitude, lower, round(expected, 6) as expected, round(1 - exp(-expected), 6) as probability from cube join cell using (cell_id) where expected is not null and lower = (select coalesce(min(lower) filter (lower >= {{mc}}), min(lower)) from cube) order by round(expected, 6) desc, cell_id limit 100")
+@complete
+def forecast_detail(spark, sf_dir, least):
     """The 100 cells of the latest run with the most expected events in the lowest bin it can estimate."""
-    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir), 1.0, 4.5)
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least)
     cells = grid.cells(spark, *GRID)
-    out = forecasting.run_detail(cube.withColumn("expected", r6("expected")), cells, 4.5, limit=100)
+    out = forecasting.run_detail(cube.withColumn("expected", r6("expected")), cells, least, limit=100)
     return rounded(out.select("cell_id", "latitude", "longitude", "lower", "expected", "probability"))
 
 
-@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select grouping(cell_id) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from cube where expected is not null group by grouping sets ((cell_id), (bin))")
-def forecast_marginals(spark, sf_dir, least=4.5):
+@complete
+def forecast_marginals(spark, sf_dir, least):
     """Sums over bins and over cells in one pass."""
     cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least).where("expected is not null")
     return spark.sql("select cast(grouping(cell_id) as bigint) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from {cube} group by grouping sets ((cell_id), (bin))", cube=cube)
@@ -487,16 +482,8 @@ def reliability_curve(spark, sf_dir):
     return rounded(scoring.reliability(scored_rows(spark, sf_dir), "id"))
 
 
-@query(f"with {SCORED}, t as (select event_type, sum(observed) as observed, count(*) * 0.14::double as expected from (select * from row where id < 400) group by 1) select event_type, observed::bigint as observed, round(expected, 6) as expected, round((select sum(exp(-expected + i * ln(expected) - lgamma(i + 1))) from range(0, (observed + 1)::bigint) z(i)), 6) as p_at_most from t")
-def number_test(spark, sf_dir):
-    rows = scored_rows(spark, sf_dir).where("id < 400")
-    t = rows.groupBy("event_type").agg(F.sum("observed").alias("observed"), (F.count("*") * 0.14).alias("expected"))
-    return rounded(scoring.number_test(t).select("event_type", "observed", "expected", "p_at_most"))
-
-
 @query(f"with {SCORED}, t as (select event_type, sum(observed) as observed, count(*) * 0.14::double as expected from row group by 1), p as (select event_type, observed::bigint as observed, expected, (select sum(exp(-expected + i * ln(expected) - lgamma(i + 1))) from range(0, (observed + 1)::bigint) z(i)) as low, 1 - (select sum(exp(-expected + i * ln(expected) - lgamma(i + 1))) from range(0, observed::bigint) z(i)) as high from t) select event_type, observed, round(expected, 6) as expected, round(high, 6) as p_at_least, round(low, 6) as p_at_most, low > 0.025 and high > 0.025 as consistent from p")
-def number_test_whole(spark, sf_dir):
-    """The number test on every row of the table; ``number_test`` keeps the 400 rows of its SQL."""
+def number_test(spark, sf_dir):
     t = scored_rows(spark, sf_dir).groupBy("event_type").agg(F.sum("observed").alias("observed"), (F.count("*") * 0.14).alias("expected"))
     return rounded(scoring.number_test(t).select("event_type", "observed", "expected", "p_at_least", "p_at_most", "consistent"))
 
@@ -528,10 +515,11 @@ def calibration_error(spark, sf_dir):
 
 
 @query()
-def simulated_catalogs(spark, sf_dir):
+@complete
+def simulated_catalogs(spark, sf_dir, least):
     """Quantiles of simulated counts over a week, fed by every event before it."""
-    history = sample(spark, sf_dir).where("t_days < 20").select("event_id", "t_days", "magnitude")
-    runs = forecasting.simulate(spark, ETAS, 1.0, 4.5, history, 20.0, 27.0, 500)
+    history = sample(spark, sf_dir, least).where("t_days < 20").select("event_id", "t_days", "magnitude")
+    runs = forecasting.simulate(spark, ETAS, 1.0, least, history, 20.0, 27.0, 500)
     return rounded(runs.agg(F.count("*").alias("runs"), F.avg("events").alias("mean"), *(F.percentile("events", q).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95)), F.max("largest").alias("largest")))
 
 
@@ -626,9 +614,9 @@ def backfill_run(spark, sf_dir):
     return tried.groupBy("status").agg(F.sum("events").alias("events")).where("events > 0")
 
 
-@complete_too
 @query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE}, seen as (select 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, case when magnitude < 4 then 0 when magnitude < 5 then 1 when magnitude < 6 then 2 when magnitude < 7 then 3 else 4 end as bin, count(*) as observed from s where t_days >= 20 and t_days < 27 group by 1, 2) select cell_id, bin, round(expected, 6) as expected, coalesce(observed, 0)::bigint as observed from cube left join seen using (cell_id, bin)")
-def observed_cube(spark, sf_dir, least=4.5):
+@complete
+def observed_cube(spark, sf_dir, least):
     """The forecast cube beside what was observed in its window."""
     cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least)
     seen = grid.assign_bins(sample(spark, sf_dir, least).where("t_days >= 20 and t_days < 27"))
@@ -667,16 +655,9 @@ def replayed(ev: DataFrame) -> DataFrame:
     return ranked.select("source_id", "event_id", F.col("rank").alias("step"))
 
 
-@query("with ev as ({ev}) select source_id, event_id, row_number() over (order by available_at, event_id) as step from ev where event_time < timestamp '2024-01-03 00:00:00'")
+@query("with ev as ({ev}) select source_id, event_id, row_number() over (order by available_at, event_id) as step from ev")
 def replay_order(spark, sf_dir):
     """Events in the order in which they became known, numbered without one task holding all."""
-    ev = catalog(spark, sf_dir).where(F.col("event_time") < at("2024-01-03 00:00:00"))
-    return replayed(ev)
-
-
-@query("with ev as ({ev}) select source_id, event_id, row_number() over (order by available_at, event_id) as step from ev")
-def replay_order_whole(spark, sf_dir):
-    """``replay_order`` of every event."""
     return replayed(catalog(spark, sf_dir))
 
 
@@ -694,14 +675,8 @@ def fold_scores(spark: SparkSession, sf_dir: str, windows: DataFrame, least: flo
     return scores.select("fold", "events", F.round("expected", 5).alias("expected"), r6("brier").alias("brier"), F.round("log_likelihood", 4).alias("log_likelihood"), F.round(gain, 4).alias("gain"))
 
 
-@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, f(fold, start, stop) as (values (0, 10::double, 13::double), (1, 15, 18), (2, 20, 23)), fed as (select fold, latitude, longitude, 0.05 * exp(magnitude - 4.5) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')}) as fed, 5 * exp(0.5 * (magnitude - 4.5)) as d from f join s on t_days < start), part as (select fold, cell_id, sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) as fed from (select fold, cell_id, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell, fed) group by 1, 2), rate as (select f.fold, cell.cell_id, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) as base, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) + coalesce(fed, 0) * area_km2 as rate from cell cross join f left join part on part.fold = f.fold and part.cell_id = cell.cell_id), seen as (select fold, 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from s join f on t_days >= start and t_days < stop group by 1, 2), x as (select rate.*, coalesce(n, 0) as n from rate left join seen using (fold, cell_id)) select fold::int as fold, sum(n)::bigint as events, round(sum(rate), 5) as expected, round(avg(power(1 - exp(-rate) - case when n > 0 then 1 else 0 end, 2)), 6) as brier, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)), 4) as log_likelihood, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)) - sum(n * ln(greatest(base, 1e-12)) - base - lgamma(n + 1)), 4) as gain from x group by 1")
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, ends as (select min(t) + 10 as s0, max(t) + 1 / 86400::double as e0 from (select (epoch_us(event_time) - epoch_us(timestamp '{{origin}}')) / 8.64e10 as t from ev)), nf as (select *, case when e0 - s0 < 3 then 0 else ceil((e0 - s0) / 3 - 1e-9)::int end as n from ends), g as (select unnest(range(n)) as fold, s0, case when n > 1 then (e0 - s0 - 3) / (n - 1) else 3 end as step from nf), f as (select fold, s0 + fold * step as start, s0 + fold * step + 3 as stop from g), fed as (select fold, latitude, longitude, 0.05 * exp(magnitude - {{mc}}) * ({OMORI.format(x='(stop - t_days)')} - {OMORI.format(x='(start - t_days)')}) as fed, 5 * exp(0.5 * (magnitude - {{mc}})) as d from f join s on t_days < start), part as (select fold, cell_id, sum(fed * 0.8 / (pi() * d * d) * power(1 + power(km / d, 2), -1.8)) as fed from (select fold, cell_id, fed, d, " + HAVERSINE.format(a1="cell.latitude", a2="cell.longitude", b1="fed.latitude", b2="fed.longitude") + " as km from cell, fed) group by 1, 2), rate as (select f.fold, cell.cell_id, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) as base, 0.5 * 3 * area_km2 / (select sum(area_km2) from cell) + coalesce(fed, 0) * area_km2 as rate from cell cross join f left join part on part.fold = f.fold and part.cell_id = cell.cell_id), seen as (select fold, 'grid:r' || lpad((floor(latitude + 60 + 1e-9)::int)::varchar, 4, '0') || ':c' || lpad((floor(longitude + 82 + 1e-9)::int)::varchar, 4, '0') as cell_id, count(*) as n from s join f on t_days >= start and t_days < stop group by 1, 2), x as (select rate.*, coalesce(n, 0) as n from rate left join seen using (fold, cell_id)) select fold::int as fold, sum(n)::bigint as events, round(sum(rate), 5) as expected, round(avg(power(1 - exp(-rate) - case when n > 0 then 1 else 0 end, 2)), 6) as brier, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)), 4) as log_likelihood, round(sum(n * ln(greatest(rate, 1e-12)) - rate - lgamma(n + 1)) - sum(n * ln(greatest(base, 1e-12)) - base - lgamma(n + 1)), 4) as gain from x group by 1")
 def walk_forward_scores(spark, sf_dir):
-    """Forecasts of three folds from what came before them, scored on what followed; see its complete form."""
-    return fold_scores(spark, sf_dir, forecasting.folds(spark, 10.0, 23.0, 5.0, 3.0), 4.5)
-
-
-@query()
-def walk_forward_scores_complete(spark, sf_dir):
     """Folds of three days without a gap, from the tenth day after the first event to the last one, on
     every event at or above the catalog's magnitude of completeness."""
     t = seismicity.days_since(F.col("event_time"), at(ORIGIN))

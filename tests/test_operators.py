@@ -161,12 +161,12 @@ def test_complete_samples_against_brute_force(spark):
     eta = np.maximum((s.us.to_numpy()[:, None] - s.us.to_numpy()) / 8.64e10, 1 / 86400) * np.maximum(km, 1e-3) ** 1.6 * 10.0 ** -s.magnitude.to_numpy()
     eta[np.triu_indices(len(s))] = np.inf
     best = dict(zip(s.event_id[1:], zip(s.event_id.to_numpy()[eta.argmin(axis=1)][1:], np.log10(eta.min(axis=1)[1:]), strict=True), strict=True))
-    for r in (got := queries.QUERIES["nearest_parents_complete"](spark, sf).collect()):
+    for r in (got := queries.QUERIES["nearest_parents"](spark, sf).collect()):
         assert r.parent_id == best[r.event_id][0] and abs(r.log_eta - best[r.event_id][1]) < 2e-6
     assert len(got) == len(s) - 1
     np.fill_diagonal(km, np.inf)
     width = dict(zip(s.event_id, np.maximum(1.0, np.sort(km, axis=1)[:, 4]), strict=True))
-    got = queries.QUERIES["kernel_bandwidths_complete"](spark, sf).collect()
+    got = queries.QUERIES["kernel_bandwidths"](spark, sf).collect()
     assert len(got) == len(s) and all(abs(r.bandwidth_km - width[r.event_id]) < 2e-6 for r in got)
     assert queries.QUERIES["declustered"](spark, sf).count() == len(s)
 
@@ -285,11 +285,11 @@ def test_folds_cover_the_catalog(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
 def test_whole_catalog_is_replayed_and_scored(spark):
     sf = "/root/testdata/sf0.001"
-    got = queries.QUERIES["replay_order_whole"](spark, sf)
+    got = queries.QUERIES["replay_order"](spark, sf)
     assert got.count() == queries.catalog(spark, sf).count() == got.select("step").distinct().count()
     s = queries.sample(spark, sf, queries.completeness(spark, sf)).withColumn("cell", grid.point_to_cell(F.col("latitude"), F.col("longitude"), *queries.GRID))
     first = queries.sample(spark, sf, -1.0).agg(F.min("t_days")).first()[0]
-    assert queries.QUERIES["walk_forward_scores_complete"](spark, sf).agg(F.sum("events")).first()[0] >= s.where(F.col("t_days") >= first + 10.5).where("cell is not null").count() > 0
+    assert queries.QUERIES["walk_forward_scores"](spark, sf).agg(F.sum("events")).first()[0] >= s.where(F.col("t_days") >= first + 10.5).where("cell is not null").count() > 0
 
 
 def test_scores_by_hand(spark):
