@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpointing import discard, materialize
 from .textops import LOWER, Spans, mix64, slices, string_parts
 
 #: Words with a vector of their own, vectors that rarer words share by hash.
@@ -102,9 +103,12 @@ def word_rows(h: np.ndarray, words: np.ndarray, shared: int = SHARED) -> np.ndar
 
 
 def frequent_words(docs: DataFrame, most: int = OWN) -> np.ndarray:
-    """Hashes of the ``most`` most frequent words of all rows, in order; ties go to the smaller hash.
+    """Hashes, in order, of the ``most`` most frequent words of all rows; ties go to the smaller hash.
 
-    Tasks add up their own counts before the shuffle; the driver gets ``most`` numbers."""
+    Tasks add up their own counts before the shuffle. The least count that makes it comes from the number
+    of words of each count (n different counts take n**2 / 2 words of text, so these are few), and the
+    largest hash of that count from the numbers of its words in 65,536 ranges of hashes. Only words that
+    make it leave their partitions: the driver gets ``most`` numbers, and one range's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -129,7 +133,22 @@ def frequent_words(docs: DataFrame, most: int = OWN) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n)], ["h", "n"])
 
     counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas()
+    counts = materialize(counts, "word-counts")
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).toPandas()
+    held = sizes.words.to_numpy(np.int64).cumsum()
+    at = int(np.searchsorted(held, most, "right"))  # the counts before this one make it with all their words
+    if at == len(sizes):
+        best = counts.select("h")
+    else:
+        least, left = int(sizes.n[at]), most - (int(held[at - 1]) if at else 0)
+        tied = counts.where(F.col("n") == least).select("h", F.shiftright("h", 48).alias("range"))
+        ranges = tied.groupBy("range").agg(F.count("*").alias("words")).orderBy("range").toPandas()
+        below = ranges.words.to_numpy(np.int64).cumsum()
+        k = int(np.searchsorted(below, left, "right"))
+        cut, rest = int(ranges.range[k]), left - (int(below[k - 1]) if k else 0)
+        best = counts.where(F.col("n") > least).select("h").union(tied.where(F.col("range") < cut).select("h")).union(tied.where(F.col("range") == cut).orderBy("h").limit(rest).select("h"))
+    best = best.toPandas()
+    discard(counts)
     return np.sort(best.h.to_numpy(np.int64).astype(np.uint64))
 
 

@@ -48,12 +48,13 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of ``documents`` as FLAC streams, decoded again by blocks."""
+    """Whole texts of ``documents`` as FLAC streams, written down and decoded again by blocks."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     padded = F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("int")
     docs = docs.withColumn("payload", F.concat("payload", F.substring(F.unhex(F.lit("00" * 64)), 1, padded - F.col("n_bytes").cast("int"))))
-    rows = flac.decode_column(flac.encode_column(docs).select("doc_id", "n_bytes", "media"))
+    stored = materialize(flac.encode_column(docs).select("doc_id", "n_bytes", "media"), "media")
+    rows = flac.decode_column(stored)
     power = F.aggregate("blocks", F.lit(0).cast("long"), lambda total, x: total + x.energy)
     peak = F.array_max(F.transform("blocks", lambda x: x.peak))
     feature = F.format_string("blocks=%d;peak=%d;rms=%.4f", F.size("blocks"), peak, F.sqrt(power / F.octet_length("pcm")))

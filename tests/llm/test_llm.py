@@ -802,3 +802,76 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x.doc_id for x in kept} == set(want.values())
     out = pipeline.run(spark, str(tmp_path)).toPandas()
     assert {0, 39} <= set(out.doc_id) and not {100, 101, 102} & set(out.doc_id)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pipeline.run(spark, str(tmp_path)).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+def test_pipeline_keeps_own_columns(spark, tmp_path):
+    """Columns named like an operator's results are the input's own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(k, f"the river and the house number {k} stand in the green light of the stone walk\nshared line of more than twenty points", -7.0, "mine", k) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, lang_pred string, n_dropped int").withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(0).cast("long"))
+    spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for stage in (pipeline.identify_language, pipeline.keep_quality, pipeline.drop_lines, pipeline.drop_near_copies):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0
+        assert all(r.score == -7.0 and r.lang_pred == "mine" and r.n_dropped == r.doc_id for r in out.collect())
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# --- long chains ----------------------------------------------------------------------------------
+
+
+def test_chain_of_revisions(spark):
+    """Each document shares about 0.87 of its shingles with the next only: one component, however long."""
+    r = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(15 * 300 + 220)]
+    ids = r.permutation(300)
+    docs = {int(i): " ".join(words[15 * k : 15 * k + 220]) for k, i in enumerate(ids)}
+    got = minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), width=2).collect()
+    want, _ = brute_near(docs, 2, 80)
+    assert {x.doc_id: x.component_id for x in got} == want and set(want.values()) == {0}
+
+
+def test_chain_of_vectors(spark):
+    turn = np.arange(200) * 0.15
+    ids = np.random.default_rng(3).permutation(200)
+    rows = [(int(i), 1, [float(np.cos(x)), float(np.sin(x)), 0.0]) for i, x in zip(ids, turn[:40], strict=False)]
+    rows += [(int(i), 1, [float(np.cos(x)), 0.0, float(np.sin(x)), 0.0, 5.0]) for i, x in zip(ids[40:], turn[40:] / 4, strict=False)]
+    got = embeddings.near_duplicate_embeddings(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), threshold=0.98).collect()
+    v = {i: np.array(x) for i, _, x in rows}
+    parent = {i: i for i in v}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in v:
+        for j in v:
+            if i < j and len(v[i]) == len(v[j]) and v[i] @ v[j] / np.linalg.norm(v[i]) / np.linalg.norm(v[j]) >= 0.98:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert {x.vec_id: x.component_id for x in got} == {i: find(i) for i in v}
+
+
+def test_frequent_words_against_sorting(spark):
+    """Counts with many ties, at every size of the cut."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice([f"w{k}" for k in range(60)], 25)) for _ in range(12)]
+    h = quality.tokens(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))[0]
+    seen = collections.Counter(h.tolist())
+    best = sorted(seen, key=lambda x: (-seen[x], np.uint64(x).astype(np.int64)))
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    for most in (1, 7, 30, len(seen) - 1, len(seen), 500):
+        assert quality.frequent_words(docs, most).tolist() == sorted(best[:most])
+    assert len(quality.frequent_words(docs.limit(0), 5)) == 0
