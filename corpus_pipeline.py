@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.llm import langid, linededup, minhash, packing, quality
 from quakeloom.llm.queries import table, tokenizer_path, train_languages, train_quality
-from quakeloom.plans.checkpointing import materialize
+from quakeloom.plans.checkpointing import discard, materialize
 
 #: Least quality score that stays.
 QUALITY = 0.3
@@ -19,11 +19,15 @@ QUALITY = 0.3
 BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Columns that the operators add, and replace where a table has some of its own.
+ADDED = ("lang_pred", "score", "n_lines", "n_dropped")
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def small_batches(stage: Stage) -> Stage:
-    """The stage in a session whose Arrow batches have ``BATCH_ROWS`` rows at most."""
+    """The stage in a session whose Arrow batches have ``BATCH_ROWS`` rows at most. Its result is computed
+    when it is written, so the setting stays; ``run`` sets it back."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,20 @@ def small_batches(stage: Stage) -> Stage:
     return run
 
 
+def own_columns(stage: Stage) -> Stage:
+    """The stage on a table whose columns named like an operator's results keep their values."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clash = {c: f"__own_{c}" for c in ADDED if c in docs.columns}
+        out = stage(spark, docs.withColumnsRenamed(clash), sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in clash.items()})
+
+    return run
+
+
 @small_batches
+@own_columns
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts that are null or without a letter go."""
     found = langid.identify(docs, train_languages(docs))
@@ -42,6 +59,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 @small_batches
+@own_columns
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 at least."""
     vectors, net = train_quality(docs, table(spark, sf_dir, "labels"))
@@ -49,6 +67,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 @small_batches
+@own_columns
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three or more of them share; n_chars follows the text."""
     out = linededup.drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -58,7 +77,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8), the one with
-    the smallest doc_id. Different texts under one doc_id, or under none, are different documents; of
+    the smallest doc_id. Copies that differ in every few words share more two-word shingles than
+    five-word ones, so those that ``op5_minhash_join`` links are not all near copies here. Different texts under one doc_id, or under none, are different documents; of
     rows with equal id and text one stays."""
     return minhash.drop_near_duplicates(docs)
 
@@ -81,10 +101,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
+    """All stages on ``documents``; what each keeps is written to the shared folder and read again, and
+    what it was made from is removed once nothing reads it."""
+    docs, batch = table(spark, sf_dir, "documents"), spark.conf.get(_BATCH)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            made = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+            discard(docs)
+            docs = made
+    finally:
+        spark.conf.set(_BATCH, batch)
     return docs
