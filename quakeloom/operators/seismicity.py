@@ -88,6 +88,18 @@ def family_roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise ValueError("links have a cycle")
 
 
+def aftershocks(events: DataFrame, links: DataFrame) -> DataFrame:
+    """(family, event_id, t_days, duration) of every triggered event: days since its family's root, and
+    from there to the catalog's last event.
+
+    ``links`` are those of ``decluster``; a family is named after its root, its nearest background ancestor."""
+    time = events.select("event_id", (F.unix_micros(F.col("event_time").cast("timestamp")) / 8.64e10).alias("day"))
+    roots = family_roots(links).where("event_id <> root_id")
+    last = events.agg((F.unix_micros(F.max("event_time").cast("timestamp")) / 8.64e10).alias("last"))
+    own = roots.join(time, "event_id").join(time.select(F.col("event_id").alias("root_id"), F.col("day").alias("start")), "root_id")
+    return own.join(F.broadcast(last), F.lit(True)).select(F.col("root_id").alias("family"), "event_id", (F.col("day") - F.col("start")).alias("t_days"), (F.col("last") - F.col("start")).alias("duration"))
+
+
 def bandwidths(events: DataFrame, k: int = NEIGHBOURS, floor_km: float = MIN_BANDWIDTH_KM) -> DataFrame:
     """(event_id, latitude, longitude, bandwidth_km): distance to the k-th nearest other event."""
     width = F.greatest(F.coalesce("km", F.lit(floor_km)), F.lit(floor_km))

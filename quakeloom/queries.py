@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.stats import magnitude_bin
 from .operators import catalog as cat
 from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes, scoring, seismicity
-from .plans.checkpointing import scratch
+from .plans.checkpointing import materialize, scratch
 from .plans.graph import connected_components
 from .sources import bounded
 from .sources.adapter import ORACLE as EV
@@ -384,24 +384,26 @@ def anomaly_index(spark, sf_dir, least):
 
 
 @query()
-def omori_families(spark, sf_dir):
-    """Aftershock decay of every user's events since that user's first one."""
-    s = sample(spark, sf_dir, 3.0)
-    from pyspark.sql import Window
-
-    users = catalog(spark, sf_dir).select("event_id", F.pmod("event_id", F.lit(37)).alias("family"))
-    t = s.join(users, "event_id").withColumn("t_days", F.col("t_days") - F.min("t_days").over(Window.partitionBy("family")))
-    return rounded(fitting.omori(t, ["family"], 30.0))
+@complete
+def omori_families(spark, sf_dir, least):
+    """Aftershock decay of every family of the declustered catalog."""
+    ev = sample(spark, sf_dir, least)
+    links = materialize(seismicity.decluster(ev), "links")
+    return rounded(fitting.omori(seismicity.aftershocks(ev, links), ["family"], "duration"))
 
 
 @query()
-def temporal_etas_fit(spark, sf_dir):
-    return rounded(fitting.temporal_etas(sample(spark, sf_dir, 4.8), 31.0, 4.8, restarts=2))
+@complete
+def temporal_etas_fit(spark, sf_dir, least):
+    """Six restarts in step on every event at or above the magnitude of completeness."""
+    ev = sample(spark, sf_dir, least)
+    return rounded(fitting.temporal_etas(ev, 31.0, least))
 
 
 @query()
 def spatiotemporal_etas_fit(spark, sf_dir):
-    return rounded(fitting.spatiotemporal_etas(sample(spark, sf_dir, 4.7), 31.0, 1.0e7, 4.7, restarts=1))
+    """Three restarts in step on the events from 4.7 on; pairs of events grow with the square of the sample."""
+    return rounded(fitting.spatiotemporal_etas(sample(spark, sf_dir, 4.7), 31.0, 1.0e7, 4.7))
 
 
 # --- forecasts and scores -----------------------------------------------------------------------

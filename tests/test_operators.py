@@ -268,8 +268,9 @@ def test_simulation_is_fed_by_all_history(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
 def test_simulated_catalogs_counts_small_parents(spark):
     sf, e = "/root/testdata/sf0.01", queries.ETAS
-    past = queries.sample(spark, sf).where("t_days < 20")
-    fed = e.k0 * F.exp(e.alpha * (F.col("magnitude") - 4.5)) * (stats.omori_integral(e.c, e.p, 27 - F.col("t_days")) - stats.omori_integral(e.c, e.p, 20 - F.col("t_days")))
+    least = queries.completeness(spark, sf)
+    past = queries.sample(spark, sf, least).where("t_days < 20")
+    fed = e.k0 * F.exp(e.alpha * (F.col("magnitude") - least)) * (stats.omori_integral(e.c, e.p, 27 - F.col("t_days")) - stats.omori_integral(e.c, e.p, 20 - F.col("t_days")))
     first = e.mu * 7 + past.agg(F.sum(fed)).first()[0]
     assert queries.QUERIES["simulated_catalogs"](spark, sf).first()["mean"] > 0.95 * first
 
