@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpointing import materialize
+from ..plans.ranks import running_rank
+
+#: Entries of a manifest's list that are joined in one string.
+LEAF = 4096
 # fixed values: source priorities, known magnitude types and accepted depths
 PRIORITY = {"csn_daily": 0, "csn_compiled": 1, "usgs": 2}
 OTHER_PRIORITY = 100
@@ -95,10 +100,31 @@ def upsert(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*(F.when(F.col("n.__new"), F.col(f"n.{k}")).otherwise(F.col(f"o.{k}")).alias(k) for k in held.columns))
 
 
-def manifest(events: DataFrame, as_of_text: str) -> DataFrame:
-    """One row per source: sorted revision list, its size and digest, as frozen into a dataset."""
-    ids = F.array_join(F.sort_array(F.collect_list("event_id")), ",")
-    return events.groupBy("source_id").agg(F.count("*").alias("revisions"), F.sha2(F.concat(F.lit(as_of_text + "|"), ids), 256).alias("digest"))
+def manifest(events: DataFrame, as_of_text: str, leaf: int = LEAF) -> DataFrame:
+    """(source_id, revisions, digest) per source, as frozen into a dataset.
+
+    The digest is the SHA-256 of the as-of text, a bar and the sorted ids joined by commas. With more than
+    ``leaf`` ids, each run of ``leaf`` of them is first replaced by the SHA-256 of its own list, as often as
+    it takes to have ``leaf`` entries at most (a Merkle root), so that no task holds more than one run.
+    Ids are placed by ranges of the order of (source_id, event_id). Rows without an id are counted in
+    ``revisions`` only."""
+    sizes = events.groupBy("source_id").agg(F.count("*").alias("revisions"))
+    ids = events.where("event_id is not null").select("source_id", F.col("event_id").cast("string").alias("entry"), F.struct("source_id", "event_id").alias("o"))
+    rows = running_rank(ids, "o").drop("o")
+    while True:
+        first = rows.groupBy("source_id").agg(F.min("rank").alias("first"), F.count("*").alias("entries"))
+        placed = rows.alias("r").join(first.alias("f"), F.col("r.source_id").eqNullSafe(F.col("f.source_id"))).select("r.source_id", "entry", (F.col("rank") - F.col("first")).alias("place"), "entries")
+        rows = placed.where(F.col("entries") <= leaf).select("source_id", "entry", F.col("place").alias("rank"))
+        large = placed.where(F.col("entries") > leaf)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda e: e.entry), ",")
+        small = large.groupBy("source_id", F.floor(F.col("place") / leaf).alias("rank")).agg(F.sha2(joined, 256).alias("entry"))
+        rows = materialize(rows.unionByName(small), "manifest")
+        if rows.groupBy("source_id").count().where(F.col("count") > leaf).isEmpty():
+            break
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e.entry), ",")
+    digest = rows.groupBy("source_id").agg(entries.alias("entries"))
+    out = sizes.alias("a").join(digest.alias("b"), F.col("a.source_id").eqNullSafe(F.col("b.source_id")), "left")
+    return out.select("a.source_id", "revisions", F.sha2(F.concat(F.lit(as_of_text + "|"), F.coalesce("entries", F.lit(""))), 256).alias("digest"))
 
 
 def summary(events: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import poisson_cdf, poisson_log_pmf
-from .seismicity import running_rank
+from ..plans.checkpointing import materialize
+from ..plans.ranks import running_rank
 
 CLIP = 1e-12
 #: Parts into which the bins of a simulated test are dealt.
@@ -45,7 +46,6 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     Counts per distinct probability are enough: values are ranked in ranges, not in one task."""
     g = rows.groupBy("probability").agg(F.count_if(F.col("observed") > 0).alias("hits"), F.count_if(F.col("observed") == 0).alias("misses"))
     ranged = g.repartitionByRange("probability").withColumn("part", F.spark_partition_id())
-    from ..plans.checkpointing import materialize
 
     ranged = materialize(ranged, "auc")
     before = ranged.groupBy("part").agg(F.sum("misses").alias("n")).withColumn("head", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -152,18 +152,30 @@ def marginal_test(bins: DataFrame, simulations: int = 1000, seed: int = 1, alpha
 
 
 def bootstrap_mean(values: DataFrame, column: str, resamples: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """(mean, low, high) of a small table of folds, each resample in a task of its own; null below two."""
-    v = np.array([r[0] for r in values.select(column).where(F.col(column).isNotNull()).orderBy(column).collect()], float)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"mean": [float(np.random.default_rng([seed, int(k)]).choice(v, len(v)).mean()) for k in b.id]})
-
-    spark = values.sparkSession
-    if len(v) < 2:
-        return spark.createDataFrame([(float(v.mean()) if len(v) else None, None, None)], "mean double, low double, high double")
+    """(mean, low, high): the mean of the values and percentiles of its resampled means; null below two.
+
+    Values stay on the cluster. A resample draws as many values as there are: one multinomial, the same in
+    every task, deals the draws to ``BLOCKS`` blocks of distinct values, and one in each block deals them to
+    its values by their counts. A block hands on one sum per resample. Nulls and NaN are left out."""
+    x = F.col(column).cast("double")
+    counts = values.select(x.alias("x")).where("x is not null and not isnan(x)").groupBy("x").agg(F.count("*").alias("n"))
+    counts = materialize(counts.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(BLOCKS)).cast("int")), "values")
+    held = {r.block: int(r.n) for r in counts.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # BLOCKS rows at most
+    keys, total = sorted(held), sum(held.values())
+    mean = counts.agg(F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mean"))
+    if total < 2:
+        return mean.select("mean", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    weight = np.array([held[k] for k in keys]) / total
+
+    def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("x")
+        share = np.random.default_rng([seed]).multinomial(total, weight, resamples)[:, keys.index(int(key[0]))]
+        r, p, v = np.random.default_rng([seed, int(key[0])]), g.n.to_numpy() / g.n.sum(), g.x.to_numpy()
+        return pd.DataFrame({"sim": np.arange(resamples), "part": [float(r.multinomial(k, p) @ v) if k else 0.0 for k in share]})
+
+    sums = counts.groupBy("block").applyInPandas(draw, "sim int, part double").groupBy("sim").agg((F.sum("part") / total).alias("mean"))
     tail = (1 - level) / 2
-    return spark.range(resamples).mapInPandas(draw, "mean double").agg(F.lit(float(v.mean())).alias("mean"), F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
+    return mean.join(sums.agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high")), F.lit(True))
 
 
 def promotion(folds: DataFrame, least_folds: int = 10, least_events: int = 100, resamples: int = 1000, seed: int = 1) -> DataFrame:

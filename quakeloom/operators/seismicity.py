@@ -6,15 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import excess_deviance, omori_integral
 from ..plans import intervals
 from ..plans.blocks import block_join
 from ..plans.checkpointing import materialize
+from ..plans.ranks import running_rank
 from .nearest import _haversine, kth_neighbours, nearest_parents
+from .quantiles import exact_quantiles
 
+__all__ = ["nearest_parents", "running_rank"]
 NEIGHBOURS = 5
 MIN_BANDWIDTH_KM = 1.0
 DAYS_PER_YEAR = 365.25
@@ -32,7 +35,7 @@ def two_component_threshold(log_eta: DataFrame, column: str = "log_eta", rounds:
     n = log_eta.count()
     if n < 50:
         return None
-    middle = log_eta.agg(F.percentile(column, 0.5).alias("m")).first().m
+    middle = exact_quantiles(log_eta, [], column, [0.5]).first().q0
     half = log_eta.agg(*(f(F.when(side, x)) for side in (x <= middle, x > middle) for f in (F.avg, F.var_pop))).first()
     if half[2] is None:
         return None
@@ -202,12 +205,3 @@ def anomaly_index(sample: DataFrame, end_days: float, mu: float, k0: float, alph
     now = each.where("w = 0").select(F.col("observed").alias("observed"), F.col("expected").alias("expected"), F.col("deviance").alias("now"))
     past = each.where("w > 0").join(F.broadcast(now.select("now")), F.lit(True)).agg(F.count("*").alias("windows"), F.count_if(F.col("deviance") <= F.col("now")).alias("below"))
     return now.join(past, F.lit(True)).select("observed", "expected", F.col("now").alias("deviance"), "windows", F.when(F.col("windows") >= least_windows, 100.0 * F.col("below") / F.col("windows")).alias("score"))
-
-
-def running_rank(df: DataFrame, order: str) -> DataFrame:
-    """Rows with ``rank`` from 1 in the order of one column, without putting all rows in one task:
-    ranges are sorted apart and shifted by what lies before them."""
-    ranged = materialize(df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()), "ranged")
-    before = ranged.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    return ranked.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("rank", F.col("__k") + F.col("__before")).drop("__part", "__k", "__before")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions.stats import magnitude_bin
 from .operators import catalog as cat
 from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes, scoring, seismicity
+from .operators.quantiles import exact_quantiles
 from .plans.checkpointing import materialize, scratch
 from .plans.graph import connected_components
 from .sources import bounded
@@ -179,7 +180,7 @@ def appended_if_absent(spark, sf_dir):
     return cat.append_if_absent(new, e.where("event_id % 2 = 0"), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query(f"with ev as ({{ev}}), {LATEST} select source_id, count(*) as revisions, sha256('{{as_of}}|' || string_agg(event_id::varchar, ',' order by event_id)) as digest from latest group by source_id")
+@query(f"with ev as ({{ev}}), {LATEST}, r as (select source_id, event_id::varchar as entry, row_number() over (partition by source_id order by event_id) - 1 as place, count(*) over (partition by source_id) as entries from latest), e as (select source_id, place, entry from r where entries <= 4096 union all select source_id, place // 4096 as place, sha256(string_agg(entry, ',' order by place)) as entry from r where entries > 4096 group by source_id, place // 4096), n as (select source_id, count(*) as revisions from latest group by 1) select source_id, revisions, sha256('{{as_of}}|' || string_agg(entry, ',' order by place)) as digest from e join n using (source_id) group by source_id, revisions")
 def dataset_manifest(spark, sf_dir):
     return cat.manifest(cat.as_of(catalog(spark, sf_dir), at(AS_OF)), AS_OF)
 
@@ -635,8 +636,8 @@ def region_thresholds(spark, sf_dir):
 
 @query("with ev as ({ev}) select magnitude_type, round(quantile_cont(magnitude, 0.05), 6) as q5, round(quantile_cont(magnitude, 0.5), 6) as q50, round(quantile_cont(magnitude, 0.975), 6) as q97 from ev where magnitude is not null group by 1")
 def magnitude_percentiles(spark, sf_dir):
-    g = catalog(spark, sf_dir).where("magnitude is not null").groupBy("magnitude_type")
-    return rounded(g.agg(F.percentile("magnitude", 0.05).alias("q5"), F.percentile("magnitude", 0.5).alias("q50"), F.percentile("magnitude", 0.975).alias("q97")))
+    """Exact percentiles by rounds of counts."""
+    return rounded(exact_quantiles(catalog(spark, sf_dir), ["magnitude_type"], "magnitude", [0.05, 0.5, 0.975]).toDF("magnitude_type", "q5", "q50", "q97"))
 
 
 @query("with a as (select event_id // 500 as issued_at, sum(value) as ll from events group by 1), b as (select event_id // 500 as issued_at, avg(value) as ll from events group by 1) select issued_at, round(a.ll, 4) as candidate_ll, round(b.ll, 4) as champion_ll from a join b using (issued_at)")

@@ -38,6 +38,12 @@ def tumbling_counts(stream: DataFrame, time: str = "available_at", width: str =
     return stream.withColumn("__t", t).withWatermark("__t", delay).groupBy(F.window("__t", width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "n")
 
 
+def hopping_counts(stream: DataFrame, time: str = "available_at", width: str = "7 days", step: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Events per window of ``width`` that begins at every ``step``: an event counts in each one it lies in."""
+    t = F.col(time).cast("timestamp")
+    return stream.withColumn("__t", t).withWatermark("__t", delay).groupBy(F.window("__t", width, step)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "n")
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str = "available_at", delay: str = "1 day") -> DataFrame:
     return stream.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", delay).dropDuplicatesWithinWatermark(keys).drop("__t")
 
