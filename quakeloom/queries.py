@@ -17,9 +17,12 @@ from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes
 from .operators.quantiles import exact_quantiles
 from .plans.checkpointing import materialize, scratch
 from .plans.graph import connected_components
-from .sources import bounded
+from .plans.ranks import running_rank
+from .sources import bounded, sinks
 from .sources.adapter import ORACLE as EV
 from .sources.adapter import catalog, second_source
+from .streaming import clock
+from .streaming import linkage as stream_linkage
 
 AS_OF = "2024-01-15 00:00:00"
 ORIGIN = "2024-01-01 00:00:00"
@@ -200,12 +203,17 @@ def linkage_candidates(spark, sf_dir):
     return rounded(linkage.link_candidates(catalog(spark, sf_dir), second_source(spark, sf_dir)))
 
 
+def observed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations of both sources."""
+    own = catalog(spark, sf_dir).select("event_id", F.lit("first").alias("source_id"), "event_time", "available_at", "latitude", "longitude", "magnitude", "depth_km")
+    other = second_source(spark, sf_dir).select((-F.col("other_id") - 1).alias("event_id"), F.lit("second").alias("source_id"), "event_time", F.expr("event_time + make_dt_interval(0, 0, 10, 0)").alias("available_at"), "latitude", "longitude", "magnitude", "depth_km")
+    return own.union(other)
+
+
 @query()
 def canonical_links(spark, sf_dir):
     """Greedy linkage of both sources' observations; see the tests for its sequential check."""
-    own = catalog(spark, sf_dir).select("event_id", F.lit("first").alias("source_id"), "event_time", "available_at", "latitude", "longitude", "magnitude", "depth_km")
-    other = second_source(spark, sf_dir).select((-F.col("other_id") - 1).alias("event_id"), F.lit("second").alias("source_id"), "event_time", F.expr("event_time + make_dt_interval(0, 0, 10, 0)").alias("available_at"), "latitude", "longitude", "magnitude", "depth_km")
-    return linkage.canonical_events(own.union(other))
+    return linkage.canonical_events(observed_twice(spark, sf_dir))
 
 
 # --- frequency and magnitude --------------------------------------------------------------------
@@ -572,6 +580,15 @@ def raw_archive(spark, sf_dir):
     return issuance.archive_keys(a).groupBy("source", "sha256").agg(F.count("*").alias("copies"))
 
 
+@query("with k as (select event_type as source, sha256(props) as sha256, octet_length(encode(props))::bigint as byte_length from events where props is not null and event_type is not null and props <> '') select distinct source, sha256, byte_length from k")
+def archived_files(spark, sf_dir):
+    """Raw artifacts written as files of their content address, each once, and read back."""
+    a = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("source"), F.col("props").cast("binary").alias("content"), F.lit("application/json").alias("media_type"))
+    url = scratch(spark, "archive")
+    sinks.write_archive(a, url).count()
+    return sinks.read_archive(spark, url).select("source", "sha256", F.octet_length("content").cast("long").alias("byte_length"))
+
+
 @query("with ev as ({ev}), x as (select available_at >= event_time and latitude between -90 and 90 and longitude between -180 and 180 as ok from ev) select count(*) filter (ok) as valid, count(*) filter (not ok) as rejected from x")
 def validated_events(spark, sf_dir):
     good, bad = issuance.validated(catalog(spark, sf_dir))
@@ -664,6 +681,34 @@ def replay_order(spark, sf_dir):
     return replayed(catalog(spark, sf_dir))
 
 
+def arriving(spark: SparkSession, rows: DataFrame, batches: int) -> DataFrame:
+    """``rows`` as a stream of ``batches`` batches in the order in which they became known."""
+    folder = scratch(spark, "arriving")
+    ranked = materialize(running_rank(rows.withColumn("o", F.struct("available_at", "event_id")), "o").drop("o"), "ranked")
+    size = max(1, -(-ranked.count() // batches))
+    for k in range(batches):
+        ranked.where(F.floor((F.col("rank") - 1) / size) == k).select(*rows.columns).coalesce(8).write.mode("append").parquet(f"{folder}/batch={k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/batch=*")
+
+
+@query("with ev as ({ev}) select source_id, event_id, row_number() over (partition by source_id order by available_at, event_id) as step from ev")
+def replay_clocks(spark, sf_dir):
+    """A replay on a stream: each source's events in the order in which they became known."""
+    ev = catalog(spark, sf_dir).select("source_id", "event_id", "event_time", "available_at")
+    out = scratch(spark, "steps")
+    clock.start_replay(arriving(spark, ev, 2), out, scratch(spark, "clock")).awaitTermination()
+    return spark.read.schema(clock.STEP).parquet(out).select("source_id", "event_id", "step")
+
+
+@query()
+def canonical_links_stream(spark, sf_dir):
+    """``canonical_links`` as the observations arrive, in two batches."""
+    rows = observed_twice(spark, sf_dir).select("event_id", "source_id", *(F.col(c).cast("timestamp").alias(c) for c in ("event_time", "available_at")), "latitude", "longitude", "magnitude", "depth_km")
+    members = scratch(spark, "members")
+    stream_linkage.link_stream(arriving(spark, rows, 2), members, scratch(spark, "linked")).awaitTermination()
+    return stream_linkage.read_members(spark, members).select("event_id", "canonical_id")
+
+
 def fold_scores(spark: SparkSession, sf_dir: str, windows: DataFrame, least: float) -> DataFrame:
     """Scores of every fold of (fold, start, stop), in one job."""
     cells = grid.cells(spark, *GRID)

@@ -23,7 +23,7 @@ from ..operators.linkage import AUTO, DEPTH_KM, DISTANCE_KM, MAGNITUDE, TIME_S,
 
 OBSERVATION = "event_id long, source_id string, event_time timestamp, available_at timestamp, latitude double, longitude double, magnitude double, depth_km double"
 #: Width of a bucket; most that an automatic match can be apart in time, and in degrees of latitude.
-BUCKET_S, BUCKET_DEG = 60.0, 1.0
+BUCKET_S, BUCKET_DEG = 1800.0, 5.0
 REACH_S = TIME_S * math.sqrt(-2 * math.log(AUTO)) * 1.000001
 REACH_DEG = math.degrees(DISTANCE_KM * math.sqrt(-math.log(AUTO)) / 6371.0088) * 1.000001
 #: Days after an event's time in which its observations may still arrive.
@@ -31,15 +31,16 @@ KEEP_DAYS = 7.0
 _HELD = "event_id long, source_id string, t double, arrived double, latitude double, longitude double, magnitude double, depth_km double"
 _COLUMNS = [f.split()[0] for f in _HELD.split(", ")]
 MATCH = "event_id long, source_id string, arrived double, other_id long, probability double"
+_KINDS = {"event_id": "int64", "source_id": "object", "arrived": "float64", "other_id": "Int64", "probability": "Float64"}
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def match_probability(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """The linkage score of every row of ``a`` with every row of ``b``."""
+    """The linkage score of each row of ``a`` with the row of ``b`` beside it."""
     at = lambda x, k: x[k].to_numpy(float)
-    gap = lambda k: np.abs(at(a, k)[:, None] - at(b, k)[None, :])
-    p, q = np.radians(at(a, "latitude"))[:, None], np.radians(at(b, "latitude"))[None, :]
-    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(at(b, "longitude")[None, :] - at(a, "longitude")[:, None]) / 2) ** 2
+    gap = lambda k: np.abs(at(a, k) - at(b, k))
+    p, q = np.radians(at(a, "latitude")), np.radians(at(b, "latitude"))
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(at(b, "longitude") - at(a, "longitude")) / 2) ** 2
     km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
     total = (gap("t") / TIME_S) ** 2 + 2 * (km / DISTANCE_KM) ** 2
     for k, scale in (("magnitude", MAGNITUDE), ("depth_km", DEPTH_KM)):
@@ -47,6 +48,19 @@ def match_probability(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.exp(-0.5 * total)
 
 
+def near_pairs(new: pd.DataFrame, known: pd.DataFrame, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of ``new``, row of ``known``) of the pairs within reach in time, about ``most`` at once."""
+    order = np.argsort(known.t.to_numpy(float), kind="stable")
+    t, mine = known.t.to_numpy(float)[order], new.t.to_numpy(float)
+    lo, hi = np.searchsorted(t, mine - REACH_S), np.searchsorted(t, mine + REACH_S, "right")
+    ends, a = np.cumsum(hi - lo), 0
+    while a < len(new):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        n = (hi - lo)[a:z]
+        yield np.repeat(np.arange(a, z), n), order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:z], n)]
+        a = z
+
+
 class Matcher(StatefulProcessor):
     """Holds a bucket's observations; emits (later, earlier) for each automatic match.
 
@@ -71,22 +85,22 @@ class Matcher(StatefulProcessor):
         for known, before in ((old, True), (home, False)):
             if not len(known) or not len(new):
                 continue
-            p = match_probability(new, known)
-            good = p >= AUTO
-            if before:
-                good &= new.event_id.to_numpy()[:, None] != known.event_id.to_numpy()[None, :]
-            else:
-                x, y = ((d.arrived.to_numpy(float), d.event_id.to_numpy(np.int64)) for d in (new, known))
-                good &= (y[0][None, :] < x[0][:, None]) | ((y[0][None, :] == x[0][:, None]) & (y[1][None, :] < x[1][:, None]))
-            i, j = np.nonzero(good)
-            out.append(pd.DataFrame({"event_id": new.event_id.to_numpy()[i], "source_id": new.source_id.to_numpy()[i], "arrived": new.arrived.to_numpy()[i], "other_id": known.event_id.to_numpy()[j], "probability": p[i, j]}))
+            for i, j in near_pairs(new, known):
+                x, y = new.iloc[i], known.iloc[j]
+                p = match_probability(x, y)
+                good = (p >= AUTO) & (x.event_id.to_numpy() != y.event_id.to_numpy())
+                if not before:
+                    early, late = y.arrived.to_numpy(float), x.arrived.to_numpy(float)
+                    good &= (early < late) | ((early == late) & (y.event_id.to_numpy(np.int64) < x.event_id.to_numpy(np.int64)))
+                x, y = x[good], y[good]
+                out.append(pd.DataFrame({"event_id": x.event_id.to_numpy(), "source_id": x.source_id.to_numpy(), "arrived": x.arrived.to_numpy(), "other_id": y.event_id.to_numpy(), "probability": p[good]}))
         # every observation comes out once, from its own bucket, so that the batch knows all its rows
-        out.append(pd.DataFrame({"event_id": home.event_id, "source_id": home.source_id, "arrived": home.arrived, "other_id": None, "probability": None}))
-        yield pd.concat([x for x in out if len(x)] or out, ignore_index=True).astype({"other_id": "Int64", "probability": "Float64"})
+        out.append(pd.DataFrame({"event_id": home.event_id, "source_id": home.source_id, "arrived": home.arrived, "other_id": pd.NA, "probability": pd.NA}))
+        yield pd.concat([x.astype(_KINDS) for x in out], ignore_index=True)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
-        yield pd.DataFrame({"event_id": [], "source_id": [], "arrived": [], "other_id": [], "probability": []}).astype({"event_id": "int64", "source_id": "str", "other_id": "Int64", "probability": "Float64"})
+        yield pd.DataFrame({"event_id": [], "source_id": [], "arrived": [], "other_id": [], "probability": []}).astype(_KINDS)
 
     def close(self) -> None:
         return

@@ -9,7 +9,7 @@ from quakeloom.operators import linkage
 from quakeloom.streaming import linkage as stream
 
 
-def observations(spark, n=120, seed=4):
+def observations(spark, n=64, seed=4):
     """Several sources' reports of events that crowd in time and place, so that matches form chains."""
     r = np.random.default_rng(seed)
     event = r.integers(0, n // 4, n)
@@ -46,7 +46,7 @@ def test_equals_the_batch_form(spark, tmp_path, parts):
 
 
 def test_restart_and_repeat(spark, tmp_path):
-    df = observations(spark, 120, 9)
+    df = observations(spark, 64, 9)
     order = df.orderBy("available_at", "event_id").select("event_id").toPandas().event_id.to_numpy()
     first, second = ([int(x) for x in p] for p in np.array_split(order, 2))
     for ids in (first, second):
