@@ -36,6 +36,13 @@ def cell_area_km2(south, north, width_degrees: float) -> Column:
     return F.lit(EARTH_KM**2) * F.radians(F.lit(float(width_degrees))) * F.abs(F.sin(F.radians(_col(north))) - F.sin(F.radians(_col(south))))
 
 
+def flat_area_km2(south, north, west, east) -> Column:
+    """Area of a region as a rectangle as wide as it is at its middle latitude."""
+    height = F.radians(_col(north) - _col(south)) * EARTH_KM
+    width = F.radians(_col(east) - _col(west)) * EARTH_KM * F.cos(F.radians((_col(south) + _col(north)) / 2))
+    return F.abs(height * width)
+
+
 def wrap_longitude(lon) -> Column:
     lon = _col(lon)
     return F.when(lon > 180, lon - 360).otherwise(lon)

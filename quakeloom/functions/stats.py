@@ -79,6 +79,24 @@ def poisson_cdf(n: Column, rate: Column) -> Column:
     return F.when(n < 0, 0.0).otherwise(F.least(F.lit(1.0), F.when(n < 20, small).when(rate <= 0, 1.0).when(n < rate, below).otherwise(above)))
 
 
+def poisson_ppf(q: Column, rate: Column) -> Column:
+    """The least n with P(N <= n) >= q, for 0 < q < 1; null for other q.
+
+    Terms are added up from 12 standard deviations below the rate, where nothing is left out that a double
+    shows, to as far above it."""
+    rate = F.greatest(rate, F.lit(1e-12))
+    first = F.greatest(F.lit(0.0), F.floor(rate - 12 * F.sqrt(rate) - 12).cast("double"))
+    term = F.when(first > 0, _poisson_pmf(F.greatest(first, F.lit(1.0)), rate)).otherwise(F.exp(-rate))
+    steps = F.sequence(F.lit(1), (24 * F.sqrt(rate) + 60).cast("int"))
+    start = F.struct(term.alias("term"), term.alias("total"), first.alias("n"))
+
+    def step(a: Column, j: Column) -> Column:
+        more, next_term = a.total < q, a.term * rate / (first + j)
+        return F.struct(next_term.alias("term"), F.when(more, a.total + next_term).otherwise(a.total).alias("total"), F.when(more, first + j).otherwise(a.n).alias("n"))
+
+    return F.when((q > 0) & (q < 1), F.aggregate(steps, start, step).n.cast("long"))
+
+
 def at_least_one(expected: Column) -> Column:
     """Chance of an event, with the clamps used for places."""
     return F.when(expected <= 0, 0.0).when(expected > 50, 1.0).otherwise(1.0 - F.exp(-expected))

@@ -11,7 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.stats import magnitude_bin
+from .functions.geo import flat_area_km2
+from .functions.stats import magnitude_bin, poisson_ppf
 from .operators import catalog as cat
 from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes, scoring, seismicity
 from .operators.quantiles import exact_quantiles
@@ -452,6 +453,28 @@ def forecast_marginals(spark, sf_dir, least):
     return spark.sql("select cast(grouping(cell_id) as bigint) as by_bin, coalesce(cell_id, 'all') as cell_id, coalesce(bin, -1) as bin, round(sum(expected), 5) as expected from {cube} group by grouping sets ((cell_id), (bin))", cube=cube)
 
 
+@query(f"with ev as ({{ev}}), {SMALL}, {CELLS}, {RATES}, {CUBE} select distinct b.lower, b.upper from cube c join bin b using (bin) where c.expected is not null order by b.lower")
+@complete
+def forecast_bins(spark, sf_dir, least):
+    """The magnitude bins that a forecast can estimate, in order."""
+    cube = forecasting.forecast_cube(forecast_rates(spark, sf_dir, least), 1.0, least).where("expected is not null")
+    return cube.select("lower", "upper").distinct().orderBy("lower")
+
+
+@query("with ev as ({ev}), b as (select source_id, min(latitude) as s, max(latitude) as n, min(longitude) as w, max(longitude) as e from ev group by 1) select source_id, round(abs(radians(n - s) * 6371.0088 * radians(e - w) * 6371.0088 * cos(radians((s + n) / 2))), 3) as area_km2 from b")
+def region_areas(spark, sf_dir):
+    """Flat areas of the boxes around each source's events."""
+    b = catalog(spark, sf_dir).groupBy("source_id").agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e"))
+    return b.select("source_id", F.round(flat_area_km2("s", "n", "w", "e"), 3).alias("area_km2"))
+
+
+@query("with t as (select event_type, count(*) * 0.001::double as rate from events group by 1), c as (select event_type, rate, n, sum(exp(n * ln(rate) - rate - lgamma(n + 1))) over (partition by event_type order by n) as p from t, range(0, 2000) z(n)) select event_type, round(rate, 6) as rate, min(n) filter (p >= 0.05) as low, min(n) filter (p >= 0.95) as high from c group by 1, 2")
+def predictive_intervals(spark, sf_dir):
+    """Poisson intervals that hold nine tenths of the counts to come."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg((F.count("*") * 0.001).alias("rate"))
+    return t.select("event_type", r6("rate").alias("rate"), poisson_ppf(F.lit(0.05), F.col("rate")).alias("low"), poisson_ppf(F.lit(0.95), F.col("rate")).alias("high"))
+
+
 @query("select user_id, state, round(lifetime, 6) as lifetime_offspring from (select user_id, case when alpha >= b * ln(10) then 'non_finite_magnitude_productivity' when p <= 1 then 'finite_horizon_only_p_not_above_one' when k0 * (b * ln(10) / (b * ln(10) - alpha)) * power(0.1::double, 1 - p) / (p - 1) >= 1 then 'supercritical_lifetime_branching' else 'subcritical_lifetime_branching' end as state, case when alpha < b * ln(10) and p > 1 then k0 * (b * ln(10) / (b * ln(10) - alpha)) * power(0.1::double, 1 - p) / (p - 1) end as lifetime from (select user_id, 0.01::double * (1 + user_id % 30) as k0, 0.1::double * (user_id % 30) as alpha, 0.9::double + 0.05::double * (user_id % 13) as p, 1::double as b from (select distinct user_id from events)))")
 def branching_stability(spark, sf_dir):
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()

@@ -319,6 +319,27 @@ def test_number_test_at_large_rates(spark):
         assert r.consistent == (low > 0.025 and high > 0.025)
 
 
+def test_poisson_quantiles(spark):
+    def exact(q, rate):
+        n, total = 0, 0.0
+        while True:
+            total += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+            if total >= q:
+                return n
+            n += 1
+
+    cases = [(q, rate) for rate in (1e-6, 0.05, 0.7, 3.0, 19.5, 300.0, 5000.0) for q in (0.025, 0.31, 0.5, 0.9, 0.975)]
+    df = spark.createDataFrame([*cases, (0.0, 1.0), (1.0, 1.0), (None, 1.0)], "q double, rate double")
+    got = [(r.q, r.rate, r.n) for r in df.select("q", "rate", stats.poisson_ppf(F.col("q"), F.col("rate")).alias("n")).collect()]
+    assert got[:-3] == [(q, rate, exact(q, rate)) for q, rate in cases] and [x[2] for x in got[-3:]] == [None] * 3
+
+
+def test_flat_area(spark):
+    side = math.radians(1) * 6371.0088
+    assert abs(one(spark, geo.flat_area_km2(F.lit(-0.5), F.lit(0.5), F.lit(-71.0), F.lit(-70.0))) - side**2) < 1e-6
+    assert abs(one(spark, geo.flat_area_km2(F.lit(-61.0), F.lit(-59.0), F.lit(-70.0), F.lit(-71.0))) - 2 * side**2 * 0.5) < 1e-6
+
+
 def test_promotion_gate(spark):
     few = spark.createDataFrame([(1.0, 0.0, 10)] * 3, "candidate_ll double, champion_ll double, events int")
     assert scoring.promotion(few, resamples=20).first().decision == "insufficient_evidence"
