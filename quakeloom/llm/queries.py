@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.checkpointing import materialize
+from ..plans.checkpointing import discard, materialize
 from . import contamination, embeddings, flac, htmltext, infill, langid, linededup, minhash, packing, quality, resampling, sampling, warczip
 
 #: Where the public tokenizers lie; their module gives the path of each file.
 TOKENIZER = "byte_bpe_50k.json"
+#: Portions of documents whose media are on the disk one after the other.
+PORTIONS = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,17 +50,28 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of ``documents`` as FLAC streams, written down and decoded again by blocks."""
+    """Whole texts of ``documents`` as FLAC streams, written down and decoded again by blocks.
+
+    Documents go in ``PORTIONS`` portions, whose streams are removed once they are read back, so that not
+    all of them lie on the disk at once."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("payload"))
+    portion = F.pmod(F.xxhash64("doc_id", "payload"), F.lit(PORTIONS))
+    docs = docs.withColumn("n_bytes", F.octet_length("payload").cast("long"))
     padded = F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("int")
-    docs = docs.withColumn("payload", F.concat("payload", F.substring(F.unhex(F.lit("00" * 64)), 1, padded - F.col("n_bytes").cast("int"))))
-    stored = materialize(flac.encode_column(docs).select("doc_id", "n_bytes", "media"), "media")
-    rows = flac.decode_column(stored)
+    full = F.concat("payload", F.substring(F.unhex(F.lit("00" * 64)), 1, padded - F.col("n_bytes").cast("int")))
     power = F.aggregate("blocks", F.lit(0).cast("long"), lambda total, x: total + x.energy)
     peak = F.array_max(F.transform("blocks", lambda x: x.peak))
     feature = F.format_string("blocks=%d;peak=%d;rms=%.4f", F.size("blocks"), peak, F.sqrt(power / F.octet_length("pcm")))
-    return rows.select("doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pcm, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    out = None
+    for k in range(PORTIONS):
+        stored = materialize(flac.encode_column(docs.where(portion == k).withColumn("payload", full)).select("doc_id", "n_bytes", "media"), "media")
+        rows = flac.decode_column(stored)
+        rows = rows.select("doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pcm, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+        rows = materialize(rows, "features")
+        discard(stored)
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
