@@ -55,12 +55,32 @@ def circular_mean(weight, degrees) -> Column:
     return F.when(F.hypot(x, y) > 1e-12, F.when(angle >= 360.0, 0.0).otherwise(angle))
 
 
-def segment_distance_km(lat, lon, lat1, lon1, lat2, lon2) -> Column:
-    """Distance from a point to a segment in the local plane (spherical approximation)."""
-    scale = F.cos(F.radians(_col(lat)))
-    x1, y1 = (_col(lon1) - _col(lon)) * scale, _col(lat1) - _col(lat)
-    dx, dy = (_col(lon2) - _col(lon1)) * scale, _col(lat2) - _col(lat1)
-    squared = dx * dx + dy * dy
-    t = F.when(squared > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(x1 * dx + y1 * dy) / squared))).otherwise(0.0)
-    px, py = x1 + t * dx, y1 + t * dy
-    return F.radians(F.lit(1.0)) * EARTH_KM * F.sqrt(px * px + py * py)
+def unit_vector(lat, lon) -> tuple[Column, Column, Column]:
+    """A point of the sphere as (x, y, z); any longitude will do, wrapped or not."""
+    p, l = F.radians(_col(lat)), F.radians(_col(lon))
+    return F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p)
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _angle(a: list[Column], b: list[Column]) -> Column:
+    chord = F.sqrt(_dot([u - v for u, v in zip(a, b, strict=True)], [u - v for u, v in zip(a, b, strict=True)]))
+    return 2 * F.asin(F.least(F.lit(1.0), chord / 2))
+
+
+def arc_distance(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Angle between a point and the shorter arc from ``a`` to ``b``, all unit vectors.
+
+    Where the foot of the point on the great circle lies between the ends it is the angle to the circle,
+    else that to the nearer end."""
+    n = _cross(a, b)
+    size = F.sqrt(_dot(n, n))
+    between = (size > 1e-12) & (_dot(_cross(n, a), p) >= 0) & (_dot(_cross(b, n), p) >= 0)
+    across = F.asin(F.least(F.lit(1.0), F.abs(_dot(n, p)) / size))
+    return F.when(between, across).otherwise(F.least(_angle(p, a), _angle(p, b)))

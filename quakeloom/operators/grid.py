@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM, PLACES_EARTH_KM, box, cell_area_km2, circular_mean, haversine_km, segment_distance_km, wrap_longitude
+from ..functions.geo import EARTH_KM, PLACES_EARTH_KM, box, cell_area_km2, circular_mean, haversine_km, wrap_longitude
 from ..functions.stats import at_least_one, interval_mass, normal_cdf
-from ..plans.blocks import block_join
-from ..plans.checkpointing import materialize
 
 # fixed values: magnitude bins, named places, and the classifier's parameters
 BINS = ((3.0, 4.0), (4.0, 5.0), (5.0, 6.0), (6.0, 7.0), (7.0, None))
@@ -116,54 +112,6 @@ def bilinear_sample(points: DataFrame, nodes: DataFrame, step: float) -> DataFra
     return out.join(need, "point_id").where("corners = need").drop("need")
 
 
-def nearest_trace(points: DataFrame, segments: DataFrame, reach_degrees: float = 5.0) -> DataFrame:
-    """(point_id, trace_id, km) of the nearest segment (trace_id, lat1, lon1, lat2, lon2).
-
-    Segments are listed under every square of ``reach_degrees`` that they or their neighbourhood
-    touch, so a point meets those near it by an equi-join; a point with none in reach has no row."""
-    g = reach_degrees
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / g).cast("int") - 1, F.floor(F.greatest(a, b) / g).cast("int") + 1)
-    listed = segments.withColumn("gy", F.explode(span("lat1", "lat2"))).withColumn("gx", F.explode(span("lon1", "lon2")))
-    keyed = points.withColumns({"gy": F.floor(F.col("latitude") / g).cast("int"), "gx": F.floor(F.col("longitude") / g).cast("int")})
-    km = segment_distance_km("latitude", "longitude", "lat1", "lon1", "lat2", "lon2")
-    near = keyed.join(listed, ["gy", "gx"]).select("point_id", "trace_id", km.alias("km"))
-    best = near.groupBy("point_id").agg(F.min(F.struct("km", "trace_id")).alias("best"))
-    return best.select("point_id", "best.trace_id", "best.km")
-
-
-def nearest_trace_exact(points: DataFrame, segments: DataFrame, reach_degrees: float = 5.0) -> DataFrame:
-    """(point_id, trace_id, km) of the nearest of all segments, at any distance; ties go to the least trace_id.
-
-    A segment that is not listed for a point's square is more than ``reach_degrees`` of latitude or
-    longitude away, so a listed one within that reach, at the point's latitude, is the nearest. Points
-    without one are compared with all segments in blocks."""
-    points = points.select("point_id", "latitude", "longitude").where("latitude is not null and longitude is not null")
-    reach = F.radians(F.lit(reach_degrees)) * EARTH_KM * F.cos(F.radians("latitude"))
-    near = materialize(points.join(nearest_trace(points, segments, reach_degrees), "point_id", "left").withColumn("settled", F.coalesce(F.col("km") <= reach, F.lit(False))), "traces")
-
-    def compare(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        s, out = s.sort_values("trace_id"), []
-        lat1, lon1, lat2, lon2 = (s[k].to_numpy(float) for k in ("lat1", "lon1", "lat2", "lon2"))
-        for lo in range(0, len(p), 512):
-            c = p.iloc[lo : lo + 512]
-            lat, lon = c.latitude.to_numpy(float)[:, None], c.longitude.to_numpy(float)[:, None]
-            scale = np.cos(np.radians(lat))
-            x1, y1, dx, dy = (lon1 - lon) * scale, lat1 - lat, (lon2 - lon1) * scale, lat2 - lat1
-            squared = dx * dx + dy * dy
-            t = np.where(squared > 0, np.clip(-(x1 * dx + y1 * dy) / np.where(squared > 0, squared, 1.0), 0, 1), 0.0)
-            km = np.radians(1.0) * EARTH_KM * np.sqrt((x1 + t * dx) ** 2 + (y1 + t * dy) ** 2)
-            k = km.argmin(axis=1)
-            out.append(pd.DataFrame({"point_id": c.point_id.to_numpy(), "km": km[np.arange(len(c)), k], "trace_id": s.trace_id.to_numpy()[k]}))
-        return pd.concat(out)
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    rest = near.where("not settled").select("point_id", "latitude", "longitude")
-    whole = segments.select("trace_id", "lat1", "lon1", "lat2", "lon2").where("lat1 is not null and lon1 is not null and lat2 is not null and lon2 is not null")
-    part = block_join(rest, whole, "point_id", "trace_id", compare, f"point_id {kind(points, 'point_id')}, km double, trace_id {kind(segments, 'trace_id')}")
-    best = part.groupBy("point_id").agg(F.min(F.struct("km", "trace_id")).alias("best"))
-    return near.where("settled").select("point_id", "trace_id", "km").union(best.select("point_id", "best.trace_id", "best.km"))
-
-
 def classify(events: DataFrame) -> DataFrame:
     """``events`` (depth_km, slab_depth, any of depth_sigma, slab_sigma, thickness) with class masses.
 

@@ -16,6 +16,7 @@ from .functions.stats import magnitude_bin, poisson_ppf
 from .operators import catalog as cat
 from .operators import fitting, forecasting, grid, issuance, linkage, magnitudes, scoring, seismicity
 from .operators.quantiles import exact_quantiles
+from .operators.traces import nearest_trace
 from .plans.checkpointing import materialize, scratch
 from .plans.graph import connected_components
 from .plans.ranks import running_rank
@@ -309,10 +310,31 @@ def traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ev.select(F.col("event_id").alias("point_id"), "latitude", "longitude"), segments
 
 
-@query("with ev as ({ev}), seg as (select event_id as trace_id, latitude as lat1, longitude as lon1, latitude + 1 + (event_id % 3) * 0.5::double as lat2, longitude + (event_id % 5) * 0.3::double - 0.6::double as lon2 from ev where event_id % 500 = 7), p as (select e.event_id as point_id, trace_id, (lon1 - longitude) * cos(radians(latitude)) as x1, lat1 - latitude as y1, (lon2 - lon1) * cos(radians(latitude)) as dx, lat2 - lat1 as dy from ev e, seg), t as (select *, least(1, greatest(0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) as t from p), d as (select point_id, trace_id, radians(1::double) * 6371.0088 * sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) as km from t) select point_id, round(min(km), 5) as km from d group by point_id")
+def xyz(lat: str, lon: str, name: str) -> str:
+    return f"cos(radians({lat})) * cos(radians({lon})) as {name}x, cos(radians({lat})) * sin(radians({lon})) as {name}y, sin(radians({lat})) as {name}z"
+
+
+def dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}{k} * {b}{k}" for k in "xyz")
+
+
+def cross(a: str, b: str, name: str) -> str:
+    return f"{a}y * {b}z - {a}z * {b}y as {name}x, {a}z * {b}x - {a}x * {b}z as {name}y, {a}x * {b}y - {a}y * {b}x as {name}z"
+
+
+ANGLE = lambda a, b: "2 * asin(least(1, sqrt(" + " + ".join(f"({a}{k} - {b}{k}) * ({a}{k} - {b}{k})" for k in "xyz") + ") / 2))"
+ARCS = (
+    f"seg as (select event_id as trace_id, {xyz('latitude', 'longitude', 'a')}, {xyz('latitude + 1 + (event_id % 3) * 0.5::double', 'longitude + (event_id % 5) * 0.3::double - 0.6::double', 'g')} from ev where event_id % 500 = 7), "
+    f"nor as (select *, {cross('a', 'g', 'n')} from seg), foot as (select *, {cross('n', 'a', 'u')}, {cross('g', 'n', 'v')} from nor), "
+    f"pt as (select event_id as point_id, {xyz('latitude', 'longitude', 'p')} from ev), "
+    f"d as (select point_id, trace_id, 6371.0088 * case when {dot('u', 'p')} >= 0 and {dot('v', 'p')} >= 0 then asin(least(1, abs({dot('n', 'p')}) / sqrt({dot('n', 'n')}))) else least({ANGLE('p', 'a')}, {ANGLE('p', 'g')}) end as km from pt, foot)"
+)
+
+
+@query(f"with ev as ({{ev}}), {ARCS} select point_id, round(min(km), 4) as km from d group by point_id")
 def nearest_traces(spark, sf_dir):
-    """The nearest of all segments for every point."""
-    return grid.nearest_trace_exact(*traces(spark, sf_dir)).select("point_id", F.round("km", 5).alias("km"))
+    """The nearest of all segments for every point, by great circles."""
+    return nearest_trace(*traces(spark, sf_dir)).select("point_id", F.round("km", 4).alias("km"))
 
 
 ERF = "sign({x}) * 1.1283791670955126 * exp(-power(least(abs({x}), 5), 2)) * list_reduce(list_prepend(struct_pack(t := least(abs({x}), 5), s := least(abs({x}), 5)), list_transform(range(1, 91), lambda n: struct_pack(t := n::double, s := 0::double))), lambda a, n: struct_pack(t := a.t * 2 * power(least(abs({x}), 5), 2) / (2 * n.t + 1), s := a.s + a.t * 2 * power(least(abs({x}), 5), 2) / (2 * n.t + 1))).s"

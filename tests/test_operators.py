@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quakeloom import queries
 from quakeloom.functions import geo, stats
 from quakeloom.operators import catalog, fitting, forecasting, grid, linkage, magnitudes, scoring, seismicity
+from quakeloom.operators.traces import nearest_trace
 from quakeloom.plans import graph
 from quakeloom.plans.graph import connected_components
 from quakeloom.sources import files
@@ -203,14 +204,41 @@ def test_classes(spark):
     assert got[1].label == "crustal"
 
 
-def test_nearest_trace_has_no_reach(spark):
-    segments = spark.createDataFrame([(1, -51.5, -70.0, -51.0, -70.0), (2, -60.0, -59.9, -59.5, -59.5)], "trace_id long, lat1 double, lon1 double, lat2 double, lon2 double")
-    points = spark.createDataFrame([(1, -60.0, -70.0), (2, 10.0, 100.0), (3, -52.0, -70.0), (4, -60.0, -80.0)], "point_id long, latitude double, longitude double")
-    every = points.crossJoin(segments).select("point_id", "trace_id", geo.segment_distance_km("latitude", "longitude", "lat1", "lon1", "lat2", "lon2").alias("km")).toPandas()
-    want = every.sort_values(["km", "trace_id"]).groupby("point_id").first()
-    got = grid.nearest_trace_exact(points, segments).toPandas().set_index("point_id").sort_index()
-    assert got.trace_id.tolist() == want.trace_id.tolist()
-    assert got.trace_id[1] == 2 and np.allclose(got.km, want.km, atol=1e-8)
+def arc_km(lat, lon, lat1, lon1, lat2, lon2):
+    """Least distance to an arc by points along it that draw together."""
+
+    def unit(a, o):
+        a, o = np.radians(a), np.radians(o)
+        return np.array([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)])
+
+    p, a, b = unit(lat, lon), unit(lat1, lon1), unit(lat2, lon2)
+    low, high = 0.0, 1.0
+    for _ in range(12):
+        t = np.linspace(low, high, 201)
+        q = a[:, None] * (1 - t) + b[:, None] * t
+        chord = np.linalg.norm(q / np.linalg.norm(q, axis=0) - p[:, None], axis=0)
+        k, step = chord.argmin(), (high - low) / 200
+        low, high = max(0.0, t[k] - step), min(1.0, t[k] + step)
+    return 2 * np.arcsin(min(1.0, chord.min() / 2)) * geo.EARTH_KM
+
+
+def test_nearest_trace_on_the_sphere(spark):
+    """Far points, both sides of 180 degrees, poles, arcs over a pole, points of no length, unwrapped longitudes."""
+    r = np.random.default_rng(5)
+    rows = [(1, -51.5, -70.0, -51.0, -70.0), (2, -60.0, -59.9, -59.5, -59.5), (3, 10.0, 179.5, 12.0, -179.0), (4, 80.0, 20.0, 80.0, -160.0), (5, -33.0, -71.0, -33.0, -71.0), (6, 0.0, 60.0, 5.0, 130.0), (7, 0.0, 60.0, 5.0, 130.0)]
+    rows += [(10 + k, *map(float, (a, o, a + r.normal(0, 2), o + r.normal(0, 2)))) for k, (a, o) in enumerate(zip(r.uniform(-80, 80, 40), r.uniform(-180, 180, 40), strict=True))]
+    places = [(1, -60.0, -70.0), (2, 10.0, 100.0), (3, 11.0, -179.9), (4, 90.0, 0.0), (5, -90.0, 13.0), (6, -33.0, 289.0), (7, 2.0, 95.0), (8, 2.0, 95.0)]
+    places += [(20 + k, float(a), float(o)) for k, (a, o) in enumerate(zip(r.uniform(-89, 89, 60), r.uniform(-180, 180, 60), strict=True))]
+    segments = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1.0, 1.0), (99, None, 1.0, 1.0, 1.0)], "trace_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    points = spark.createDataFrame([*places, (98, None, 1.0)], "point_id long, latitude double, longitude double").withColumn("km", F.lit(-1))
+    got = {x.point_id: x for x in nearest_trace(points, segments).collect()}
+    assert sorted(got) == sorted(k for k, *_ in places)
+    for k, lat, lon in places:
+        km = {t: arc_km(lat, lon, *ends) for t, *ends in rows}
+        assert abs(got[k].km - min(km.values())) < 1e-3
+        assert km[got[k].trace_id] - min(km.values()) < 1e-3
+    assert got[7].trace_id == got[8].trace_id == 6  # a tie
+    assert nearest_trace(points, segments.limit(0)).isEmpty() and nearest_trace(points.limit(0), segments).isEmpty()
 
 
 def test_fits(spark):
