@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..plans.ranks import running_rank
 
 #: Entries of a manifest's list that are joined in one string.
 LEAF = 4096
+#: Most events of a page from which a sample is taken.
+SAMPLE_LIMIT = 200_000
 # fixed values: source priorities, known magnitude types and accepted depths
 PRIORITY = {"csn_daily": 0, "csn_compiled": 1, "usgs": 2}
 OTHER_PRIORITY = 100
@@ -61,6 +65,41 @@ def select_events(events: DataFrame, start: Column | None = None, end: Column |
     return events
 
 
+def newest(events: DataFrame, limit: int, tie: str = "event_id") -> DataFrame:
+    """The newest ``limit`` rows, later ids first among equal times, in no order.
+
+    Ranks come from ranges of the order that are sorted apart, so a limit of any size is not one task's top-k."""
+    ranked = running_rank(events.withColumn("__order", F.struct("event_time", tie)), "__order").drop("__order")
+    held = ranked.agg(F.max("rank")).first()[0] or 0
+    return ranked.where(F.col("rank") > held - limit).drop("rank")
+
+
+def known_sample(revisions: DataFrame, moment: datetime, start: datetime, end: datetime, magnitude_type: str, canonical: str, priority: Column, min_magnitude: float | None = None, bbox: tuple[float, float, float, float] | None = None, limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """Preferred revisions as they were known at ``moment``, in [start, end), of one magnitude type.
+
+    Latest revisions come first, then the preferred member of each canonical event, then the filters and the
+    newest ``limit`` of what they leave; only then are events without a magnitude or of another type left out,
+    so that a sample is part of one page of the catalog. Times are UTC."""
+    if start >= end:
+        raise ValueError("start must be before end")
+    literal = lambda t: F.lit((t.astimezone(UTC).replace(tzinfo=None) if t.tzinfo else t).isoformat(" ")).cast("timestamp_ntz")
+    best = preferred(as_of(revisions, literal(moment)), canonical, priority)
+    chosen = newest(select_events(best, literal(start), literal(end), min_magnitude, None, bbox), limit)
+    return chosen.where(F.col("magnitude").isNotNull() & (F.col("magnitude_type") == magnitude_type))
+
+
+def magnitude_sample(*args, **options) -> DataFrame:
+    """(event_time, magnitude, magnitude_type) for estimates of completeness; see ``known_sample``."""
+    return known_sample(*args, **options).select("event_time", "magnitude", "magnitude_type")
+
+
+def declustering_sample(*args, min_magnitude: float, **options) -> DataFrame:
+    """(event_id, event_time, latitude, longitude, magnitude, magnitude_type) of located events from a least
+    magnitude on; see ``known_sample``."""
+    located = known_sample(*args, min_magnitude=min_magnitude, **options).where("latitude is not null and longitude is not null")
+    return located.select("event_id", "event_time", "latitude", "longitude", "magnitude", "magnitude_type")
+
+
 def page(events: DataFrame, limit: int = 100, offset: int = 0, tie: str = "event_id") -> DataFrame:
     """Newest first."""
     return events.orderBy(F.desc("event_time"), F.desc(tie)).offset(offset).limit(limit)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, PLACES_EARTH_KM, box, cell_area_km2, circular_mean, haversine_km, wrap_longitude
 from ..functions.stats import at_least_one, interval_mass, normal_cdf
+from ..sources.policies import ClassifierPolicy
 
-# fixed values: magnitude bins, named places, and the classifier's parameters
+# fixed values: magnitude bins and named places
 BINS = ((3.0, 4.0), (4.0, 5.0), (5.0, 6.0), (6.0, 7.0), (7.0, None))
 PLACES = (
     ("arica", "Arica", -18.478, -70.321),
@@ -30,7 +31,6 @@ PLACES = (
     ("punta_arenas", "Punta Arenas", -53.163, -70.917),
 )
 RADIUS_KM = 40.0
-HALF_WIDTH_KM, EVENT_SIGMA_KM, SLAB_SIGMA_KM, THICKNESS_KM, CRUST_KM, LEAST_LABEL = 10.0, 15.0, 10.0, 60.0, 50.0, 0.60
 
 
 def cell_id(row: Column, column: Column, name: str = "grid") -> Column:
@@ -60,13 +60,13 @@ def point_to_cell(lat: Column, lon: Column, south: float, north: float, west: fl
     return F.when(inside, cell_id(row, column, name))
 
 
-def bins_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(BINS)], "bin int, lower double, upper double")
+def bins_frame(spark: SparkSession, bins: tuple[tuple[float, float | None], ...] = BINS) -> DataFrame:
+    return spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(bins)], "bin int, lower double, upper double")
 
 
-def assign_bins(events: DataFrame) -> DataFrame:
-    """Range join with the few fixed bins; magnitudes below the first one drop out."""
-    bins = F.broadcast(bins_frame(events.sparkSession))
+def assign_bins(events: DataFrame, bounds: tuple[tuple[float, float | None], ...] = BINS) -> DataFrame:
+    """Range join with the few bins of a specification; magnitudes below the first one drop out."""
+    bins = F.broadcast(bins_frame(events.sparkSession, bounds))
     return events.join(bins, (F.col("magnitude") >= F.col("lower")) & (F.col("upper").isNull() | (F.col("magnitude") < F.col("upper"))))
 
 
@@ -112,20 +112,20 @@ def bilinear_sample(points: DataFrame, nodes: DataFrame, step: float) -> DataFra
     return out.join(need, "point_id").where("corners = need").drop("need")
 
 
-def classify(events: DataFrame) -> DataFrame:
+def classify(events: DataFrame, policy: ClassifierPolicy = ClassifierPolicy()) -> DataFrame:
     """``events`` (depth_km, slab_depth, any of depth_sigma, slab_sigma, thickness) with class masses.
 
     Masses of interface, intraslab, crustal and unknown come from a normal residual; a label needs
-    0.6, ties go in that order. Without a depth or a slab all mass is unknown."""
+    the policy's least probability, ties go in that order. Without a depth or a slab all mass is unknown."""
     given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in events.columns else F.lit(default)
-    s1, s2 = F.greatest(given("depth_sigma", EVENT_SIGMA_KM), F.lit(0.1)), F.greatest(given("slab_sigma", SLAB_SIGMA_KM), F.lit(0.1))
+    s1, s2 = F.greatest(given("depth_sigma", policy.default_event_depth_uncertainty_km), F.lit(0.1)), F.greatest(given("slab_sigma", policy.default_slab_uncertainty_km), F.lit(0.1))
     sigma, residual = F.hypot(s1, s2), F.col("depth_km") - F.col("slab_depth")
-    thick, half = F.greatest(given("thickness", THICKNESS_KM), F.lit(HALF_WIDTH_KM)), F.lit(HALF_WIDTH_KM)
-    out = events.withColumns({"__i": interval_mass(-half, half, residual, sigma), "__s": interval_mass(half, thick, residual, sigma), "__a": normal_cdf(-half, residual, sigma), "__g": normal_cdf(F.lit(CRUST_KM), F.col("depth_km"), s1), "__b": 1 - normal_cdf(thick, residual, sigma)})
+    thick, half = F.greatest(given("thickness", policy.default_slab_thickness_km), F.lit(policy.interface_half_width_km)), F.lit(policy.interface_half_width_km)
+    out = events.withColumns({"__i": interval_mass(-half, half, residual, sigma), "__s": interval_mass(half, thick, residual, sigma), "__a": normal_cdf(-half, residual, sigma), "__g": normal_cdf(F.lit(policy.maximum_crustal_depth_km), F.col("depth_km"), s1), "__b": 1 - normal_cdf(thick, residual, sigma)})
     out = out.withColumns({"__c": F.col("__a") * F.col("__g"), "__u": F.col("__a") * (1 - F.col("__g")) + F.col("__b")})
     total = F.col("__i") + F.col("__s") + F.col("__c") + F.col("__u")
     masses = {"interface": "__i", "intraslab": "__s", "crustal": "__c"}
     out = out.withColumns({**{k: F.coalesce(F.col(v) / total, F.lit(0.0)) for k, v in masses.items()}, "unknown": F.coalesce(F.col("__u") / total, F.lit(1.0))})
     order = ("interface", "intraslab", "crustal", "unknown")
     best = F.array_max(F.array(*(F.struct(F.col(k).alias("p"), F.lit(-j).alias("o"), F.lit(k).alias("label")) for j, k in enumerate(order))))
-    return out.withColumn("label", F.when(best.p >= LEAST_LABEL, best.label).otherwise("unknown")).drop("__i", "__s", "__a", "__g", "__b", "__c", "__u")
+    return out.withColumn("label", F.when(best.p >= policy.minimum_label_probability, best.label).otherwise("unknown")).drop("__i", "__s", "__a", "__g", "__b", "__c", "__u")

@@ -27,6 +27,7 @@ from .streaming import clock
 from .streaming import linkage as stream_linkage
 
 AS_OF = "2024-01-15 00:00:00"
+AS_OF_TIME = datetime.fromisoformat(AS_OF)
 ORIGIN = "2024-01-01 00:00:00"
 GRID = (-60.0, -15.0, -82.0, -62.0, 1.0)
 ETAS = forecasting.Etas()
@@ -92,6 +93,10 @@ PRIORITIES = {"purchase": 0, "signup": 1, "view": 2}
 PREFERRED = "preferred as (select * from (select *, row_number() over (partition by source_event_key // 4 order by " + PRIORITY + ", available_at desc, event_id desc) as rk2 from latest) where rk2 = 1)"
 
 
+def with_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog(spark, sf_dir).withColumn("canonical", F.expr("source_event_key div 4"))
+
+
 def preferred_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = cat.as_of(catalog(spark, sf_dir), at(AS_OF)).withColumn("canonical", F.expr("source_event_key div 4"))
     return cat.preferred(latest, "canonical", cat.source_priority(F.col("source_id"), PRIORITIES))
@@ -121,6 +126,20 @@ def event_page(spark, sf_dir):
     return cat.page(chosen, 100, 20).select("event_id", "event_time", r6("magnitude").alias("magnitude"))
 
 
+@query(f"with ev as ({{ev}}), {LATEST}, {PREFERRED}, page as (select * from preferred where event_time >= timestamp '2024-01-02 00:00:00' and event_time < timestamp '2024-01-14 00:00:00' order by event_time desc, event_id desc limit 200000) select event_time, magnitude_type, round(magnitude, 6) as magnitude from page where magnitude is not null and magnitude_type = 'ml'")
+def magnitude_sample(spark, sf_dir):
+    """One magnitude type as it was known at a time, for estimates of completeness."""
+    out = cat.magnitude_sample(with_canonical(spark, sf_dir), AS_OF_TIME, datetime(2024, 1, 2), datetime(2024, 1, 14), "ml", "canonical", cat.source_priority(F.col("source_id"), PRIORITIES))
+    return out.withColumn("magnitude", r6("magnitude"))
+
+
+@query(f"with ev as ({{ev}}), {LATEST}, {PREFERRED}, page as (select * from preferred where event_time >= timestamp '2024-01-02 00:00:00' and event_time < timestamp '2024-01-14 00:00:00' and magnitude >= 3.3 and latitude between -50 and -20 and longitude between -80 and -65 order by event_time desc, event_id desc limit 200000) select event_id, event_time, magnitude_type, round(magnitude, 6) as magnitude, round(latitude, 6) as latitude, round(longitude, 6) as longitude from page where magnitude_type = 'mww'")
+def declustering_sample(spark, sf_dir):
+    """Located events of one magnitude type in a box, as they were known at a time."""
+    out = cat.declustering_sample(with_canonical(spark, sf_dir), AS_OF_TIME, datetime(2024, 1, 2), datetime(2024, 1, 14), "mww", "canonical", cat.source_priority(F.col("source_id"), PRIORITIES), min_magnitude=3.3, bbox=(-50, -20, -80, -65))
+    return rounded(out)
+
+
 @query("with ev as ({ev}) select source_event_key, event_id from (select event_id as source_event_key, event_id, event_time as valid_from, case when event_id % 5 <> 0 then event_time + to_days((event_id % 9)::int) end as valid_until from ev) where valid_from <= timestamp '{as_of}' and (valid_until is null or timestamp '{as_of}' < valid_until)")
 def membership_valid_at(spark, sf_dir):
     m = catalog(spark, sf_dir).select(F.col("event_id").alias("source_event_key"), "event_id", F.col("event_time").alias("valid_from"), F.expr("case when event_id % 5 <> 0 then event_time + make_dt_interval(cast(event_id % 9 as int)) end").alias("valid_until"))
