@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over DOM blocks.
 
 A page becomes a tree of block elements, with a leaf for each run of text between block boundaries.
-Every node is content, boilerplate or a frame that may hold both. Its tag, class and id words, length
-and share of link text give evidence; potentials between parent and child make labels run in
+Every node is content, boilerplate or a frame that may hold both. Its tag, class and id words, length,
+share of link text, siblings built alike and place towards the headline give evidence; potentials between parent and child make labels run in
 families: what lies in boilerplate stays boilerplate, a frame opens into either. Messages passed
 from the leaves up and from the root down (sum-product, exact on a tree) give each leaf's marginal,
 and leaves that are more likely content are the text. Evidence and potentials are counted on
@@ -26,7 +26,7 @@ from .textops import slices
 # fixed values of HTML: elements without an end, elements that hold no text of the page, elements that
 # flow within a line, and what each start tag closes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript iframe object svg math canvas audio video form button select textarea option datalist dialog".split())
+SILENT = frozenset("head script style template noscript iframe object svg math canvas audio video button select textarea option datalist dialog".split())
 RAW = frozenset("script style textarea title template noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -41,6 +41,8 @@ _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose link share tells more than that of others.
+LISTS = frozenset("ul ol li".split())
 _LABEL = "data-label"
 LIMIT = 9.0
 
@@ -53,6 +55,7 @@ class Node:
     text: str | None = None
     linked: int = 0
     label: int = 2
+    shape: tuple[str, ...] = ()  # what the whole page tells about an element
 
 
 @dataclass(slots=True)
@@ -197,7 +200,63 @@ def parse(page: str) -> list[Node]:
     tree.text(page[at:])
     tree.close(1)
     tree.flush()
-    return tree.nodes
+    nodes = tree.nodes
+    if any(n.tag == "form" for n in nodes):
+        nodes = without_forms(nodes)
+    shape(nodes)
+    return nodes
+
+
+def _sizes(nodes: list[Node]) -> tuple[list[int], list[int]]:
+    """Code points of text, and of linked text, in each node's subtree."""
+    size, linked = [len(n.text or "") for n in nodes], [n.linked for n in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        size[nodes[k].parent] += size[k]
+        linked[nodes[k].parent] += linked[k]
+    return size, linked
+
+
+def without_forms(nodes: list[Node]) -> list[Node]:
+    """The nodes outside of forms. A form around a headline or an article and half of the page's text is a wrapper,
+    as some site software writes it, and stays."""
+    size, _ = _sizes(nodes)
+    main = [n.tag in ("h1", "article", "main") for n in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        main[nodes[k].parent] |= main[k]
+    out, place = [nodes[0]], [0] + [-1] * (len(nodes) - 1)
+    for k, n in enumerate(nodes[1:], 1):
+        if place[n.parent] >= 0 and (n.tag != "form" or (main[k] and 2 * size[k] >= size[0])):
+            n.parent, place[k] = place[n.parent], len(out)
+            out.append(n)
+    return out
+
+
+def shape(nodes: list[Node]) -> None:
+    """Features of elements that need no names: how much text and link text they hold, how many siblings are built
+    like them and of how many blocks each, what a list follows, and where they lie towards the first top heading."""
+    size, linked = _sizes(nodes)
+    leaves, top = [int(n.text is not None) for n in nodes], [n.tag == "h1" for n in nodes]
+    first = next((k for k, n in enumerate(nodes) if n.tag == "h1"), len(nodes))
+    for k in range(len(nodes) - 1, 0, -1):
+        leaves[nodes[k].parent] += leaves[k]
+        top[nodes[k].parent] |= top[k]
+    like: dict[tuple, int] = {}
+    for n in nodes[1:]:
+        if n.text is None:
+            key = n.parent, n.tag, n.names
+            like[key] = like.get(key, 0) + 1
+    before: dict[int, str] = {}  # what the latest child of each element is
+    for k, n in enumerate(nodes[1:], 1):
+        last, before[n.parent] = before.get(n.parent, "none"), n.tag
+        if n.text is None:
+            twins, many = min(like[n.parent, n.tag, n.names], 4), min(leaves[k], 4)
+            where = "none" if first == len(nodes) else "holds" if top[k] else "before" if k < first else "after"
+            share = min(4, round(4 * linked[k] / size[k])) if size[k] else 5
+            n.shape = f"share {n.tag if n.tag in LISTS else ''} {share}", f"size {min(size[k].bit_length(), 14) // 2}", f"head {where}"
+            if n.tag in ("ul", "ol"):
+                n.shape += (f"follows {last} {share > 2}",)
+            if twins > 1:
+                n.shape += (f"like {n.tag} {min(twins, 3)} {many} {share > 2}",)
 
 
 def evidence(node: Node) -> Iterator[str]:
@@ -206,6 +265,7 @@ def evidence(node: Node) -> Iterator[str]:
         yield f"tag {node.tag}"
         for w in set(node.names):
             yield f"name {w}"
+        yield from node.shape
     else:
         n = len(node.text)
         yield f"length {min(n.bit_length(), 10)}"
@@ -287,69 +347,117 @@ def train(pages: Iterable[str], smooth: float = 0.1) -> TreeModel:
     for f, n in seen.items():
         kind = f.split(" ")[0]
         base = totals if kind == "name" else per[kind]
-        little = smooth / 10 if kind == "name" else smooth  # a name that one label never has tells much
+        little = smooth / 100 if kind == "name" else smooth  # a name that one label never has tells much
         logs = [math.log((n[j] + little) / (base[j] + 1.0)) for j in range(3)]
         top = max(logs)
         features[f] = tuple(max(x - top, -LIMIT) for x in logs)
     return TreeModel(features, tuple(tuple(x / sum(row) for x in row) for row in pairs))
 
 
+#: Names that sites give to what is around an article, in several languages.
+NAMES_OFF = tuple(
+    "ad ads advert advertisement sponsored promo banner cookie cookie-notice consent notice alert sidebar widget menu navbar nav breadcrumb "
+    "breadcrumbs related share social newsletter subscribe popup modal footer copyright header masthead comments comment comment-list replies "
+    "disqus tags meta login search pagination toolbar disclaimer "
+    "kommentare kommentar werbung anzeige hinweis seitenleiste fusszeile kopfzeile verwandte "
+    "commentaires commentaire publicite avis pied entete partager abonnement "
+    "comentarios comentario publicidad anuncio aviso pie cabecera compartir relacionados "
+    "commenti pubblicita condividi reacties reageer advertentie komentarze reklama outbrain taboola".split()
+)
+
+
 def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[str]:
-    """Labelled pages composed from common layouts, with words that mean nothing."""
+    """Labelled pages composed from common layouts, with words that mean nothing; two of five have no names at all."""
     r = random.Random(seed)
     words = lambda n: " ".join("".join(r.choices("abcdefghilmnoprstu", k=r.randint(1, 9))) for _ in range(max(1, n)))
     sentence = lambda n: words(n).capitalize() + r.choice(("." * 8) + "?!")
     prose = lambda: " ".join(sentence(r.randint(1, 18)) for _ in range(r.choice((1, 1, 2, 3, 6, 10))))
     links = lambda n: "".join(f'<li><a href="/{k}">{words(r.randint(1, 3))}</a></li>' for k in range(n))
+    heading = lambda: "<h{0}>{1}</h{0}>".format(r.choice((2, 2, 3, 3, 4, 5)), words(r.randint(1, 3)))
+    site = lambda: "<{0}>{1}</{0}>".format("h1" if r.random() < 0.1 else "div", words(2))
     off = f'{_LABEL}="0"'
 
-    def boilerplate() -> str:
+    def boilerplate(nameless: bool = False) -> str:
         text = sentence(r.randint(2, 14))
-        name = r.choice(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "cookie", "cookie-notice", "consent", "notice", "alert", "sidebar", "widget", "menu", "navbar", "nav", "breadcrumb", "breadcrumbs", "related", "share", "social", "newsletter", "subscribe", "popup", "modal", "footer", "copyright", "header", "masthead", "comments", "comment", "comment-list", "replies", "disqus", "tags", "meta", "login", "search", "pagination", "toolbar", "disclaimer"))
-        where = r.choice((f'class="{name}"', f'id="{name}"', f'class="box {name}"'))
+        name = r.choice(NAMES_OFF)
+        where = "" if nameless else r.choice((f'class="{name}"', f'id="{name}"', f'class="box {name}"'))
+        tag = r.choice(("div", "div", "section", "aside"))
+        if nameless:  # only what a block is made of tells
+            return r.choice(
+                (
+                    f"<nav {off}><ul>{links(r.randint(3, 9))}</ul></nav>",
+                    f"<{tag} {off}><ul>{links(r.randint(3, 9))}</ul></{tag}>",
+                    f"<{tag} {off}>{heading()}<ul>{links(r.randint(3, 6))}</ul></{tag}>",
+                    f"<{tag} {off}>" + " | ".join(f'<a href="/{k}">{words(1)}</a>' for k in range(r.randint(3, 7))) + f"</{tag}>",
+                    f"<footer {off}><p>{text}</p></footer>",
+                    f"<aside {off}><p>{text}</p></aside>",
+                    comments("", r.random() < 0.5),
+                )
+            )
         return r.choice(
             (
                 f"<nav {off}><ul>{links(r.randint(3, 9))}</ul></nav>",
-                f"<header {off}><div>{words(2)}</div><ul>{links(4)}</ul></header>",
+                f"<header {off}>{site()}<ul>{links(4)}</ul></header>",
                 f"<footer {off}>{text}</footer>",
                 f"<footer {off}><p>{text}</p></footer>",
-                f"<aside {off}><h3>{words(2)}</h3><p>{text}</p></aside>",
+                f"<aside {off}>{heading()}<p>{text}</p></aside>",
                 f"<aside {off}><ul>{links(5)}</ul></aside>",
                 f"<div {where} {off}>{text}</div>",
                 f"<div {where} {off}><p>{prose()}</p></div>",
                 f"<div {where} {off}><p>{text}</p><p>{prose()}</p></div>",
-                f"<section {where} {off}><h3>{words(2)}</h3><p>{prose()}</p></section>",
+                f"<section {where} {off}>{heading()}<p>{prose()}</p></section>",
                 f"<ul {where} {off}>{links(5)}</ul>",
                 f"<p {where} {off}>{text}</p>",
+                f"<div {where} {off}>{heading()}{''.join(f'<p>{sentence(r.randint(3, 14))}</p>' for _ in range(r.randint(1, 4)))}</div>",
+                f"<{tag} {where} {off}>{''.join(f'<p>{prose()}</p>' for _ in range(r.randint(1, 2)))}</{tag}>",
+                comments(where, r.random() < 0.5),
             )
         )
 
+    def comments(where: str, listed: bool) -> str:
+        outer, inner = ("ol", "li") if listed else ("div", r.choice(("div", "article")))
+        head = r.choice(("", heading(), f"<h2>{r.randint(1, 40)} {words(1)}</h2>"))
+        author = lambda: r.choice((f"<div>{words(2)}</div>", f'<div><a href="/u">{words(1)}</a> {words(2)}</div>', f"<p><b>{words(1)}</b></p>"))
+        one = lambda: f"<{inner}>{author()}<p>{prose()}</p>{r.choice(('', f'<div><a href=/r>{words(1)}</a></div>'))}</{inner}>"
+        return f"<div {where} {off}>{head}<{outer}>{''.join(one() for _ in range(r.randint(2, 6)))}</{outer}></div>"
+
     def content() -> str:
         kind = r.random()
-        if kind < 0.72:
+        if kind < 0.68:
             return f"<p>{prose()}</p>"
-        if kind < 0.8:
+        if kind < 0.76:
             return f"<h{r.randint(2, 4)}>{words(r.randint(1, 8))}</h2>"
-        if kind < 0.84:
+        if kind < 0.79:
             return f"<blockquote><p>{prose()}</p></blockquote>"
-        if kind < 0.88:
-            return f"<ul><li>{sentence(5)}</li><li>{words(4)}</li></ul>"
-        if kind < 0.91:
+        if kind < 0.84:
+            return f"<ul>{''.join(f'<li>{sentence(r.randint(2, 9))}</li>' for _ in range(r.randint(1, 6)))}</ul>"
+        if kind < 0.87:
+            return f"<p>{sentence(5)}</p><ul>{''.join(f'<li><a href=/x>{words(r.randint(2, 7))}</a></li>' for _ in range(r.randint(1, 3)))}</ul>"
+        if kind < 0.9:
             return f"<table><tr><td>{words(2)}</td><td>{words(1)}</td></tr></table>"
         if kind < 0.94:
             return f'<p>{sentence(6)} <a href="/x">{words(3)}</a> {sentence(5)}</p>'
         return f"<div>{prose()}</div>" if kind < 0.97 else f"<figure><figcaption>{sentence(6)}</figcaption></figure>"
 
     for _ in range(count):
+        nameless = r.random() < 0.4
         tag, name = r.choice((("article", ""), ("article", ""), ("article", 'class="post"'), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("div", 'class="article-body"'), ("section", 'class="entry-content"'), ("div", 'class="post-body"'), ("div", 'class="story text"')))
-        inner = [f"<h1>{words(r.randint(2, 10))}{r.choice(('', '.'))}</h1>", *(content() for _ in range(r.randint(1, 14)))]
+        if nameless:
+            tag, name = r.choice(("article", "main", "div", "div", "section", "td")), ""
+        top = "" if r.random() < 0.1 else f"<h1>{words(r.randint(2, 10))}{r.choice(('', '.'))}</h1>"
+        inner = [top, *(content() for _ in range(r.randint(1, 14)))]
         if r.random() < 0.4:
-            inner.insert(r.randint(1, len(inner)), boilerplate())
+            inner.insert(r.randint(1, len(inner)), boilerplate(nameless))
+        if r.random() < 0.1:
+            inner = [f"<div>{''.join(inner)}</div>"]
         body = "".join(inner)
         main = f'<{tag} {name} {_LABEL}="1">{body}</{tag}>'
+        if tag == "td":
+            main = f"<table><tr>{r.choice(('', f'<td {off}>{links(5)}</td>'))}{main}</tr></table>"
         if r.random() < 0.3:
-            main = f"<div class={r.choice(('container', 'wrapper', 'page'))}>{main}{boilerplate() if r.random() < 0.5 else ''}</div>"
-        before, after = ("".join(boilerplate() for _ in range(r.randint(0, 3))) for _ in range(2))
+            kind = "" if nameless else f"class={r.choice(('container', 'wrapper', 'page'))}"
+            main = f"<div {kind}>{main}{boilerplate(nameless) if r.random() < 0.5 else ''}</div>"
+        before, after = ("".join(boilerplate(nameless) for _ in range(r.randint(0, 3))) for _ in range(2))
         yield f"<html><head><title>{words(4)}</title></head><body>{before}{main}{after}</body></html>"
 
 

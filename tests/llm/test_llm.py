@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakeloom.llm import embeddings, flac, htmltext, langid, linededup, minhash, packing, quality, sampling, warczip
+from tests.llm import layouts
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -563,13 +564,22 @@ LAYOUTS = [
 def test_html_layouts_by_hand():
     """Share of words of the main text that are found, and of what is found that is main text."""
     model, hit, want, got = htmltext.default_model(), 0, 0, 0
-    for page, text in LAYOUTS:
+    for page, text in LAYOUTS + layouts.LAYOUTS + layouts.HELD_OUT:
         a, b = collections.Counter(text.split()), collections.Counter(model.extract(page).split())
         hit, want, got = hit + (a & b).total(), want + a.total(), got + b.total()
     assert hit / want > 0.95 and hit / got > 0.95, (hit, want, got)
 
 
-@pytest.mark.parametrize("page", ['<a "' * 250_000, "<b>" * 150_000 + "</i>" * 150_000, "<b " * 300_000, "<center>" * 60_000 + "<li></li>" * 60_000, '<a ="' * 200_000 + '>"', "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul><li>" * 80_000, "<td><tr>" * 100_000])
+def test_html_forms():
+    """A form goes with all it holds, unless it wraps the page."""
+    extract = htmltext.default_model().extract
+    page = "<body><form>{}<div><h1>The old mill</h1><p>It stood for sixty years, and then the river rose.</p></div>{}</body>"
+    assert extract(page.format("", "</form>")) == extract(page.format("</form>", "")) == "The old mill It stood for sixty years, and then the river rose."
+    assert extract("<body><article><h1>The old mill</h1><p>It stood for sixty years.</p><form><h2>Vote</h2><p>Which mill is the best one?</p><div>Yes <i>or</i> no</div></form><p>Then the river rose.</p></article></body>") == "The old mill It stood for sixty years. Then the river rose."
+    assert extract("<form><p>Only a form.</p></form>") == extract("<form>") == ""
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<b>" * 150_000 + "</i>" * 150_000, "<b " * 300_000, "<center>" * 60_000 + "<li></li>" * 60_000, '<a ="' * 200_000 + '>"', "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul><li>" * 80_000, "<td><tr>" * 100_000, "<form><p>a" * 60_000, "<div class=x>a" * 60_000])
 def test_html_costs_its_length(page):
     """About 1 MB each, that would take hours if a step looked back over the page."""
     import time
