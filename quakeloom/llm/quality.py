@@ -30,8 +30,11 @@ WIDTH, PLACES = 64, 2
 #: Most labelled rows that a network is trained on, those of the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
 HIDDEN = 32
-#: Rows of word vectors that one record of a partial sum holds.
-BLOCK = 4096
+#: Rows of word vectors that one record of a partial sum holds: 32 KB mostly. An Arrow batch is a number of
+#: records, in the JVM and again in its Python worker, whatever they weigh.
+BLOCK = 256
+#: Rows of word vectors that one task adds up.
+TASK_ROWS = 4096
 #: Tasks that share the partial sums of a block in the first step.
 SALTS = 4
 #: Distinct words that a task holds before it adds up equal ones.
@@ -159,7 +162,7 @@ def word_vectors(docs: DataFrame, own: int = OWN) -> WordVectors:
     shuffled steps, so that no task reads more than its share. The driver gets one fixed-size matrix."""
     words = frequent_words(docs, own)
     held = docs.sparkSession.sparkContext.broadcast(words)
-    blocks = -(-(len(words) + SHARED) // BLOCK)
+    blocks, tasks = (-(-(len(words) + SHARED) // n) for n in (BLOCK, TASK_ROWS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(blocks * BLOCK * WIDTH, np.int64)
@@ -196,8 +199,8 @@ def word_vectors(docs: DataFrame, own: int = OWN) -> WordVectors:
 
     schema = "block int, sums binary"
     sums = docs.select("text").mapInArrow(count, schema)
-    salted = sums.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(blocks * SALTS, "block", "salt")
-    sums = salted.select("block", "sums").mapInArrow(add, schema).repartition(blocks, "block").mapInArrow(add, schema)
+    salted = sums.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(tasks * SALTS, "block", "salt")
+    sums = salted.select("block", "sums").mapInArrow(add, schema).repartition(tasks, "block").mapInArrow(add, schema)
     out = np.zeros((blocks, BLOCK * WIDTH), np.int64)
     for r in sums.toLocalIterator():
         out[r.block] += opened(bytes(r.sums))

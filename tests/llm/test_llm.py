@@ -636,6 +636,40 @@ def word_list(text):
     return out
 
 
+def test_batches_of_partial_sums_are_small(spark, docs, monkeypatch):
+    """A batch of ten records of sums weighs 64 KB a record at most, whatever the number of tasks."""
+    from pyspark.accumulators import AccumulatorParam
+
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    largest, kind = spark.sparkContext.accumulator(0, Most()), type(docs)
+    plain, rows = kind.mapInArrow, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def watched(self, f, schema, *more, **named):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    largest.add(b.nbytes)
+                    yield b
+
+            return f(seen())
+
+        return plain(self, run if self.columns == ["block", "sums"] else f, schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        quality.word_vectors(docs.repartition(8))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert 0 < largest.value <= 10 * (1 << 16)
+
+
 def test_quality_vectors_and_pooling_match_brute_force(spark, docs):
     import pyarrow as pa
 
