@@ -11,29 +11,37 @@ length, which is counted in two levels so that a common length is spread over ma
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
+import os
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpointing import materialize
-from .textops import slices
+from .textops import release_memory, slices, string_parts
 
 WINDOW = 2048
 END_ID = 1
 #: Distinct strings whose ids a task remembers; a worker that outlives the task keeps none.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: New parts that the tokenizer gets in one string.
 JOINED = 512
 #: Pieces in one bucket of a length, about.
 BUCKET_ROWS = 20_000
-_ODD = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
+#: Bytes of text that are encoded in one step.
+ENCODED_BYTES = 1 << 21
+#: What may follow a space for a new part to start there: no white space, and no first byte of a character of
+#: which some are white space, unless its second byte tells.
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = False
+_UNSURE = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
 
 
 def starts_at_single_spaces(model: dict) -> bool:
@@ -46,12 +54,15 @@ def starts_at_single_spaces(model: dict) -> bool:
 class Encoder:
     """Token ids of whole texts, by the tokenizer's own encoding of each distinct part.
 
-    Where the tokenizer's pattern starts a new token at every single space before a non-space, the
-    parts between such spaces are encoded each once: new parts go to the tokenizer in strings of
-    ``JOINED``, and the bytes of the tokens tell where each part ends. A text that holds one of the
-    tokenizer's added tokens, or any text of a tokenizer with another pattern, is one part."""
+    Where the tokenizer's pattern starts a new token at every single space before a non-space, texts are
+    cut there and each distinct part is encoded once: Arrow's dictionary finds the distinct parts of a
+    step, new ones go to the tokenizer in strings of ``JOINED``, and the bytes of the tokens tell where
+    each part ends. A text that holds one of the tokenizer's added tokens, or any text of a tokenizer
+    with another pattern, is one part."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        # Spark gives a task one core; the tokenizer's own threads would take all of them
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -65,78 +76,83 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        encoder = self
-
-        class Parts(dict):
-            def __init__(self, lead: str):
-                super().__init__()
-                self.lead, self.new, self.numbers = lead, [], []
-
-            def __missing__(self, part: str) -> int:
-                k = self[part] = encoder._known
-                self.new.append(self.lead + part)
-                self.numbers.append(k)
-                encoder._known = k + 1
-                return k
-
-        self._heads, self._rest, self._known = Parts(""), Parts(" "), 1
+        self._numbers: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
         self._ids, self._used = np.full(1 << 16, self._end, np.int32), 1
         self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
 
-    def _apart(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all strings, how many of each), each string encoded alone."""
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    def _apart(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, how many of each), each part encoded alone."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
-    def _joined(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_apart``, for parts that start with their space."""
-        chunks = ["".join(strings[i : i + JOINED]) for i in range(0, len(strings), JOINED)]
+        chunks = [b"".join(parts[i : i + JOINED]).decode() for i in range(0, len(parts), JOINED)]
         ids = np.concatenate([np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
         reached = np.concatenate([[0], np.cumsum(self._bytes[ids])])
-        ends = np.cumsum(np.fromiter((len(x.encode()) for x in strings), np.int64, len(strings)))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         k = np.minimum(np.searchsorted(reached, ends), len(ids))
         if not np.array_equal(reached[k], ends):  # a vocabulary that leaves bytes out
-            return self._apart(strings)
+            return self._apart(parts)
         return ids, np.diff(k, prepend=0)
 
-    def _learn(self) -> None:
-        for parts, encode in ((self._heads, self._apart), (self._rest, self._joined)):
-            if not parts.new:
-                continue
-            flat, sizes = encode(parts.new)
-            while self._known > len(self._starts):
-                self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
-            while self._used + len(flat) > len(self._ids):
-                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            at = np.array(parts.numbers)
-            self._sizes[at] = sizes
-            self._starts[at] = self._used + np.cumsum(sizes) - sizes
-            self._ids[self._used : self._used + len(flat)] = flat
-            self._used += len(flat)
-            parts.new, parts.numbers = [], []
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, parts: list[bytes], numbers: np.ndarray, encode) -> None:
+        if not len(numbers):
+            return
+        flat, sizes = encode(parts)
+        while len(self._numbers) >= len(self._starts):
+            self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
+        while self._used + len(flat) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._sizes[numbers] = sizes
+        self._starts[numbers] = self._used + np.cumsum(sizes) - sizes
+        self._ids[self._used : self._used + len(flat)] = flat
+        self._used += len(flat)
+
+    def _cuts(self, texts: pa.Array, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Places of the spaces that start a part."""
+        if not self._parts:
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(data[:-1] == 0x20)
+        after = data[at + 1]
+        cut = _SOLID[after]
+        for first, seconds in _UNSURE.items():
+            k = np.flatnonzero(after == first)
+            cut[k] = ~np.isin(data[at[k] + 2], seconds)
+        ends = np.zeros(len(data) + 1, bool)
+        ends[offs] = True
+        at = at[cut & ~ends[at + 1]]
+        whole = np.zeros(len(texts), bool)
+        for token in self._added:
+            whole |= pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        return at[~whole[np.searchsorted(offs, at, "right") - 1]] if whole.any() else at
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; offsets of the texts)."""
-        if self._known > REMEMBERED:
+        if len(self._numbers) > REMEMBERED:
             self.forget()
-        at: list[int] = []
-        bounds = [0]
-        for text in texts:
-            if text and (not self._parts or any(t in text for t in self._added)):
-                at.append(self._heads[text])
-            elif text:
-                first, *more = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-                at.append(self._heads[first])
-                at.extend(map(self._rest.__getitem__, more))
-            at.append(0)
-            bounds.append(len(at))
-        self._learn()
-        k = np.array(at, np.int64)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        data, offs = string_parts(texts)
+        starts_part, inner = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        inner[self._cuts(texts, data, offs)] = True
+        starts_part[offs] = True
+        edges = np.flatnonzero(starts_part | inner)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        part, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        spaced = np.zeros(len(distinct), bool)
+        spaced[part[inner[edges[:-1]]]] = True
+        known = len(self._numbers)
+        number = np.fromiter(map(self._numbers.__getitem__, distinct), np.int64, len(distinct))
+        for kind, encode in ((spaced, self._joined), (~spaced, self._apart)):
+            new = np.flatnonzero(kind & (number > known))
+            self._learn([distinct[i] for i in new], number[new], encode)
+        last = np.searchsorted(edges, offs[1:])
+        k = np.insert(number[part], last, 0)
         sizes = self._sizes[k]
         ends = np.cumsum(sizes)
         where = np.repeat(self._starts[k] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self._ids[where], np.concatenate([[0], ends])[bounds]
+        return self._ids[where], np.concatenate([[0], np.concatenate([[0], ends])[last + np.arange(1, len(last) + 1)]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -159,8 +175,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for whole in batches:
-            for b in slices(whole):
-                ids, offs = encoder.encode(b.column(1).to_pylist())
+            for b in slices(whole, limit=ENCODED_BYTES):
+                ids, offs = encoder.encode(b.column(1))
                 total = np.diff(offs)
                 count = -(-total // window)
                 doc = np.repeat(np.arange(b.num_rows), count)
@@ -171,6 +187,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFra
                 pieces = [raw[x : x + n].tobytes() for x, n in zip(lo, length, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(pieces, pa.binary()), pa.array(total[doc])], names)
         encoder.forget()
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
 

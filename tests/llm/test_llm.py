@@ -6,11 +6,14 @@ import math
 import os
 import re
 import struct
+import subprocess
+import sys
 import zipfile
 import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -455,6 +458,26 @@ def test_other_pre_tokenizers_encode_whole_texts(tmp_path):
     assert ids.tolist() == [4, 3, 2, 1, 0, 3, 3] and offs.tolist() == [0, 2, 6, 7]
 
 
+def test_encoder_takes_arrow_arrays_and_cuts_at_no_white_space():
+    path = public.path("byte_bpe_50k.json")
+    t, encoder = tokenizers.Tokenizer.from_file(path), packing.Encoder(path)
+    after = ["", " ", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\xab", "\u20ac", "\u2014", "\u3042", "b", "'s"]
+    texts = [None, "", " ", *(f"a {x}b {x}" for x in after), *(f" {x}" for x in after), "x <|endoftext|> y z", " y", "\n b  c"]
+    for part in (pa.array(texts), pa.array(["q", *texts]).slice(1)):
+        ids, offs = encoder.encode(part)
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
+    known = len(encoder._numbers)
+    encoder.encode(pa.array(texts[::-1]))
+    assert len(encoder._numbers) == known
+
+
+def test_encoder_leaves_other_cores_alone():
+    code = "import os; from quakeloom.llm import packing; n = lambda: len(os.listdir('/proc/self/task')); import public_tokenizers as p; e = packing.Encoder(p.path('byte_bpe_50k.json')); was = n(); e.encode([f'a{k} b{k} c' for k in range(5000)]); print(n() - was)"
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.strip() == "0"
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
 def test_packing_query(spark):
     """Every column of the query against the plain tokenizer, whole table."""
