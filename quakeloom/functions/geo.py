@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the two Earth radii in use (catalog and grid; places) and kilometres in a degree
+# fixed values: the two Earth radii in use (catalog and grid; places)
 EARTH_KM = 6371.0088
 PLACES_EARTH_KM = 6371.0
-KM_PER_DEGREE = 111.32
 
 
 def _col(x: Column | str | float) -> Column:
@@ -23,11 +22,13 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def box(lat, lon, radius_km) -> tuple[Column, Column, Column, Column]:
-    """(south, north, west, east) around a circle; the cosine is floored at 0.15."""
-    lat, lon, radius_km = _col(lat), _col(lon), _col(radius_km)
-    dlat = radius_km / KM_PER_DEGREE
-    dlon = radius_km / (F.lit(KM_PER_DEGREE) * F.greatest(F.lit(0.15), F.cos(F.radians(lat))))
+def box(lat, lon, radius_km, earth_km: float = EARTH_KM) -> tuple[Column, Column, Column, Column]:
+    """(south, north, west, east) that hold a circle, by a hair more than it needs; any longitude where it
+    reaches a pole. Longitudes are not wrapped."""
+    lat, lon = _col(lat), _col(lon)
+    angle = _col(radius_km) / earth_km
+    dlat = F.degrees(angle) + 1e-9
+    dlon = F.when(F.abs(lat) + dlat < 90, F.degrees(F.asin(F.sin(angle) / F.cos(F.radians(lat)))) + 1e-9).otherwise(F.lit(360.0))
     return lat - dlat, lat + dlat, lon - dlon, lon + dlon
 
 

@@ -74,7 +74,7 @@ def place_readout(rates: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """(place_id, cells, expected, probability) from (latitude, longitude, expected): cells whose centre
     lies within the radius. Places are a fixed list of fifteen; a box narrows the distance test."""
     places = rates.sparkSession.createDataFrame([(i, a, b) for i, _, a, b in PLACES], "place_id string, plat double, plon double")
-    south, north, west, east = box("plat", "plon", radius_km)
+    south, north, west, east = box("plat", "plon", radius_km, PLACES_EARTH_KM)
     near = F.col("latitude").between(south, north) & F.col("longitude").between(west, east)
     km = haversine_km("plat", "plon", "latitude", "longitude", PLACES_EARTH_KM)
     hits = rates.where("expected is not null").join(F.broadcast(places), near & (km <= radius_km)).groupBy("place_id").agg(F.count("*").alias("cells"), F.sum("expected").alias("expected"))
