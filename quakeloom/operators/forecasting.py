@@ -16,6 +16,10 @@ from .grid import bins_frame
 from .seismicity import _haversine
 
 
+#: Events whose descendants are drawn together.
+FAMILIES = 256
+
+
 @dataclass(frozen=True)
 class Etas:
     """Background per day, productivity, magnitude scaling, Omori law, spatial kernel."""
@@ -79,14 +83,15 @@ def stability(params: DataFrame) -> DataFrame:
     return params.select("*", direct.alias("direct_offspring"), lifetime.alias("lifetime_offspring"), state.alias("state"))
 
 
-def simulate(spark: SparkSession, etas: Etas, b: float, reference: float, history: DataFrame | pd.DataFrame, start: float, stop: float, runs: int, seed: int = 1, largest: float = 9.5, limit: int = 50_000) -> DataFrame:
+def simulate(spark: SparkSession, etas: Etas, b: float, reference: float, history: DataFrame | pd.DataFrame, start: float, stop: float, runs: int, seed: int = 1, largest: float = 9.5, limit: int | None = 50_000) -> DataFrame:
     """(run, events, largest) of simulated catalogs: immigrants and all generations of offspring.
 
     Families are independent given their first parent, so the catalogs are superposed: every event of
-    ``history`` (event_id, t_days, magnitude) draws its descendants in all runs in the task that holds
-    it, immigrants theirs run by run, and the runs are summed. Each event and each run has its own
-    random stream, so results do not depend on partitioning; a run of more than ``limit`` events is
-    refused. A pandas history (t_days, magnitude) is numbered by its rows."""
+    ``history`` (event_id, t_days, magnitude) draws its descendants in all runs together with those of its
+    chunk of ids, immigrants theirs run by run, and the runs are summed. Each chunk and each run has its own
+    random stream, so results do not depend on partitioning. A run of more than ``limit`` events is
+    refused; only counts are kept, so that none (None) is needed for memory where few events follow from
+    each. A pandas history (t_days, magnitude) is numbered by its rows."""
     if isinstance(history, pd.DataFrame):
         history = spark.createDataFrame([(k, float(t), float(m)) for k, (t, m) in enumerate(zip(history.t_days, history.magnitude, strict=True))], "event_id long, t_days double, magnitude double")
     beta = b * LN10
@@ -118,7 +123,7 @@ def simulate(spark: SparkSession, etas: Etas, b: float, reference: float, histor
             m = sizes(r, len(t))
             events += np.bincount(run, minlength=len(events))
             np.maximum.at(most, run, m)
-            if events.max() > limit:
+            if limit is not None and events.max() > limit:
                 raise ValueError(refused)
 
     def immigrants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,20 +138,27 @@ def simulate(spark: SparkSession, etas: Etas, b: float, reference: float, histor
                 rows.append((int(k), int(events[0]), float(most[0]) if events[0] else None))
             yield pd.DataFrame(rows, columns=["run", "events", "largest"])
 
-    def families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def families(g: pd.DataFrame) -> pd.DataFrame:
         events, most = np.zeros(runs, int), np.full(runs, -np.inf)
-        for batch in batches:
-            for i, t, m in zip(batch.event_id, batch.t_days, batch.magnitude, strict=True):
-                # four words, the last one 1: never an immigrants' stream, which has zeros there
-                r = np.random.default_rng([seed, int(i) & 0xFFFFFFFF, int(i) >> 32 & 0xFFFFFFFF, 1])
-                descend(r, np.full(runs, t), np.full(runs, m), np.arange(runs), events, most)
+        i = int(g.chunk.iloc[0])
+        # four words, the last one 1: never an immigrants' stream, which has zeros there
+        r = np.random.default_rng([seed, i & 0xFFFFFFFF, i >> 32 & 0xFFFFFFFF, 1])
+        g = g.sort_values(["event_id", "t_days", "magnitude"])
+        t, m = g.t_days.to_numpy(), g.magnitude.to_numpy()
+        lo = np.maximum(start - t, 0)
+        drawn = runs * (1 + etas.k0 * np.exp(etas.alpha * (m - reference)) * (integral(np.maximum(stop - t, lo)) - integral(lo)))
+        # about a million draws at a time
+        for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(np.cumsum(drawn) // 1_000_000)) + 1):
+            descend(r, np.repeat(t[part], runs), np.repeat(m[part], runs), np.tile(np.arange(runs), len(part)), events, most)
         some = np.flatnonzero(events)
-        yield pd.DataFrame({"run": some, "events": events[some], "largest": most[some]})
+        return pd.DataFrame({"run": some, "events": events[some], "largest": most[some]})
 
     past = history.select(F.col("event_id").cast("long"), F.col("t_days").cast("double"), F.col("magnitude").cast("double"))
-    parts = spark.range(runs).mapInPandas(immigrants, schema).union(past.mapInPandas(families, schema))
+    past = past.withColumn("chunk", F.floor(F.col("event_id") / FAMILIES).cast("long"))
+    parts = spark.range(runs).mapInPandas(immigrants, schema).union(past.groupBy("chunk").applyInPandas(families, schema))
     total = F.sum("events")
-    return parts.groupBy("run").agg(F.when(total > limit, F.raise_error(refused).cast("long")).otherwise(total).alias("events"), F.max("largest").alias("largest"))
+    counted = total if limit is None else F.when(total > limit, F.raise_error(refused).cast("long")).otherwise(total)
+    return parts.groupBy("run").agg(counted.alias("events"), F.max("largest").alias("largest"))
 
 
 def folds(spark: SparkSession, start: float, end: float, step: float, horizon: float) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from quakeloom import queries
 from quakeloom.operators import grid
 
 
@@ -18,3 +19,11 @@ def test_a_place_counts_all_of_its_circle(spark):
             points.append((math.degrees(up), lon + math.degrees(math.atan2(math.sin(a) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(up))), 1.0))
     got = grid.place_readout(spark.createDataFrame(points, "latitude double, longitude double, expected double")).where(F.col("place_id") == grid.PLACES[0][0]).first()
     assert (got.cells, got.expected) == (360, 360.0)
+
+
+def test_simulated_catalogs_of_any_size(spark, tmp_path):
+    """Sixty great events feed more than 50,000 events a week."""
+    rows = spark.range(3060).selectExpr("id as event_id", "timestamp_ntz'2024-01-20 23:59:50' as ts", "id % 50 as user_id", "'click' as event_type", "if(id < 60, 1000D, 0D) as value", "'' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["simulated_catalogs"](spark, str(tmp_path)).first()
+    assert got.runs == 500 and got.q5 > 50_000
