@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quakeloom import queries
@@ -27,3 +29,14 @@ def test_simulated_catalogs_of_any_size(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     got = queries.QUERIES["simulated_catalogs"](spark, str(tmp_path)).first()
     assert got.runs == 500 and got.q5 > 50_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 300])
+def test_batches_arrive_whole(spark, tmp_path, n):
+    """Ranges that lie in one batch only leave no gap in the files that a trigger takes."""
+    rows = spark.range(0, n, 1, 64).selectExpr("id as event_id", "timestamp_seconds(1700000000 + id) as available_at")
+    seen = []
+    q = queries.arriving(spark, rows, 2).writeStream.foreachBatch(lambda b, _: seen.append(sorted(r.event_id for r in b.collect()))).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    size = max(1, -(-n // 2))
+    assert [b for b in seen if b] == [list(range(k, min(n, k + size))) for k in range(0, n, size)]
