@@ -17,10 +17,14 @@ import importlib
 import json
 import math
 import time
+from bisect import bisect_left
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime, timedelta
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
 from pyarrow import fs
@@ -72,13 +76,17 @@ def parse_count(answer: str) -> int:
 
 
 class FolderService:
-    """Answers queries from ``features/slot=<n>/*.txt`` (a feature a line) and ``index`` under a URL.
+    """Answers queries from ``features/slot=<n>/*.txt`` (a feature a line) and ``index`` (a slot a line) under a URL.
 
     Counts of whole slots come from the index, which knows magnitudes by tenths and no positions, so a
-    count is never below the number of events."""
+    count is never below the number of events. The index is read once, and the slots that a count cuts are
+    remembered for the next one, which often cuts them too."""
 
     def __init__(self, url: str):
         self.fs, self.root = fs.FileSystem.from_uri(url)
+        self._slots: dict[int, dict[int, dict]] | None = None
+        self._sums: dict[float | None, dict[int, tuple[list[int], list[int]]]] = {}
+        self._cut: OrderedDict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
     def _lines(self, folder: str) -> Iterator[bytes]:
         chosen = fs.FileSelector(f"{self.root}/{folder}", allow_not_found=True)
@@ -87,16 +95,47 @@ class FolderService:
                 with self.fs.open_input_stream(f.path) as stream:
                     yield from stream.read().splitlines()
 
+    def _index(self) -> dict[int, dict[int, dict]]:
+        """Rows of the index by width and number of their slots."""
+        if self._slots is None:
+            self._slots = {}
+            for row in map(json.loads, self._lines("index")):
+                self._slots.setdefault(row["seconds"], {})[row["slot"]] = row
+        return self._slots
+
+    def _before(self, low: float | None) -> dict[int, tuple[list[int], list[int]]]:
+        """For each width, its slots in order and the number of events at or above ``low`` before each."""
+        if low not in self._sums:
+            self._sums[low] = {}
+            for width, slots in self._index().items():
+                order = sorted(slots)
+                held = (sum(n for m, n in zip(slots[k]["tenths"], slots[k]["n"], strict=True) if low is None or m is not None and m >= low) for k in order)
+                self._sums[low][width] = order, [0, *accumulate(held)]
+        return self._sums[low]
+
+    def _times(self, width: int, slot: int) -> tuple[np.ndarray, np.ndarray]:
+        """Times in milliseconds and magnitudes in tenths (NaN: none) of a slot's features."""
+        if (width, slot) not in self._cut:
+            known = [f["properties"] for f in map(json.loads, self._lines(f"features/slot={slot}"))]
+            tenths = [math.nan if p["mag"] is None else math.floor(p["mag"] * 10) for p in known]
+            self._cut[width, slot] = np.array([p["time"] for p in known], float), np.array(tenths, float)
+            if len(self._cut) > 8:
+                self._cut.popitem(last=False)
+        return self._cut[width, slot]
+
     def count(self, q: Query) -> str:
-        low = -math.inf if q.min_magnitude is None else math.floor(q.min_magnitude * 10)
+        low = None if q.min_magnitude is None else math.floor(q.min_magnitude * 10)
+        lo, hi = q.start.timestamp(), q.end.timestamp()
         n = 0
-        for row in map(json.loads, self._lines("index")):
-            first, last = row["slot"] * row["seconds"], (row["slot"] + 1) * row["seconds"]
-            if first < q.end.timestamp() and q.start.timestamp() < last and (q.min_magnitude is None or row["tenths"] is not None and row["tenths"] >= low):
-                inside = q.start.timestamp() <= first and last <= q.end.timestamp()
-                n += row["n"] if inside or row["tenths"] is None or row["n"] == 0 else 0
-                if not inside and row["tenths"] is not None:
-                    n += sum(math.floor(f["properties"]["mag"] * 10) == row["tenths"] for f in self._inside(row["slot"], q) if f["properties"]["mag"] is not None)
+        for width, (order, before) in self._before(low).items():
+            first, last = math.ceil(lo / width), math.floor(hi / width)  # whole slots, from the first to before the last
+            if first < last:
+                n += before[bisect_left(order, last)] - before[bisect_left(order, first)]
+            for slot in {math.floor(lo / width), math.floor(hi / width)}:
+                if slot in self._index()[width] and not (first <= slot < last) and slot * width < hi:
+                    t, tenths = self._times(width, slot)
+                    inside = (t >= lo * 1000) & (t < hi * 1000)
+                    n += int((inside if low is None else inside & (tenths >= low)).sum())
         return json.dumps({"count": n, "maxAllowed": MAX_RESULTS})
 
     def _inside(self, slot: int, q: Query) -> Iterator[dict]:
@@ -106,11 +145,10 @@ class FolderService:
                 yield feature
 
     def fetch(self, q: Query) -> bytes:
-        seconds = {json.loads(line)["seconds"] for line in self._lines("index")}
         found = []
-        for width in seconds:
+        for width, slots in self._index().items():
             for slot in range(math.floor(q.start.timestamp() / width), math.ceil(q.end.timestamp() / width)):
-                for f in self._inside(slot, q):
+                for f in self._inside(slot, q) if slot in slots else ():
                     lon, lat = f["geometry"]["coordinates"][:2]
                     mag = f["properties"]["mag"]
                     if q.south <= lat <= q.north and q.west <= lon <= q.east and (q.min_magnitude is None or mag is not None and mag >= q.min_magnitude):
@@ -121,16 +159,18 @@ class FolderService:
 
 def write_feed(events: DataFrame, url: str, seconds: int = 86_400) -> None:
     """Writes ``events`` (event_id, event_time, available_at, latitude, longitude, depth_km, magnitude,
-    magnitude_type) as the folder that a ``FolderService`` answers from. Times are in milliseconds."""
+    magnitude_type) as the folder that a ``FolderService`` answers from. Times are in milliseconds.
+
+    A slot of ``seconds`` is one file; a service reads whole slots, so dense catalogs want short ones."""
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     place = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude", "depth_km").alias("coordinates"))
     known = F.struct(F.col("magnitude").alias("mag"), ms("event_time").alias("time"), ms("available_at").alias("updated"), F.col("magnitude_type").alias("magType"), F.lit(None).cast("string").alias("place"))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("event_id").cast("string").alias("id"), known.alias("properties"), place.alias("geometry")), {"ignoreNullFields": "false"})
-    rows = events.select(F.floor(ms("event_time") / (seconds * 1000)).alias("slot"), F.floor(F.col("magnitude") * 10).alias("tenths"), feature.alias("value"))
-    rows = materialize(rows.where("slot is not null"), "features")
-    rows.select("slot", "value").write.mode("append").partitionBy("slot").text(f"{url}/features")
-    counts = rows.groupBy("slot", "tenths").agg(F.count("*").alias("n"))
-    counts.select(F.to_json(F.struct("slot", F.lit(seconds).alias("seconds"), "tenths", "n"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("append").text(f"{url}/index")
+    rows = events.select(F.floor(ms("event_time") / (seconds * 1000)).alias("slot"), F.floor(F.col("magnitude") * 10).alias("tenths"), feature.alias("value")).where("slot is not null")
+    rows.select("slot", "value").repartition("slot").write.mode("append").partitionBy("slot").text(f"{url}/features")
+    counts = rows.groupBy("slot", "tenths").agg(F.count("*").alias("n")).groupBy("slot").agg(F.collect_list(F.struct("tenths", "n")).alias("c"))
+    line = F.struct("slot", F.lit(seconds).alias("seconds"), F.col("c.tenths").alias("tenths"), F.col("c.n").alias("n"))
+    counts.select(F.to_json(line, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("append").text(f"{url}/index")
 
 
 def plan_slices(count, whole: Query, most: int = SLICE_RESULTS, least: timedelta = MIN_SLICE) -> list[Query]:

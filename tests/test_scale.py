@@ -1,6 +1,7 @@
 """Claims of reviews about dense catalogs: whole results where many events share a time or a place."""
 
 import math
+from datetime import UTC, datetime, timedelta
 
 import pytest
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom import queries
 from quakeloom.operators import grid
+from quakeloom.sources import bounded
 
 
 def test_a_place_counts_all_of_its_circle(spark):
@@ -40,3 +42,29 @@ def test_batches_arrive_whole(spark, tmp_path, n):
     q.awaitTermination()
     size = max(1, -(-n // 2))
     assert [b for b in seen if b] == [list(range(k, min(n, k + size))) for k in range(0, n, size)]
+
+
+def test_a_count_reads_each_slot_once(spark, tmp_path, monkeypatch):
+    """Counts that cut slots are right, and don't read one for each tenth of a magnitude or each count."""
+    rows = spark.range(3000).selectExpr("id as event_id", "timestamp_millis(1704067200000 + id * 60000) as event_time", "timestamp_millis(1704067200000) as available_at", "-30D as latitude", "-70D as longitude", "1D as depth_km", "if(id % 7 = 0, null, 3 + id % 400 / 100) as magnitude", "'mw' as magnitude_type")
+    bounded.write_feed(rows, f"file://{tmp_path}")
+    read, real = [], bounded.FolderService._lines
+    monkeypatch.setattr(bounded.FolderService, "_lines", lambda self, folder: read.append(folder) or real(self, folder))
+    service = bounded.FolderService(f"file://{tmp_path}")
+    day = datetime(2024, 1, 1, tzinfo=UTC)
+    for lo, hi in ((0, 3000), (10, 20), (100, 2000), (1440, 2880), (1439, 1441), (2990, 9000), (-50, 5)):
+        for least in (None, 4.55):
+            q = bounded.Query(day + timedelta(minutes=lo), day + timedelta(minutes=hi), min_magnitude=least)
+            known = [3 + k % 400 / 100 if k % 7 else None for k in range(max(lo, 0), min(hi, 3000))]
+            want = len(known) if least is None else sum(m is not None and math.floor(m * 10) >= 45 for m in known)
+            assert bounded.parse_count(service.count(q)) == want
+    assert len(read) <= 4
+
+
+def test_dense_catalogs_are_read_whole(spark, tmp_path):
+    """More events in six hours than a slice may hold."""
+    rows = spark.range(40_000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(id % 20000 as decimal(18, 6))) as ts", "id % 1500 as user_id", "'click' as event_type", "id % 500 + 0.5D as value", "'' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    held = queries.catalog(spark, str(tmp_path)).where("latitude between -60 and -15 and longitude between -82 and -62").count()
+    got = queries.QUERIES["bounded_scan"](spark, str(tmp_path))
+    assert got.count() == got.select("source_event_id").distinct().count() == held > 30_000
