@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakeloom import queries
-from quakeloom.operators import grid
+from quakeloom.operators import grid, linkage
 from quakeloom.sources import bounded
 
 
@@ -68,3 +68,23 @@ def test_dense_catalogs_are_read_whole(spark, tmp_path):
     held = queries.catalog(spark, str(tmp_path)).where("latitude between -60 and -15 and longitude between -82 and -62").count()
     got = queries.QUERIES["bounded_scan"](spark, str(tmp_path))
     assert got.count() == got.select("source_event_id").distinct().count() == held > 30_000
+
+
+@pytest.mark.parametrize("seconds", [300, 4])
+def test_automatic_matches_are_those_of_all_candidates(spark, seconds):
+    """Times and positions up to the edge of what a match allows, nulls among them."""
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(id * 37 % 1201 / 100 as decimal(18, 6)))"
+    rows = spark.range(600).selectExpr("id as event_id", f"{at} as event_time", "if(id % 50 = 3, null, -30 + id * 13 % 140 / 1000) as latitude", "-71 + id * 7 % 30 / 1000 as longitude", "if(id % 11 = 0, null, 5D) as magnitude", "if(id % 7 = 0, null, 30 + id % 3) as depth_km")
+    other = rows.withColumnRenamed("event_id", "other_id")
+    want = linkage.link_candidates(rows, other, seconds).where("decision = 'auto_match'")
+    got = linkage.auto_matches(rows, other, seconds)
+    assert got.count() == want.count() > 10_000 and got.exceptAll(want).isEmpty()
+
+
+def test_canonical_events_compare_few_pairs(spark, monkeypatch):
+    """Observations of ten seconds all over a region are not all compared, though all lie within the window."""
+    rows = spark.range(4000).selectExpr("id as event_id", "cast(id % 2 as string) as source_id", "timestamp_micros(1700000000000000 + id * 2500) as event_time", "timestamp_seconds(1700000100) as available_at", "-60 + id * 7919 % 4500 / 100 as latitude", "-82 + id * 10473 % 2000 / 100 as longitude", "5D as magnitude", "30D as depth_km")
+    scored, real = [], linkage._scored
+    monkeypatch.setattr(linkage, "_scored", lambda pairs: scored.append(pairs.count()) or real(pairs))
+    linkage.canonical_events(rows).count()
+    assert sum(scored) < 0.03 * 4000 * 4000
