@@ -3,11 +3,13 @@
 import math
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from quakeloom import queries
+from quakeloom.functions import optim
 from quakeloom.operators import grid, linkage
 from quakeloom.sources import bounded
 
@@ -88,3 +90,21 @@ def test_canonical_events_compare_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(linkage, "_scored", lambda pairs: scored.append(pairs.count()) or real(pairs))
     linkage.canonical_events(rows).count()
     assert sum(scored) < 0.03 * 4000 * 4000
+
+
+def test_shorter_steps_are_tried_where_the_whole_one_fails():
+    """The same minima from fewer points."""
+
+    def bowls(x, which):
+        seen.append(len(x))
+        centre = np.array([[1.0, 2.0], [3.0, 0.5]])[which]
+        return ((x - centre) ** 2 * [1.0, 50.0]).sum(axis=1), 2 * (x - centre) * [1.0, 50.0]
+
+    found, counts = [], []
+    for first in (False, True):
+        seen = []
+        x, value, ok = optim.minimize_batch(bowls, [[2.0, 2.0], [2.0, 2.0]], [0.0, 0.0], [5.0, 5.0], whole_first=first)
+        assert ok.all() and value.max() < 1e-5
+        found.append(x)
+        counts.append(sum(seen))
+    assert np.allclose(found[0], found[1], atol=2e-3) and counts[1] < 0.7 * counts[0]
